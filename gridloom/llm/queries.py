@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, shards, token_files
+from .common import new_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +20,23 @@ def op10_bpe_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep_text=False, decoded=True))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    uri = new_path(spark, "tokens")
+    files = token_files.write(docs, uri, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.digests(token_files.read(spark, uri, files))
+
+
+def op8_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "shards")
+    shards.write(documents(spark, sf_dir).select("doc_id", "text"), path, shards=8)
+    return shards.read(spark, path, ["doc_id", "size", "text_crc32", "shard", "slot", "grown_shard"]).withColumn("law", F.lit("key"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_two_pass_shuffle": op8_two_pass_shuffle,
+        "op9_token_files": op9_token_files,
         "op10_bpe_word_table": op10_bpe_word_table,
     }
 
