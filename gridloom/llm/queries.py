@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, shards, token_files
+from . import bpe, quality, shards, token_files, warc
 from .common import new_path
 
 
@@ -33,8 +33,33 @@ def op8_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.read(spark, path, ["doc_id", "size", "text_crc32", "shard", "slot", "grown_shard"]).withColumn("law", F.lit("key"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     k AS (SELECT page_id, encode(html) AS b, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS holder FROM p)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
+       translate(lpad(to_base(('0x' || substr(h, 1, 10))::BIGINT, 32), 8, '0') || lpad(to_base(('0x' || substr(h, 11, 10))::BIGINT, 32), 8, '0')
+              || lpad(to_base(('0x' || substr(h, 21, 10))::BIGINT, 32), 8, '0') || lpad(to_base(('0x' || substr(h, 31, 10))::BIGINT, 32), 8, '0'),
+              '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
+FROM k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_content_addressed_warc": op2_content_addressed_warc,
+        "op7_quality_rules": op7_quality_rules,
         "op8_two_pass_shuffle": op8_two_pass_shuffle,
         "op9_token_files": op9_token_files,
         "op10_bpe_word_table": op10_bpe_word_table,
@@ -42,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_content_addressed_warc": OP2_SQL}

@@ -25,8 +25,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow) < n:
         size = max(n, 4096, 2 * len(_pow) if n < 1 << 21 else n)
         with np.errstate(over="ignore"):
-            _pow = np.cumprod(np.concatenate([[1], np.full(size - 1, BASE)]).astype(np.uint64))
-            _inv = np.cumprod(np.concatenate([[1], np.full(size - 1, pow(BASE, -1, 1 << 64))]).astype(np.uint64))
+            _pow, _inv = (np.full(size, b, np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64)))
+            _pow[0] = _inv[0] = 1
+            _pow, _inv = np.cumprod(_pow), np.cumprod(_inv)
     return _pow[:n], _inv[:n]
 
 
