@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, quality, shards, token_files, warc
+from . import bpe, decontam, line_dedup, quality, shards, token_files, warc
 from .common import new_path
 
 
@@ -43,6 +43,47 @@ def op2_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judged(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS p
+           FROM (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS t FROM documents)),
+     i AS (SELECT item_id, len(t) AS n, unnest(t) AS tok, generate_subscripts(t, 1) AS p
+           FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM benchmark)),
+     s AS (SELECT *, least(16, n) AS w, CASE WHEN n < 11 THEN n ELSE least(16, n) - least(16, n) // 5 END AS need FROM i),
+     e AS (SELECT doc_id, item_id, w, need, d.p - s.p AS diag, s.p AS p FROM d JOIN s USING (tok)),
+     f AS (SELECT doc_id, item_id, need, count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY p RANGE BETWEEN 15 PRECEDING AND CURRENT ROW) AS c15,
+                  count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY p) AS c_all, w FROM e),
+     g AS (SELECT DISTINCT doc_id, item_id FROM f WHERE CASE WHEN w = 16 THEN c15 ELSE c_all END >= need)
+SELECT documents.doc_id, count(item_id) > 0 AS contaminated, count(item_id)::BIGINT AS n_items,
+       coalesce(list(item_id ORDER BY item_id) FILTER (WHERE item_id IS NOT NULL), []) AS item_ids
+FROM documents LEFT JOIN g USING (doc_id) GROUP BY documents.doc_id
+"""
+
+OP5_SQL = r"""
+WITH l AS (SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+     b AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS at,
+                  length(t) - length(replace(t, ' ', '')) + 1 AS w
+           FROM (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM l) WHERE t <> ''),
+     r AS (SELECT x.doc_id, x.at AS s, y.at AS e, list(z.line ORDER BY z.at) AS lines, sum(z.w) AS total, min(x.w) AS head, min(y.w) AS tail
+           FROM b x JOIN b y ON x.doc_id = y.doc_id AND y.at BETWEEN x.at AND x.at + 4 JOIN b z ON z.doc_id = x.doc_id AND z.at BETWEEN x.at AND y.at
+           GROUP BY ALL),
+     m AS (SELECT * FROM r WHERE total >= 5 AND (total - head < 5 OR total - tail < 5)),
+     k AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY lines ORDER BY doc_id, s) AS copy FROM m),
+     g AS (SELECT DISTINCT b.doc_id, b.pos FROM k JOIN b ON b.doc_id = k.doc_id AND b.at BETWEEN k.s AND k.e WHERE copy > 1),
+     t AS (SELECT l.doc_id, count(*)::BIGINT AS n_lines, count(g.pos)::BIGINT AS n_removed,
+                  coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text
+           FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
+SELECT doc_id, text, n_lines, n_removed FROM t
+"""
+
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
      k AS (SELECT page_id, encode(html) AS b, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS holder FROM p)
@@ -59,6 +100,8 @@ FROM k
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_content_addressed_warc": op2_content_addressed_warc,
+        "op4_spaced_seeds": op4_spaced_seeds,
+        "op5_line_suffix_array": op5_line_suffix_array,
         "op7_quality_rules": op7_quality_rules,
         "op8_two_pass_shuffle": op8_two_pass_shuffle,
         "op9_token_files": op9_token_files,
@@ -67,4 +110,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_content_addressed_warc": OP2_SQL}
+    return {"op2_content_addressed_warc": OP2_SQL, "op4_spaced_seeds": OP4_SQL, "op5_line_suffix_array": OP5_SQL}
