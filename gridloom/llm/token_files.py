@@ -23,6 +23,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,10 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import buffers, pieces, ship, shuffle_partitions, small_batches
+from .common import buffers, ship, shuffle_partitions, small_batches
 
-TABLE_WORDS = 300_000
+#: Pieces a worker keeps, some 200 bytes each.
+TABLE_WORDS = 1_000_000
 ENTRY = np.dtype([("offset", "<u8"), ("size", "<u8"), ("doc_id", "<i8"), ("n", "<u4"), ("null", "<u4")])
 #: Letters, digits and marks for which the pattern below splits as the tokenizer's own pattern does.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ¡¿«»]*")
@@ -45,8 +47,21 @@ def masked(data: bytes) -> int:
     return ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+class Known(dict):
+    """Packed ids of the pieces between which the tokenizer never merges; starts anew at TABLE_WORDS."""
+
+    def __init__(self, tokenizer, code: str):
+        self.encode, self.code = tokenizer.encode, code
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= TABLE_WORDS:
+            self.clear()
+        ids = self[piece] = array(self.code, self.encode(piece, add_special_tokens=False).ids).tobytes()
+        return ids
+
+
 class Encoder:
-    """The tokenizer, with the ids of the pieces between which it never merges."""
+    """The tokenizer, with a table of pieces by worker."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,26 +72,19 @@ class Encoder:
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.tokenizer, "H" if self.width == 2 else "I")
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
-    def learn(self, parts: set[str]) -> None:
-        new = list(parts - self.known.keys())
-        if len(self.known) + len(new) > TABLE_WORDS:
-            self.known.clear()
-            new = list(parts)
-        for a in range(0, len(new), 8192):
-            found = self.tokenizer.encode_batch_fast(new[a : a + 8192], add_special_tokens=False)
-            self.known.update((w, self.pack(e.ids)) for w, e in zip(new[a : a + 8192], found))
+    def text(self, t: str) -> bytes:
+        """Ids of a text; those with rare characters or special tokens go to the tokenizer whole."""
+        if PLAIN.fullmatch(t) and not any(s in t for s in self.special):
+            return b"".join(map(self.known.__getitem__, SPLIT.findall(t)))
+        return self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; texts with rare characters or special tokens go to the tokenizer whole."""
-        split = [SPLIT.findall(t) if PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        self.learn({w for parts in split if parts for w in parts})
-        get = self.known.__getitem__
-        return [self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, split)]
+        return [self.text(t) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -123,7 +131,7 @@ def write(docs: DataFrame, uri: str, path: str, end_id: int = 2, text: str = "te
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out, index = (fs.open_output_stream(f"{name}.{k}.{attempt}") for k in ("rec", "idx"))
-            ids = e([b"" .join([b]).decode("utf-8", "replace") if b else "" for b in buffers(batch.column(text))])
+            ids = e([bytes(b).decode("utf-8", "replace") if b else "" for b in buffers(batch.column(text))])
             entries = np.zeros(len(ids), ENTRY)
             for i, (x, doc) in enumerate(zip(ids, batch.column("doc_id").to_pylist())):
                 f = frame(x + end, e.width)
