@@ -1,11 +1,11 @@
 """BPE encoding and decoding through tables of distinct words.
 
-Words are split in Spark's workers at ASCII white space. Each batch of texts
-makes a table of its distinct words, encodes those that the worker does not
-know yet once, and joins ids back by position; decoding joins ids with the
-table of pieces. A table over the whole corpus would need a shuffle of every
-word's position (several times the input); tables by batch with a bounded
-table by worker give the same ids without any shuffle. White space never
+Words are split in Spark's workers at ASCII white space. Each worker keeps a
+bounded table of distinct words, encodes a word once when it first meets it,
+and joins ids back by position; decoding joins ids with the table of pieces. A
+table over the whole corpus would need a shuffle of every word's position
+(several times the input); tables by worker give the same ids without any
+shuffle. White space never
 joins two words' pieces, so ids of words put together are ids of the text.
 
 Null texts count as empty: no ids, empty decoded text. Rows stay as they are,
@@ -16,6 +16,7 @@ names ids and decoded are replaced.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,25 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import buffers, pieces, ship, small_batches
 
-#: Words a worker keeps; beyond it the table starts anew.
-TABLE_WORDS = 300_000
+#: Words a worker keeps, some 200 bytes each.
+TABLE_WORDS = 1_000_000
+
+
+class Words(dict):
+    """Distinct words and their ids as little-endian unsigned 32-bit integers; starts anew at TABLE_WORDS."""
+
+    def __init__(self, tokenizer):
+        self.encode = tokenizer.encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= TABLE_WORDS:
+            self.clear()
+        ids = self[word] = array("I", self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        return ids
 
 
 class WordTable:
-    """Distinct words and their ids as little-endian unsigned 32-bit integers."""
+    """A worker's words and the tokenizer's pieces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,21 +52,10 @@ class WordTable:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.ids: dict[bytes, bytes] = {}
+        self.ids = Words(self.tokenizer)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.pieces = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode each of these distinct words once."""
-        new = list(words - self.ids.keys())
-        if len(self.ids) + len(new) > TABLE_WORDS:
-            self.ids.clear()
-            new = list(words)
-        for a in range(0, len(new), 8192):
-            part = new[a : a + 8192]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
-
     def encode(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.ids.__getitem__, words))
 
@@ -70,10 +73,8 @@ def table(path: str) -> WordTable:
 
 
 def _encode_texts(texts: list[memoryview | None], t: WordTable) -> Iterator[bytes]:
-    split = [[p.split() for p in pieces(bytes(b))] if b is not None else [] for b in texts]
-    t.learn({w for parts in split for words in parts for w in words})
-    for parts in split:
-        yield b"".join(t.encode(words) for words in parts)
+    for b in texts:
+        yield b"".join(t.encode(p.split()) for p in pieces(bytes(b))) if b is not None else b""
 
 
 def _mapper(path: str, text: str, keep: list[str], decode: bool):

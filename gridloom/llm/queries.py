@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, line_dedup, quality, shards, token_files, warc
+from . import bpe, decontam, line_dedup, quality, shards, token_files, toxicity, warc
 from .common import new_path
 
 
@@ -43,6 +43,10 @@ def op2_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op1_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -99,6 +103,7 @@ FROM k
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_string_kernel_toxicity": op1_string_kernel_toxicity,
         "op2_content_addressed_warc": op2_content_addressed_warc,
         "op4_spaced_seeds": op4_spaced_seeds,
         "op5_line_suffix_array": op5_line_suffix_array,
