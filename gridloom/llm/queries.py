@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, line_dedup, quality, shards, token_files, toxicity, warc
+from . import bpe, decontam, line_dedup, pii, quality, shards, token_files, toxicity, warc
 from .common import new_path
 
 
@@ -47,6 +47,10 @@ def op1_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.found(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -105,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_string_kernel_toxicity": op1_string_kernel_toxicity,
         "op2_content_addressed_warc": op2_content_addressed_warc,
+        "op3_bootstrapped_pii": op3_bootstrapped_pii,
         "op4_spaced_seeds": op4_spaced_seeds,
         "op5_line_suffix_array": op5_line_suffix_array,
         "op7_quality_rules": op7_quality_rules,
