@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, line_dedup, pii, quality, shards, token_files, toxicity, warc
+from . import bpe, decontam, jaccard, line_dedup, pii, quality, shards, token_files, toxicity, warc
 from .common import new_path
 
 
@@ -59,6 +59,10 @@ def op5_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op6_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(documents(spark, sf_dir).select("doc_id", "text"), words=4, percent=85)
+
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS p
            FROM (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS t FROM documents)),
@@ -112,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bootstrapped_pii": op3_bootstrapped_pii,
         "op4_spaced_seeds": op4_spaced_seeds,
         "op5_line_suffix_array": op5_line_suffix_array,
+        "op6_count_vector_join": op6_count_vector_join,
         "op7_quality_rules": op7_quality_rules,
         "op8_two_pass_shuffle": op8_two_pass_shuffle,
         "op9_token_files": op9_token_files,
