@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import wordhash as wh
 from .common import Scratch, buffers, ship, shuffle_partitions, small_batches
@@ -188,8 +188,8 @@ def classes(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
+def classified(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """A row for each row of docs: node (doc_id or its stand-in), n_shingles and component, the smallest node reachable by links."""
     spark = docs.sparkSession
     scratch, parts = Scratch(spark), shuffle_partitions(spark)
     path = scratch.put(entered(docs, text, words, percent), "entered")
@@ -213,8 +213,13 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     links = links.unionByName(scratch.put(verified(second, sets, percent), "more-links")).unionByName(copies)
     final = classes(links, scratch, "last")
     of = points.select("node", F.col("n").alias("n_shingles")).join(final, "node", "left")
-    shown = lambda c: F.when(c > LOW, c)
-    return of.select(shown(F.col("node")).alias("doc_id"), "n_shingles", shown(F.coalesce("least", "node")).alias("component_id"))
+    return of.select("node", "n_shingles", F.coalesce("least", "node").alias("component"))
+
+
+def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """A row for each row of docs: doc_id, n_shingles and component_id, the smallest doc_id reachable by links (null: none has one)."""
+    shown = lambda c: F.when(F.col(c) > LOW, F.col(c))
+    return classified(docs, words, percent, text).select(shown("node").alias("doc_id"), "n_shingles", shown("component").alias("component_id"))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFrame:
@@ -251,3 +256,13 @@ def descended(stars: DataFrame, reps: DataFrame, found: DataFrame, percent: int)
     pairs = near.alias("b").join(x, (F.col("b.sig") == F.col("x.sig")) & (F.col("b.cx") == F.col("x.class"))).select("b.cy", "x.sig", "x.node", "x.n", "x.vec").alias("x")
     pairs = pairs.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cy") == F.col("y.class")) & bound("x", "y", percent))
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """Of each class the row with the smallest doc_id, with all its columns; rows without a set stay."""
+    scratch = Scratch(docs.sparkSession)
+    found = classified(docs, words, percent, text)
+    firsts = scratch.put(found.filter("node = component").select(F.col("node").alias("_node")).distinct(), "firsts")
+    rows = docs.withColumn("_node", node_of(docs, text))
+    kept = rows.join(firsts, "_node", "left_semi")
+    return kept.withColumn("_row", F.row_number().over(W.partitionBy("_node").orderBy("_node"))).filter("_row = 1").select(*docs.columns)
