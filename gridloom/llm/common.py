@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -54,6 +55,12 @@ def _clean() -> None:
             return
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors."""
 
@@ -64,6 +71,7 @@ class Scratch:
         path = new_path(self.spark, name)
         df.write.option("compression", "zstd").parquet(path)
         self.paths[name] = path
+        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -11,10 +11,10 @@ the overlap of boxes of points at most that of their upper corners. A tree over
 boxes alone prunes nothing here: in few dimensions unrelated texts of a length
 lie closer than the join's radius, in many every box covers all (measured in
 the README). So the tree's directory deals points to pages by finer groups: a
-size class with room for d different shingles has d + 1 + SLACK groups, hence
+size class with room for d different shingles has over d + SLACK groups, hence
 linked sets agree wholly in some nonempty group, and each set is entered under
-the contents of each group. (Sets of which more than SLACK groups are empty are
-entered under that fact too.) Sets near the end of a class are also entered in
+the contents of each group. (Sets with so few nonempty groups that all could
+differ are entered under that fact too.) Sets near the end of a class are also entered in
 the next. Pages thus hold all links, and almost nothing else.
 
 Within a page all points are first paired with the page's first; pairs that the
@@ -49,10 +49,20 @@ HELD = 1_000_000
 LOW = -(1 << 62)
 
 
+def differ(a: int, b: int, percent: int) -> int:
+    """The most shingles in which linked sets of a and b shingles differ."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+def most(k: int) -> int:
+    """The largest size of size class k, sizes from RATIO**k up to but without RATIO**(k+1)."""
+    return int(np.ceil(RATIO ** (k + 1))) - 1
+
+
 def scheme(k: int, percent: int) -> int:
-    """Groups of size class k, sizes from RATIO**k up to but without RATIO**(k+1)."""
-    most = int(np.ceil(RATIO ** (k + 1))) - 1
-    return 2 * most * (100 - percent) // (100 + percent) + 1 + SLACK
+    """Groups of size class k: room for all that differ, and for the groups that chance leaves empty."""
+    m = differ(most(k), most(k), percent) + 1
+    return m + SLACK + int(3 * m * np.exp(-most(k) / m))
 
 
 def schemes(n: int, percent: int) -> list[int]:
@@ -72,7 +82,7 @@ def entries(h: np.ndarray, k: int, percent: int) -> np.ndarray:
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     content = np.add.reduceat(wh.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
     out = wh.mix(content + wh.mix(group[first] + np.uint64(k << 32)))
-    if m - len(first) > SLACK:
+    if len(first) <= differ(len(h), min(most(k), 100 * len(h) // percent), percent):
         out = np.append(out, wh.mix(np.array([(k << 32) + 0xFFFFFFF], np.uint64)))
     return out
 
