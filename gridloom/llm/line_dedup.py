@@ -19,8 +19,8 @@ doc_id and text one is first, and the others lose all their lines if the text
 has min_words words. Words are parted by single spaces. Null texts stay null,
 empty ones empty. A document without deletion keeps its text to the byte; else
 its kept lines, blank ones included, are joined by newlines. An empty table
-gives an empty result. Columns of other names pass through; n_lines and
-n_removed are replaced.
+gives an empty result. Columns of other names pass through; n_lines,
+n_filled and n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -32,14 +32,19 @@ from .common import Scratch, shuffle_partitions
 MIN_WORDS = 5
 BLANK = " \t\r\x0b\x0c"
 PLACE = ["doc_id", "print", "at"]
+DOC = ["doc_id", "print"]
 
 
 def lines(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
+def filled(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANK)) != ""
+
+
 def bare(text: str) -> Column:
-    return F.filter(lines(text), lambda x: F.btrim(x, F.lit(BLANK)) != "")
+    return F.filter(lines(text), filled)
 
 
 def words(line: Column) -> Column:
@@ -48,8 +53,9 @@ def words(line: Column) -> Column:
 
 
 def sequence(docs: DataFrame, text: str, min_words: int) -> DataFrame:
-    """A row a line: its place, the 128 bits of its id, and the lines it needs forwards and backwards for min_words words (null: too few)."""
-    rows = docs.select("doc_id", F.xxhash64(text).alias("print"), bare(text).alias("x")).withColumn("w", F.transform("x", words))
+    """A row a line: its place among the filled lines (at) and among all (pos), the 128 bits of its id, and the lines it needs forwards and backwards for min_words words (null: too few)."""
+    numbered = F.transform(lines(text), lambda x, i: F.struct(x.alias("line"), i.alias("pos")))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("print"), F.filter(numbered, lambda s: filled(s["line"])).alias("x")).withColumn("w", F.transform("x", lambda s: words(s["line"])))
     places = rows.select("*", F.explode_outer(F.sequence(F.lit(0), F.size("x") - 1)).alias("at")).filter((F.col("at") >= 0) & (F.col("at") < F.size("x")))
 
     def need(sign: int) -> Column:
@@ -63,8 +69,8 @@ def sequence(docs: DataFrame, text: str, min_words: int) -> DataFrame:
             out = F.when(sums[k] >= min_words, F.lit(k + 1)).otherwise(out)
         return out
 
-    line = F.get("x", F.col("at"))
-    return places.select("doc_id", "print", "at", F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"), need(1).alias("ahead"), need(-1).alias("back"))
+    line = F.get("x", F.col("at"))["line"]
+    return places.select("doc_id", "print", "at", F.get("x", F.col("at"))["pos"].alias("pos"), F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"), need(1).alias("ahead"), need(-1).alias("back"))
 
 
 def ranked(classes: DataFrame, keys: list[str], partitions: int) -> DataFrame:
@@ -77,14 +83,15 @@ def same_place(a: str, b: str, shift: int = 0) -> Column:
 
 
 def repeated(docs: DataFrame, scratch: Scratch, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, print and gone, the places of the lines that go."""
+    """doc_id, print, n_gone, and gone: the lines that go as bits, 64 lines a number."""
     parts = shuffle_partitions(docs.sparkSession)
     seq = scratch.put(sequence(docs, text, min_words), "lines")
     first = F.min(F.struct(*PLACE)).alias("first")
     classes = scratch.put(ranked(seq.groupBy("a", "b").agg(F.count("*").alias("n"), first).filter("n > 1"), ["a", "b"], parts), "rank0")
     suffixes = scratch.put(seq.join(classes.drop("n"), ["a", "b"]).drop("a", "b"), "suffixes0")
     later = ~F.struct(*PLACE).eqNullSafe(F.col("first"))
-    gone = [suffixes.filter((F.col("ahead") == 1) & later).select(*PLACE)]
+    single = suffixes.filter((F.col("ahead") == 1) & later).select(*DOC, "pos")
+    gone = []
     # Runs of several lines start or end at a repeated line that is too short alone.
     ahead = suffixes.filter("ahead > 1").select("doc_id", "print", "at", F.col("ahead").alias("q"))
     back = suffixes.filter("back > 1").select("doc_id", "print", (F.col("at") - F.col("back") + 1).alias("at"), F.col("back").alias("q"))
@@ -105,28 +112,30 @@ def repeated(docs: DataFrame, scratch: Scratch, text: str = "text", min_words: i
         found = scratch.put(found.join(level.alias("x"), both).select("w.doc_id", "w.print", "w.at", "w.q", "w.r", F.col("x.rank").alias("s")), f"found{size}")
         firsts = scratch.put(found.groupBy("q", "r", "s").agg(first), f"firsts{size}")
         copies = found.join(firsts, ["q", "r", "s"]).filter(later)
-        gone.append(copies.select("doc_id", "print", F.explode(F.sequence("at", F.col("at") + F.col("q") - 1)).alias("at")))
-    every = gone[0]
-    for more in gone[1:]:
+        covered = copies.select(*DOC, F.explode(F.sequence("at", F.col("at") + F.col("q") - 1)).alias("at")).alias("c")
+        gone.append(scratch.put(covered.join(suffixes.alias("s"), same_place("c", "s")).select("c.doc_id", "c.print", "s.pos"), f"gone{size}"))
+    every = single
+    for more in gone:
         every = every.unionByName(more)
-    return every.groupBy("doc_id", "print").agg(F.collect_set("at").alias("gone"))
+    word = F.floor(F.col("pos") / 64).cast("int")
+    parts_ = every.groupBy(*DOC, word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % 64).cast("int"))).alias("bits"))
+    lists = parts_.groupBy(*DOC).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"), F.max("word").alias("last"), F.sum(F.bit_count("bits")).alias("n_gone"))
+    return lists.select(*DOC, F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long"))).alias("gone"), "n_gone")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """All documents with their columns, the text without its repeated lines, n_lines and n_removed."""
+    """All documents with their columns, the text without its repeated lines, n_lines, n_filled (lines that aren't blank) and n_removed."""
     scratch = Scratch(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_filled", "n_removed")]
     found = scratch.put(repeated(docs, scratch, text, min_words), "gone")
     left = docs.select(*[F.col(c) for c in keep], F.xxhash64(text).alias("_print")).alias("d")
-    both = left.join(found.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._print") == F.col("g.print")), "left").select("d.*", "g.gone")
-    again = F.row_number().over(W.partitionBy("doc_id", "_print").orderBy("doc_id")) > 1
-    full = F.aggregate(bare(text), F.lit(0), lambda s, x: s + words(x)) >= min_words
-    both = both.withColumn("_again", again).withColumn("_gone", F.when(F.col("_again") & full, F.sequence(F.lit(0), F.size(bare(text)) - 1)).otherwise(F.col("gone")))
-    split = both.withColumn("_x", lines(text))
-    filled = F.filter(F.sequence(F.lit(0), F.size("_x") - 1), lambda i: F.btrim(F.get("_x", i), F.lit(BLANK)) != "")
-    split = split.withColumn("_at", F.when(F.col("_gone").isNotNull(), filled))
-    out = F.transform("_gone", lambda i: F.get("_at", i))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_x") - 1), out), lambda i: F.get("_x", i))
-    shorter = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size("_x")).cast("long")
-    return split.select(*[shorter.alias(c) if c == text else F.col(c) for c in keep], n.alias("n_lines"), F.coalesce(F.size(F.when(F.col("_gone").isNotNull(), F.col("_gone"))), F.lit(0)).cast("long").alias("n_removed"))
+    both = left.join(found.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._print") == F.col("g.print")), "left").select("d.*", F.col("g.gone").alias("_gone"), F.col("g.n_gone").alias("_n"))
+    copy = both.withColumn("_row", F.row_number().over(W.partitionBy("doc_id", "_print").orderBy("doc_id")))
+    again = (F.col("_row") > 1) & (F.aggregate(bare(text), F.lit(0), lambda s, x: s + words(x)) >= min_words)
+    # Lambdas refer to columns of the join alone: an expression in them would be worked out anew for each line.
+    stays = F.filter(lines(text), lambda x, i: F.call_function("shiftright", F.coalesce(F.get("_gone", F.floor(i / 64).cast("int")), F.lit(0).cast("long")), (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 0)
+    blank = F.filter(lines(text), lambda x: ~filled(x))
+    shorter = F.when(again, F.array_join(blank, "\n")).when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n"))
+    count = lambda c: F.when(F.col(text).isNull(), 0).otherwise(F.size(c)).cast("long")
+    removed = F.when(again, F.size(bare(text)).cast("long")).otherwise(F.coalesce("_n", F.lit(0)))
+    return copy.select(*[shorter.alias(c) if c == text else F.col(c) for c in keep], count(lines(text)).alias("n_lines"), count(bare(text)).alias("n_filled"), removed.alias("n_removed"))

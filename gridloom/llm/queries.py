@@ -56,7 +56,7 @@ def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+    return line_dedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text")).drop("n_filled")
 
 
 def op6_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
