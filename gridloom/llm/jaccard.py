@@ -19,8 +19,8 @@ the next. Pages thus hold all links, and almost nothing else.
 
 Within a page all points are first paired with the page's first; pairs that the
 minima bound leaves are verified on the sets, and classes formed. Pages that
-then hold more than one class are descended: boxes of classes against each
-other, then points of the boxes that remain, then the sets. No pair inside a
+then hold more than one class are descended: boxes of points in order of size
+against each other, then points of the boxes that remain, then the sets. No pair inside a
 class is formed again, and none between classes is left out, so classes are
 exact and a page of one class costs one pair a point.
 
@@ -43,7 +43,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from . import wordhash as wh
 from .common import Scratch, buffers, ship, shuffle_partitions, small_batches
 
-GROUPS, SLACK, RATIO = 32, 2, 1.6
+GROUPS, SLACK, RATIO = 128, 2, 1.6
+#: Points of a page that are laid against each other at once.
+BLOCK = 2_000
+#: Nodes up to which their ids are broadcast to the scan of the texts; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 #: Entries that a task holds before it passes them on.
 HELD = 1_000_000
 LOW = -(1 << 62)
@@ -87,6 +91,22 @@ def entries(h: np.ndarray, k: int, percent: int) -> np.ndarray:
     return out
 
 
+def point(h: np.ndarray) -> bytes:
+    """Counts by group, a byte each; nothing where one doesn't fit, which bounds nothing."""
+    counts = np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def room(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether points x and y (rows of counts) of sets of a and b shingles leave room for a link, by the sum of their minima."""
+    return (100 + percent) * np.minimum(x, y).sum(-1, dtype=np.int64) >= percent * (a + b)
+
+
+def points_of(column: pa.Array) -> np.ndarray:
+    """Rows of counts; a missing point reads as the highest counts."""
+    return np.frombuffer(b"".join(v if len(v) else b"\xff" * GROUPS for v in (bytes(b or b"") for b in buffers(column))), np.uint8).reshape(-1, GROUPS)
+
+
 def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
     """The first of each run of equal entries, and the others with it."""
     order = np.lexsort((node, sig))
@@ -104,7 +124,7 @@ def _batch(kind: str, node, x, y, n=None, vec=None) -> pa.RecordBatch:
     size = len(node)
     i64 = lambda a: pa.array(np.asarray(a).astype(np.uint64).view(np.int64) if np.asarray(a).dtype == np.uint64 else np.asarray(a, np.int64))
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * size), i64(node), i64(x), i64(y), pa.nulls(size, pa.int64()) if n is None else i64(n), pa.nulls(size, pa.list_(pa.int32())) if vec is None else pa.array(vec, pa.list_(pa.int32()))], RAW
+        [pa.array([kind] * size), i64(node), i64(x), i64(y), pa.nulls(size, pa.int64()) if n is None else i64(n), pa.nulls(size, pa.binary()) if vec is None else pa.array(vec, pa.binary())], RAW
     )
 
 
@@ -132,10 +152,10 @@ def entered(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
             for node, b in zip(batch.column("node").to_pylist(), buffers(batch.column("text"))):
                 h = wh.shingles(wh.as_array(b), words)
                 if not len(h):
-                    rows.append((node, 0, 0, 0, []))
+                    rows.append((node, 0, 0, 0, b""))
                     continue
                 a, c = (int(wh.mix(h ^ np.uint64(salt)).sum(dtype=np.uint64)) for salt in (0x1234567, 0x7654321))
-                rows.append((node, a, c, len(h), np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)))
+                rows.append((node, a, c, len(h), point(h)))
                 if (a, c) in seen:  # an equal set of this task stands for it
                     continue
                 seen.add((a, c))
@@ -152,7 +172,7 @@ def entered(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
         if count:
             yield from flush()
 
-    return docs.select(node_of(docs, text).alias("node"), F.col(text).alias("text")).mapInArrow(run, "kind string, node long, x long, y long, n long, vec array<int>")
+    return docs.select(node_of(docs, text).alias("node"), F.col(text).alias("text")).mapInArrow(run, "kind string, node long, x long, y long, n long, vec binary")
 
 
 def met(entries_: DataFrame, partitions: int) -> DataFrame:
@@ -167,12 +187,6 @@ def met(entries_: DataFrame, partitions: int) -> DataFrame:
     return entries_.select("x", "node").repartition(partitions, "x").mapInArrow(run, "sig long, a long, b long")
 
 
-def bound(x: str, y: str, percent: int) -> Column:
-    """Whether the sum of minima leaves room for a link."""
-    least = sum((F.least(F.get(f"{x}.vec", F.lit(i)), F.get(f"{y}.vec", F.lit(i))).cast("long") for i in range(GROUPS)), F.lit(0).cast("long"))
-    return (100 + percent) * least >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n"))
-
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose sets link."""
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
@@ -213,14 +227,13 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "
     stars = scratch.put(stars.filter("ra <> rb").select("sig", F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "stars")
     scratch.drop("entered", "same")
     reps = points.filter("n > 0 AND node = rep").select("node", "n", "vec").dropDuplicates(["node", "n"])
-    wanted = scratch.put(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    sets = scratch.put(shingle_sets(docs, wanted, text, words), "sets")
     first = scratch.put(bounded(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, percent), "pairs")
-    links = scratch.put(verified(first, sets, percent), "links")
+    links = scratch.put(verified(first, shingle_sets(docs, first, scratch, text, words), percent), "links")
     found = classes(links, scratch, "first")
-    second = scratch.put(descended(stars, reps, found, percent).join(first, ["a", "b"], "left_anti"), "more")
-    copies = points.filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    links = links.unionByName(scratch.put(verified(second, sets, percent), "more-links")).unionByName(copies)
+    second = scratch.put(descended(stars, reps, found, scratch, percent).join(first, ["a", "b"], "left_anti"), "more")
+    if not second.isEmpty():
+        links = links.unionByName(scratch.put(verified(second, shingle_sets(docs, second, scratch, text, words), percent), "more-links"))
+    links = links.unionByName(points.filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
     final = classes(links, scratch, "last")
     of = points.select("node", F.col("n").alias("n_shingles")).join(final, "node", "left")
     return of.select("node", "n_shingles", F.coalesce("least", "node").alias("component"))
@@ -232,40 +245,98 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     return classified(docs, words, percent, text).select(shown("node").alias("doc_id"), "n_shingles", shown("component").alias("component_id"))
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFrame:
-    """node, set: the sets of the wanted nodes, from their whole texts."""
+def shingle_sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch, text: str, words: int) -> DataFrame:
+    """node, set: the sets of the nodes of pairs, from their whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 1 << 20):
             sets = [wh.shingles(wh.as_array(b), words).view(np.int64) for b in buffers(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    rows = docs.select(node_of(docs, text).alias("node"), F.col(text).alias("text"))
-    return rows.join(wanted, "node", "left_semi").mapInArrow(run, "node long, set array<long>")
+    wanted = scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"wanted{len(scratch.paths)}")
+    few = wanted.count() <= BROADCAST_ROWS
+    rows = docs.select(node_of(docs, text).alias("node"), F.col(text).alias("text")).join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+    return scratch.put(rows.mapInArrow(run, "node long, set array<long>"), f"sets{len(scratch.paths)}")
 
 
 def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and points leave room for a link."""
-    x, y = reps.alias("x"), reps.alias("y")
-    joined = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-    return joined.filter(bound("x", "y", percent)).select("a", "b").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+                good = room(points_of(batch.column("x")), points_of(batch.column("y")), n, m, percent) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    x, y = reps.select(F.col("node").alias("a"), "n", F.col("vec").alias("x")), reps.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("vec").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def descended(stars: DataFrame, reps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs between classes of a page: boxes of classes first, then the points of boxes whose bound leaves room."""
+def descended(stars: DataFrame, reps: DataFrame, found: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs between classes of a page whose points leave room: boxes of points first, then the points of boxes that leave room.
+
+    Large pages are laid out as pairs of blocks, each with the rows of its two blocks, so a task holds two blocks at most.
+    """
     label = found.select("node", "least")
     ends = stars.join(label.select(F.col("node").alias("a"), F.col("least").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("least").alias("lb")), "b", "left")
     mixed = ends.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("sig").distinct()
     inside = stars.join(mixed, "sig", "left_semi")
-    members = inside.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct()
-    members = members.join(label, "node", "left").select("sig", "node", F.coalesce("least", "node").alias("class")).join(reps, "node")
-    boxes = members.groupBy("sig", "class").agg(F.array(*[F.max(F.get("vec", F.lit(i))) for i in range(GROUPS)]).alias("vec"), F.min("n").alias("n"))
-    x, y = boxes.alias("x"), boxes.alias("y")
-    near = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.class") < F.col("y.class")) & bound("x", "y", percent)).select("x.sig", F.col("x.class").alias("cx"), F.col("y.class").alias("cy"))
-    x, y = members.alias("x"), members.alias("y")
-    pairs = near.alias("b").join(x, (F.col("b.sig") == F.col("x.sig")) & (F.col("b.cx") == F.col("x.class"))).select("b.cy", "x.sig", "x.node", "x.n", "x.vec").alias("x")
-    pairs = pairs.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cy") == F.col("y.class")) & bound("x", "y", percent))
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    members = scratch.put(inside.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct(), "members")
+    blocks = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(blocks, "sig").select("sig", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    pairs = placed.select("sig", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    laid = pairs.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
+    rows = laid.join(label, "node", "left").select("sig", "i", "j", "own", "node", F.coalesce("least", "node").alias("class")).join(reps, "node")
+    keys = ["sig", "i", "j"]
+    dealt = rows.select(*keys, "own", "node", "class", "n", "vec").repartition(shuffle_partitions(stars.sparkSession), *keys).sortWithinPartitions(*keys, "n")
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """The rows of each page or pair of blocks, together."""
+        rest: pa.Table | None = None
+        for batch in batches:
+            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if not rest.num_rows:
+                continue
+            key = [rest.column(c).to_numpy() for c in keys]
+            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
+            for a, b in zip([0, *cuts[:-1]], cuts):
+                yield rest.slice(a, b - a)
+            rest = rest.slice(cuts[-1] if len(cuts) else 0)
+        if rest is not None and rest.num_rows:
+            yield rest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for page in pages(batches):
+            page = page.combine_chunks()
+            node, group, n, own = (page.column(c).to_numpy() for c in ("node", "class", "n", "own"))
+            vec = points_of(page.column("vec").combine_chunks() if page.column("vec").num_chunks != 1 else page.column("vec").chunk(0))
+            apart = page.column("i")[0].as_py() != page.column("j")[0].as_py()
+            size = 32
+            boxes = [(a, vec[a : a + size].max(0), n[a]) for a in range(0, len(node), size)]
+            new = []
+            for k, (a, high, low) in enumerate(boxes):
+                for b, other, least in boxes[k:]:
+                    if percent * least > 100 * n[min(a + size, len(n)) - 1]:
+                        break  # rows ascend by size
+                    if not room(high, other, low, least, percent):
+                        continue
+                    x, y = slice(a, min(a + size, len(n))), slice(b, min(b + size, len(n)))
+                    good = room(vec[x][:, None], vec[y][None], n[x][:, None], n[y][None], percent) & (group[x][:, None] != group[y][None])
+                    if apart:
+                        good &= own[x][:, None] != own[y][None]
+                    for p, q in zip(*np.nonzero(good)):
+                        e = tuple(sorted((int(node[a + p]), int(node[b + q]))))
+                        if e[0] != e[1] and e not in seen:
+                            if len(seen) > HELD:
+                                seen.clear()
+                            seen.add(e)
+                            new.append(e)
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*new)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
