@@ -79,11 +79,14 @@ class Scratch:
             remove(self.spark, self.paths.pop(name))
 
 
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever they start."""
+    """Let Python workers import this package wherever they start, and keep Arrow batches small: texts can be long, and both sides hold batches outside the heap."""
+    if int(spark.conf.get(ARROW_ROWS)) > BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
