@@ -43,13 +43,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from . import wordhash as wh
 from .common import Scratch, buffers, ship, shuffle_partitions, small_batches
 
-GROUPS, SLACK, RATIO = 128, 2, 1.6
+GROUPS, SLACK, RATIO = 512, 2, 1.6
 #: Points of a page that are laid against each other at once.
 BLOCK = 2_000
 #: Nodes up to which their ids are broadcast to the scan of the texts; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Entries that a task holds before it passes them on.
-HELD = 1_000_000
+HELD = 500_000
 LOW = -(1 << 62)
 
 
