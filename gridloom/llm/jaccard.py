@@ -20,7 +20,8 @@ the next. Pages thus hold all links, and almost nothing else.
 Within a page all points are first paired with the page's first; pairs that the
 minima bound leaves are verified on the sets, and classes formed. Pages that
 then hold more than one class are descended: boxes of points in order of size
-against each other, then points of the boxes that remain, then the sets. No pair inside a
+against each other, then points of the boxes that remain, then the sets; some pages first by edges
+that span, so that classes grow together, then all by all pairs. No pair inside a
 class is formed again, and none between classes is left out, so classes are
 exact and a page of one class costs one pair a point.
 
@@ -230,9 +231,18 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "
     first = scratch.put(bounded(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, percent), "pairs")
     links = scratch.put(verified(first, shingle_sets(docs, first, scratch, text, words), percent), "links")
     found = classes(links, scratch, "first")
-    second = scratch.put(descended(stars, reps, found, scratch, percent).join(first, ["a", "b"], "left_anti"), "more")
-    if not second.isEmpty():
-        links = links.unionByName(scratch.put(verified(second, shingle_sets(docs, second, scratch, text, words), percent), "more-links"))
+    checked = first
+    # First a few pages give edges enough to span what may be linked, so that classes grow together; then every page gives every pair that is left.
+    for step, (pages, span) in enumerate((("sig % 8 = 0", True), ("true", False))):
+        near = scratch.put(descended(stars.filter(pages), reps, found, scratch, percent, span), f"near{step}")  # distinct before the join, which else runs on a row a page
+        second = scratch.put(near.join(checked, ["a", "b"], "left_anti"), f"more{step}")
+        if second.isEmpty():
+            continue
+        new = scratch.put(verified(second, shingle_sets(docs, second, scratch, text, words), percent), f"more-links{step}")
+        links = links.unionByName(new)
+        if span:
+            checked = checked.unionByName(second)
+            found = classes(links, scratch, f"grown{step}")
     links = links.unionByName(points.filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
     final = classes(links, scratch, "last")
     of = points.select("node", F.col("n").alias("n_shingles")).join(final, "node", "left")
@@ -273,16 +283,18 @@ def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def descended(stars: DataFrame, reps: DataFrame, found: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def descended(stars: DataFrame, reps: DataFrame, found: DataFrame, scratch: Scratch, percent: int, span: bool = False) -> DataFrame:
     """Pairs between classes of a page whose points leave room: boxes of points first, then the points of boxes that leave room.
 
+    With span, of each task's pairs only those that join what its pairs so far leave apart.
+
     Large pages are laid out as pairs of blocks, each with the rows of its two blocks, so a task holds two blocks at most.
     """
     label = found.select("node", "least")
     ends = stars.join(label.select(F.col("node").alias("a"), F.col("least").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("least").alias("lb")), "b", "left")
     mixed = ends.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("sig").distinct()
     inside = stars.join(mixed, "sig", "left_semi")
-    members = scratch.put(inside.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct(), "members")
+    members = scratch.put(inside.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct(), f"members{int(span)}")
     blocks = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(blocks, "sig").select("sig", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
     pairs = placed.select("sig", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -308,6 +320,13 @@ def descended(stars: DataFrame, reps: DataFrame, found: DataFrame, scratch: Scra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
         for page in pages(batches):
             page = page.combine_chunks()
             node, group, n, own = (page.column(c).to_numpy() for c in ("node", "class", "n", "own"))
@@ -328,6 +347,13 @@ def descended(stars: DataFrame, reps: DataFrame, found: DataFrame, scratch: Scra
                         good &= own[x][:, None] != own[y][None]
                     for p, q in zip(*np.nonzero(good)):
                         e = tuple(sorted((int(node[a + p]), int(node[b + q]))))
+                        if span:
+                            u, v = top(int(group[a + p])), top(int(group[b + q]))
+                            if u == v:
+                                continue
+                            up[u] = v
+                            if len(up) > HELD:
+                                up.clear()
                         if e[0] != e[1] and e not in seen:
                             if len(seen) > HELD:
                                 seen.clear()
