@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import buffers, pieces, ship, small_batches
 
 #: Words a worker keeps, some 200 bytes each.
-TABLE_WORDS = 1_000_000
+TABLE_WORDS = 400_000
 
 
 class Words(dict):
