@@ -94,3 +94,17 @@ def test_stream_of_slices(spark, tmp_path):
 
     want = {r["stack_id"]: round(r["m"], 6) for r in px(spark, "/root/testdata/sf0.001").groupBy("stack_id").agg(F.avg("v").alias("m")).collect()}
     assert {r["stack_id"]: round(r["mean"], 6) for r in spark.table("means").collect()} == want
+
+
+def test_blur_and_diffusion_keep_the_sum_and_narrow_the_range():
+    image = np.random.default_rng(3).normal(size=(8, 8)) * 50
+    for f in (k.fourier_blur(1.0), k.diffusion(5, 40.0)):
+        out = f(image)
+        assert np.isclose(out.sum(), image.sum()) and np.ptp(out) < np.ptp(image)
+    assert np.allclose(k.nonlocal_median(1, 1e9)(image)[1:-1, 1:-1], [[np.median(image[y - 1 : y + 2, x - 1 : x + 2]) for x in range(1, 7)] for y in range(1, 7)])
+
+
+def test_still_stack_has_no_motion(spark):
+    rows = [(s * 10 + i, s, [float(v * (1 + i * (s == 0))) for v in range(64)] if s == 0 else np.random.default_rng(i).normal(size=64).tolist()) for s in (0, 1) for i in range(9)]
+    got = {r["stack_id"]: r for r in k.motion_scores(spark.createDataFrame(rows, "slice_id long, stack_id int, pixels array<double>")).collect()}
+    assert got[0]["rank"] == 1 and got[0]["score"] < 1e-6 < got[1]["score"] + got[1]["rank"] - 1
