@@ -93,9 +93,9 @@ def entries(h: np.ndarray, k: int, percent: int) -> np.ndarray:
 
 
 def point(h: np.ndarray) -> bytes:
-    """Counts by group, a byte each; nothing where one doesn't fit, which bounds nothing."""
+    """Counts by group, a byte each, or four where one doesn't fit a byte."""
     counts = np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
 
 def room(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -104,8 +104,11 @@ def room(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, percent: in
 
 
 def points_of(column: pa.Array) -> np.ndarray:
-    """Rows of counts; a missing point reads as the highest counts."""
-    return np.frombuffer(b"".join(v if len(v) else b"\xff" * GROUPS for v in (bytes(b or b"") for b in buffers(column))), np.uint8).reshape(-1, GROUPS)
+    """Rows of counts, as wide as the widest."""
+    raw = [bytes(b) for b in buffers(column)]
+    if all(len(v) == GROUPS for v in raw):
+        return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(v, np.uint8 if len(v) == GROUPS else np.uint32).astype(np.uint32) for v in raw])
 
 
 def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:

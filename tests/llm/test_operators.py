@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import same_as_sql
 from pyspark.sql import functions as F
@@ -296,6 +297,22 @@ def test_pages_of_many_blocks(spark, monkeypatch):
     assert {r["component_id"] for r in jaccard.linked(spark.createDataFrame(docs, DOCS), 4, 85).collect()} == {0}
 
 
+def test_near_copies_of_long_texts(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200_004)]
+    near, far = base[:], base[:]
+    for at in rng.sample(range(len(base)), 1000):
+        near[at] = f"n{at}"
+    for at in rng.sample(range(len(base)), 15_000):
+        far[at] = f"f{at}"
+    docs = spark.createDataFrame([(i, " ".join(w), "en") for i, w in enumerate((base, near, far))], DOCS)
+    points = [jaccard.point(wordhash.shingles(wordhash.as_array(" ".join(w).encode()), 4)) for w in (base, near, ["one", "word"])]
+    x, y, z = jaccard.points_of(pa.array(points))
+    assert x.sum() > 190_000 < y.sum() and z.sum() == 1
+    assert jaccard.room(x, y, 200_001, 200_001, 85) and not jaccard.room(x, z, 200_001, 1, 85)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.linked(docs, 4, 85).collect()} == {0: 0, 1: 0, 2: 2}
+
+
 def test_jaccard_of_odd_rows(spark):
     got = Counter((r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in jaccard.linked(odd(spark)).collect())
     assert got[(4, True, 4)] == 2 and got[(None, True, None)] == 1 and got[(2, False, 2)] == 1 and sum(got.values()) == len(ODD)
