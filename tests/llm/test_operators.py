@@ -341,6 +341,29 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.judged(empty(spark), labels).count() == 0
 
 
+def test_quality_target_is_every_trusted_document(spark, monkeypatch):
+    n = 21_000
+    docs = [(i, f"same w{i}" if i % 3 else f"other v{i} v{i}", "en") for i in range(n)]
+    table = spark.createDataFrame(docs, DOCS)
+    labels = spark.createDataFrame([(i, int(i < 20_500)) for i in range(n)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "BUCKET_BYTES", 4)
+    monkeypatch.setattr(quality, "HELD", 1000)
+    size = quality.buckets(table)
+    assert size > sum(len(t) for _, t, _ in docs) / 4 > quality.LEAST_BUCKETS
+    grams = {}
+    for d, t, _ in docs:
+        buf = wordhash.as_array(t.encode())
+        h = wordhash.hashes(buf, *wordhash.bounds(buf))
+        grams[d] = [int(x) % size for x in [*h, *wordhash.windows(h, 2)]]
+    raw, target = (Counter(g for d, gs in grams.items() if d < least for g in gs) for least in (n, 20_500))
+    p, q = ({g: np.log((c[g] + 1) / (sum(c.values()) + size)) for g in raw} for c in (target, raw))
+    want = {d: float(np.mean([p[g] - q[g] for g in gs])) for d, gs in grams.items()}
+    for limit in (quality.BROADCAST_IDS, 0):
+        monkeypatch.setattr(quality, "BROADCAST_IDS", limit)
+        got = {r["doc_id"]: r["score"] for r in quality.judged(table, labels).collect()}
+        assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in want) < 1e-5
+
+
 # 8 sharding
 
 
