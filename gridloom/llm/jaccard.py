@@ -14,8 +14,8 @@ the README). So the tree's directory deals points to pages by finer groups: a
 size class with room for d different shingles has over d + SLACK groups, hence
 linked sets agree wholly in some nonempty group, and each set is entered under
 the contents of each group. (Sets with so few nonempty groups that all could
-differ are entered under that fact too.) Sets near the end of a class are also entered in
-the next. Pages thus hold all links, and almost nothing else.
+differ are entered under that fact too.) Sets are also entered in
+the later classes that sets linked with them may have. Pages thus hold all links, and almost nothing else.
 
 Within a page all points are first paired with the page's first; pairs that the
 minima bound leaves are verified on the sets, and classes formed. Pages that
@@ -77,7 +77,10 @@ def schemes(n: int, percent: int) -> list[int]:
         k -= 1
     while RATIO ** (k + 1) <= n:
         k += 1
-    return [k, k + 1] if -(-100 * n // percent) >= RATIO ** (k + 1) else [k]
+    last = k
+    while -(-100 * n // percent) >= RATIO ** (last + 1):
+        last += 1
+    return list(range(k, last + 1))
 
 
 def entries(h: np.ndarray, k: int, percent: int) -> np.ndarray:
@@ -230,7 +233,7 @@ def classified(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "
     stars = stars.join(of.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
     stars = scratch.put(stars.filter("ra <> rb").select("sig", F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "stars")
     scratch.drop("entered", "same")
-    reps = points.filter("n > 0 AND node = rep").select("node", "n", "vec").dropDuplicates(["node", "n"])
+    reps = points.filter("n > 0 AND node = rep").select("node", "n", "vec").distinct()  # a row a point: a node has several where its doc_id repeats
     first = scratch.put(bounded(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, percent), "pairs")
     links = scratch.put(verified(first, shingle_sets(docs, first, scratch, text, words), percent), "links")
     found = classes(links, scratch, "first")

@@ -313,6 +313,21 @@ def test_near_copies_of_long_texts(spark):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.linked(docs, 4, 85).collect()} == {0: 0, 1: 0, 2: 2}
 
 
+def test_links_of_every_row_of_a_doc_id(spark):
+    rng = random.Random(9)
+    texts = [[f"{t}{rng.random()}" for _ in range(60)] for t in "ab"]
+    near = [t[:30] + ["x"] + t[31:] for t in texts]
+    docs = [(5, texts[0]), (5, texts[1]), (3, near[0]), (4, near[1])]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.linked(spark.createDataFrame([(d, " ".join(t), "en") for d, t in docs], DOCS), 4, 85).collect()}
+    assert got == {(3, 3), (4, 3), (5, 3)}
+
+
+def test_links_across_size_classes(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100)), "en"), (2, " ".join(f"w{i}" for i in range(190)), "en"), (3, " ".join(f"w{i}" for i in range(390)), "en")], DOCS)
+    assert jaccard.schemes(100, 50)[-1] >= jaccard.schemes(190, 50)[0]
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.linked(docs, 1, 50).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_jaccard_of_odd_rows(spark):
     got = Counter((r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in jaccard.linked(odd(spark)).collect())
     assert got[(4, True, 4)] == 2 and got[(None, True, None)] == 1 and got[(2, False, 2)] == 1 and sum(got.values()) == len(ODD)
