@@ -229,6 +229,18 @@ def test_line_dedup_against_brute_force(spark):
     assert got == without_repeats(docs, 5)
 
 
+def test_line_dedup_of_long_runs(spark):
+    """At 50 words runs of many short lines count, so doubling runs deep; shorter repeats stay."""
+    rng = random.Random(12)
+    run = [rng.choice(["a", "b c", "d e f"]) + f" {i}" for i in range(40)]
+    alone = lambda d: [f"own {d} {i}" for i in range(5)]
+    parts = [run, run[:30], run[10:], run[:10], run[15:22], run[5:35] + run[5:35]]
+    docs = [(d, "\n".join(alone(d) + part + alone(-d - 1))) for d, part in enumerate(parts)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame([(*x, "en") for x in docs], DOCS), min_words=50).collect()}
+    assert got == without_repeats(docs, 50)
+    assert [d for d, t in docs if got[d] != t] == [1, 2, 5]
+
+
 def test_line_dedup_of_repeated_rows(spark):
     rows = [(1, "one two three four five six\nx", "en"), (1, "one two three four five six\nx", "en"), (None, "one two three four five six", "en"), (2, "short\nshort", "en")]
     got = sorted((r["doc_id"] or -1, r["text"], r["n_removed"]) for r in line_dedup.deduplicated(spark.createDataFrame(rows, DOCS)).collect())
