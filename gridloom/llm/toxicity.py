@@ -1,31 +1,37 @@
-"""Toxicity by a subsequence string kernel with Nystroem landmarks.
-
-A sentence is the set of its words; runs of three or more single letters with
-white space between make one word more, and marks other than letters and
-digits are dropped, so that spread or pointed insults read as words. A word's
-features are its subsequences of ORDERS letters over at most SPAN places, each
-weighted DECAY for a place skipped: inserted characters and gaps lower the
-kernel of two words and leave it above zero. A word begins with a boundary
-sign. Kernels are normalised by the weight of the subsequences one by one.
+"""Toxicity by a subsequence string kernel with Nystroem landmarks, trained on labelled sentences.
+
+A sentence ends at a newline, or at `.`, `!` or `?` before white space. It is
+the list of its words; marks other than letters and digits are dropped, runs of
+three or more single letters with white space between make one word more, and
+a word of over LONG letters is read as overlapping parts of LONG letters, each
+a word. A word's features are its subsequences of three or four letters over
+at most SPAN places, each weighted DECAY for a place skipped: inserted
+characters and gaps lower the kernel of two words and leave it above zero. A
+word begins with a boundary sign. Word kernels are normalised by the weight of
+the subsequences one by one; the kernel of two sentences is the sum of the
+kernels of their words.
 
 The machine is a linear one with squared hinge loss over the Nystroem features
-of the words of labelled sentences: kernels with LANDMARKS words, times the
-inverse square root of the landmarks' own kernel. Landmarks are toxic words unlike each
-other, and the clean words most like them. As sentences only carry the
-label of their document, words start as toxic where far more of their documents
-are toxic than chance explains, as clean where most are not, and between fits
-the machine moves words of toxic documents to the toxic side; others have no say. A sentence
-scores as its highest word, a document as its highest sentence, through a
-logistic curve fitted on the training documents.
+of labelled sentences: kernels with LANDMARKS landmarks, one-word sentences,
+times the inverse square root of the landmarks' own kernel. Landmarks are words
+that stand in far more toxic documents than chance explains, unlike each other,
+and clean words most like them. Sentences of clean documents are negative. As a
+toxic document doesn't say which of its sentences is toxic, all of them start
+as positive; then, ROUNDS times, the highest sentence of each by the machine
+itself is positive and its others have no say. A document scores by its highest
+sentence, its highest word taken as a sentence, the sum of its positive words
+and its number of words, through a logistic curve fitted on the training
+documents.
 
 The machine reads at most SAMPLE labelled toxic and CLEAN times as many clean
-documents, those with the smallest hashes of doc_id, and at most WORDS of their
-words, the most frequent ones. Once fitted it is one table of weights of subsequences, the same size
-for any corpus, and every document is scored whole.
-
-Null and empty texts have no words and score as a word far on the clean side.
-Where a class has no labelled row, every document scores 0. Rows stay as they
-are; repeated rows score alike; other columns pass through, score is replaced.
+documents, those with the smallest hashes of doc_id, and of either class about
+SENTENCES sentences at most, drawn by hash. Once fitted it is one table of
+weights of subsequences, the same size for any corpus, and every document is
+scored whole.
+
+Null and empty texts have no words and score as an empty sentence. Where a
+class has no labelled row, every document scores 0. Rows stay as they are;
+repeated rows score alike; other columns pass through, score is replaced.
 """
 
 from __future__ import annotations
@@ -37,17 +43,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import buffers, ship, small_batches
-from .wordhash import as_array, shingles
+from .wordhash import as_array, mix, shingles
 
-SAMPLE, CLEAN, WORDS, LANDMARKS, DECAY, SPAN = 2_000, 4, 24_000, 128, 0.6, 5
-#: Standard deviations over chance, and share of a word's documents, from which a word starts as toxic.
-SURE, PURE = 5.5, 0.75
-NO_WORD, MOST = -3.0, 1.5
+SAMPLE, CLEAN, SENTENCES, LANDMARKS, DECAY, SPAN, ROUNDS = 2_000, 2, 100_000, 128, 0.6, 5, 5
+#: Standard deviations over chance, and share of a word's documents, from which a word may be a toxic landmark; words read to choose landmarks.
+SURE, PURE, CANDIDATES = 5.5, 0.75, 20_000
 BOUNDARY, OTHER, DIGIT = 31, 27, 30
 #: Offsets of the places of a subsequence after its first.
 PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)] + [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
 TABLE = 1 << 20
-LONG = 16
+LONG, STEP = 16, 8
+#: Tasks that work out the features of the sample's sentences.
+FIT_TASKS = 8
 
 
 def _classes() -> np.ndarray:
@@ -65,19 +72,32 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
+STOP = np.zeros(0x250, bool)
+STOP[[ord(c) for c in ".!?"]] = True
+_weights = np.array([DECAY ** (p[-1] - len(p)) for p in PATTERNS])
 
 
-def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the characters of all texts, boundaries between, and the starts of the texts."""
+def norm(size: np.ndarray | int) -> np.ndarray:
+    """Square root of the weight of a word's subsequences by its length with the boundary; that of a short word is added, so that no word hangs on one subsequence."""
+    own = lambda n: sum(w * w * np.maximum(0, np.asarray(n) - p[-1]) for w, p in zip(_weights, PATTERNS))
+    return np.sqrt(own(size) + own(4))
+
+
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of the letters of all texts with boundaries between, and at each the sentence it is in and its text."""
     joined = "\n" + "\n".join(texts) + "\n"
     code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     far = code >= len(CLASSES)
-    c = CLASSES[np.where(far, 0, code)]
+    near = np.where(far, 0, code)
+    c = CLASSES[near]
     if far.any():
         c[far] = OTHER + (code[far] % 3).astype(np.uint8)
-    first = np.cumsum([1, *[len(t) + 1 for t in texts]])[: len(texts)]
+    ends = code == 10
+    ends[:-1] |= STOP[near[:-1]] & (c[1:] == BOUNDARY)
+    sentence = np.cumsum(ends)
+    text = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
     keep = c > 0
-    return c[keep], np.cumsum(keep)[first - 1]
+    return c[keep], sentence[keep], np.concatenate([[0], text])[keep]
 
 
 def words_of(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,23 +108,49 @@ def words_of(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
-def spread(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Runs of three or more single letters: the place of the run and its letters in one."""
-    one = np.concatenate([[False], end - start == 2, [False]])
-    turn = np.flatnonzero(one[1:] != one[:-1])
-    return [(int(start[a]), c[start[a:b] + 1]) for a, b in zip(turn[::2], turn[1::2]) if b - a >= 3]
+def gathered(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The stretches from a to b of c, a boundary before each and after the last."""
+    size = b - a + 1
+    at = np.cumsum(size) - size
+    out = np.full(int(size.sum()) + 1, BOUNDARY, np.uint8)
+    inside = np.ones(len(out), bool)
+    inside[at] = inside[-1] = False
+    out[inside] = c[np.repeat(a - at + np.cumsum(np.ones(len(a), int)) - 1, b - a) + np.arange(int((b - a).sum()))] if len(a) else out[inside]
+    return out
 
 
-_weights = np.array([DECAY ** (p[-1] - len(p)) for p in PATTERNS])
-#: Weight of the subsequences of a word by its length with the boundary; that of a short word is added, so that no word hangs on one subsequence.
-NORM = np.array([sum(w * w * max(0, n - p[-1]) for w, p in zip(_weights, PATTERNS)) for n in range(4096)])
-NORM += NORM[4]
+def units(texts: list[str]) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+    """Words as (classes, starts, ends, sentence), those that stand as such and then parts and spread ones; and the text of each sentence."""
+    c, sentence, text = letters(texts)
+    start, end = words_of(c)
+    if not len(start):
+        return [], np.zeros(0, int)
+    numbers, of = np.unique(sentence[start + 1], return_inverse=True)
+    owner = np.zeros(len(numbers), int)
+    owner[of] = text[start + 1]
+    long = end - start > LONG + 1
+    out = [(c, start[~long], end[~long], of[~long])]
+    if long.any():
+        parts = -(-(end - start - 1 - LONG)[long] // STEP) + 1
+        step = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        a = np.repeat(start[long] + 1, parts) + STEP * step
+        b = np.minimum(a + LONG, np.repeat(end[long], parts))
+        joined = gathered(c, a, b)
+        out.append((joined, *words_of(joined), np.repeat(of[long], parts)))
+    one = np.concatenate([[False], (end - start == 2), [False]])
+    turn = np.flatnonzero(one[1:] != one[:-1])
+    runs = [(a, b) for a, b in zip(turn[::2], turn[1::2]) if b - a >= 3]
+    if runs:
+        letter = [c[start[a:b] + 1] for a, b in runs]
+        joined = np.concatenate([np.concatenate([[BOUNDARY], r]) for r in letter] + [[BOUNDARY]]).astype(np.uint8)
+        out.append((joined, *words_of(joined), of[[a for a, _ in runs]]))
+    return out, owner
 
 
 def codes(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each pattern the feature at each place, whether it stays in one word, and its weight."""
-    x = c.astype(np.int32)
-    n = len(x) - SPAN
+    """For each pattern the feature at each place of c, whether it stays in one word, and its weight."""
+    x = np.concatenate([c, np.full(SPAN, BOUNDARY, np.uint8)]).astype(np.int32)
+    n = len(c)
     at = [x[k : n + k] for k in range(SPAN)]
     inside = [np.ones(n, bool)]
     for k in range(1, SPAN):
@@ -116,42 +162,68 @@ def codes(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         yield code, inside[p[-1]], w
 
 
-def padded(c: np.ndarray) -> np.ndarray:
-    return np.concatenate([c, np.full(SPAN, BOUNDARY, np.uint8)])
-
-
 def word_scores(c: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Of each word, the sum of its subsequences' weights over its norm; long words by their best part."""
+    """Of each word, the sum of its subsequences' weights over its norm."""
     sums = np.zeros(len(c) + 1)
     total = np.zeros(len(c))
-    for code, inside, w in codes(padded(c)):
+    for code, inside, w in codes(c):
         total += np.where(inside, table[code], 0) * w
     np.cumsum(total, out=sums[1:])
-    size = end - start
-    out = (sums[end] - sums[start]) / np.sqrt(NORM[np.minimum(size, len(NORM) - 1)])
-    for i in np.flatnonzero(size > LONG):
-        a = np.arange(start[i], end[i] - LONG + 8, 8)
-        b = np.minimum(a + LONG, end[i])
-        out[i] = max(out[i], ((sums[b] - sums[a]) / np.sqrt(NORM[LONG])).max())
-    return out
-
-
-def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernels of words with landmarks."""
-    c, _ = letters(words)
-    start, end = words_of(c)
-    out = np.empty((len(words), len(landmarks)))
-    for j, landmark in enumerate(landmarks):
-        l, _ = letters([landmark])
-        table = np.zeros(TABLE)
-        for code, inside, w in codes(padded(l)):
-            np.add.at(table, code[inside], w)
-        out[:, j] = word_scores(c, start, end, table) / np.sqrt(NORM[len(l) - 1])
-    return out
-
-
-def fit(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """The table of weights of subsequences; its last entry is the machine's offset."""
+    return (sums[end] - sums[start]) / norm(end - start)
+
+
+class Landmarks:
+    """Words as class sequences, and for each subsequence of theirs its weights in them."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        found: dict[int, int] = {}
+        rows, cols, values = [], [], []
+        for j, word in enumerate(words):
+            for code, inside, w in codes(np.frombuffer(word, np.uint8)):
+                for k in code[inside].tolist():
+                    rows.append(found.setdefault(k, len(found)))
+                    cols.append(j)
+                    values.append(w / float(norm(len(word))))
+        self.weight = np.zeros((len(found), len(words)), np.float32)
+        np.add.at(self.weight, (rows, cols), values)
+        self.row = np.full(TABLE, -1, np.int32)
+        self.row[list(found)] = list(found.values())
+        self.found = np.array(list(found))
+
+    def kernels(self, words: list[bytes]) -> np.ndarray:
+        """Normalised kernels of words with the landmarks."""
+        out = np.empty((len(words), len(self.words)), np.float32)
+        for at in range(0, len(words), 2048):
+            part = words[at : at + 2048]
+            c = np.frombuffer(b"".join(part), np.uint8)
+            ends = np.cumsum([len(w) for w in part])
+            total = np.zeros((len(c) + 1, len(self.words)), np.float32)
+            for code, inside, w in codes(c):
+                row = self.row[code]
+                hit = np.flatnonzero(inside & (row >= 0))
+                total[hit + 1] += np.float32(w) * self.weight[row[hit]]
+            sums = np.cumsum(total, 0, dtype=np.float64)
+            size = np.diff(ends, prepend=0)
+            out[at : at + 2048] = (sums[ends] - sums[ends - size]) / norm(size)[:, None]
+        return out
+
+    def table(self, beta: np.ndarray, offset: float) -> np.ndarray:
+        """The weight of each subsequence in a machine with weights beta of the kernels; its offset comes last."""
+        out = np.zeros(TABLE + 1)
+        out[self.found] = self.weight @ beta
+        out[TABLE] = offset
+        return out
+
+
+def sequence(word: str) -> bytes:
+    """A word's classes after its boundary."""
+    c, _, _ = letters([word])
+    return c[:-1].tobytes()
+
+
+def chosen(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> Landmarks:
+    """Landmarks by the counts of words' toxic and clean documents."""
     many = toxic + clean
     rate = toxic.sum() / many.sum()
     pure = toxic / many
@@ -159,90 +231,101 @@ def fit(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     sure = (over > SURE) & (pure >= PURE)
     if not sure.any():
         sure = over >= over.max()
-    rest = np.flatnonzero(pure < 0.5)
+    seqs = [sequence(w) for w in words]
+    bad = [int(i) for i in np.argsort(-over * sure, kind="stable")[: int(sure.sum())]]
     marks: list[int] = []
-    k = np.empty((len(words), 0))
-    for i in np.argsort(-over * sure, kind="stable")[: int(sure.sum())]:
+    k = np.empty((len(bad), 0), np.float32)
+    for i, b in enumerate(bad):
         if len(marks) < LANDMARKS // 2 and (not marks or k[i].max() < 0.75):
-            marks.append(int(i))
-            k = np.hstack([k, kernels(words, [words[i]])])
-    near = rest[np.argsort(-k[rest].max(1) * np.log1p(many[rest]), kind="stable")]
-    extra = list(dict.fromkeys([*near[: LANDMARKS // 3], *rest[np.linspace(0, len(rest) - 1, LANDMARKS // 6).astype(int)]])) if len(rest) else []
-    k = np.hstack([k, kernels(words, [words[i] for i in extra])])
-    marks += [int(i) for i in extra]
-    landmarks = [words[i] for i in marks]
-    own = (k[marks] + k[marks].T) / 2
-    value, vector = np.linalg.eigh(own)
+            marks.append(b)
+            k = np.hstack([k, Landmarks([seqs[b]]).kernels([seqs[x] for x in bad])])
+    rest = np.flatnonzero(pure < 0.5)
+    if len(rest):
+        like = Landmarks([seqs[i] for i in marks]).kernels([seqs[i] for i in rest]).max(1)
+        near = rest[np.argsort(-like * np.log1p(many[rest]), kind="stable")]
+        marks += dict.fromkeys(int(i) for i in [*near[: LANDMARKS // 3], *rest[np.linspace(0, len(rest) - 1, LANDMARKS // 6).astype(int)]])
+    return Landmarks([seqs[i] for i in marks])
+
+
+def whitening(landmarks: Landmarks) -> np.ndarray:
+    """The inverse square root of the landmarks' own kernel."""
+    own = landmarks.kernels(landmarks.words).astype(float)
+    value, vector = np.linalg.eigh((own + own.T) / 2)
     good = value > 1e-6 * value[-1]
-    half = vector[:, good] / np.sqrt(value[good])
-    x = np.hstack([k @ half, np.ones((len(words), 1))])
-    y = np.where(sure, 1.0, np.where(pure < 0.5, -1.0, 0.0))
-    many = np.minimum(many, 1000.0)
-    w = np.zeros(x.shape[1])
-    for _ in range(3):
-        weight = np.where(y > 0, many * many[y < 0].sum() / (2 * many[y > 0].sum()), many * (y < 0))
-        for _ in range(12):  # Newton steps for the squared hinge
-            bad = y * (x @ w) < 1
-            h = (x[bad] * weight[bad, None]).T @ x[bad] + np.eye(len(w)) * 0.1
-            new = np.linalg.solve(h, (x[bad] * weight[bad, None]).T @ y[bad])
-            done, w = np.abs(new - w).max() < 1e-6, new
+    return vector[:, good] / np.sqrt(value[good])
+
+
+def fit(x: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Weights of a sentence's features, the offset last: squared hinge loss, Newton steps, the highest sentence of a toxic document again each round."""
+    parts = [slice(a, a + 20_000) for a in range(0, len(x), 20_000)]
+    full = lambda p: np.hstack([x[p].astype(np.float32), np.ones((len(x[p]), 1), np.float32)])
+    w = np.zeros(x.shape[1] + 1)
+    y = np.where(toxic == 1, 1.0, -1.0)
+    order = np.argsort(doc, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], doc[order][1:] != doc[order][:-1]]))
+    for _ in range(ROUNDS + 1):
+        weight = np.where(y > 0, (y < 0).sum() / (2 * max(1, (y > 0).sum())), 1.0) * (y != 0)
+        for _ in range(12):
+            h, g = np.eye(len(w)), np.zeros(len(w))
+            for p in parts:
+                d = full(p)
+                bad = (y[p] * (d @ w) < 1) & (y[p] != 0)
+                d, v = d[bad].astype(float), weight[p][bad]
+                h += (d * v[:, None]).T @ d
+                g += (d * v[:, None]).T @ y[p][bad]
+            new = np.linalg.solve(h, g)
+            done, w = np.abs(new - w).max() < 1e-4, new
             if done:
                 break
-        y = np.where(sure | (x @ w > 0) & (pure >= PURE), 1.0, np.where(pure < 0.5, -1.0, 0.0))
-    beta = half @ w[:-1]
-    table = np.zeros(TABLE + 1)
-    for b, landmark in zip(beta, landmarks):
-        l, _ = letters([landmark])
-        for code, inside, v in codes(padded(l)):
-            np.add.at(table, code[inside], v * b / np.sqrt(NORM[len(l) - 1]))
-    table[TABLE] = w[-1]
-    return table
+        f = np.concatenate([full(p) @ w for p in parts])
+        top = np.maximum.reduceat(f[order], first)
+        highest = np.empty(len(f))
+        highest[order] = np.repeat(top, np.diff(first, append=len(f)))
+        y = np.where(toxic == 0, -1.0, np.where(f == highest, 1.0, 0.0))
+    return w
 
 
 def document_scores(texts: list[str], table: np.ndarray) -> np.ndarray:
-    """Of each text, the highest score of a word, the log of one plus the sum of positive ones, and that of the words."""
-    c, first = letters(texts)
-    start, end = words_of(c)
-    top, total, many = np.full(len(texts), NO_WORD), np.zeros(len(texts)), np.zeros(len(texts))
-
-    def add(score: np.ndarray, owner: np.ndarray) -> None:
-        score = np.minimum(score, MOST)  # no single word decides
-        np.maximum.at(top, owner, score)
-        np.add.at(total, owner, np.maximum(score, 0))
-        np.add.at(many, owner, 1)
-
-    if len(start):
-        add(word_scores(c, start, end, table) + table[TABLE], np.searchsorted(first, start + 1, "right") - 1)
-        if runs := spread(c, start, end):
-            joined = np.concatenate([np.concatenate([[BOUNDARY], r]) for _, r in runs] + [[BOUNDARY]]).astype(np.uint8)
-            a, b = words_of(joined)
-            add(word_scores(joined, a, b, table) + table[TABLE], np.searchsorted(first, np.array([p for p, _ in runs]) + 1, "right") - 1)
-    return np.stack([np.maximum(top, NO_WORD), np.log1p(total), np.log1p(many)], 1)
-
-
-def raw_scores(docs: DataFrame, table: np.ndarray, text: str = "text") -> DataFrame:
-    """The columns of docs and raw, three numbers for each document."""
+    """Of each text: its highest sentence, its highest word as a sentence, and the logs of one plus the sum of its positive words and plus their number."""
+    offset = table[TABLE]
+    groups, owner = units(texts)
+    top, word, total, many = np.full(len(texts), -np.inf), np.full(len(texts), -np.inf), np.zeros(len(texts)), np.zeros(len(texts))
+    sentence = np.full(len(owner), offset)
+    for c, start, end, of in groups:
+        score = word_scores(c, start, end, table)
+        sentence += np.bincount(of, score, len(owner))
+        at = owner[of]
+        np.maximum.at(word, at, score + offset)
+        total += np.bincount(at, np.maximum(score + offset, 0), len(texts))
+        many += np.bincount(at, minlength=len(texts))
+    np.maximum.at(top, owner, sentence)
+    none = many == 0
+    top[none] = word[none] = offset
+    return np.stack([top, word, np.log1p(total), np.log1p(many)], 1)
+
+
+def raw_scores(docs: DataFrame, table: np.ndarray, text: str) -> DataFrame:
+    """A struct `row` of the columns of docs, and raw, four numbers for each document."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(table)  # 8 MB whatever the corpus
-    keep = [c for c in docs.columns if c != "raw"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text, 1 << 18):
-            texts = [bytes(b).decode("utf-8", "replace") if b else "" for b in buffers(batch.column(text))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(document_scores(texts, held.value).tolist(), pa.list_(pa.float64()))], [*keep, "raw"])
+        for batch in small_batches(batches, "text", 1 << 18):
+            texts = [bytes(b).decode("utf-8", "replace") if b else "" for b in buffers(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(document_scores(texts, held.value).tolist(), pa.list_(pa.float64()))], ["row", "raw"])
 
-    return docs.select(*keep).mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + [T.StructField("raw", T.ArrayType(T.DoubleType()))]))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("raw", T.ArrayType(T.DoubleType()))]))
 
 
-def document_words(docs: DataFrame, text: str = "text") -> DataFrame:
+def document_words(docs: DataFrame) -> DataFrame:
     """word, toxic, key: each distinct word of each document, its label, and what near copies share."""
-    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, "text"):
             words, toxic, keys = [], [], []
-            for b, t in zip(buffers(batch.column(text)), batch.column("toxic").to_pylist()):
-                own = {"".join(ch for ch in w if ch.isalnum())[:64] for w in set(bytes(b).decode("utf-8", "replace").lower().split())} if b else set()
+            for b, t in zip(buffers(batch.column("text")), batch.column("toxic").to_pylist()):
+                own = {"".join(ch for ch in w if ch.isalnum()) for w in set(bytes(b).decode("utf-8", "replace").lower().split())} if b else set()
                 own.discard("")
                 words += own
                 toxic += [t] * len(own)
@@ -250,7 +333,46 @@ def document_words(docs: DataFrame, text: str = "text") -> DataFrame:
                 keys += [int(shared[0] >> np.uint64(1)) if len(shared) else 0] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32()), pa.array(keys, pa.int64())], ["word", "toxic", "key"])
 
-    return docs.select(text, F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "word string, toxic int, key long")
+    return docs.select("text", "toxic").mapInArrow(run, "word string, toxic int, key long")
+
+
+def sentence_features(docs: DataFrame, landmarks: Landmarks, half: np.ndarray, share: dict[int, float]) -> DataFrame:
+    """doc, toxic and x (2-byte floats) of sentences of docs (doc, toxic, text), of each class a share drawn by hash."""
+    held = docs.sparkSession.sparkContext.broadcast((landmarks, half))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, half = held.value
+        known: dict[bytes, int] = {}
+        made = np.empty((0, half.shape[1]), np.float32)
+        for batch in small_batches(batches, "text", 1 << 20):
+            texts = [bytes(b).decode("utf-8", "replace") if b else "" for b in buffers(batch.column("text"))]
+            doc, label = (batch.column(c).to_numpy() for c in ("doc", "toxic"))
+            groups, owner = units(texts)
+            nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            draw = mix(doc[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64)) / np.float64(1 << 64)
+            kept = draw < np.array([share[0], share[1]])[label[owner]]
+            at, of = [], []
+            for c, start, end, sentence in groups:
+                raw = c.tobytes()
+                use = kept[sentence]
+                at += [known.setdefault(raw[a:b], len(known)) for a, b in zip(start[use].tolist(), end[use].tolist())]
+                of.append(sentence[use])
+            if not at:
+                continue
+            new = list(known)[len(made) :]
+            if new:
+                made = np.vstack([made, marks.kernels(new) @ half.astype(np.float32)])
+            at, of = np.array(at), np.concatenate(of)
+            order = np.argsort(of, kind="stable")
+            at, of = at[order], of[order]
+            for cut in range(0, len(of), 50_000):  # words at a time; a sentence may be cut, so its parts are summed
+                ids, first = np.unique(of[cut : cut + 50_000], return_index=True)
+                x = np.add.reduceat(made[at[cut : cut + 50_000]], first, axis=0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc[owner[ids]]), pa.array(ids), pa.array(label[owner[ids]], pa.int32()), pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())], ["doc", "n", "toxic", "x"]
+                )
+
+    return docs.select("doc", "toxic", "text").mapInArrow(run, "doc long, n long, toxic int, x binary").select("doc", "toxic", "x")
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -269,30 +391,57 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """text and toxic of the bounded sample of labelled documents outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, text: str) -> DataFrame:
+    """doc (a hash of the id), toxic and text of the bounded sample of labelled documents outside the held-out fold."""
     known = labels.select("doc_id", "toxic").dropna().filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     few = [known.filter(F.col("toxic") == k).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE if k else SAMPLE * CLEAN).collect() for k in (0, 1)]
     rows = docs.sparkSession.createDataFrame([tuple(r) for part in few for r in part], known.schema)
-    return docs.select("doc_id", text).join(F.broadcast(rows), "doc_id").select(text, "toxic")  # a bounded sample
+    met = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(rows), "doc_id")  # a bounded sample
+    return met.select(F.xxhash64("doc_id").alias("doc"), F.col("toxic").cast("int").alias("toxic"), "text")
+
+
+def trained(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray] | None:
+    """The table of weights of subsequences and the curve; None where a class has no labelled row."""
+    ship(docs.sparkSession)
+    sample = training_rows(docs, labels, text).cache()
+    ends = F.size(F.split(F.coalesce("text", F.lit("")), r"\n|[.!?](?=\s)"))
+    sizes = {r["toxic"]: r for r in sample.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(ends.cast("long")).alias("s")).collect()}
+    if 0 not in sizes or 1 not in sizes:
+        return None
+    toxic, n = F.sum("toxic"), F.count("*")
+    counted = document_words(sample).distinct().groupBy("word").agg(toxic.alias("t"), n.alias("n")).cache()
+    whole = counted.agg(F.sum("t").alias("t"), F.sum("n").alias("n")).first()
+    if not whole["n"]:
+        return None
+    rate = whole["t"] / whole["n"]
+    lift = (F.col("t") - F.col("n") * rate) / F.sqrt("n")
+    part = lambda *o: counted.orderBy(*o, "word").limit(CANDIDATES // 2).collect()
+    words = {r["word"]: (r["t"], r["n"]) for r in [*part(F.desc(lift)), *part(F.desc("n"))]}
+    t, n = np.array(list(words.values()), float).T
+    landmarks = chosen(list(words), t, n - t)
+    counted.unpersist()
+    half = whitening(landmarks)
+    share = {k: min(1.0, SENTENCES / max(1, sizes[k]["s"])) for k in (0, 1)}
+    found = sentence_features(sample.repartition(FIT_TASKS, "doc"), landmarks, half, share).toArrow()
+    if not found.num_rows:
+        return None
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float16).reshape(-1, half.shape[1])
+    w = fit(x, *(found.column(c).to_numpy() for c in ("doc", "toxic")))
+    table = landmarks.table(half @ w[:-1], w[-1])
+    scores = raw_scores(sample, table, "text").select("raw", "row.toxic").collect()
+    sample.unpersist()
+    return table, logistic(*(np.array([r[k] for r in scores], float) for k in ("raw", "toxic")))
 
 
 def scored(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The columns of docs and score, 0 to 1."""
-    keep = [F.col(c) for c in docs.columns if c != "score"]
-    sample = training_rows(docs, labels, text).cache()
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if not sizes.get(0) or not sizes.get(1):  # nothing to learn from
+    keep = [c for c in docs.columns if c != "score"]
+    machine = trained(docs, labels, text)
+    if machine is None:  # nothing to learn from
         return docs.select(*keep, F.lit(0.0).alias("score"))
-    toxic = F.sum("toxic").alias("t")
-    table = document_words(sample, text).distinct().groupBy("word").agg(toxic, F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("t"), "word").limit(WORDS).collect()
-    t, n = (np.array([r[k] for r in table], float) for k in ("t", "n"))
-    weights = fit([r["word"] for r in table], t, n - t)
-    trained = raw_scores(sample, weights, text).select("raw", "toxic").collect()
-    *slopes, offset = (float(v) for v in logistic(*(np.array([r[k] for r in trained], float) for k in ("raw", "toxic"))))
-    curve = sum((F.col("raw")[i] * v for i, v in enumerate(slopes)), F.lit(offset))
-    sample.unpersist()
-    return raw_scores(docs, weights, text).select(*keep, (1 / (1 + F.exp(-curve))).alias("score"))
+    table, (*slopes, offset) = machine
+    curve = sum((F.col("raw")[i] * float(v) for i, v in enumerate(slopes)), F.lit(float(offset)))
+    return raw_scores(docs, table, text).select(*[F.col("row")[c].alias(c) for c in keep], (1 / (1 + F.exp(-curve))).alias("score"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
