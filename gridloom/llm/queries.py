@@ -30,7 +30,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "shards")
     shards.write(documents(spark, sf_dir).select("doc_id", "text"), path, shards=8)
-    return shards.read(spark, path, ["doc_id", "size", "text_crc32", "shard", "slot", "grown_shard"]).withColumn("law", F.lit("key"))
+    return shards.read(spark, path).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

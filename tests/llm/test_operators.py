@@ -394,24 +394,64 @@ def test_quality_target_is_every_trusted_document(spark, monkeypatch):
 # 8 sharding
 
 
-def test_shards(spark):
-    docs = spark.createDataFrame([(i, "x" * (i % 50), "en") for i in range(700)] + ODD, DOCS).withColumn("shard", F.lit(9))
+def placed(spark, docs, **options):
     path = new_path(spark, "shards")
-    shards.write(docs, path, shards=5, bucket_bytes=2000)
-    rows = shards.read(spark, path).collect()
-    assert len(rows) == 700 + len(ODD)
+    shards.write(docs, path, **options)
+    return shards.read(spark, path).collect()
+
+
+def test_shards(spark):
+    docs = spark.createDataFrame([(i, "x" * (i % 50), "en") for i in range(700)] + ODD, DOCS).withColumn("shard", F.lit(9)).withColumn("at", F.lit(3)).withColumn("before", F.lit("b")).withColumn("Bucket", F.lit(1))
+    rows = placed(spark, docs, shards=5, bucket_bytes=2000)
+    assert len(rows) == 700 + len(ODD) and {(r["at"], r["before"], r["Bucket"]) for r in rows} == {(3, "b", 1)}
     for s in range(5):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
     assert all(r["grown_shard"] in (r["shard"], 5) for r in rows)
     assert all(r["size"] == len((r["text"] or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((r["text"] or "").encode()) for r in rows)
     order = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"])) if r["shard"] == 0 and r["doc_id"] is not None]
     assert order != sorted(order)
-    again = {(r["doc_id"], r["text_crc32"], r["slot"]) for r in rows}
-    second = new_path(spark, "shards")
-    shards.write(docs.repartition(7), second, shards=5, bucket_bytes=2000)
-    assert {(r["doc_id"], r["text_crc32"], r["slot"]) for r in shards.read(spark, second).collect()} == again
-    none = new_path(spark, "shards")
-    shards.write(empty(spark), none)
+    assert placed(spark, empty(spark)) == []
+
+
+def test_order_hangs_on_seed_and_records_alone(spark):
+    docs = spark.createDataFrame([(i, f"text {i * 7 % 90}", "en") for i in range(400)], DOCS)
+    seen = set()
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, deal in (("4", 1), ("7", 5), ("211", 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            seen.add(tuple(sorted((r["doc_id"], r["shard"], r["slot"]) for r in placed(spark, docs.repartition(deal, "text"), bucket_rows=20))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert len(seen) == 1
+    other = placed(spark, docs, bucket_rows=20, seed=3)
+    assert tuple(sorted((r["doc_id"], r["shard"], r["slot"]) for r in other)) not in seen
+
+
+def test_fisher_yates_is_fair(spark):
+    rows = spark.range(6000).select(F.col("id").alias("b"), shards.fisher_yates(F.lit(3), 5, "id").alias("p")).collect()
+    n = Counter(tuple(r["p"]) for r in rows)
+    assert len(n) == 6 and all(850 < k < 1150 for k in n.values())
+
+
+def test_equal_rows_are_dealt_over_buckets(spark):
+    docs = spark.createDataFrame([(7, "same", "en")] * 500 + [(i, "t", "de") for i in range(50)], DOCS)
+    path = new_path(spark, "shards")
+    shards.write(docs, path, shards=2, bucket_rows=50)
+    assert spark.read.parquet(f"{path}/records").groupBy("shard", "place.bucket").count().agg(F.max("count")).first()[0] < 250
+    rows = shards.read(spark, path).collect()
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows))) for s in range(2)) and len(rows) == 550
+
+
+def test_query_of_shards(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op8_two_pass_shuffle(spark, SF).collect()
+    assert len(rows) == len(docs) and {r["law"] for r in rows} == {"key"}
+    for r in rows:
+        t = docs[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"]) == (len(t) + 1, zlib.crc32(t)) and r["grown_shard"] in (r["shard"], 8)
+    for s in range(8):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
 
 
 # 9 and 10 tokens
