@@ -40,7 +40,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.digests(warc.read(spark, path))
 
 
 def op1_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,16 +96,24 @@ WITH l AS (SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(x) AS line, gene
 SELECT doc_id, text, n_lines, n_removed FROM t
 """
 
-OP2_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-     k AS (SELECT page_id, encode(html) AS b, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS holder FROM p)
-SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+     k AS (SELECT page_id, url, html, encode(html) AS b, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS holder, row_number() OVER (PARTITION BY page_id, html ORDER BY url) AS copy FROM p),
+     f AS (SELECT *, octet_length(b)::BIGINT AS payload_bytes, page_id <> holder AS revisit,
        translate(lpad(to_base(('0x' || substr(h, 1, 10))::BIGINT, 32), 8, '0') || lpad(to_base(('0x' || substr(h, 11, 10))::BIGINT, 32), 8, '0')
               || lpad(to_base(('0x' || substr(h, 21, 10))::BIGINT, 32), 8, '0') || lpad(to_base(('0x' || substr(h, 31, 10))::BIGINT, 32), 8, '0'),
               '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
-       CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
-FROM k
+       'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || payload_bytes || chr(13) || chr(10) || chr(13) || chr(10) AS http FROM k),
+     r AS (SELECT *, concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: ' || CASE WHEN revisit THEN 'revisit' ELSE 'response' END,
+       'WARC-Record-ID: <urn:page:' || page_id || ':' || payload_digest || CASE WHEN copy > 1 THEN ':' || copy ELSE '' END || '>', 'WARC-Date: 1970-01-01T00:00:00Z',
+       'WARC-Target-URI: ' || replace(url, ' ', '%20'), 'WARC-Payload-Digest: sha1:' || payload_digest,
+       CASE WHEN revisit THEN 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' END,
+       CASE WHEN revisit THEN 'WARC-Refers-To: <urn:page:' || holder || ':' || payload_digest || '>' END, 'Content-Type: application/http; msgtype=response',
+       'Content-Length: ' || (length(http) + CASE WHEN revisit THEN 0 ELSE payload_bytes END)) || chr(13) || chr(10) || chr(13) || chr(10) || http
+       || CASE WHEN revisit THEN '' ELSE html END || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN holder END AS refers_to,
+       octet_length(encode(record))::BIGINT AS record_bytes, sha256(record) AS record_sha256
+FROM r
 """
 
 

@@ -109,6 +109,14 @@ def test_warc_round_trip(spark):
     import base64
 
     assert got[5]["payload_digest"] == base64.b32encode(hashlib.sha1(body).digest()).decode() and got[5]["payload_bytes"] == 10000
+    hostile = spark.createDataFrame([(9, "http://x/\r\nWARC-Payload-Digest: sha1:WRONG\r\n", "a" * 30_000), (9, "u2", "a" * 30_000), (9, "u3", "other"), (None, "n", "a" * 30_000), (None, "n", "a" * 30_000)], "page_id long, url string, html string")
+    path = new_path(spark, "warc")
+    warc.write(hostile, path)
+    rows = warc.read(spark, path).collect()
+    ids = [re.search(rb"WARC-Record-ID: (\S+)", bytes(r["record"]))[1] for r in rows]
+    assert len(rows) == len(set(ids)) == 5 and all(re.search(rb"\r\nWARC-Date: \d{4}-", bytes(r["record"])) for r in rows)
+    assert sorted((r["record_type"], r["refers_to"] or 0) for r in rows) == [("response", 0)] * 3 + [("revisit", 9)] * 2
+    assert not any(b"sha1:WRONG\r\n" in bytes(r["record"]) for r in rows) and {len(bytes(r["payload"])) for r in rows} == {30_000, 5}
     small = new_path(spark, "warc")
     warc.write(pages, small, min_bytes=100)
     assert {r["record_type"] for r in warc.read(spark, small).collect()} == {"response"}
