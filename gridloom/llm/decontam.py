@@ -2,15 +2,18 @@
 
 Tokens are runs of letters and digits, lower case. An item of n tokens is found
 in a document where, laid token on token, some stretch of STRETCH tokens (or
-the whole item, where it is shorter) has at most a fifth of its tokens replaced;
-items under LEAST tokens must occur unchanged. Two fixed masks each take five
-of up to nine token positions and ignore the rest. Between them they hit every
-such stretch, whichever tokens are replaced (tests enumerate the cases), so
-hashing masked tokens of items and documents and joining the hashes loses no
-occurrence. Every hit is verified by laying the item's tokens on the document's.
-
-The items' hashes are broadcast only where their count is within
-BROADCAST_ROWS, which is checked; beyond it the same join shuffles.
+the whole item, where it is shorter) has at most a fifth of its tokens replaced.
+Two fixed masks each take five of up to nine token positions and ignore the
+rest. Between them they hit every such stretch of LEAST tokens or more,
+whichever tokens are replaced (tests enumerate the cases). An item under LEAST
+tokens of which k may be replaced has k + 1 masks, each of every (k + 1)-th
+position: k tokens can't spoil them all. So hashing masked tokens of items and
+documents and joining the hashes loses no occurrence. Every hit is verified by
+laying the item's tokens on the document's.
+
+Items and their hashes are written to the shared folder and broadcast only where
+their bytes, which are summed, are within BROADCAST_BYTES; beyond it the same
+joins shuffle.
 
 Null and empty texts have no tokens and are clean; so are all documents when
 the benchmark is empty. Items without tokens match nothing; items with equal
@@ -22,53 +25,63 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import Scratch
+
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 7, 8))
 STRETCH, LEAST = 16, 11
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 
 
 def tokens(text: str) -> Column:
     return F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
-def masked(mask: tuple[int, ...] | range, number: int, at: Column = None) -> Column:
-    at = F.col("at") if at is None else at
-    return F.xxhash64(F.lit(number), *[F.get("t", at + k) for k in mask])
+def allowed(n: Column) -> Column:
+    """Tokens that may be replaced in a stretch of n."""
+    return F.floor(n / 5).cast("int")
+
+
+def masked(mask: tuple[int, ...] | range, number: int) -> Column:
+    return F.xxhash64(F.lit(number), *[F.get("t", F.col("at") + k) for k in mask])
+
+
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of items of n tokens, n under LEAST."""
+    return [tuple(range(k, n, n // 5 + 1)) for k in range(n // 5 + 1)]
 
 
 def seeds(items: DataFrame) -> DataFrame:
-    """item_id, t, n, and the hash of each mask at each position of each item."""
-    own = items.select(F.monotonically_increasing_id().alias("item"), "item_id", F.filter(tokens("text"), lambda x: x != "").alias("t")).withColumn("n", F.size("t")).filter("n > 0")
-    long = own.filter(F.col("n") >= LEAST)
-    parts = [
-        long.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1 - mask[-1])).alias("at")).select("item", "item_id", "t", "n", "at", masked(mask, k).alias("hash"))
-        for k, mask in enumerate(MASKS)
-    ]
-    short = own.filter(F.col("n") < LEAST).withColumn("at", F.lit(0))
-    whole = F.lit(None).cast("long")
+    """item, at and the hash of each mask at each position of each item (item, t, n)."""
+    long = items.filter(F.col("n") >= LEAST)
+    parts = [long.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1 - mask[-1])).alias("at")).select("item", "at", masked(mask, k).alias("hash")) for k, mask in enumerate(MASKS)]
+    hashes = F.array().cast("array<bigint>")
     for n in range(1, LEAST):
-        whole = F.when(F.col("n") == n, masked(range(n), 100 + n)).otherwise(whole)
-    return parts[0].unionByName(parts[1]).unionByName(short.select("item", "item_id", "t", "n", "at", whole.alias("hash")))
+        hashes = F.when(F.col("n") == n, F.array(*[masked(m, 100 * n + k) for k, m in enumerate(short_masks(n))])).otherwise(hashes)
+    short = items.filter(F.col("n") < LEAST).withColumn("at", F.lit(0)).select("item", "at", F.explode(hashes).alias("hash"))
+    return parts[0].unionByName(parts[1]).unionByName(short)
 
 
 def hits(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, print (of the text), item, item_id and equal tokens, for each item found in a document."""
-    found = seeds(items).persist()
-    sizes = [r["n"] for r in found.filter(F.col("n") < LEAST).select("n").distinct().collect()]
-    few = found.count() <= BROADCAST_ROWS
-    of = found.select("hash", F.col("at").alias("item_at"), "item")
-    laid = found.select("item", "item_id", F.col("t").alias("item_t"), F.col("n").alias("item_n")).dropDuplicates(["item"])
+    scratch = Scratch(docs.sparkSession)
+    cut = items.select("item_id", F.filter(tokens("text"), lambda x: x != "").alias("t")).withColumn("n", F.size("t")).filter("n > 0")
+    own = scratch.put(cut.select(F.monotonically_increasing_id().alias("item"), "*"), "items")
+    of = scratch.put(seeds(own), "seeds")
+    sizes = [r["n"] for r in own.filter(F.col("n") < LEAST).select("n").distinct().collect()]
+    held = own.agg(F.sum(40 + 16 * F.col("n") + F.octet_length(F.array_join("t", " "))).cast("long")).first()[0] or 0
+    few = max(held, 40 * of.count()) <= BROADCAST_BYTES
+    laid = own.select("item", "item_id", F.col("t").alias("item_t"), F.col("n").alias("item_n"))
+    of = of.select("hash", F.col("at").alias("item_at"), "item")
     of, laid = (F.broadcast(of), F.broadcast(laid)) if few else (of, laid)
     rows = docs.select("doc_id", F.xxhash64(text).alias("print"), tokens(text).alias("t"))
     places = rows.select("*", F.explode_outer(F.sequence(F.lit(0), F.size("t") - 1)).alias("at"))
-    hashes = F.array(*[masked(m, k) for k, m in enumerate(MASKS)], *[masked(range(n), 100 + n) for n in sizes])
+    hashes = F.array(*[masked(m, k) for k, m in enumerate(MASKS)], *[masked(m, 100 * n + k) for n in sizes for k, m in enumerate(short_masks(n))])
     hit = places.select("doc_id", "print", "t", "at", F.explode(hashes).alias("hash")).join(of, "hash")
     begin = F.col("at") - F.col("item_at")
     aligned = hit.select("doc_id", "print", "t", begin.alias("begin"), "item").join(laid, "item")
     equal = F.transform("item_t", lambda x, i: F.coalesce(F.get("t", F.col("begin") + i) == x, F.lit(False)))
     stretch = F.least(F.lit(STRETCH), F.col("item_n"))
-    need = F.when(F.col("item_n") < LEAST, stretch).otherwise(stretch - F.floor(stretch / 5).cast("int"))
-    candidate = aligned.select("doc_id", "print", "item", "item_id", "begin", equal.alias("equal"), stretch.alias("stretch"), need.alias("need"))
+    candidate = aligned.select("doc_id", "print", "item", "item_id", "begin", equal.alias("equal"), stretch.alias("stretch"), (stretch - allowed(stretch)).alias("need"))
     candidate = candidate.filter(F.size(F.filter("equal", lambda x: x)) >= F.col("need"))
     once = candidate.groupBy("doc_id", "print", "item", "item_id", "begin", "stretch", "need").agg(F.first("equal").alias("equal"))
     good = F.exists(
@@ -89,5 +102,7 @@ def judged(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents in which no item was found, with all their columns."""
-    of = hits(docs, items, text).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
-    return docs.join(of, docs["doc_id"].eqNullSafe(of["_id"]) & (F.xxhash64(docs[text]) == of["_print"]), "left_anti")
+    of = hits(docs, items, text).select("doc_id", "print").distinct().alias("o")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("r")).alias("d")
+    same = F.col("d.r.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.xxhash64(F.col("d.r")[text]) == F.col("o.print"))
+    return rows.join(of, same, "left_anti").select("d.r.*")

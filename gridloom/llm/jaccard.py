@@ -375,7 +375,7 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     """Of each class the row with the smallest doc_id, with all its columns; rows without a set stay."""
     scratch = Scratch(docs.sparkSession)
     found = classified(docs, words, percent, text)
-    firsts = scratch.put(found.filter("node = component").select(F.col("node").alias("_node")).distinct(), "firsts")
-    rows = docs.withColumn("_node", node_of(docs, text))
-    kept = rows.join(firsts, "_node", "left_semi")
-    return kept.withColumn("_row", F.row_number().over(W.partitionBy("_node").orderBy("_node"))).filter("_row = 1").select(*docs.columns)
+    firsts = scratch.put(found.filter("node = component").select("node").distinct(), "firsts")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("r"), node_of(docs, text).alias("node"))
+    kept = rows.join(firsts, "node", "left_semi")
+    return kept.withColumn("row", F.row_number().over(W.partitionBy("node").orderBy("node"))).filter("row = 1").select("r.*")

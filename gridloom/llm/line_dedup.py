@@ -128,14 +128,14 @@ def deduplicated(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS
     scratch = Scratch(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_filled", "n_removed")]
     found = scratch.put(repeated(docs, scratch, text, min_words), "gone")
-    left = docs.select(*[F.col(c) for c in keep], F.xxhash64(text).alias("_print")).alias("d")
-    both = left.join(found.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._print") == F.col("g.print")), "left").select("d.*", F.col("g.gone").alias("_gone"), F.col("g.n_gone").alias("_n"))
-    copy = both.withColumn("_row", F.row_number().over(W.partitionBy("doc_id", "_print").orderBy("doc_id")))
-    again = (F.col("_row") > 1) & (F.aggregate(bare(text), F.lit(0), lambda s, x: s + words(x)) >= min_words)
+    left = docs.select(F.struct(*[F.col(c) for c in keep]).alias("r"), "doc_id", F.xxhash64(text).alias("print"), F.col(text).alias("text")).alias("d")
+    both = left.join(found.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.print") == F.col("g.print")), "left").select("d.*", "g.gone", F.col("g.n_gone").alias("n"))
+    copy = both.withColumn("row", F.row_number().over(W.partitionBy("doc_id", "print").orderBy("doc_id")))
+    again = (F.col("row") > 1) & (F.aggregate(bare("text"), F.lit(0), lambda s, x: s + words(x)) >= min_words)
     # Lambdas refer to columns of the join alone: an expression in them would be worked out anew for each line.
-    stays = F.filter(lines(text), lambda x, i: F.call_function("shiftright", F.coalesce(F.get("_gone", F.floor(i / 64).cast("int")), F.lit(0).cast("long")), (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 0)
-    blank = F.filter(lines(text), lambda x: ~filled(x))
-    shorter = F.when(again, F.array_join(blank, "\n")).when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n"))
-    count = lambda c: F.when(F.col(text).isNull(), 0).otherwise(F.size(c)).cast("long")
-    removed = F.when(again, F.size(bare(text)).cast("long")).otherwise(F.coalesce("_n", F.lit(0)))
-    return copy.select(*[shorter.alias(c) if c == text else F.col(c) for c in keep], count(lines(text)).alias("n_lines"), count(bare(text)).alias("n_filled"), removed.alias("n_removed"))
+    stays = F.filter(lines("text"), lambda x, i: F.call_function("shiftright", F.coalesce(F.get("gone", F.floor(i / 64).cast("int")), F.lit(0).cast("long")), (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 0)
+    blank = F.filter(lines("text"), lambda x: ~filled(x))
+    shorter = F.when(again, F.array_join(blank, "\n")).when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    count = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")
+    removed = F.when(again, F.size(bare("text")).cast("long")).otherwise(F.coalesce("n", F.lit(0)))
+    return copy.select(*[shorter.alias(c) if c == text else F.col("r")[c].alias(c) for c in keep], count(lines("text")).alias("n_lines"), count(bare("text")).alias("n_filled"), removed.alias("n_removed"))

@@ -68,7 +68,7 @@ WITH d AS (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS p
            FROM (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS t FROM documents)),
      i AS (SELECT item_id, len(t) AS n, unnest(t) AS tok, generate_subscripts(t, 1) AS p
            FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM benchmark)),
-     s AS (SELECT *, least(16, n) AS w, CASE WHEN n < 11 THEN n ELSE least(16, n) - least(16, n) // 5 END AS need FROM i),
+     s AS (SELECT *, least(16, n) AS w, least(16, n) - least(16, n) // 5 AS need FROM i),
      e AS (SELECT doc_id, item_id, w, need, d.p - s.p AS diag, s.p AS p FROM d JOIN s USING (tok)),
      f AS (SELECT doc_id, item_id, need, count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY p RANGE BETWEEN 15 PRECEDING AND CURRENT ROW) AS c15,
                   count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY p) AS c_all, w FROM e),

@@ -167,17 +167,20 @@ def test_masks_lose_nothing():
     for n, wrong in ((16, 3), (15, 3), (14, 2), (13, 2), (12, 2), (11, 2)):
         for bad in itertools.combinations(range(n), wrong):
             assert any(all(at + k not in bad for k in m) for m in decontam.MASKS for at in range(n - m[-1]))
+    for n in range(1, decontam.LEAST):
+        for bad in itertools.combinations(range(n), n // 5):
+            assert any(all(k not in bad for k in m) for m in decontam.short_masks(n))
 
 
-def test_decontamination_against_brute_force(spark):
+def test_decontamination_against_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     vocab = [f"t{i}" for i in range(40)]
-    items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate([30, 16, 12, 11, 8, 3, 20])] + [(90, None), (91, "!!")]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate([30, 16, 12, 11, 8, 3, 20, 10, 5])] + [(90, None), (91, "!!")]
     docs = []
     for d in range(60):
         w = [rng.choice(vocab) for _ in range(rng.randint(0, 60))]
         if d % 2:
-            own = items[rng.randrange(7)][1].split()
+            own = items[rng.randrange(9)][1].split()
             for _ in range(rng.randint(0, 4)):
                 own[rng.randrange(len(own))] = rng.choice(vocab)
             at = rng.randint(0, len(w))
@@ -191,19 +194,22 @@ def test_decontamination_against_brute_force(spark):
         for i, item in items:
             s = [x for x in re.split(r"[\W_]+", (item or "").lower()) if x]
             n = len(s)
-            need = n if n < 11 else min(n, 16) - min(n, 16) // 5
+            need = min(n, 16) - min(n, 16) // 5
             for begin in range(-n, len(t) + 1) if n else ():
                 e = [0 <= begin + k < len(t) and t[begin + k] == s[k] for k in range(n)]
                 if any(sum(e[k : k + min(n, 16)]) >= need for k in range(n - min(n, 16) + 1)):
                     out.add(i)
         return sorted(out)
 
-    table = spark.createDataFrame([(*d, "x") for d in docs], DOCS + ", print string")
+    docs.append((300, " ".join(rng.choice(vocab) for _ in range(20_000)), "en"))
+    table = spark.createDataFrame([(*d, "x", 1) for d in docs], DOCS + ", print string, r int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted((r["doc_id"] or -1, r["item_ids"]) for r in decontam.judged(table, bench).collect())
     assert got == sorted((d or -1, leaks(t)) for d, t, _ in docs) and any(x for _, x in got)
     assert sorted(r["text"] or "" for r in decontam.clean(table, bench).collect()) == sorted(t or "" for _, t, _ in docs if not leaks(t))
     assert decontam.clean(table, bench).columns == table.columns
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    assert sorted((r["doc_id"] or -1, r["item_ids"]) for r in decontam.judged(table, bench).collect()) == got
     assert decontam.clean(odd(spark), bench.limit(0)).count() == len(ODD) and decontam.judged(empty(spark), bench).count() == 0
 
 
@@ -258,6 +264,9 @@ def test_line_dedup_of_repeated_rows(spark):
     assert again == {1: (long, 0), 2: ("new first line of many", 3000)}
     assert line_dedup.deduplicated(empty(spark)).count() == 0
     assert line_dedup.deduplicated(odd(spark)).count() == len(ODD)
+    clash = odd(spark).select("*", *[F.lit(i).alias(c) for i, c in enumerate(("_gone", "_n", "_print", "_row", "gone", "n", "print", "row", "r", "at"))])
+    kept = line_dedup.deduplicated(clash)
+    assert kept.columns[: len(clash.columns)] == clash.columns and {tuple(r[c] for c in clash.columns[3:]) for r in kept.collect()} == {tuple(range(10))}
 
 
 # 6 Jaccard join
@@ -352,6 +361,8 @@ def test_jaccard_of_odd_rows(spark):
     got = Counter((r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in jaccard.linked(odd(spark)).collect())
     assert got[(4, True, 4)] == 2 and got[(None, True, None)] == 1 and got[(2, False, 2)] == 1 and sum(got.values()) == len(ODD)
     assert jaccard.representatives(odd(spark)).count() == len(ODD) - 1
+    clash = odd(spark).select("*", *[F.lit(i).alias(c) for i, c in enumerate(("_node", "_row", "node", "row", "r", "n"))])
+    assert {tuple(r)[3:] for r in jaccard.representatives(clash).collect()} == {tuple(range(6))}
     assert jaccard.linked(empty(spark)).count() == 0
 
 
