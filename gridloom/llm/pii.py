@@ -11,7 +11,7 @@ count of its distinct instances plus one, an instance's score is one minus the
 product of its patterns' doubts; seeds keep score 1. Candidates that reach
 ACCEPT through a pattern with at least SUPPORT seeds become spans of the kind.
 
-Null texts count as empty. Places are code points, ends exclusive. Documents
+Null texts count as empty. Every step is linear in the text. Places are code points, ends exclusive. Documents
 are told apart by doc_id (null is a value) and text; equal rows get equal
 spans and count once as instances. Other columns play no part; an empty table
 gives an empty result.
@@ -19,7 +19,9 @@ gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch, buffers, ship, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-DIGITS, SUPPORT, ROUNDS, ACCEPT, SEED = 5, 3, 3, 0.8, 0.5
+DIGITS, SUPPORT, ROUNDS, ACCEPT, SEED, KEY = 5, 3, 3, 0.8, 0.5, 128
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match begins where a run of digits begins, so no place inside a run is tried again.
@@ -37,6 +39,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+# From a word's start alone, so that a long word without either is read once.
+MARKED = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*")
 
 
 def luhn(digits: str) -> bool:
@@ -82,14 +86,14 @@ def clean(word: str) -> str:
     return word.lower().strip(".,;:!?()[]{}\"'<>|*#%&$")
 
 
-def edges(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int, int]]:
-    """(pattern, instance, kind or -1, start, end) of base spans and candidates."""
-    if "@" not in text and not DIGIT.search(text):
-        return []
-    covered = sorted((a, b, k) for k, a, b in spans)
-    places = [(k, a, b) for k, a, b in spans]
-    i = 0
-    for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*", text):
+def key(value: str) -> str:
+    return value if len(value) <= KEY else "#" + hashlib.sha256(value.encode("utf-8", "replace")).hexdigest()
+
+
+def candidates(text: str, covered: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Places outside covered spans (in order) that read as identifiers."""
+    i, run = 0, None
+    for m in MARKED.finditer(text):
         a, b = m.span()
         word = m.group()
         if (cut := max(word.rfind("="), word.rfind(":"))) >= 0:
@@ -98,18 +102,45 @@ def edges(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str,
             b -= 1
         while i < len(covered) and covered[i][1] <= a:
             i += 1
-        if any(x < b for x, _, _ in covered[i : i + 1]) or ("@" not in text[a:b] and sum(map(str.isdigit, text[a:b])) < DIGITS):
+        free = not any(x < b for x, _ in covered[i : i + 1])
+        mail = "@" in text[a:b]
+        joins = run is not None and free and not mail and cut < 0 and m.start() == run[1] + 1 and text[run[1]] == " "
+        if joins:
+            run = (run[0], b, run[2] + sum(map(str.isdigit, text[a:b])))
             continue
-        places.append((-1, a, b))
+        if run is not None and run[2] >= DIGITS:
+            yield run[:2]
+        run = None
+        if free and mail:
+            yield a, b
+        elif free:
+            run = (a, b, sum(map(str.isdigit, text[a:b])))
+    if run is not None and run[2] >= DIGITS:
+        yield run[:2]
+
+
+def edges(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int, int]]:
+    """(pattern, instance, kind or -1, start, end) of base spans and candidates."""
+    if "@" not in text and not DIGIT.search(text):
+        return []
+    places = [(k, a, b) for k, a, b in spans] + [(-1, a, b) for a, b in candidates(text, sorted((a, b) for _, a, b in spans))]
+    if not places:
+        return []
+    words = [m.span() for m in WORD.finditer(text)]
+    starts = [a for a, _ in words]
     out = []
     for kind, a, b in places:
-        head = text[max(0, a - 64) : a]
-        before = head.split()
-        left = (before[-1].lower() if head and not head[-1].isspace() else clean(before[-1])) if before else ""
-        after = text[b : b + 64].split()
-        right = clean(after[0]) if after else ""
-        value = text[a : min(b, a + 128)]
-        out += [(p, value, kind, a, b) for p in (f"L {left}", f"R {right}", f"B {left} {right}")]
+        own = bisect_right(starts, a) - 1
+        if starts[own] < a:
+            left = text[starts[own] : a].lower()
+        else:
+            left = clean(text[slice(*words[own - 1])]) if own else ""
+        last = bisect_right(starts, b - 1) - 1
+        if words[last][1] > b:
+            right = clean(text[b : words[last][1]]) or (clean(text[slice(*words[last + 1])]) if last + 1 < len(words) else "")
+        else:
+            right = clean(text[slice(*words[last + 1])]) if last + 1 < len(words) else ""
+        out += [(p, key(text[a:b]), kind, a, b) for p in (key(f"L {left}"), key(f"R {right}"), key(f"B {left} {right}"))]
     return out
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegralType
 
 from . import wordhash as wh
-from .common import Scratch, buffers, ship, shuffle_partitions
+from .common import Scratch, buffers, ship, shuffle_partitions, small_batches
 
 #: Bytes of text to a bucket; the number of buckets is a power of two, LEAST_BUCKETS at least, dealt in PARTS.
 BUCKET_BYTES, LEAST_BUCKETS, PARTS = 2048, 1 << 14, 1024
@@ -82,7 +82,7 @@ def counts(docs: DataFrame, trusted: DataFrame, size: int, text: str = "text") -
             slots, found = ([x[i:j].tobytes() for i, j in zip(at.tolist(), ends)] for x in (inside, many))
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(slots, pa.binary()), pa.array(found, pa.binary())], ["part", "slots", "found"])
 
-        for batch in batches:
+        for batch in small_batches(batches, text):
             mark = batch.column("target").to_numpy(zero_copy_only=False)
             if held is not None:
                 mark = mark & np.isin(batch.column("id").to_numpy(), held.value)
@@ -167,7 +167,7 @@ def measured(docs: DataFrame, weight: Broadcast, text: str = "text") -> DataFram
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, text):
             found = list(zip(*(text_counts(b, weight.value) for b in buffers(batch.column(text))))) or [()] * 6
             arrays = [pa.array(x, pa.int64()) for x in found[:5]] + [pa.array(found[5], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *COLUMNS, "score"])
@@ -177,17 +177,14 @@ def measured(docs: DataFrame, weight: Broadcast, text: str = "text") -> DataFram
 
 
 def threshold(scored: DataFrame, labels: DataFrame) -> float:
-    """The score that parts the labels best, among steps of STEP; at most a few thousand rows reach the driver."""
-    bins = scored.join(labels.select("doc_id", "quality").dropna(), "doc_id").groupBy(
-        F.greatest(F.lit(-2000), F.least(F.lit(2000), F.floor(F.col("score") / STEP))).cast("int").alias("bin"), "quality"
-    ).count().collect()
-    good, bad = np.zeros(4002), np.zeros(4002)
-    for r in bins:
-        (good if r["quality"] == 1 else bad)[r["bin"] + 2000] += r["count"]
+    """The score that parts the labels best, among steps of STEP; a count a step that holds a labelled score reaches the driver."""
+    met = scored.join(labels.select("doc_id", "quality").dropna(), "doc_id")
+    bins = met.groupBy(F.floor(F.col("score") / STEP).alias("bin")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad")).orderBy("bin").collect()
+    good, bad = (np.array([r[k] for r in bins], float) for k in ("good", "bad"))
     if not good.sum() or not bad.sum():
         return float("-inf")
     below = lambda x: np.concatenate([[0], np.cumsum(x)[:-1]]) / x.sum()
-    return (int(np.argmax(below(bad) - below(good))) - 2000) * STEP
+    return bins[int(np.argmax(below(bad) - below(good)))]["bin"] * STEP
 
 
 def judged(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
