@@ -1,16 +1,22 @@
-"""BPE encoding and decoding through tables of distinct words.
-
-Words are split in Spark's workers at ASCII white space. Each worker keeps a
-bounded table of distinct words, encodes a word once when it first meets it,
-and joins ids back by position; decoding joins ids with the table of pieces. A
-table over the whole corpus would need a shuffle of every word's position
-(several times the input); tables by worker give the same ids without any
-shuffle. White space never
-joins two words' pieces, so ids of words put together are ids of the text.
+"""BPE encoding and decoding through one table of the corpus's distinct words.
+
+Texts are split into words at ASCII white space, in chunks of about CHUNK_BYTES
+of text: a chunk numbers its distinct words, and its documents become lists of
+numbers. Spark makes the table of distinct words over all chunks, encodes each
+word once, and decodes it through an id-to-piece join: the word's ids, by
+position, join the tokenizer's pieces (a table as long as the vocabulary, so
+broadcast). A word's ids and decoded text join the chunks that number it, and
+each chunk joins them back to its documents by position. White space never
+joins two words' pieces, so ids of words put together are ids of the text, and
+decoded words with a space between are the decoded text.
+
+Shuffled are words, a row for each that a chunk holds however often it stands
+there, and the documents' numbers, never positions as rows. A word of every
+text has a row a chunk: at most one of the chunk's thousands.
 
 Null texts count as empty: no ids, empty decoded text. Rows stay as they are,
 repeated ones too; columns besides the text pass through, and columns of the
-names ids and decoded are replaced.
+names ids and decoded are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,101 +24,163 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from .common import Scratch, buffers, pieces, ship, small_batches
 
-from .common import buffers, pieces, ship, small_batches
+#: Bytes of text whose words are numbered together.
+CHUNK_BYTES = 16 << 20
 
-#: Words a worker keeps, some 200 bytes each.
-TABLE_WORDS = 400_000
+_tokenizers: dict[str, object] = {}
 
 
-class Words(dict):
-    """Distinct words and their ids as little-endian unsigned 32-bit integers; starts anew at TABLE_WORDS."""
+def tokenizer(path: str):
+    if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def __init__(self, tokenizer):
-        self.encode = tokenizer.encode
+        t = _tokenizers[path] = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+    return _tokenizers[path]
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= TABLE_WORDS:
-            self.clear()
-        ids = self[word] = array("I", self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-        return ids
 
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """id and piece of the whole vocabulary."""
+    t = tokenizer(path)
+    size = t.get_vocab_size(with_added_tokens=True)
+    return spark.createDataFrame([(i, t.id_to_token(i) or "") for i in range(size)], "id int, piece string").coalesce(1)
 
-class WordTable:
-    """A worker's words and the tokenizer's pieces."""
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def numbered(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """Rows of documents (chunk, row: the columns kept, numbers: of the words, 4 bytes each) and of words (chunk, number, word)."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.ids = Words(self.tokenizer)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        known: dict[bytes, int] = {}
+        rows = None
 
-    def encode(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.ids.__getitem__, words))
+        def vocabulary() -> pa.RecordBatch:
+            n = len(known)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * n, pa.int64()), pa.nulls(n, rows), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(list(known), pa.binary()).cast(pa.string())], NAMES
+            )
 
-    def decode(self, ids: bytes) -> bytes:
-        return b" ".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        for batch in small_batches(batches, "text"):
+            rows = batch.column("row").type
+            made = []
+            for b in buffers(batch.column("text")):
+                own = array("I")
+                for part in pieces(bytes(b)) if b is not None else ():
+                    own.extend([known[w] if w in known else known.setdefault(w, len(known)) for w in part.split()])
+                    size += len(part)
+                made.append(own.tobytes())
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), batch.column("row"), pa.array(made, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], NAMES)
+            if size >= CHUNK_BYTES:
+                yield vocabulary()
+                chunk, size = chunk + 1, 0
+                known.clear()
+        if known:
+            yield vocabulary()
 
+    kept = [F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []
+    rows = docs.select(F.struct(F.lit(0).alias("none"), *kept).alias("row"), F.col(text).alias("text"))
+    kinds = [T.LongType(), rows.schema["row"].dataType, T.BinaryType(), T.IntegerType(), T.StringType()]
+    return rows.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(NAMES, kinds)]))
 
-_tables: dict[str, WordTable] = {}
 
+NAMES = ["chunk", "row", "numbers", "number", "word"]
 
-def table(path: str) -> WordTable:
-    if path not in _tables:
-        _tables[path] = WordTable(path)
-    return _tables[path]
 
+def word_ids(path: str) -> Column:
+    """The ids of the column word, by the tokenizer."""
 
-def _encode_texts(texts: list[memoryview | None], t: WordTable) -> Iterator[bytes]:
-    for b in texts:
-        yield b"".join(t.encode(p.split()) for p in pieces(bytes(b))) if b is not None else b""
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(words: pa.Array) -> pa.Array:
+        t = tokenizer(path)
+        found = t.encode_batch(words.to_pylist(), add_special_tokens=False)
+        return pa.array([e.ids for e in found], pa.list_(pa.int32()))
 
+    return ids("word")
 
-def _mapper(path: str, text: str, keep: list[str], decode: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = table(path)
-        for batch in small_batches(batches, text):
-            ids = list(_encode_texts(list(buffers(batch.column(text))), t))
-            columns = [batch.column(c) for c in keep] + [pa.array(ids, pa.binary())]
-            names = [*keep, "ids"]
-            if decode:
-                columns.append(pa.array([t.decode(x) for x in ids], pa.binary()).cast(pa.string()))
-                names.append("decoded")
-            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return run
+def word_table(words: DataFrame, path: str, decoded: bool) -> DataFrame:
+    """word, ids and, if asked, decoded of each distinct word."""
+    coded = words.select("word").distinct().select("word", word_ids(path).alias("ids"))
+    return decode(coded, path) if decoded else coded
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep_text: bool = True, decoded: bool = False) -> DataFrame:
     """Add ids (binary, 4 bytes an id, little-endian) and, if asked, decoded."""
-    ship(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("ids", "decoded") and (keep_text or c != text)]
+    spark = docs.sparkSession
+    ship(spark)
+    scratch = Scratch(spark)
+    keep = [c for c in docs.columns if c.lower() not in ("ids", "decoded") and (keep_text or c != text)]
+    both = scratch.put(numbered(docs, text, keep), "numbered")
+    words = both.filter("word IS NOT NULL").select("chunk", "number", "word")
+    table = scratch.put(word_table(words, path, decoded), "words")
+    vocabulary = words.join(table, "word").select(F.col("chunk").alias("of"), "number", "ids", *["decoded"] * decoded)
+    rows = both.filter("word IS NULL").select("chunk", "row", "numbers")
+    names = [*keep, "ids", *["decoded"] * decoded]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.BinaryType())] + [T.StructField("decoded", T.StringType())] * decoded)
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_mapper(path, text, keep, decoded), schema)
-
 
-def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """Add decoded, the pieces of the ids with a space between; null ids give null."""
-    ship(coded.sparkSession)
-    keep = [c for c in coded.columns if c != "decoded"]
-    schema = T.StructType([coded.schema[c] for c in keep] + [T.StructField("decoded", T.StringType())])
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The documents of a chunk with the ids of its words."""
+        n = right.num_rows
+        number = right.column("number").to_numpy()
+        place = np.empty(n, np.int64)
+        place[number] = np.arange(n)
+        lists = right.column("ids").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), np.cumsum(np.concatenate([[0], pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)]))
+        first, size = ends[:-1][place].astype(np.int64), np.diff(ends)[place].astype(np.int64)
+        shown = right.column("decoded").to_pylist() if decoded else None
+        shown = [shown[i] for i in place.tolist()] if decoded else None
+        ids, out = [], []
+        for raw in left.column("numbers").to_pylist():
+            own = np.frombuffer(raw, np.uint32)
+            many = size[own]
+            at = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            ids.append(flat[at].astype("<u4").tobytes())
+            if decoded:
+                out.append(" ".join([shown[i] for i in own.tolist()] if (many > 0).all() else [shown[i] for i in own[many > 0].tolist()]))
+        row = left.column("row").combine_chunks()
+        row = row.chunk(0) if isinstance(row, pa.ChunkedArray) else row
+        columns = [row.field("kept").field(c) for c in keep] + [pa.array(ids, pa.binary())] + ([pa.array(out, pa.string())] if decoded else [])
+        return pa.Table.from_arrays(columns, names)
+
+    return rows.groupBy("chunk").cogroup(vocabulary.groupBy("of")).applyInArrow(join, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = table(path)
-        for batch in small_batches(batches, ids):
-            out = [None if b is None else t.decode(bytes(b)) for b in buffers(batch.column(ids))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(out, pa.binary()).cast(pa.string())], [*keep, "decoded"])
 
-    return coded.select(*keep).mapInArrow(run, schema)
+def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """Add decoded, the pieces of the ids with a space between; null ids give null. Ids: an array, or binary of 4 bytes an id.
+
+    Each id joins its piece, and pieces are put in order of position again.
+    """
+    keep = [c for c in coded.columns if c.lower() != "decoded"]
+    kind = dict(coded.dtypes)[ids]
+    listed = F.col(ids)
+    if kind == "binary":
+        n = F.floor(F.octet_length(ids) / 4).cast("int")
+        byte = lambda i, k: F.conv(F.hex(F.substring(ids, 4 * i + k + 1, 1)), 16, 10).cast("int")
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        listed = F.transform(at, lambda i: byte(i, 0) + 256 * byte(i, 1) + 65536 * byte(i, 2) + 16777216 * byte(i, 3))
+    pieces_ = piece_table(coded.sparkSession, path)
+    if kind != "binary" and keep == ["word", ids]:  # distinct words: grouped by word already, so nothing is shuffled again
+        spread = coded.select("word", ids, F.posexplode_outer(ids).alias("at", "id")).join(F.broadcast(pieces_), "id", "left")
+        put = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "piece")))), lambda s: s["piece"]), " ")
+        return spread.groupBy("word").agg(F.first(ids).alias(ids), put.alias("decoded"))
+    tagged = coded.select(F.struct(*[F.col(c) for c in keep]).alias("r"), listed.alias("l")).withColumn("n", F.monotonically_increasing_id())
+    tagged = Scratch(coded.sparkSession).put(tagged, "tagged")
+    spread = tagged.select("n", F.posexplode("l").alias("at", "id")).join(F.broadcast(pieces_), "id")
+    put = spread.groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda s: s["piece"]), " ").alias("decoded"))
+    return tagged.join(put, "n", "left").select("r.*", F.when(F.col("l").isNotNull(), F.coalesce("decoded", F.lit(""))).alias("decoded"))
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -525,12 +525,27 @@ def test_word_table(spark, monkeypatch):
     t = Tokenizer.from_file(WORD_BPE)
     t.no_truncation()
     t.no_padding()
-    table = odd(spark).withColumn("ids", F.lit(3))
-    coded = bpe.encode(table, WORD_BPE, decoded=True)
-    rows = coded.collect()
-    assert len(rows) == len(ODD)
-    for r in rows:
-        ids = t.encode(r["text"] or "", add_special_tokens=False).ids
-        assert list(struct.unpack(f"<{len(ids)}I", r["ids"])) == ids and r["decoded"] == t.decode(ids, skip_special_tokens=False)
-    assert [r["decoded"] for r in bpe.decode(coded.select("doc_id", "ids"), WORD_BPE).collect()] == [r["decoded"] for r in rows]
+    table = odd(spark).select("*", *[F.lit(i).alias(c) for i, c in enumerate(("ids", "chunk", "row", "numbers", "number", "word", "_"))])
+    for size in (bpe.CHUNK_BYTES, 40):
+        monkeypatch.setattr(bpe, "CHUNK_BYTES", size)
+        coded = bpe.encode(table, WORD_BPE, decoded=True)
+        rows = coded.collect()
+        assert len(rows) == len(ODD) and coded.columns == ["doc_id", "text", "lang", "chunk", "row", "numbers", "number", "word", "_", "ids", "decoded"]
+        for r in rows:
+            ids = t.encode(r["text"] or "", add_special_tokens=False).ids
+            assert list(struct.unpack(f"<{len(ids)}I", r["ids"])) == ids and r["decoded"] == t.decode(ids, skip_special_tokens=False)
+            assert tuple(r)[3:9] == (1, 2, 3, 4, 5, 6)
+    assert {(r["doc_id"], r["decoded"]) for r in bpe.decode(coded.select("doc_id", "ids"), WORD_BPE).collect()} == {(r["doc_id"], r["decoded"]) for r in rows}
+    plain = bpe.encode(odd(spark), WORD_BPE, keep_text=False)
+    assert plain.columns == ["doc_id", "lang", "ids"] and plain.count() == len(ODD)
     assert bpe.encode(empty(spark), WORD_BPE).count() == 0
+
+
+def test_distinct_words_are_encoded_once(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 100)
+    docs = spark.createDataFrame([(i, f"the same words and w{i % 30} ☃{i % 30}", "en") for i in range(300)], DOCS).repartition(5)
+    made = bpe.numbered(docs, "text", ["doc_id"])
+    words = made.filter("word IS NOT NULL").select("chunk", "number", "word")
+    table = bpe.word_table(words, WORD_BPE, True)
+    assert words.count() > 64 and table.count() == table.select("word").distinct().count() == 64
+    assert table.filter("decoded IS NULL").count() == 0
