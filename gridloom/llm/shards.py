@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: Bytes of text and rows in a bucket, about, and bytes to a task.
-BUCKET_BYTES, BUCKET_ROWS, TASK_BYTES = 4 << 20, 2048, 32 << 20
+BUCKET_BYTES, BUCKET_ROWS, TASK_BYTES = 4 << 20, 2048, 16 << 20
 OWN = ("shard", "slot", "size", "text_crc32", "grown_shard", "law")
 
 
