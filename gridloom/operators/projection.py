@@ -2,14 +2,17 @@
 
 A sample is spread to the lattice places around it with weights; equal targets
 are summed before any other join. The coefficient relation (slice, pixel,
-voxel, c) is the one large table: it is grouped by pixel and voxel once, and
-every pass over it is an equi-join and a partial aggregate.
+voxel, c) is the one large table: all rows of a pixel come from its own image,
+so they are summed there, without a shuffle, and every pass over the table is
+an equi-join and a partial aggregate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions import coords
@@ -67,26 +70,64 @@ def resample_padded(images: DataFrame, pixels: DataFrame, n: int, old: float, ne
     return got.select("slice_id", "ox", "oy", F.when((2 * F.col("bad") < 4) & (F.col("w") > 0), F.col("s") / F.col("w")).otherwise(F.lit(float(padding))).alias("v"))
 
 
-def coefficients(pixels: DataFrame, matrix: Sequence[Column], psf: Sequence[tuple], centre: Sequence[float], keep: Sequence[str] = ()) -> DataFrame:
-    """stack_id, slice_id, x, y, vx, vy, vz, c: each pixel's samples under the point spread, moved by the slice's matrix and split over eight voxels.
+#: Samples split over voxels at once, times eight corners.
+SAMPLES = 400_000
 
-    pixels: stack_id, slice_id, x, y, z and the matrix's columns; the matrix turns about centre.
+
+def coefficients(images: DataFrame, matrix: Sequence[Column], psf: Sequence[tuple], centre: Sequence[float], size: tuple[int, int]) -> DataFrame:
+    """stack_id, slice_id, x, y, v, vx, vy, vz, c: each pixel's samples under the point spread, moved by the slice's matrix, split over eight voxels and summed by voxel.
+
+    images: stack_id, slice_id, z, nz (depth of the volume), pixels, and the
+    matrix's columns; the matrix turns about centre. Voxels outside the volume
+    (size by nz) are left out.
     """
-    cx, cy, cz = centre
-    sample = F.explode(F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(s, ("dx", "dy", "dz", "p"))]) for s in psf])).alias("s")
-    rows = pixels.select("stack_id", "slice_id", "x", "y", *keep, *[m.alias(f"m{i}") for i, m in enumerate(matrix)], "z", sample)
-    m = [F.col(f"m{i}") for i in range(12)]
-    wx, wy, wz = coords.apply(m, F.col("x") + F.col("s.dx") - cx, F.col("y") + F.col("s.dy") - cy, F.col("z") + F.col("s.dz") - cz)
-    moved = rows.select("stack_id", "slice_id", "x", "y", *keep, F.col("s.p").alias("p"), (wx + cx).alias("wx"), (wy + cy).alias("wy"), (wz + cz).alias("wz"))
-    split = moved.select("stack_id", "slice_id", "x", "y", *keep, "p", F.explode(corners(F.col("wx"), F.col("wy"), F.col("wz"))).alias("e")).filter("e.w > 0")
-    return split.groupBy("stack_id", "slice_id", "x", "y", *keep, F.col("e.x").alias("vx"), F.col("e.y").alias("vy"), F.col("e.z").alias("vz")).agg(F.sum(F.col("p") * F.col("e.w")).alias("c"))
-
-
-def within(coeff: DataFrame, size: Sequence[Column | int]) -> DataFrame:
-    """Coefficients whose voxel lies in the volume."""
-    for a, n in zip(("vx", "vy", "vz"), size):
-        coeff = coeff.filter((F.col(a) >= 0) & (F.col(a) < n))
-    return coeff
+    nx, ny = size
+    spread = np.array(psf, float)
+    y, x = (a.ravel() for a in np.mgrid[:ny, :nx])
+    places = np.stack([x, y], 1)[:, None, :] + spread[None, :, :2]  # pixel, sample
+    names = ["stack_id", "slice_id", "x", "y", "v", "vx", "vy", "vz", "c"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, SAMPLES // (len(x) * len(spread)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                m = np.stack(part.column("m").to_pylist()).reshape(-1, 3, 4)
+                z, nz = (part.column(c).to_numpy() for c in ("z", "nz"))
+                n = len(z)
+                point = np.empty((n, *places.shape[:2], 3))
+                point[..., :2] = places - np.array(centre[:2])
+                point[..., 2] = z[:, None, None] + spread[None, None, :, 2] - centre[2]
+                world = np.einsum("nrc,npsc->npsr", m[:, :, :3], point) + m[:, None, None, :, 3] + np.array(centre)
+                low = np.floor(world)
+                keys, weights = [], []
+                depth = int(nz.max())
+                pixel = (np.arange(n)[:, None] * len(x) + np.arange(len(x))[None])[:, :, None]
+                for k in range(8):
+                    corner = low + [k & 1, k >> 1 & 1, k >> 2 & 1]
+                    w = np.prod(1 - np.abs(world - corner), -1) * spread[None, None, :, 3]
+                    v = corner.astype(np.int64)
+                    good = (w > 0) & (v >= 0).all(-1) & (v[..., 0] < nx) & (v[..., 1] < ny) & (v[..., 2] < nz[:, None, None])
+                    key = ((pixel * depth + v[..., 2]) * ny + v[..., 1]) * nx + v[..., 0]
+                    keys.append(key[good])
+                    weights.append(w[good])
+                key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+                if not len(key):
+                    continue
+                c = np.bincount(inverse, np.concatenate(weights))
+                own, voxel = np.divmod(key, depth * ny * nx)
+                image, place = np.divmod(own, len(x))
+                values = part.column("pixels").combine_chunks() if isinstance(part.column("pixels"), pa.ChunkedArray) else part.column("pixels")
+                flat = values.flatten().to_numpy(zero_copy_only=False)
+                i32 = lambda a: pa.array(a.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("stack_id").take(pa.array(image)), part.column("slice_id").take(pa.array(image)), i32(x[place]), i32(y[place]), pa.array(flat[own].astype(np.float64)),
+                     i32(voxel % nx), i32(voxel // nx % ny), i32(voxel // (nx * ny)), pa.array(c)], names
+                )
+
+    kind = lambda c: images.schema[c].dataType.simpleString()
+    rows = images.select("stack_id", "slice_id", "z", "nz", "pixels", F.array(*matrix).alias("m"))
+    return rows.mapInArrow(run, f"stack_id {kind('stack_id')}, slice_id {kind('slice_id')}, x int, y int, v double, vx int, vy int, vz int, c double")
 
 
 VOXEL = ["stack_id", "vx", "vy", "vz"]

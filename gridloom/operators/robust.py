@@ -1,7 +1,7 @@
 """Robust statistics of residuals (expectation maximisation) and the super-resolution step.
 
 Pixels carry v, sim and simweight; slice columns (scale, w_slice) come by join
-on slice_id. Global numbers are one-row frames, joined as such.
+on slice_id. Global numbers are aggregates of one row, which the driver reads.
 """
 
 from __future__ import annotations
@@ -21,20 +21,24 @@ def residual(scale: Column | float = 1.0) -> Column:
     return F.col("v") * scale - F.col("sim")
 
 
-def initial(pixels: DataFrame) -> DataFrame:
-    """One row: sigma (mean squared residual), mix 0.9, and m of the uniform part."""
+State = dict[str, float]
+
+
+def initial(pixels: DataFrame) -> State:
+    """sigma (mean squared residual), mix 0.9, and m of the uniform part."""
     e = residual()
     v = F.when(F.col("v") > 0, F.col("v").cast("double"))
-    s = pixels.agg(F.avg(F.when(known(), e * e)).alias("sigma"), F.max(v).alias("hi"), F.min(v).alias("lo"))
-    return s.select("sigma", F.lit(0.9).alias("mix"), (1.0 / (2.1 * F.col("hi") - 1.9 * F.col("lo"))).alias("m"))
+    s = pixels.agg(F.avg(F.when(known(), e * e)).alias("sigma"), F.max(v).alias("hi"), F.min(v).alias("lo")).first()
+    return {"sigma": s["sigma"], "mix": 0.9, "m": 1.0 / (2.1 * s["hi"] - 1.9 * s["lo"])}
 
 
-def weighted(pixels: DataFrame, state: DataFrame) -> DataFrame:
+def weighted(pixels: DataFrame, state: State, e: Column | None = None) -> DataFrame:
     """pixels with w, the posterior of the Gaussian part; 0 at padding."""
-    g = gaussian_density(residual(), F.col("sigma"))
-    u = uniform_density(F.col("m"))
-    w = F.when(known(), g * F.col("mix") / (g * F.col("mix") + u * (1 - F.col("mix")))).otherwise(0.0)
-    return pixels.crossJoin(F.broadcast(state)).withColumn("w", w).drop("sigma", "mix", "m")  # one row
+    g = gaussian_density(residual() if e is None else e, F.lit(state["sigma"]))
+    u = uniform_density(F.lit(state["m"]))
+    mix = state["mix"]
+    w = F.when(known(), g * mix / (g * mix + u * (1 - mix))).otherwise(0.0)
+    return pixels.withColumn("w", w)
 
 
 def potentials(pixels: DataFrame, scales: DataFrame | None = None, excluded: list[int] | None = None) -> DataFrame:
@@ -47,37 +51,41 @@ def potentials(pixels: DataFrame, scales: DataFrame | None = None, excluded: lis
     return p
 
 
-def slice_weights(potential: DataFrame, mix: float = 0.9) -> DataFrame:
-    """slice_id, potential, w_slice: two Gaussians over the potentials, inliers about the low end, outliers about the high end."""
+def slice_weights(potential: DataFrame, mix: float = 0.9, prior: str | None = None) -> tuple[DataFrame, float]:
+    """slice_id, potential, w_slice, and the share of inliers: two Gaussians over the potentials, inliers about the low end, outliers about the high end.
+
+    prior names a column of potential with the slices' weights before; without
+    it slices start as inliers by 1 - potential. Means and variances come from
+    one pass of sums.
+    """
     p = F.col("potential")
     use = p >= 0
-    # Slices start as inliers by 1 - potential and as outliers by potential.
-    s = potential.agg(
-        F.sum(F.when(use, p * (1 - p))).alias("a"), F.sum(F.when(use, 1 - p)).alias("b"), F.sum(F.when(use, p * p)).alias("c"), F.sum(F.when(use, p)).alias("d"),
-        F.min(F.when(use, p)).alias("lo"), F.max(F.when(use, p)).alias("hi"),
-    )
-    means = s.select(F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(F.col("lo")).alias("mean"), F.when(F.col("d") > 0, F.col("c") / F.col("d")).otherwise((F.col("hi") + F.col("lo")) / 2).alias("mean2"))
-    rows = potential.crossJoin(F.broadcast(means))  # one row
-    d1, d2 = p - F.col("mean"), p - F.col("mean2")
-    v = rows.agg(
-        (F.sum(F.when(use, d1 * d1 * (1 - p))) / F.sum(F.when(use, 1 - p))).alias("v1"), (F.sum(F.when(use, d2 * d2 * p)) / F.nullif(F.sum(F.when(use, p)), F.lit(0.0))).alias("v2"),
-        F.first("mean").alias("mean"), F.first("mean2").alias("mean2"),
-    )
+    inlier = 1 - p if prior is None else F.col(prior)
+    sums = [F.sum(F.when(use, k * p**e)).alias(f"{n}{e}") for n, k in (("a", inlier), ("b", 1 - inlier)) for e in (0, 1, 2)]
+    s = potential.agg(*sums, F.min(F.when(use, p)).alias("lo"), F.max(F.when(use, p)).alias("hi")).first()
+    if s["lo"] is None:  # no slice tells
+        return potential.select("stack_id", "slice_id", "potential", F.lit(0.0).alias("w_slice")), 0.9
     floor = STEP * STEP / 6.28
-    v = v.select("mean", "mean2", F.greatest(F.coalesce("v1", F.lit(0.025)), F.lit(floor)).alias("v1"), F.greatest(F.coalesce("v2", F.lit(0.025)), F.lit(floor)).alias("v2"))
-    rows = potential.crossJoin(F.broadcast(v))  # one row
-    g1 = F.when(p < F.col("mean2"), gaussian_density(p - F.col("mean"), F.col("v1"))).otherwise(0.0)
-    g2 = F.when(p > F.col("mean"), gaussian_density(p - F.col("mean2"), F.col("v2"))).otherwise(0.0)
+    mean = s["a1"] / s["a0"] if s["a0"] > 0 else s["lo"]
+    mean2 = s["b1"] / s["b0"] if s["b0"] > 0 else (s["hi"] + mean) / 2
+    around = lambda n, m: s[f"{n}2"] - 2 * m * s[f"{n}1"] + m * m * s[f"{n}0"]
+    v1 = max(floor, around("a", mean) / s["a0"] if s["a0"] > 0 and around("a", mean) > 0 else 0.025)
+    v2 = max(floor, around("b", mean2) / s["b0"] if s["b0"] > 0 and around("b", mean2) > 0 else (mean2 - mean) ** 2 / 4)
+    g1 = F.when(p < mean2, gaussian_density(p - mean, F.lit(v1))).otherwise(0.0)
+    g2 = F.when(p > mean, gaussian_density(p - mean2, F.lit(v2))).otherwise(0.0)
     total = g1 * mix + g2 * (1 - mix)
-    w = F.when(total > 0, g1 * mix / F.when(total > 0, total)).when(p <= F.col("mean"), 1.0).otherwise(0.0)
-    return rows.select("stack_id", "slice_id", "potential", F.when(use, w).otherwise(0.0).alias("w_slice"))
-
-
-def maximised(pixels: DataFrame) -> DataFrame:
-    """One row: sigma, mix and m from weighted residuals."""
-    e, w = residual(), F.col("w")
-    s = pixels.agg(F.sum(F.when(known(), e * e * w)).alias("s"), F.sum(F.when(known(), w)).alias("w"), F.count_if(known()).alias("n"), F.min(F.when(known(), e)).alias("lo"), F.max(F.when(known(), e)).alias("hi"))
-    return s.select(F.greatest(F.col("s") / F.col("w"), F.lit(STEP * STEP / 6.28)).alias("sigma"), (F.col("w") / F.col("n")).alias("mix"), (1.0 / (F.col("hi") - F.col("lo"))).alias("m"))
+    w = F.when(total > 0, g1 * mix / F.when(total > 0, total)).when(p >= mean2, 0.0).otherwise(1.0)
+    if s["a0"] <= 0 or mean2 <= mean:
+        w = F.lit(1.0)
+    rows = potential.select("stack_id", "slice_id", "potential", F.when(use, w).otherwise(0.0).alias("w_slice"))
+    return rows, rows.filter(use).agg(F.avg("w_slice")).first()[0]
+
+
+def maximised(pixels: DataFrame, e: Column | None = None, mix: float | None = None) -> State:
+    """sigma, mix and m from weighted residuals; a mix that is given stays, as in a first iteration."""
+    e, w = residual() if e is None else e, F.col("w")
+    s = pixels.agg(F.sum(F.when(known(), e * e * w)).alias("s"), F.sum(F.when(known(), w)).alias("w"), F.count_if(known()).alias("n"), F.min(F.when(known(), e)).alias("lo"), F.max(F.when(known(), e)).alias("hi")).first()
+    return {"sigma": max(s["s"] / s["w"], STEP * STEP / 6.28), "mix": s["w"] / s["n"] if mix is None else mix, "m": 1.0 / (s["hi"] - s["lo"])}
 
 
 def slice_scales(pixels: DataFrame, bias: Column | None = None) -> DataFrame:

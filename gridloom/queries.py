@@ -12,37 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from gridloom.functions import coords, scalars
 from gridloom.operators import histograms as hist, images as im, kernels, patches, projection as pj, robust, stencils
+from gridloom.registry import ORACLES, PX, PX3, QUERIES, R, query, rounded
+from gridloom.scratch import Scratch
 from gridloom.sources import surrogate as sg
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 LOW, HIGH, BINS = 0.0, 1000.0, 20
 SIZES = {"x": sg.SIDE, "y": sg.SIDE}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Floating-point columns rounded, with no negative zero."""
-    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-PX = """px AS (SELECT vec_id AS slice_id, label AS stack_id, CAST(i % 8 AS INT) AS x, CAST(i // 8 AS INT) AS y,
-  CAST(floor(500 * (CAST(embedding[i + 1] AS DOUBLE) + 1)) AS INT) AS v FROM embeddings, range(64) t(i))"""
-PX3 = f"""{PX}, rk AS (SELECT vec_id AS slice_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS z FROM embeddings),
-  px3 AS (SELECT px.*, z FROM px JOIN rk USING (slice_id))"""
 PAIRS = f"""{PX}, fst AS (SELECT stack_id, min(slice_id) AS f FROM px GROUP BY 1),
   pairs AS (SELECT q.slice_id, q.stack_id, q.x, q.y, p.v AS a, q.v AS b FROM px q JOIN fst USING (stack_id) JOIN px p ON p.slice_id = f AND p.x = q.x AND p.y = q.y)"""
 BIN = lambda c: f"greatest(0, least(19, CAST(round(20 * ({c} - 25.0) / 1000.0) AS INT)))"
-R = lambda c, name: f"round({c}, 6) + 0.0 AS {name}"
 
 
 def pair_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -501,99 +481,99 @@ sw AS (SELECT stack_id, slice_id, p AS potential, CASE WHEN p < 0 THEN 0 WHEN g1
 SCALES = f"""{SLICEW}, sc AS (SELECT stack_id, slice_id, CASE WHEN sum(w * v * v) FILTER (v <> -1 AND simweight > 0.99::DOUBLE) > 0 THEN sum(w * v * sim) FILTER (v <> -1 AND simweight > 0.99::DOUBLE) / sum(w * v * v) FILTER (v <> -1 AND simweight > 0.99::DOUBLE) ELSE 1 END AS scale FROM ws GROUP BY 1, 2)"""
 
 
-def coefficient_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def coefficient_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients of all slices with voxels of their stack's volume; the pixel's value comes along."""
-    images = sg.ranked(sg.blocks(spark, sf_dir)).withColumn("nz", F.max("z").over(W.partitionBy("stack_id")) + 1)
-    m = {f"p{i}": c for i, c in enumerate(matrix())}
-    rows = sg.explode_pixels(images.select("*", *[c.alias(n) for n, c in m.items()]))
-    made = pj.coefficients(rows, [F.col(n) for n in m], sg.PSF, (3.5, 3.5, 0.0), keep=("v", "nz"))
-    return pj.within(made, (8, 8, F.col("nz"))).drop("nz")
+    images = sg.with_depth(sg.ranked(sg.blocks(spark, sf_dir)))
+    return pj.coefficients(images, matrix(), sg.PSF, (3.5, 3.5, 0.0), (sg.SIDE, sg.SIDE))
 
 
-def volume_of(coeff: DataFrame) -> DataFrame:
-    return pj.back_projected(coeff, F.col("v"))
+class Chain:
+    """What the steps of a reconstruction read again and again, each written once."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.scratch = Scratch(spark)
+        self.coeff = self.scratch.put(coefficient_rows(spark, sf_dir), "coefficients")
+        self.volume = self.scratch.put(pj.back_projected(self.coeff, F.col("v")), "volume")
 
-def simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coeff = coefficient_table(spark, sf_dir)
-    return pj.forward_projected(coeff, volume_of(coeff), keep=("v",))
+    def simulated(self) -> DataFrame:
+        return pj.forward_projected(self.coeff, self.volume, keep=("v",))
 
-
-def weighted_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = simulated(spark, sf_dir)
-    return robust.weighted(pixels, robust.initial(pixels))
+    def weighted(self) -> DataFrame:
+        """Pixels with their posterior weights under the initial statistics."""
+        pixels = self.scratch.put(self.simulated(), "pixels")
+        return self.scratch.put(robust.weighted(pixels, robust.initial(pixels)), "weighted")
 
 
 @query(f"WITH {COEFF} SELECT stack_id, slice_id, x, y, count(*) AS n, {R('sum(c)', 'total')}, {R('max(c)', 'most')} FROM co GROUP BY 1, 2, 3, 4")
 def psf_coeff(spark, sf_dir):
     """Of each pixel, its voxels and the sum and highest of its coefficients."""
-    return rounded(coefficient_table(spark, sf_dir).groupBy("stack_id", "slice_id", "x", "y").agg(F.count("*").alias("n"), F.sum("c").alias("total"), F.max("c").alias("most")))
+    return rounded(coefficient_rows(spark, sf_dir).groupBy("stack_id", "slice_id", "x", "y").agg(F.count("*").alias("n"), F.sum("c").alias("total"), F.max("c").alias("most")))
 
 
 @query(f"WITH {VOLUME} SELECT stack_id, vx, vy, vz, {R('vol', 'vol')}, {R('volw', 'volw')} FROM vol")
 def back_project(spark, sf_dir):
-    return rounded(volume_of(coefficient_table(spark, sf_dir)))
+    return rounded(pj.back_projected(coefficient_rows(spark, sf_dir), F.col("v")))
 
 
 @query(f"WITH {SIMULATED} SELECT stack_id, slice_id, x, y, v, {R('sim', 'sim')}, {R('simweight', 'simweight')} FROM pix")
 def forward_project(spark, sf_dir):
-    return rounded(simulated(spark, sf_dir)).select("stack_id", "slice_id", "x", "y", "v", "sim", "simweight")
+    return rounded(Chain(spark, sf_dir).simulated()).select("stack_id", "slice_id", "x", "y", "v", "sim", "simweight")
 
 
 @query(f"WITH {EM0} SELECT {R('sigma', 'sigma')}, {R('mix', 'mix')}, {R('m', 'm')} FROM st")
 def em_init_stats(spark, sf_dir):
-    return rounded(robust.initial(simulated(spark, sf_dir)))
+    state = robust.initial(Chain(spark, sf_dir).simulated())
+    return rounded(spark.createDataFrame([state], "sigma double, mix double, m double"))
 
 
 @query(f"WITH {WEIGHTS} SELECT slice_id, x, y, {R('w', 'w')} FROM ws")
 def e_step_voxel(spark, sf_dir):
-    return rounded(weighted_pixels(spark, sf_dir).select("slice_id", "x", "y", "w"))
+    return rounded(Chain(spark, sf_dir).weighted().select("slice_id", "x", "y", "w"))
 
 
 @query(f"WITH {SLICEW} SELECT stack_id, slice_id, {R('potential', 'potential')}, {R('w_slice', 'w_slice')} FROM sw")
 def e_step_slice(spark, sf_dir):
-    return rounded(robust.slice_weights(robust.potentials(weighted_pixels(spark, sf_dir))))
+    return rounded(robust.slice_weights(robust.potentials(Chain(spark, sf_dir).weighted()))[0])
 
 
 @query(f"WITH {WEIGHTS}, k AS (SELECT *, v - sim AS e FROM ws WHERE v <> -1 AND simweight > 0.99::DOUBLE) SELECT {R('greatest(sum(e * e * w) / sum(w), 1e-8::DOUBLE / 6.28::DOUBLE)', 'sigma')}, {R('sum(w) / count(*)', 'mix')}, {R('1 / (max(e) - min(e))', 'm')} FROM k")
 def m_step(spark, sf_dir):
-    return rounded(robust.maximised(weighted_pixels(spark, sf_dir)))
+    state = robust.maximised(Chain(spark, sf_dir).weighted())
+    return rounded(spark.createDataFrame([state], "sigma double, mix double, m double"))
 
 
 @query(f"WITH {SCALES} SELECT stack_id, slice_id, {R('scale', 'scale')} FROM sc")
 def slice_scale(spark, sf_dir):
-    return rounded(robust.slice_scales(weighted_pixels(spark, sf_dir)))
+    return rounded(robust.slice_scales(Chain(spark, sf_dir).weighted()))
 
 
 @query(f"WITH {SLICEW} SELECT {R('sum(w * w_slice * v * sim) / sum(w * w_slice * sim * sim)', 'scale')} FROM ws JOIN sw USING (slice_id) WHERE v <> -1 AND simweight > 0.99::DOUBLE")
 def volume_scale(spark, sf_dir):
-    pixels = weighted_pixels(spark, sf_dir)
-    return rounded(robust.volume_scale(pixels.join(robust.slice_weights(robust.potentials(pixels)).drop("stack_id"), "slice_id")))
+    pixels = Chain(spark, sf_dir).weighted()
+    return rounded(robust.volume_scale(pixels.join(robust.slice_weights(robust.potentials(pixels))[0].drop("stack_id"), "slice_id")))
 
 
 @query(f"""WITH {SCALES}, ad AS (SELECT co.stack_id, vx, vy, vz, sum(c * w * w_slice * (CASE WHEN sim > 0 THEN v * scale - sim ELSE 0 END)) AS addon, sum(c * w * w_slice) AS cmap
  FROM co JOIN ws USING (slice_id, x, y) JOIN sw USING (slice_id) JOIN sc USING (slice_id) GROUP BY 1, 2, 3, 4)
 SELECT stack_id, vx, vy, vz, {R('least(1100, greatest(0, vol + 0.8::DOUBLE * CASE WHEN coalesce(cmap, 0) > 0 THEN addon / cmap ELSE 0 END))', 'vol')}, {R('coalesce(cmap, 0)', 'cmap')} FROM vol LEFT JOIN ad USING (stack_id, vx, vy, vz)""")
 def superres_step(spark, sf_dir):
-    coeff = coefficient_table(spark, sf_dir)
-    volume = volume_of(coeff)
-    pixels = pj.forward_projected(coeff, volume, keep=("v",))
-    pixels = robust.weighted(pixels, robust.initial(pixels))
-    slices = robust.slice_weights(robust.potentials(pixels)).select("slice_id", "w_slice").join(robust.slice_scales(pixels).select("slice_id", "scale"), "slice_id")
-    return rounded(robust.super_resolved(coeff.drop("v"), pixels.join(slices, "slice_id"), volume, 0.8, 0.0, 1000.0))
+    chain = Chain(spark, sf_dir)
+    pixels = chain.weighted()
+    slices = robust.slice_weights(robust.potentials(pixels))[0].select("slice_id", "w_slice").join(robust.slice_scales(pixels).select("slice_id", "scale"), "slice_id")
+    return rounded(robust.super_resolved(chain.coeff.drop("v"), pixels.join(slices, "slice_id"), chain.volume, 0.8, 0.0, 1000.0))
 
 
 @query(f"WITH {SLICEW}, ins AS (SELECT slice_id, max(simweight) > 0.99::DOUBLE AS inside FROM pix GROUP BY 1) SELECT stack_id, count(*) FILTER (inside AND w_slice >= 0.5) AS included, count(*) FILTER (inside AND w_slice < 0.5) AS excluded, count(*) FILTER (NOT inside) AS outside FROM sw JOIN ins USING (slice_id) GROUP BY 1")
 def slice_report(spark, sf_dir):
-    pixels = weighted_pixels(spark, sf_dir)
+    pixels = Chain(spark, sf_dir).weighted()
     inside = pixels.groupBy("slice_id").agg((F.max("simweight") > robust.SURE).alias("inside"))
-    return robust.report(robust.slice_weights(robust.potentials(pixels)).join(inside, "slice_id"))
+    return robust.report(robust.slice_weights(robust.potentials(pixels))[0].join(inside, "slice_id"))
 
 
 @query(f"WITH {WEIGHTS}, b AS (SELECT slice_id, x, y, CASE WHEN v > 1 AND sim > 1 AND simweight > 0.99::DOUBLE THEN ln(v / sim) * w ELSE 0 END AS b FROM ws) SELECT slice_id, x, y, {R('b - avg(b) OVER (PARTITION BY slice_id)', 'bias')} FROM b")
 def bias_residual(spark, sf_dir):
     """Weighted log residuals with zero mean in each slice."""
-    b = weighted_pixels(spark, sf_dir).select("slice_id", "x", "y", robust.bias_residual().alias("b"))
+    b = Chain(spark, sf_dir).weighted().select("slice_id", "x", "y", robust.bias_residual().alias("b"))
     return rounded(b.select("slice_id", "x", "y", (F.col("b") - F.avg("b").over(W.partitionBy("slice_id"))).alias("bias")))
 
 
@@ -732,11 +712,3 @@ def scalar_functions(spark, sf_dir):
     f = F.col("p_retailprice") - F.floor("p_retailprice")
     rows = sg.table(spark, sf_dir, "part").select("p_partkey", scalars.gaussian_density(size, F.lit(25.0)).alias("g"), scalars.uniform_density(size).alias("m"), *[scalars.bspline(i, f).alias(f"b{i}") for i in range(4)], scalars.base_name(F.regexp_replace("p_type", " ", "/")).alias("last"))
     return rounded(rows, 9)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)

@@ -35,8 +35,16 @@ def px(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(images: DataFrame) -> DataFrame:
-    """Adds z, the place of a slice in its stack."""
-    return images.withColumn("z", (F.row_number().over(W.partitionBy("stack_id").orderBy("slice_id")) - 1).cast("int"))
+    """Adds z, the place of a slice in its stack. Ids alone are ranked; pixels never pass the window."""
+    ids = images.select(F.col("slice_id").alias("_id"), "stack_id")
+    ranks = ids.select("_id", (F.row_number().over(W.partitionBy("stack_id").orderBy("_id")) - 1).cast("int").alias("z"))
+    return images.join(ranks, images["slice_id"] == ranks["_id"]).drop("_id")
+
+
+def with_depth(images: DataFrame) -> DataFrame:
+    """Adds nz, the number of slices of the stack of an image with z."""
+    depth = images.groupBy(F.col("stack_id").alias("_stack")).agg((F.max("z") + 1).cast("int").alias("nz"))
+    return images.join(depth, images["stack_id"] == depth["_stack"]).drop("_stack")
 
 
 def px3(spark: SparkSession, sf_dir: str) -> DataFrame:

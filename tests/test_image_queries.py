@@ -1,7 +1,8 @@
 import pytest
 from conftest import same_as_sql
 
-from gridloom import queries as q
+from gridloom import plans as q
+from gridloom.queries import register_slice
 
 
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
@@ -15,7 +16,7 @@ def test_query_runs(spark, name):
 
 
 def test_registration_never_gets_worse(spark):
-    assert all(r["after"] >= r["before"] - 1e-9 for r in q.register_slice(spark, "/root/testdata/sf0.001").collect())
+    assert all(r["after"] >= r["before"] - 1e-9 for r in register_slice(spark, "/root/testdata/sf0.001").collect())
 
 
 def test_entry(spark):
