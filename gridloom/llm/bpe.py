@@ -1,18 +1,22 @@
 """BPE encoding and decoding through one table of the corpus's distinct words.
 
 Texts are split into words at ASCII white space, in chunks of about CHUNK_BYTES
-of text: a chunk numbers its distinct words, and its documents become lists of
-numbers. Spark makes the table of distinct words over all chunks, encodes each
-word once, and decodes it through an id-to-piece join: the word's ids, by
-position, join the tokenizer's pieces (a table as long as the vocabulary, so
-broadcast). A word's ids and decoded text join the chunks that number it, and
-each chunk joins them back to its documents by position. White space never
-joins two words' pieces, so ids of words put together are ids of the text, and
-decoded words with a space between are the decoded text.
-
-Shuffled are words, a row for each that a chunk holds however often it stands
-there, and the documents' numbers, never positions as rows. A word of every
-text has a row a chunk: at most one of the chunk's thousands.
+of text; a chunk numbers its distinct words in the order in which they come.
+Spark deals (chunk, number, word) by word and sorts, so equal words of all
+chunks stand together, and each distinct word is encoded once. Its ids go back
+to the chunks that number it, a file a chunk in the shared folder, and the
+texts, read again, join them by position: the k-th distinct word of a chunk
+takes the k-th ids. White space never joins two words' pieces, so ids of words
+put together are ids of the text. Decoding joins ids with the tokenizer's
+pieces, a table as long as the vocabulary; for a text that is being encoded
+this is done once for each distinct word of its chunk, and decoded words with a
+space between are the decoded text.
+
+Shuffled are words and ids, a row for each word that a chunk holds however often
+it stands there, never positions. A word that every text holds has a row a
+chunk: at most one of the chunk's thousands. A chunk that comes in another
+order when it is read again is noticed by the checksums of its words, and such
+words are encoded where they stand.
 
 Null texts count as empty: no ids, empty decoded text. Rows stay as they are,
 repeated ones too; columns besides the text pass through, and columns of the
@@ -22,16 +26,17 @@ names ids and decoded are replaced. An empty table gives an empty result.
 from __future__ import annotations
 
 import os
-from array import array
+import struct
+import zlib
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import Scratch, buffers, pieces, ship, small_batches
+from .common import Scratch, buffers, new_path, pieces, release, ship, shuffle_partitions, small_batches
+from .token_files import open_fs
 
 #: Bytes of text whose words are numbered together.
 CHUNK_BYTES = 16 << 20
@@ -57,135 +62,205 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, t.id_to_token(i) or "") for i in range(size)], "id int, piece string").coalesce(1)
 
 
-def numbered(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Rows of documents (chunk, row: the columns kept, numbers: of the words, 4 bytes each) and of words (chunk, number, word)."""
+def words_of(b: memoryview | None) -> Iterator[list[bytes]]:
+    """The words of a text, about a megabyte at a time."""
+    for part in pieces(bytes(b)) if b is not None else ():
+        yield part.split()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size = TaskContext.get().partitionId() << 32, 0
-        known: dict[bytes, int] = {}
-        rows = None
 
-        def vocabulary() -> pa.RecordBatch:
-            n = len(known)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * n, pa.int64()), pa.nulls(n, rows), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(list(known), pa.binary()).cast(pa.string())], NAMES
-            )
-
-        for batch in small_batches(batches, "text"):
-            rows = batch.column("row").type
-            made = []
-            for b in buffers(batch.column("text")):
-                own = array("I")
-                for part in pieces(bytes(b)) if b is not None else ():
-                    own.extend([known[w] if w in known else known.setdefault(w, len(known)) for w in part.split()])
-                    size += len(part)
-                made.append(own.tobytes())
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), batch.column("row"), pa.array(made, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], NAMES)
+def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[memoryview | None]]]:
+    """Runs of rows with the number of their chunk; chunks are cut by the texts alone."""
+    chunk, size = TaskContext.get().partitionId() << 32, 0
+    for batch in small_batches(batches, "text"):
+        texts = list(buffers(batch.column("text")))
+        first = 0
+        for i, b in enumerate(texts):
+            size += len(b) if b is not None else 0
             if size >= CHUNK_BYTES:
-                yield vocabulary()
-                chunk, size = chunk + 1, 0
-                known.clear()
-        if known:
-            yield vocabulary()
+                yield chunk, batch.slice(first, i + 1 - first), texts[first : i + 1]
+                chunk, size, first = chunk + 1, 0, i + 1
+        if first < len(texts):
+            yield chunk, batch.slice(first), texts[first:]
 
-    kept = [F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []
-    rows = docs.select(F.struct(F.lit(0).alias("none"), *kept).alias("row"), F.col(text).alias("text"))
-    kinds = [T.LongType(), rows.schema["row"].dataType, T.BinaryType(), T.IntegerType(), T.StringType()]
-    return rows.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(NAMES, kinds)]))
 
+def vocabularies(docs: DataFrame, text: str) -> DataFrame:
+    """chunk, number, word: the distinct words of each chunk in the order in which they come."""
 
-NAMES = ["chunk", "row", "numbers", "number", "word"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, {}
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            n = len(known)
+            if n:
+                word = pa.array(list(known), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), pa.array(np.arange(n, dtype=np.int32)), word], ["chunk", "number", "word"])
 
-def word_ids(path: str) -> Column:
-    """The ids of the column word, by the tokenizer."""
+        for chunk, _, texts in chunked(batches):
+            if chunk != at:
+                yield from flush()
+                at, known = chunk, {}
+            for b in texts:
+                for words in words_of(b):
+                    known.update(dict.fromkeys(words))
+        yield from flush()
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def ids(words: pa.Array) -> pa.Array:
-        t = tokenizer(path)
-        found = t.encode_batch(words.to_pylist(), add_special_tokens=False)
-        return pa.array([e.ids for e in found], pa.list_(pa.int32()))
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "chunk long, number int, word binary")
 
-    return ids("word")
 
+def coded(words: DataFrame, path: str) -> DataFrame:
+    """chunk, number, crc and ids of words; equal ones are dealt to one task and sorted, so each is encoded once."""
 
-def word_table(words: DataFrame, path: str, decoded: bool) -> DataFrame:
-    """word, ids and, if asked, decoded of each distinct word."""
-    coded = words.select("word").distinct().select("word", word_ids(path).alias("ids"))
-    return decode(coded, path) if decoded else coded
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokenizer(path).encode_batch
+        last, ids = None, []
+        for batch in batches:
+            found = batch.column("word").to_pylist()
+            heads = [i for i, w in enumerate(found) if i == 0 or w != found[i - 1]]
+            new = [found[i] for i in heads]
+            again = bool(new) and new[0] == last
+            made = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in encode([w.decode("utf-8", "replace") for w in new[again:]], add_special_tokens=False)]
+            ids = ids[-1:] + made if again else made
+            crc = np.array([zlib.crc32(w) for w in new], np.uint32)
+            many = np.diff(heads, append=len(found))
+            if new:
+                last = new[-1]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("chunk"), batch.column("number"), pa.array(np.repeat(crc, many).view(np.int32)), pa.array(ids, pa.binary()).take(pa.array(np.repeat(np.arange(len(new)), many)))],
+                    ["chunk", "number", "crc", "ids"],
+                )
+
+    dealt = words.repartition(shuffle_partitions(words.sparkSession), "word").sortWithinPartitions("word")
+    return dealt.mapInArrow(run, "chunk long, number int, crc int, ids binary")
+
+
+def store(rows: DataFrame, uri: str) -> None:
+    """A file for each chunk: the checksums and lengths of its words' ids, and the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = open_fs(uri)
+        fs.create_dir(root, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        at, parts = None, []
+
+        def flush() -> None:
+            if parts:
+                ids = pa.chunked_array([p.column("ids") for p in parts])
+                size = np.array([len(b) for b in ids.to_pylist()], "<u4")
+                crc = np.concatenate([p.column("crc").to_numpy() for p in parts]).view(np.uint32).astype("<u4")
+                raw = struct.pack("<I", len(size)) + crc.tobytes() + size.tobytes() + b"".join(ids.to_pylist())
+                with fs.open_output_stream(f"{root}/{at}.{attempt}") as f:
+                    f.write(struct.pack("<Q", len(raw)) + pa.compress(raw, "zstd", asbytes=True))
+                fs.move(f"{root}/{at}.{attempt}", f"{root}/{at}")
+
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    if chunk[a] != at:
+                        flush()
+                        at, parts = chunk[a], []
+                    parts.append(batch.slice(a, b - a))
+        flush()
+        yield from ()
+
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "chunk").sortWithinPartitions("chunk", "number")
+    dealt.mapInArrow(run, "done int").count()
+
+
+class Known(dict):
+    """Ids by word: the k-th word that is new takes the k-th ids of the chunk's file; others are encoded here."""
+
+    def __init__(self, t, raw: bytes):
+        n = struct.unpack("<I", raw[:4])[0] if raw else 0
+        self.t, self.raw, self.crc = t, raw, np.frombuffer(raw, "<u4", n, 4).tolist() if n else []
+        self.ends = (4 + 8 * n + np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n, 4 + 4 * n), dtype=np.int64)])).tolist() if n else []
+
+    def __missing__(self, word: bytes) -> bytes:
+        k = len(self)
+        if k < len(self.crc) and self.crc[k] == zlib.crc32(word):
+            ids = self.raw[self.ends[k] : self.ends[k + 1]]
+        else:
+            found = self.t.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self[word] = ids
+        return ids
+
+
+class Decoded(dict):
+    """Decoded texts by ids of a word: its pieces with a space between."""
+
+    def __init__(self, pieces_: list[str]):
+        self.pieces = pieces_
+
+    def __missing__(self, ids: bytes) -> str:
+        out = self[ids] = " ".join([self.pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return out
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep_text: bool = True, decoded: bool = False) -> DataFrame:
     """Add ids (binary, 4 bytes an id, little-endian) and, if asked, decoded."""
     spark = docs.sparkSession
     ship(spark)
-    scratch = Scratch(spark)
+    uri = new_path(spark, "vocabularies")
+    store(coded(vocabularies(docs, text), path), uri)
+    release(spark)
     keep = [c for c in docs.columns if c.lower() not in ("ids", "decoded") and (keep_text or c != text)]
-    both = scratch.put(numbered(docs, text, keep), "numbered")
-    words = both.filter("word IS NOT NULL").select("chunk", "number", "word")
-    table = scratch.put(word_table(words, path, decoded), "words")
-    vocabulary = words.join(table, "word").select(F.col("chunk").alias("of"), "number", "ids", *["decoded"] * decoded)
-    rows = both.filter("word IS NULL").select("chunk", "row", "numbers")
+    kept = [F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []
     names = [*keep, "ids", *["decoded"] * decoded]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.BinaryType())] + [T.StructField("decoded", T.StringType())] * decoded)
 
-    def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The documents of a chunk with the ids of its words."""
-        n = right.num_rows
-        number = right.column("number").to_numpy()
-        place = np.empty(n, np.int64)
-        place[number] = np.arange(n)
-        lists = right.column("ids").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), np.cumsum(np.concatenate([[0], pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)]))
-        first, size = ends[:-1][place].astype(np.int64), np.diff(ends)[place].astype(np.int64)
-        shown = right.column("decoded").to_pylist() if decoded else None
-        shown = [shown[i] for i in place.tolist()] if decoded else None
-        ids, out = [], []
-        for raw in left.column("numbers").to_pylist():
-            own = np.frombuffer(raw, np.uint32)
-            many = size[own]
-            at = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-            ids.append(flat[at].astype("<u4").tobytes())
-            if decoded:
-                out.append(" ".join([shown[i] for i in own.tolist()] if (many > 0).all() else [shown[i] for i in own[many > 0].tolist()]))
-        row = left.column("row").combine_chunks()
-        row = row.chunk(0) if isinstance(row, pa.ChunkedArray) else row
-        columns = [row.field("kept").field(c) for c in keep] + [pa.array(ids, pa.binary())] + ([pa.array(out, pa.string())] if decoded else [])
-        return pa.Table.from_arrays(columns, names)
-
-    return rows.groupBy("chunk").cogroup(vocabulary.groupBy("of")).applyInArrow(join, schema)
-
-
-def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = open_fs(uri)
+        t = tokenizer(path)
+        table = [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))] if decoded else []
+        at, known, shown = None, Known(t, b""), Decoded(table)
+        for chunk, batch, texts in chunked(batches):
+            if chunk != at:
+                raw = b""
+                if fs.get_file_info(f"{root}/{chunk}").is_file:
+                    with fs.open_input_stream(f"{root}/{chunk}") as f:
+                        held = f.read()
+                    raw = pa.decompress(held[8:], struct.unpack("<Q", held[:8])[0], "zstd", asbytes=True)
+                at, known, shown = chunk, Known(t, raw), Decoded(table)
+            ids, out = [], []
+            for b in texts:
+                own = [known[w] for words in words_of(b) for w in words]
+                ids.append(b"".join(own))
+                if decoded:
+                    out.append(" ".join([shown[x] for x in own if x]))
+            row = batch.column("row")
+            columns = [row.field("kept").field(c) for c in keep] + [pa.array(ids, pa.binary())] + ([pa.array(out, pa.string())] if decoded else [])
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    rows = docs.select(F.struct(F.lit(0).alias("none"), *kept).alias("row"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, schema)
+
+
+def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Add decoded, the pieces of the ids with a space between; null ids give null. Ids: an array, or binary of 4 bytes an id.
 
     Each id joins its piece, and pieces are put in order of position again.
     """
-    keep = [c for c in coded.columns if c.lower() != "decoded"]
-    kind = dict(coded.dtypes)[ids]
+    keep = [c for c in rows.columns if c.lower() != "decoded"]
+    kind = dict(rows.dtypes)[ids]
     listed = F.col(ids)
     if kind == "binary":
         n = F.floor(F.octet_length(ids) / 4).cast("int")
         byte = lambda i, k: F.conv(F.hex(F.substring(ids, 4 * i + k + 1, 1)), 16, 10).cast("int")
         at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
         listed = F.transform(at, lambda i: byte(i, 0) + 256 * byte(i, 1) + 65536 * byte(i, 2) + 16777216 * byte(i, 3))
-    pieces_ = piece_table(coded.sparkSession, path)
-    if kind != "binary" and keep == ["word", ids]:  # distinct words: grouped by word already, so nothing is shuffled again
-        spread = coded.select("word", ids, F.posexplode_outer(ids).alias("at", "id")).join(F.broadcast(pieces_), "id", "left")
-        put = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "piece")))), lambda s: s["piece"]), " ")
-        return spread.groupBy("word").agg(F.first(ids).alias(ids), put.alias("decoded"))
-    tagged = coded.select(F.struct(*[F.col(c) for c in keep]).alias("r"), listed.alias("l")).withColumn("n", F.monotonically_increasing_id())
-    tagged = Scratch(coded.sparkSession).put(tagged, "tagged")
+    pieces_ = piece_table(rows.sparkSession, path)
+    tagged = rows.select(F.struct(*[F.col(c) for c in keep]).alias("r"), listed.alias("l")).withColumn("n", F.monotonically_increasing_id())
+    tagged = Scratch(rows.sparkSession).put(tagged, "tagged")
     spread = tagged.select("n", F.posexplode("l").alias("at", "id")).join(F.broadcast(pieces_), "id")
     put = spread.groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda s: s["piece"]), " ").alias("decoded"))
     return tagged.join(put, "n", "left").select("r.*", F.when(F.col("l").isNotNull(), F.coalesce("decoded", F.lit(""))).alias("decoded"))
 
 
-def digests(coded: DataFrame) -> DataFrame:
+def digests(rows: DataFrame) -> DataFrame:
     """The digest columns of ids and decoded."""
-    return coded.select(
+    return rows.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

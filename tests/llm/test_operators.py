@@ -544,8 +544,23 @@ def test_word_table(spark, monkeypatch):
 def test_distinct_words_are_encoded_once(spark, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK_BYTES", 100)
     docs = spark.createDataFrame([(i, f"the same words and w{i % 30} ☃{i % 30}", "en") for i in range(300)], DOCS).repartition(5)
-    made = bpe.numbered(docs, "text", ["doc_id"])
-    words = made.filter("word IS NOT NULL").select("chunk", "number", "word")
-    table = bpe.word_table(words, WORD_BPE, True)
-    assert words.count() > 64 and table.count() == table.select("word").distinct().count() == 64
-    assert table.filter("decoded IS NULL").count() == 0
+    words = bpe.vocabularies(docs, "text").cache()
+    assert words.count() > 64 == words.select("word").distinct().count()
+    coded = bpe.coded(words, WORD_BPE)
+    got = {(r["chunk"], r["number"]): (r["crc"], bytes(r["ids"])) for r in coded.collect()}
+    assert len(got) == words.count()
+    for r in words.collect():
+        crc, ids = got[(r["chunk"], r["number"])]
+        assert crc & 0xFFFFFFFF == zlib.crc32(bytes(r["word"]))
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == bpe.tokenizer(WORD_BPE).encode(bytes(r["word"]).decode(), add_special_tokens=False).ids
+
+
+def test_chunks_in_another_order_still_encode(spark):
+    t = bpe.tokenizer(WORD_BPE)
+    ids = lambda w: struct.pack(f"<{len(t.encode(w).ids)}I", *t.encode(w, add_special_tokens=False).ids)
+    words = ["alpha", "beta", "gamma"]
+    made = [ids(w) for w in words]
+    raw = struct.pack("<I", 3) + struct.pack("<3I", *[zlib.crc32(w.encode()) for w in words]) + struct.pack("<3I", *map(len, made)) + b"".join(made)
+    for order in (words, ["beta", "alpha", "gamma", "delta"]):
+        known = bpe.Known(t, raw)
+        assert [known[w.encode()] for w in order] == [ids(w) for w in order]
