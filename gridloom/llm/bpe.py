@@ -246,10 +246,9 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     kind = dict(rows.dtypes)[ids]
     listed = F.col(ids)
     if kind == "binary":
-        n = F.floor(F.octet_length(ids) / 4).cast("int")
-        byte = lambda i, k: F.conv(F.hex(F.substring(ids, 4 * i + k + 1, 1)), 16, 10).cast("int")
-        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        listed = F.transform(at, lambda i: byte(i, 0) + 256 * byte(i, 1) + 65536 * byte(i, 2) + 16777216 * byte(i, 3))
+        # Cut as a whole into words of eight hexadecimal digits: a lambda that reads the binary copies it for each id.
+        turned = lambda h: F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
+        listed = F.transform(F.regexp_extract_all(F.hex(ids), F.lit("(.{8})")), lambda h: F.conv(turned(h), 16, 10).cast("int"))
     pieces_ = piece_table(rows.sparkSession, path)
     tagged = rows.select(F.struct(*[F.col(c) for c in keep]).alias("r"), listed.alias("l")).withColumn("n", F.monotonically_increasing_id())
     tagged = Scratch(rows.sparkSession).put(tagged, "tagged")
