@@ -2,19 +2,19 @@
 
 Texts are split into words at ASCII white space, in chunks of about CHUNK_BYTES
 of text; a chunk numbers its distinct words in the order in which they come.
-Spark deals (chunk, number, word) by word and sorts, so equal words of all
-chunks stand together, and each distinct word is encoded once. Its ids go back
-to the chunks that number it, a file a chunk in the shared folder, and the
-texts, read again, join them by position: the k-th distinct word of a chunk
-takes the k-th ids. White space never joins two words' pieces, so ids of words
+Spark deals chunks' words by hash into parts, so equal words of all chunks meet
+in one part of the table, which follows the corpus in number of parts, and each
+distinct word is encoded once. Its ids go back to the chunks that number it, a
+file a chunk in the shared folder, and the texts, read again, join them by
+position: the k-th distinct word of a chunk takes the k-th ids. White space never joins two words' pieces, so ids of words
 put together are ids of the text. Decoding joins ids with the tokenizer's
 pieces, a table as long as the vocabulary; for a text that is being encoded
 this is done once for each distinct word of its chunk, and decoded words with a
 space between are the decoded text.
 
-Shuffled are words and ids, a row for each word that a chunk holds however often
-it stands there, never positions. A word that every text holds has a row a
-chunk: at most one of the chunk's thousands. A chunk that comes in another
+Shuffled are words and ids, packed by chunk and part; a word goes once for a
+chunk that holds it, however often it stands there, and positions never do. A
+word that every text holds comes once from a chunk, with the chunk's thousands. A chunk that comes in another
 order when it is read again is noticed by the checksums of its words, and such
 words are encoded where they stand.
 
@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .common import Scratch, buffers, new_path, pieces, release, ship, shuffle_partitions, small_batches
 from .token_files import open_fs
 
-#: Bytes of text whose words are numbered together.
-CHUNK_BYTES = 16 << 20
+#: Bytes of text whose words are numbered together, and bytes of text to a part of the table of distinct words.
+CHUNK_BYTES, PART_BYTES = 16 << 20, 32 << 20
 
 _tokenizers: dict[str, object] = {}
 
@@ -83,17 +83,39 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
             yield chunk, batch.slice(first), texts[first:]
 
 
-def vocabularies(docs: DataFrame, text: str) -> DataFrame:
-    """chunk, number, word: the distinct words of each chunk in the order in which they come."""
+def packed(kind: str, *parts: bytes) -> bytes:
+    """Parts with their lengths, compressed."""
+    raw = b"".join(struct.pack("<Q", len(p)) + p for p in parts)
+    return struct.pack("<Q", len(raw)) + pa.compress(raw, kind, asbytes=True)
+
+
+def unpacked(kind: str, b: bytes | memoryview) -> list[bytes]:
+    raw, out, at = pa.decompress(b[8:], struct.unpack("<Q", b[:8])[0], kind, asbytes=True), [], 0
+    while at < len(raw):
+        (n,) = struct.unpack("<Q", raw[at : at + 8])
+        out.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def vocabularies(docs: DataFrame, text: str, parts: int) -> DataFrame:
+    """part, chunk, words: of the distinct words of each chunk, numbered in the order in which they come, those whose hash falls into a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, known = None, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            n = len(known)
-            if n:
-                word = pa.array(list(known), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), pa.array(np.arange(n, dtype=np.int32)), word], ["chunk", "number", "word"])
+            if not known:
+                return
+            words = list(known)
+            part = np.array([zlib.crc32(w) for w in words], np.uint32) % np.uint32(parts)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+            rows = []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+                own = order[a:b]
+                rows.append(packed("zstd", own.astype("<u4").tobytes(), b" ".join([words[i] for i in own.tolist()])))
+            yield pa.RecordBatch.from_arrays([pa.array(part[order][cuts].astype(np.int32)), pa.array(np.full(len(cuts), at)), pa.array(rows, pa.binary())], ["part", "chunk", "words"])
 
         for chunk, _, texts in chunked(batches):
             if chunk != at:
@@ -104,37 +126,44 @@ def vocabularies(docs: DataFrame, text: str) -> DataFrame:
                     known.update(dict.fromkeys(words))
         yield from flush()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "chunk long, number int, word binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "part int, chunk long, words binary")
 
 
-def coded(words: DataFrame, path: str) -> DataFrame:
-    """chunk, number, crc and ids of words; equal ones are dealt to one task and sorted, so each is encoded once."""
+def coded(words: DataFrame, path: str, parts: int) -> DataFrame:
+    """chunk and ids: numbers, checksums, lengths and ids of a chunk's words of a part. Equal words of all chunks meet in one task, which encodes each distinct word once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_batch
-        last, ids = None, []
+        distinct: dict[bytes, int] = {}
+        lists = []
         for batch in batches:
-            found = batch.column("word").to_pylist()
-            heads = [i for i, w in enumerate(found) if i == 0 or w != found[i - 1]]
-            new = [found[i] for i in heads]
-            again = bool(new) and new[0] == last
-            made = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in encode([w.decode("utf-8", "replace") for w in new[again:]], add_special_tokens=False)]
-            ids = ids[-1:] + made if again else made
-            crc = np.array([zlib.crc32(w) for w in new], np.uint32)
-            many = np.diff(heads, append=len(found))
-            if new:
-                last = new[-1]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("chunk"), batch.column("number"), pa.array(np.repeat(crc, many).view(np.int32)), pa.array(ids, pa.binary()).take(pa.array(np.repeat(np.arange(len(new)), many)))],
-                    ["chunk", "number", "crc", "ids"],
-                )
-
-    dealt = words.repartition(shuffle_partitions(words.sparkSession), "word").sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "chunk long, number int, crc int, ids binary")
+            for chunk, b in zip(batch.column("chunk").to_pylist(), buffers(batch.column("words"))):
+                numbers, joined = unpacked("zstd", b)
+                lists.append((chunk, numbers, np.array([distinct.setdefault(w, len(distinct)) for w in joined.split(b" ")], np.int64)))
+        table = list(distinct)
+        crc = np.array([zlib.crc32(w) for w in table], np.uint32).astype("<u2")
+        size, flat = np.zeros(len(table), np.int64), []
+        for at in range(0, len(table), 10_000):
+            for k, e in enumerate(encode([w.decode("utf-8", "replace") for w in table[at : at + 10_000]], add_special_tokens=False), at):
+                size[k] = len(e.ids)
+                flat.append(np.array(e.ids, "<u4"))
+        ids = np.concatenate(flat) if flat else np.zeros(0, "<u4")
+        first = np.cumsum(size) - size
+        for at in range(0, len(lists), 64):
+            some = lists[at : at + 64]
+            made = [packed("zstd", numbers, crc[k].tobytes(), size[k].astype("<u4").tobytes(), ids[stretches(first[k], size[k])].tobytes()) for _, numbers, k in some]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in some], pa.int64()), pa.array(made, pa.binary())], ["chunk", "ids"])
+
+    return words.repartition(parts, "part").mapInArrow(run, "chunk long, ids binary")
+
+
+def stretches(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places from each first on, size of them."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
 def store(rows: DataFrame, uri: str) -> None:
-    """A file for each chunk: the checksums and lengths of its words' ids, and the ids."""
+    """A file for each chunk: the checksums and lengths of its words' ids in the order of the words, and the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(uri)
@@ -144,41 +173,38 @@ def store(rows: DataFrame, uri: str) -> None:
 
         def flush() -> None:
             if parts:
-                ids = pa.chunked_array([p.column("ids") for p in parts])
-                size = np.array([len(b) for b in ids.to_pylist()], "<u4")
-                crc = np.concatenate([p.column("crc").to_numpy() for p in parts]).view(np.uint32).astype("<u4")
-                raw = struct.pack("<I", len(size)) + crc.tobytes() + size.tobytes() + b"".join(ids.to_pylist())
+                number, crc, size, ids = (np.concatenate([np.frombuffer(p[k], t) for p in parts]) for k, t in enumerate(("<u4", "<u2", "<u4", "<u4")))
+                order = np.argsort(number)
+                many = size.astype(np.int64)
+                first = np.cumsum(many) - many
                 with fs.open_output_stream(f"{root}/{at}.{attempt}") as f:
-                    f.write(struct.pack("<Q", len(raw)) + pa.compress(raw, "zstd", asbytes=True))
+                    f.write(packed("zstd", crc[order].tobytes(), size[order].tobytes(), ids[stretches(first[order], many[order])].tobytes()))
                 fs.move(f"{root}/{at}.{attempt}", f"{root}/{at}")
 
         for batch in batches:
-            chunk = batch.column("chunk").to_numpy()
-            cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
-            for a, b in zip(cuts, cuts[1:]):
-                if b > a:
-                    if chunk[a] != at:
-                        flush()
-                        at, parts = chunk[a], []
-                    parts.append(batch.slice(a, b - a))
+            for chunk, b in zip(batch.column("chunk").to_pylist(), buffers(batch.column("ids"))):
+                if chunk != at:
+                    flush()
+                    at, parts = chunk, []
+                parts.append(unpacked("zstd", b))
         flush()
         yield from ()
 
-    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "chunk").sortWithinPartitions("chunk", "number")
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "chunk").sortWithinPartitions("chunk")
     dealt.mapInArrow(run, "done int").count()
 
 
 class Known(dict):
     """Ids by word: the k-th word that is new takes the k-th ids of the chunk's file; others are encoded here."""
 
-    def __init__(self, t, raw: bytes):
-        n = struct.unpack("<I", raw[:4])[0] if raw else 0
-        self.t, self.raw, self.crc = t, raw, np.frombuffer(raw, "<u4", n, 4).tolist() if n else []
-        self.ends = (4 + 8 * n + np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n, 4 + 4 * n), dtype=np.int64)])).tolist() if n else []
+    def __init__(self, t, held: bytes):
+        crc, size, self.raw = unpacked("zstd", held) if held else (b"", b"", b"")
+        self.t, self.crc = t, np.frombuffer(crc, "<u2").tolist()
+        self.ends = (4 * np.concatenate([[0], np.cumsum(np.frombuffer(size, "<u4"), dtype=np.int64)])).tolist()
 
     def __missing__(self, word: bytes) -> bytes:
         k = len(self)
-        if k < len(self.crc) and self.crc[k] == zlib.crc32(word):
+        if k < len(self.crc) and self.crc[k] == zlib.crc32(word) & 0xFFFF:
             ids = self.raw[self.ends[k] : self.ends[k + 1]]
         else:
             found = self.t.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -203,7 +229,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep_text: bool = Tru
     spark = docs.sparkSession
     ship(spark)
     uri = new_path(spark, "vocabularies")
-    store(coded(vocabularies(docs, text), path), uri)
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-size // PART_BYTES))
+    store(coded(vocabularies(docs, text, parts), path, parts), uri)
     release(spark)
     keep = [c for c in docs.columns if c.lower() not in ("ids", "decoded") and (keep_text or c != text)]
     kept = [F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []
@@ -217,12 +245,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep_text: bool = Tru
         at, known, shown = None, Known(t, b""), Decoded(table)
         for chunk, batch, texts in chunked(batches):
             if chunk != at:
-                raw = b""
+                held = b""
                 if fs.get_file_info(f"{root}/{chunk}").is_file:
                     with fs.open_input_stream(f"{root}/{chunk}") as f:
                         held = f.read()
-                    raw = pa.decompress(held[8:], struct.unpack("<Q", held[:8])[0], "zstd", asbytes=True)
-                at, known, shown = chunk, Known(t, raw), Decoded(table)
+                at, known, shown = chunk, Known(t, held), Decoded(table)
             ids, out = [], []
             for b in texts:
                 own = [known[w] for words in words_of(b) for w in words]

@@ -544,23 +544,27 @@ def test_word_table(spark, monkeypatch):
 def test_distinct_words_are_encoded_once(spark, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK_BYTES", 100)
     docs = spark.createDataFrame([(i, f"the same words and w{i % 30} ☃{i % 30}", "en") for i in range(300)], DOCS).repartition(5)
-    words = bpe.vocabularies(docs, "text").cache()
-    assert words.count() > 64 == words.select("word").distinct().count()
-    coded = bpe.coded(words, WORD_BPE)
-    got = {(r["chunk"], r["number"]): (r["crc"], bytes(r["ids"])) for r in coded.collect()}
-    assert len(got) == words.count()
-    for r in words.collect():
-        crc, ids = got[(r["chunk"], r["number"])]
-        assert crc & 0xFFFFFFFF == zlib.crc32(bytes(r["word"]))
-        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == bpe.tokenizer(WORD_BPE).encode(bytes(r["word"]).decode(), add_special_tokens=False).ids
+    rows = bpe.vocabularies(docs, "text", 3).collect()
+    words = {}
+    for r in rows:
+        numbers, joined = bpe.unpacked("zstd", bytes(r["words"]))
+        words |= {(r["chunk"], n): w for n, w in zip(np.frombuffer(numbers, "<u4").tolist(), joined.split(b" "))}
+        assert {zlib.crc32(w) % 3 for w in joined.split(b" ")} == {r["part"]}
+    assert len(words) > 64 == len(set(words.values()))
+    seen = {}
+    for r in bpe.coded(spark.createDataFrame(rows, "part int, chunk long, words binary"), WORD_BPE, 3).collect():
+        number, _, size, ids = (np.frombuffer(x, t) for x, t in zip(bpe.unpacked("zstd", bytes(r["ids"])), ("<u4", "<u2", "<u4", "<u4")))
+        for n, a, b in zip(number.tolist(), (np.cumsum(size) - size).tolist(), np.cumsum(size).tolist()):
+            seen[(r["chunk"], n)] = ids[a:b].tolist()
+    assert seen == {k: bpe.tokenizer(WORD_BPE).encode(w.decode(), add_special_tokens=False).ids for k, w in words.items()}
 
 
 def test_chunks_in_another_order_still_encode(spark):
     t = bpe.tokenizer(WORD_BPE)
-    ids = lambda w: struct.pack(f"<{len(t.encode(w).ids)}I", *t.encode(w, add_special_tokens=False).ids)
+    ids = lambda w: struct.pack(f"<{len(t.encode(w, add_special_tokens=False).ids)}I", *t.encode(w, add_special_tokens=False).ids)
     words = ["alpha", "beta", "gamma"]
     made = [ids(w) for w in words]
-    raw = struct.pack("<I", 3) + struct.pack("<3I", *[zlib.crc32(w.encode()) for w in words]) + struct.pack("<3I", *map(len, made)) + b"".join(made)
+    held = bpe.packed("zstd", np.array([zlib.crc32(w.encode()) for w in words], np.uint32).astype("<u2").tobytes(), np.array([len(m) // 4 for m in made], "<u4").tobytes(), b"".join(made))
     for order in (words, ["beta", "alpha", "gamma", "delta"]):
-        known = bpe.Known(t, raw)
+        known = bpe.Known(t, held)
         assert [known[w.encode()] for w in order] == [ids(w) for w in order]
