@@ -106,3 +106,29 @@ def nearest(x: Column) -> Column:
 def inside(x: Column, n: int | Column) -> Column:
     """Whether a lattice coordinate lies in the field of view."""
     return (x >= -0.5) & (x < number_int(n) - 0.5)
+
+
+def to_time(frame: Column, origin: float, step: float) -> Column:
+    return origin + frame * step
+
+
+def to_frame(time: Column, origin: float, step: float) -> Column:
+    return (time - origin) / step
+
+
+def origin_reset(m: Sequence[Column], origin: Sequence[Column]) -> Matrix:
+    """m for an image whose origin is taken to zero: the origin goes into the translation, so that rotation is about the centre."""
+    out = list(m)
+    for r in range(3):
+        out[4 * r + 3] = m[4 * r] * origin[0] + m[4 * r + 1] * origin[1] + m[4 * r + 2] * origin[2] + m[4 * r + 3]
+    return out
+
+
+def origin_restored(m: Sequence[Column], origin: Sequence[Column]) -> Matrix:
+    """The matrix before origin_reset."""
+    return origin_reset(m, [-o for o in origin])
+
+
+def box_origin(origin: float, n: int, spacing: float, low: int, high: int) -> float:
+    """The centre, on one axis, of the places from low to before high of an image of n places about origin."""
+    return origin + ((low + high - 1) / 2 - (n - 1) / 2) * spacing

@@ -92,3 +92,24 @@ def parameter_line(line: Column) -> tuple[Column, Column]:
     """Key and value of `key = value`; what follows # is a comment."""
     bare = F.regexp_replace(line, "#.*$", "")
     return F.trim(F.regexp_extract(bare, "^([^=]*)=", 1)), F.trim(F.regexp_extract(bare, "=(.*)$", 1))
+
+
+#: Names of voxel and transformation types by number.
+VOXEL_TYPES = ("unknown", "char", "unsigned char", "short", "unsigned short", "int", "unsigned int", "float", "double")
+TRANSFORMATIONS = {1: "homogeneous", 2: "rigid", 3: "affine"}
+
+
+def voxel_type_name(code: Column) -> Column:
+    return F.coalesce(F.get(F.array(*map(F.lit, VOXEL_TYPES)), code), F.lit("unknown"))
+
+
+def transformation_name(code: Column) -> Column:
+    name = F.lit("unknown")
+    for k, v in TRANSFORMATIONS.items():
+        name = F.when(code == k, v).otherwise(name)
+    return name
+
+
+def tokens(text: Column) -> Column:
+    """The words of a text without its comments, which run from # to the line's end."""
+    return F.filter(F.split(F.regexp_replace(text, r"#[^\n]*", ""), r"\s+"), lambda t: t != "")

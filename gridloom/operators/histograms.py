@@ -71,12 +71,16 @@ def joint(pairs: DataFrame, by: Sequence[str], x: str, y: str, low: float, high:
 
 def marginals(hist: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, axis (x, y or xy), i, j, n: the joint histogram and both marginals in one pass."""
-    keys = ", ".join(by)
-    sets = ", ".join(f"({keys}{', ' if keys else ''}{g})" for g in ("i", "j", "i, j"))
-    hist.createOrReplaceTempView("_joint")
-    out = hist.sparkSession.sql(f"SELECT {keys}{',' if keys else ''} CASE WHEN grouping(j) = 1 THEN 'x' WHEN grouping(i) = 1 THEN 'y' ELSE 'xy' END AS axis, i, j, sum(n) AS n FROM _joint GROUP BY GROUPING SETS ({sets})")
-    hist.sparkSession.catalog.dropTempView("_joint")
-    return out
+    sets = [[*by, "i"], [*by, "j"], [*by, "i", "j"]]
+    total = hist.groupingSets([[F.col(c) for c in s] for s in sets], *by, "i", "j").agg(F.sum("n").alias("n"), F.grouping("i").alias("gi"), F.grouping("j").alias("gj"))
+    axis = F.when(F.col("gj") == 1, "x").when(F.col("gi") == 1, "y").otherwise("xy")
+    return total.select(*by, axis.alias("axis"), "i", "j", "n")
+
+
+def without(hist: DataFrame, samples: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A joint histogram less another one; empty bins go."""
+    left = samples.select(*by, "i", "j", (-F.col("n")).alias("n"))
+    return hist.unionByName(left).groupBy(*by, "i", "j").agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
 def metrics(hist: DataFrame, by: Sequence[str], low: float, high: float, bins: int) -> DataFrame:
@@ -148,3 +152,48 @@ def matched(rows: DataFrame, stack: str, value: str, reference: DataFrame, share
     k = F.greatest(F.lit(0), F.least(F.lit(len(shares) - 2), F.size(F.filter("own", lambda m: m <= x)) - 1))
     a, b, p, q = F.get("own", k), F.get("own", k + 1), F.get("landmarks", k), F.get("landmarks", k + 1)
     return rows.join(marks, stack).withColumn("v_matched", F.when(b > a, p + (x - a) * (q - p) / (b - a)).otherwise(p)).drop("own", "landmarks")
+
+
+def likelihood(pairs: DataFrame, model: str, target: str, value: str, by: Sequence[str]) -> DataFrame:
+    """Mean log likelihood of value under the Gaussian of its class (model, target), whose mean and variance (1 at least) are read from all pairs."""
+    v = F.col(value).cast("double")
+    fit = pairs.groupBy(model, target).agg(F.avg(v).alias("_mean"), F.greatest(F.var_pop(v), F.lit(1.0)).alias("_var"))
+    d = v - F.col("_mean")
+    return pairs.join(fit, [model, target]).groupBy(*by).agg((-F.avg(0.5 * F.log(2 * F.pi() * F.col("_var")) + d * d / (2 * F.col("_var")))).alias("likelihood"))
+
+
+def gradient_correlation(rows: DataFrame, by: Sequence[str], a: Sequence[str], b: Sequence[str]) -> DataFrame:
+    """Mean scalar product of unit gradients, weighted by the length of the first."""
+    size = lambda g: F.sqrt(sum((F.col(c) * F.col(c) for c in g[1:]), F.col(g[0]) * F.col(g[0])))
+    la, lb = size(a), size(b)
+    product = sum((F.col(x) * F.col(y) for x, y in zip(a[1:], b[1:])), F.col(a[0]) * F.col(b[0]))
+    return rows.groupBy(*by).agg((F.sum(F.when((la > 0) & (lb > 0), product / F.nullif(lb, F.lit(0.0))).otherwise(0.0)) / F.sum(la)).alias("gradient_correlation"))
+
+
+#: Images of a group that meet as one block.
+BLOCK = 64
+
+
+def pairs_of_blocks(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, a, b, ncc, ssd of all pairs of images (slice_id, pixels) of two sets in each group, from sums over zipped arrays.
+
+    The sets are cut into blocks by id, and block meets block, so a large group
+    is spread over many tasks; no pixel is shuffled more than once a block of
+    the other set.
+    """
+
+    def cut(images: DataFrame, name: str) -> DataFrame:
+        size = images.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"n_{name}"))
+        return images.join(size, list(by)).withColumn(f"k_{name}", F.pmod(F.xxhash64("slice_id"), F.col(f"n_{name}")).cast("int"))
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    l, r = cut(left, "l"), cut(right, "r")
+    of_r, of_l = (x.select(*by, n).distinct() for x, n in ((r, "n_r"), (l, "n_l")))
+    p = l.join(of_r, list(by)).select(*by, "k_l", every("n_r").alias("k_r"), F.col("slice_id").alias("a"), F.col("pixels").alias("p"))
+    q = r.join(of_l, list(by)).select(*by, every("n_l").alias("k_l"), "k_r", F.col("slice_id").alias("b"), F.col("pixels").alias("q"))
+    met = p.join(q, [*by, "k_l", "k_r"])
+    total = lambda f: F.aggregate(F.zip_with("p", "q", f), F.lit(0).cast("long"), lambda s, v: s + v).cast("double")
+    sums = met.select(*by, "a", "b", F.size("p").alias("n"), *[total(f).alias(k) for k, f in (("sa", lambda a, b: a), ("sb", lambda a, b: b), ("aa", lambda a, b: a * a), ("bb", lambda a, b: b * b), ("ab", lambda a, b: a * b))])
+    n, sa, sb, aa, bb, ab = (F.col(c) for c in ("n", "sa", "sb", "aa", "bb", "ab"))
+    below = F.sqrt((n * aa - sa * sa) * (n * bb - sb * sb))
+    return sums.select(*by, "a", "b", ((n * ab - sa * sb) / F.nullif(below, F.lit(0.0))).alias("ncc"), (-(aa + bb - 2 * ab) / n).alias("ssd"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 PADDING = -1
 
@@ -171,13 +171,41 @@ def even_odd(z: Column, packages: int) -> tuple[Column, Column]:
     return p * 2 + k % 2, F.floor(k / 2).cast("int")
 
 
-def halves(z: Column, n: Column, least: int = 4, depth: int = 12) -> Column:
+def half_path(z: Column, n: Column, least: int = 4) -> Column:
     """Path of a slice, as letters, through repeated halving of stacks of at least `least` slices."""
-    start, size, path = F.lit(0), n, F.lit("")
-    for _ in range(depth):
-        half = F.floor(size / 2).cast("int")
-        go = size >= least
-        low = (z - start) < half
-        path = F.concat(path, F.when(go, F.when(low, F.lit("a")).otherwise(F.lit("b"))).otherwise(F.lit("")))
-        start, size = F.when(go & ~low, start + half).otherwise(start), F.when(go, F.when(low, half).otherwise(size - half)).otherwise(size)
-    return path
+
+    def cut(s: Column, _: Column) -> Column:
+        half = F.floor(s["size"] / 2).cast("int")
+        low = z - s["start"] < half
+        deeper = F.struct(
+            F.when(low, s["start"]).otherwise(s["start"] + half).alias("start"), F.when(low, half).otherwise(s["size"] - half).alias("size"), F.concat(s["path"], F.when(low, F.lit("a")).otherwise(F.lit("b"))).alias("path")
+        )
+        return F.when(s["size"] >= least, deeper).otherwise(s)
+
+    # No stack has so many slices that it halves oftener than the bits of its length.
+    whole = F.struct(F.lit(0).alias("start"), n.cast("int").alias("size"), F.lit("").alias("path"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(n)).cast("int") + 1), whole, cut)["path"]
+
+
+def with_number(a: Column, b: float) -> dict[str, Column]:
+    """Sum, difference, product and quotient with a number; division by 0 leaves the image."""
+    return {"v_add": a + b, "v_sub": a - b, "v_mul": a * b, "v_div": a / F.lit(float(b)) if b else a.cast("double")}
+
+
+def rasterised(spark: SparkSession, sizes: tuple[int, int, int], f, spacing: float = 1.0) -> DataFrame:
+    """x, y, z and v = f of the world's coordinates, the lattice's centre at 0; no cross join, places come from their number."""
+    nx, ny, nz = sizes
+    k = F.col("id")
+    at = {"x": (k % nx).cast("int"), "y": (F.floor(k / nx) % ny).cast("int"), "z": F.floor(k / (nx * ny)).cast("int")}
+    rows = spark.range(nx * ny * nz).select(*[c.alias(a) for a, c in at.items()])
+    return rows.select("x", "y", "z", f(*[(F.col(a) - (n - 1) / 2) * spacing for a, n in zip("xyz", sizes)]).alias("v"))
+
+
+def padding_runs(pixels: str, padding: int = -1) -> Column:
+    """pixels with padding as minus the number of padding pixels from there to the run's end."""
+    back = F.aggregate(
+        F.reverse(pixels),
+        F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("run")),
+        lambda s, p: F.struct(F.concat(s["out"], F.array(F.when(p == padding, -(s["run"] + 1)).otherwise(p))).alias("out"), F.when(p == padding, s["run"] + 1).otherwise(0).alias("run")),
+    )
+    return F.reverse(back["out"])

@@ -150,10 +150,10 @@ def motion_scores(images: DataFrame, energy: float = 0.99) -> DataFrame:
     return images.select("stack_id", "slice_id", "pixels").groupBy("stack_id").applyInPandas(run, "stack_id int, rank int, error double, score double")
 
 
-def rigid_points(p: np.ndarray, q: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rotation and translation that lay points p on q with least squares; weights act on the covariance alone."""
+def rigid_points(p: np.ndarray, q: np.ndarray, w: np.ndarray | None = None, cov: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rotation and translation that lay points p on q with least squares; weights act on the covariance alone, which may be given."""
     a, b = p - p.mean(0), q - q.mean(0)
-    u, _, vt = np.linalg.svd((a * (1 if w is None else w[:, None])).T @ b)
+    u, _, vt = np.linalg.svd((a * (1 if w is None else w[:, None])).T @ b if cov is None else cov)
     turn = np.diag([1.0] * (p.shape[1] - 1) + [np.sign(np.linalg.det(vt.T @ u.T))])
     r = vt.T @ turn @ u.T
     return r, q.mean(0) - r @ p.mean(0)
@@ -228,3 +228,15 @@ def registration(images: DataFrame, nx: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["slice_id", "tx", "ty", "rz", "before", "after"])
 
     return images.join(mean, "stack_id").select("slice_id", "pixels", "mean").mapInPandas(run, "slice_id long, tx double, ty double, rz double, before double, after double")
+
+
+def eigenvalues(rows: DataFrame) -> DataFrame:
+    """slice_id and values: the eigenvalues, the largest first, of symmetric 2 x 2 matrices (m: xx, xy, yy)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                m = np.stack(f["m"].to_list())[:, [0, 1, 1, 2]].reshape(-1, 2, 2)
+                yield pd.DataFrame({"slice_id": f["slice_id"], "values": list(np.linalg.eigvalsh(m)[:, ::-1])})
+
+    return rows.mapInPandas(run, "slice_id long, values array<double>")

@@ -141,3 +141,121 @@ def regularised(volume: DataFrame, by: Sequence[str], delta: float, alpha: float
     v, c = F.col("v"), F.col("c")
     below = c + k * (w - o * c)
     return both.select(*keys, F.when(below > 0, (v * c + k * (s - o * v * c)) / F.when(below > 0, below)).otherwise(0.0).alias(value))
+
+
+# Images in block form: neighbours are read from the array of the own row, so nothing is shuffled.
+
+
+def bound(value: str | Column, f) -> Column:
+    """f of a value that is worked out once: a column's expression would else be put into lambdas and worked out for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def near(values: Column, i: Column, offset: tuple[int, int], nx: int, ny: int) -> Column:
+    """The value at an offset from place i of an image's array; null outside."""
+    dx, dy = offset
+    ok = F.lit(True)
+    if dx:
+        ok = ok & (i % nx + dx >= 0) & (i % nx + dx < nx)
+    if dy:
+        ok = ok & (F.floor(i / nx) + dy >= 0) & (F.floor(i / nx) + dy < ny)
+    return F.when(ok, F.get(values, (i + dy * nx + dx).cast("int")))
+
+
+def added(columns: Sequence[Column]) -> Column:
+    return sum(columns[1:], columns[0])
+
+
+def block_convolved(values: str, offsets: Sequence[tuple[int, int, float]], nx: int, ny: int, normalise: bool = True, padding: float | None = None) -> Column:
+    """Weighted sum of neighbours, by their weights where normalised; with padding, padding neither counts nor changes."""
+
+    def at(own: Column, v: Column, i: Column) -> Column:
+        found = [(near(own, i, (dx, dy), nx, ny), w) for dx, dy, w in offsets]
+        if padding is not None:
+            found = [(F.when(n > padding, n), w) for n, w in found]
+        total = added([F.coalesce(n.cast("double") * w, F.lit(0.0)) for n, w in found])
+        if normalise:
+            weight = added([F.when(n.isNotNull(), F.lit(float(w))).otherwise(0.0) for n, w in found])
+            total = F.coalesce(total / F.nullif(weight, F.lit(0.0)), F.lit(0.0))
+        return total if padding is None else F.when(v > padding, total).otherwise(v.cast("double"))
+
+    return bound(values, lambda own: F.transform(own, lambda v, i: at(own, v, i)))
+
+
+def block_separable(images: DataFrame, kernel: Sequence[tuple[int, float]], nx: int, ny: int, values: str = "pixels", normalise: bool = True, padding: float | None = None) -> DataFrame:
+    """A one-dimensional kernel along x, then along y."""
+    along_x = images.withColumn(values, block_convolved(values, [(k, 0, w) for k, w in kernel], nx, ny, normalise, padding))
+    return along_x.withColumn(values, block_convolved(values, [(0, k, w) for k, w in kernel], nx, ny, normalise, padding))
+
+
+def block_neighbours(values: Column, i: Column, offsets: Sequence[tuple[int, int]], nx: int, ny: int) -> Column:
+    """The values at the offsets that lie inside, as an array."""
+    return F.filter(F.array(*[near(values, i, o, nx, ny) for o in offsets]), lambda v: v.isNotNull())
+
+
+def inner(i: Column, nx: int, ny: int, reach: int = 1) -> Column:
+    x, y = i % nx, F.floor(i / nx)
+    return (x >= reach) & (x < nx - reach) & (y >= reach) & (y < ny - reach)
+
+
+def square(low: int, high: int) -> list[tuple[int, int]]:
+    return [(dx, dy) for dy in range(low, high + 1) for dx in range(low, high + 1)]
+
+
+def block_morphology(values: str, nx: int, ny: int, connectivity: int = 4, dilate: bool = True) -> Column:
+    """Highest or lowest value of a pixel and its neighbours; edge pixels keep their value."""
+    offsets = [(0, 0)] + [o[:2] for o in CONNECTIVITY[connectivity] if o[2] == 0]
+    best = F.array_max if dilate else F.array_min
+    return bound(values, lambda own: F.transform(own, lambda v, i: F.when(inner(i, nx, ny), best(block_neighbours(own, i, offsets, nx, ny))).otherwise(v)))
+
+
+def block_rank(values: str, nx: int, ny: int, mode: bool = False) -> Column:
+    """Upper median (or the most frequent value, the smallest on ties) of 3 x 3; edge pixels keep their value."""
+
+    def pick(found: Column) -> Column:
+        if not mode:
+            return F.get(F.array_sort(found), F.floor(F.size(found) / 2).cast("int"))
+        many = F.transform(found, lambda v: F.struct((-F.size(F.filter(found, lambda o: o == v))).alias("n"), v.alias("v")))
+        return F.array_min(many)["v"]
+
+    picked = lambda own, i: bound(block_neighbours(own, i, square(-1, 1), nx, ny), pick)
+    return bound(values, lambda own: F.transform(own, lambda v, i: F.when(inner(i, nx, ny), picked(own, i)).otherwise(v)))
+
+
+def block_gradients(values: str, nx: int, ny: int, one_sided: bool = False, spacing: tuple[float, float] = (1.0, 1.0)) -> Column:
+    """An array of structs gx, gy and magnitude: central differences; at edges 0, or one-sided and by spacing."""
+
+    def along(own: Column, v: Column, i: Column, d: tuple[int, int], size: float) -> Column:
+        before, after = (near(own, i, (s * d[0], s * d[1]), nx, ny).cast("double") for s in (-1, 1))
+        if not one_sided:
+            return F.coalesce(after - before, F.lit(0.0))
+        n = F.when(before.isNull() | after.isNull(), 1.0).otherwise(2.0)
+        return (F.coalesce(after, v.cast("double")) - F.coalesce(before, v.cast("double"))) / (n * size)
+
+    def at(own: Column, v: Column, i: Column) -> Column:
+        gx, gy = along(own, v, i, (1, 0), spacing[0]), along(own, v, i, (0, 1), spacing[1])
+        return F.struct(gx.alias("gx"), gy.alias("gy"), F.sqrt(gx * gx + gy * gy).alias("magnitude"))
+
+    return bound(values, lambda own: F.transform(own, lambda v, i: at(own, v, i)))
+
+
+def block_ssim(pairs: str, nx: int, ny: int, c1: float = 6.5025, c2: float = 58.5225) -> Column:
+    """ssim at each place of an array of structs (a, b), over the window from -2 to +3 on both axes."""
+
+    def at(own: Column, i: Column) -> Column:
+        found = block_neighbours(own, i, square(-2, 3), nx, ny)
+        zero = F.struct(*[F.lit(0.0).alias(k) for k in ("a", "b", "aa", "bb", "ab")], F.lit(0).alias("n"))
+
+        def add(s: Column, v: Column) -> Column:
+            a, b = v["a"].cast("double"), v["b"].cast("double")
+            return F.struct((s["a"] + a).alias("a"), (s["b"] + b).alias("b"), (s["aa"] + a * a).alias("aa"), (s["bb"] + b * b).alias("bb"), (s["ab"] + a * b).alias("ab"), (s["n"] + 1).alias("n"))
+
+        def score(s: Column) -> Column:
+            n = s["n"]
+            ma, mb = s["a"] / n, s["b"] / n
+            va, vb, cov = s["aa"] / n - ma * ma, s["bb"] / n - mb * mb, s["ab"] / n - ma * mb
+            return (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
+
+        return F.aggregate(found, zero, add, score)
+
+    return bound(pairs, lambda own: F.transform(own, lambda _, i: at(own, i)))

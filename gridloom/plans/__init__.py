@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom import queries as _queries  # noqa: F401  registers
+from gridloom.plans import files as _files, geometry as _geometry  # noqa: F401
 from gridloom.registry import ORACLES, QUERIES
 
 

@@ -25,12 +25,16 @@ PAIRS = f"""{PX}, fst AS (SELECT stack_id, min(slice_id) AS f FROM px GROUP BY 1
 BIN = lambda c: f"greatest(0, least(19, CAST(round(20 * ({c} - 25.0) / 1000.0) AS INT)))"
 
 
-def pair_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels of each slice (b) with those of its stack's first slice (a); joined as images, a row a stack on one side."""
+def pair_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each slice with its stack's first, as one array of pairs (a: first, b: own); joined as images, a row a stack on one side."""
     images = sg.blocks(spark, sf_dir)
     first = images.groupBy("stack_id").agg(F.min_by("pixels", "slice_id").alias("first"))
-    both = images.join(first, "stack_id").select("slice_id", "stack_id", F.arrays_zip(F.col("first").alias("a"), F.col("pixels").alias("b")).alias("pixels"))
-    long = sg.explode_pixels(both, value="p")
+    return images.join(first, "stack_id").select("slice_id", "stack_id", F.arrays_zip(F.col("first").alias("a"), F.col("pixels").alias("b")).alias("pixels"))
+
+
+def pair_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of each slice (b) with those of its stack's first slice (a)."""
+    long = sg.explode_pixels(pair_blocks(spark, sf_dir), value="p")
     return long.select("slice_id", "stack_id", "x", "y", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
 
 
@@ -140,13 +144,7 @@ FROM px p JOIN px q ON p.stack_id = q.stack_id AND p.slice_id < q.slice_id AND p
 def similarity_pairwise(spark, sf_dir):
     """Correlation and squared difference of all slice pairs of a stack, from sums over zipped arrays: no pixel is shuffled."""
     images = sg.blocks(spark, sf_dir)
-    p, q = images.alias("p"), images.alias("q")
-    z = p.join(q, (F.col("p.stack_id") == F.col("q.stack_id")) & (F.col("p.slice_id") < F.col("q.slice_id")))
-    total = lambda f: F.aggregate(F.zip_with("p.pixels", "q.pixels", f), F.lit(0).cast("long"), lambda s, v: s + v).cast("double")
-    sums = z.select(F.col("p.stack_id").alias("stack_id"), F.col("p.slice_id").alias("a"), F.col("q.slice_id").alias("b"), F.size("p.pixels").alias("n"), total(lambda a, b: a).alias("sa"), total(lambda a, b: b).alias("sb"), total(lambda a, b: a * a).alias("aa"), total(lambda a, b: b * b).alias("bb"), total(lambda a, b: a * b).alias("ab"))
-    n, sa, sb, aa, bb, ab = (F.col(c) for c in ("n", "sa", "sb", "aa", "bb", "ab"))
-    ncc = (n * ab - sa * sb) / F.sqrt((n * aa - sa * sa) * (n * bb - sb * sb))
-    return rounded(sums.select("stack_id", "a", "b", ncc.alias("ncc"), (-(aa + bb - 2 * ab) / n).alias("ssd")))
+    return rounded(hist.pairs_of_blocks(images, images, ["stack_id"]).filter("a < b"))
 
 
 @query(f"""WITH {PX}, d AS (SELECT p.slice_id AS a, q.slice_id AS b, sqrt(sum((p.v - q.v) ** 2)) AS d FROM px p JOIN px q ON p.stack_id = q.stack_id AND p.slice_id <> q.slice_id AND p.x = q.x AND p.y = q.y GROUP BY 1, 2)
@@ -154,11 +152,10 @@ SELECT a AS slice_id, CAST(k AS INT) AS k, b AS neighbour, {R('d', 'distance')}
 def knn_slices(spark, sf_dir):
     """The five nearest slices of the stack; the nearest few are kept in each partial aggregate."""
     images = sg.blocks(spark, sf_dir)
-    p, q = images.alias("p"), images.alias("q")
-    z = p.join(q, (F.col("p.stack_id") == F.col("q.stack_id")) & (F.col("p.slice_id") != F.col("q.slice_id")))
-    d = F.sqrt(F.aggregate(F.zip_with("p.pixels", "q.pixels", lambda a, b: (a - b) * (a - b)), F.lit(0), lambda s, v: s + v).cast("double"))
+    met = hist.pairs_of_blocks(images, images, ["stack_id"]).filter("a <> b")
+    found = met.select(F.col("a").alias("slice_id"), F.col("b").alias("neighbour"), F.sqrt(-F.col("ssd") * sg.SIDE * sg.SIDE).alias("distance"))
+    # Spark keeps the first five of a window in each task before the shuffle.
     k = F.row_number().over(W.partitionBy("slice_id").orderBy("distance", "neighbour"))
-    found = z.select(F.col("p.slice_id").alias("slice_id"), F.col("q.slice_id").alias("neighbour"), d.alias("distance"))
     return rounded(found.withColumn("k", k).filter("k <= 5").select("slice_id", "k", "neighbour", "distance"))
 
 
@@ -300,7 +297,7 @@ def package_split(spark, sf_dir):
     z = F.col("z")
     (p, a), (q, b) = im.package(z, 3), im.even_odd(z, 3)
     n = F.count("*").over(W.partitionBy("stack_id"))
-    half = F.substring(im.halves(z, n.cast("int"), depth=1), 1, 1)
+    half = F.substring(im.half_path(z, n), 1, 1)
     return sg.ranked(sg.blocks(spark, sf_dir)).select("slice_id", "z", p.alias("pkg"), a.alias("at"), q.alias("pkg2"), b.alias("at2"), (half == "a").cast("int").alias("low"))
 
 
@@ -311,25 +308,30 @@ KERNEL = scalars.gaussian_kernel(1.0)
 KERNEL_SQL = "(VALUES " + ", ".join(f"({k}, {w!r}::DOUBLE)" for k, w in KERNEL) + ") g(k, w)"
 
 
+def _made(spark: SparkSession, sf_dir: str, pixels: Column, *keep: str) -> DataFrame:
+    """Pixels of an expression over each slice's array."""
+    return sg.explode_pixels(sg.blocks(spark, sf_dir).select("slice_id", *keep, "pixels").withColumn("pixels", pixels))
+
+
 @query(f"""WITH {PX}, bx AS (SELECT slice_id, x - k AS x, y, sum(v * w) / sum(w) AS v FROM px, {KERNEL_SQL} WHERE x - k BETWEEN 0 AND 7 GROUP BY slice_id, x - k, y)
 SELECT slice_id, x, y - k AS y, {R('sum(v * w) / sum(w)', 'v')} FROM bx, {KERNEL_SQL} WHERE y - k BETWEEN 0 AND 7 GROUP BY slice_id, x, y - k""")
 def gauss_blur(spark, sf_dir):
-    return rounded(stencils.separable(sg.px(spark, sf_dir), ["slice_id"], KERNEL, SIZES))
+    return rounded(sg.explode_pixels(stencils.block_separable(sg.blocks(spark, sf_dir).select("slice_id", "pixels"), KERNEL, 8, 8)))
 
 
 @query(f"""WITH {PX}, o AS (SELECT px.slice_id, px.x, px.y, px.v, sum(q.v * w) / sum(w) AS s FROM px JOIN (SELECT * FROM px, (VALUES (-1, 1.0::DOUBLE), (0, 2.0::DOUBLE), (1, 1.0::DOUBLE)) g(k, w)) q
   ON q.slice_id = px.slice_id AND q.y = px.y AND q.x = px.x + k AND q.v > 480 WHERE px.v > 480 GROUP BY ALL)
 SELECT px.slice_id, px.x, px.y, {R('coalesce(s, px.v)', 'v')} FROM px LEFT JOIN o USING (slice_id, x, y)""")
 def convolution_with_padding(spark, sf_dir):
-    out = stencils.convolved(sg.px(spark, sf_dir), ["slice_id"], [(-1, 0, 1.0), (0, 0, 2.0), (1, 0, 1.0)], SIZES, padding=480)
-    return rounded(out)
+    made = stencils.block_convolved("pixels", [(-1, 0, 1.0), (0, 0, 2.0), (1, 0, 1.0)], 8, 8, padding=480)
+    return rounded(_made(spark, sf_dir, made))
 
 
 @query(f"""WITH {PX}, g AS (SELECT slice_id, x, y, coalesce(lead(v) OVER (PARTITION BY slice_id, y ORDER BY x) - lag(v) OVER (PARTITION BY slice_id, y ORDER BY x), 0)::DOUBLE AS gx,
  coalesce(lead(v) OVER (PARTITION BY slice_id, x ORDER BY y) - lag(v) OVER (PARTITION BY slice_id, x ORDER BY y), 0)::DOUBLE AS gy FROM px)
 SELECT slice_id, x, y, gx, gy, {R('sqrt(gx * gx + gy * gy)', 'magnitude')} FROM g""")
 def gradient_magnitude(spark, sf_dir):
-    return rounded(stencils.gradients(sg.px(spark, sf_dir), ["slice_id"]).select("slice_id", "x", "y", "gx", "gy", "magnitude"))
+    return rounded(_made(spark, sf_dir, stencils.block_gradients("pixels", 8, 8)).select("slice_id", "x", "y", "v.*"))
 
 
 def _morph(f: str) -> str:
@@ -339,32 +341,33 @@ FROM px p JOIN px q ON p.slice_id = q.slice_id AND abs(p.x - q.x) + abs(p.y - q.
 
 @query(_morph("max"))
 def dilate(spark, sf_dir):
-    return stencils.morphology(sg.px(spark, sf_dir), ["slice_id"], SIZES, 4, True)
+    return _made(spark, sf_dir, stencils.block_morphology("pixels", 8, 8, 4, True))
 
 
 @query(_morph("min"))
 def erode(spark, sf_dir):
-    return stencils.morphology(sg.px(spark, sf_dir), ["slice_id"], SIZES, 4, False)
+    return _made(spark, sf_dir, stencils.block_morphology("pixels", 8, 8, 4, False))
 
 
 @query(f"""WITH {PX} SELECT p.slice_id, p.stack_id, p.x, p.y, CASE WHEN p.x IN (0, 7) OR p.y IN (0, 7) THEN max(p.v) ELSE list_sort(list(q.v))[5] END AS v
 FROM px p JOIN px q ON p.slice_id = q.slice_id AND abs(p.x - q.x) <= 1 AND abs(p.y - q.y) <= 1 GROUP BY p.slice_id, p.stack_id, p.x, p.y""")
 def median3(spark, sf_dir):
-    return stencils.rank_filter(sg.px(spark, sf_dir), ["slice_id"], SIZES).select("slice_id", "stack_id", "x", "y", "v")
+    return _made(spark, sf_dir, stencils.block_rank("pixels", 8, 8), "stack_id").select("slice_id", "stack_id", "x", "y", "v")
 
 
 @query(f"""WITH {PX}, l AS (SELECT slice_id, x, y, v // 50 AS v FROM px), c AS (SELECT p.slice_id, p.x, p.y, p.v AS own, q.v, count(*) AS n FROM l p JOIN l q ON p.slice_id = q.slice_id AND abs(p.x - q.x) <= 1 AND abs(p.y - q.y) <= 1 GROUP BY ALL)
 SELECT slice_id, x, y, CASE WHEN x IN (0, 7) OR y IN (0, 7) THEN own ELSE v END AS v FROM (SELECT *, row_number() OVER (PARTITION BY slice_id, x, y ORDER BY n DESC, v) AS k FROM c) WHERE k = 1""")
 def mode3(spark, sf_dir):
-    labels = sg.px(spark, sf_dir).select("slice_id", "x", "y", F.floor(F.col("v") / 50).cast("int").alias("v"))
-    return stencils.rank_filter(labels, ["slice_id"], SIZES, mode=True).select("slice_id", "x", "y", "v")
+    labels = sg.blocks(spark, sf_dir).select("slice_id", F.transform("pixels", lambda v: F.floor(v / 50).cast("int")).alias("pixels"))
+    return sg.explode_pixels(labels.withColumn("pixels", stencils.block_rank("pixels", 8, 8, mode=True)))
 
 
 @query(f"""WITH {PAIRS}, s AS (SELECT p.slice_id, p.x, p.y, avg(q.a) AS ma, avg(q.b) AS mb, avg(q.a * q.a) AS aa, avg(q.b * q.b) AS bb, avg(q.a * q.b) AS ab
  FROM pairs p JOIN pairs q ON p.slice_id = q.slice_id AND q.x - p.x BETWEEN -2 AND 3 AND q.y - p.y BETWEEN -2 AND 3 GROUP BY 1, 2, 3)
 SELECT slice_id, x, y, {R('(2 * ma * mb + 6.5025::DOUBLE) * (2 * (ab - ma * mb) + 58.5225::DOUBLE) / ((ma * ma + mb * mb + 6.5025::DOUBLE) * (aa - ma * ma + bb - mb * mb + 58.5225::DOUBLE))', 'ssim')} FROM s""")
 def ssim_local(spark, sf_dir):
-    return rounded(stencils.local_ssim(pair_pixels(spark, sf_dir), ["slice_id"], SIZES)).select("slice_id", "x", "y", "ssim")
+    made = pair_blocks(spark, sf_dir).select("slice_id", stencils.block_ssim("pixels", 8, 8).alias("pixels"))
+    return rounded(sg.explode_pixels(made, value="ssim"))
 
 
 DIRS_SQL = "(VALUES " + ", ".join(f"({s * x}, {s * y}, {s * z}, {1 / (abs(x) + abs(y) + abs(z))!r}::DOUBLE)" for x, y, z in stencils.DIRECTIONS for s in (1, -1)) + ") d(ox, oy, oz, f)"
