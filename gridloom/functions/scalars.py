@@ -113,3 +113,10 @@ def transformation_name(code: Column) -> Column:
 def tokens(text: Column) -> Column:
     """The words of a text without its comments, which run from # to the line's end."""
     return F.filter(F.split(F.regexp_replace(text, r"#[^\n]*", ""), r"\s+"), lambda t: t != "")
+
+
+def gaussian_derivative(x: Column, order: int, sigma: float = 1.0) -> Column:
+    """The normal density, or its first or second derivative."""
+    t = x / sigma
+    g = F.exp(-0.5 * t * t) / (sigma * math.sqrt(2 * math.pi))
+    return (g, -t / sigma * g, (t * t - 1) / (sigma * sigma) * g)[order]

@@ -26,17 +26,28 @@ def per_image(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], nx:
     return images.mapInPandas(run, f"{fields}, {out} {kind}")
 
 
+def per_volume(volumes: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], nx: int, ny: int) -> DataFrame:
+    """stack_id and pixels: the kernel's array for volumes in block form (z, y, x)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"stack_id": f["stack_id"], "pixels": [np.asarray(kernel(np.asarray(p, float).reshape(-1, ny, nx)), float).ravel() for p in f["pixels"]]})
+
+    return volumes.select("stack_id", "pixels").mapInPandas(run, "stack_id int, pixels array<double>")
+
+
 def components(mask: np.ndarray) -> np.ndarray:
-    """Labels of connected parts (edges shared), each the smallest index of its part; -1 outside."""
-    flat, nx = mask.ravel(), mask.shape[1]
+    """Labels of connected parts (edges or faces shared), each the smallest index of its part; -1 outside."""
+    flat = mask.ravel()
     label = np.where(flat, np.arange(flat.size), -1)
     while True:
         new = label.reshape(mask.shape).copy()
-        for a, b in ((new[:, :-1], new[:, 1:]), (new[:-1], new[1:])):
-            both = (a >= 0) & (b >= 0)
-            low = np.where(both, np.minimum(a, b), flat.size)
-            for part in (a, b):
-                part[both] = np.minimum(part, low)[both]
+        for axis in range(mask.ndim):
+            a, b = (np.take(new, range(*r), axis) for r in ((mask.shape[axis] - 1,), (1, mask.shape[axis])))
+            low = np.where((a >= 0) & (b >= 0), np.minimum(a, b), flat.size)
+            for k in (0, 1):
+                part = np.moveaxis(new, axis, 0)[k : mask.shape[axis] - 1 + k]
+                part[...] = np.where(part >= 0, np.minimum(part, np.moveaxis(low, axis, 0)), part)
         new = new.ravel()
         new[new >= 0] = new[new[new >= 0]]
         if (new == label).all():
@@ -53,18 +64,31 @@ def largest_component(mask: np.ndarray) -> np.ndarray:
     return (label == ids[np.argmax(n)]).astype(float)
 
 
-def distances(mask: np.ndarray, spacing: float = 1.0, city: bool = False) -> np.ndarray:
+def distances(mask: np.ndarray, spacing: tuple[float, ...] | None = None, city: bool = False) -> np.ndarray:
     """Distance of each place to the nearest place of the mask; infinite where the mask is empty.
 
-    One axis at a time: the lower envelope of what the axis before left.
+    One axis at a time. City-block distances run forth and back along it; the
+    squares of others take, for growing steps, the least of what lies a step
+    away, until no step can gain.
     """
-    far = np.inf
-    d = np.where(mask, 0.0, far)
-    for axis in (0, 1):
-        n = d.shape[axis]
-        k = np.abs(np.arange(n)[:, None] - np.arange(n)[None]) * spacing
-        d = (np.moveaxis(d, axis, -1)[..., None, :] + (k if city else k * k)).min(-1)
-        d = np.moveaxis(d, -1, axis)
+    spacing = spacing or (1.0,) * mask.ndim
+    d = np.where(mask, 0.0, np.inf)
+    for axis in range(mask.ndim):
+        d = np.moveaxis(d, axis, 0)
+        n, h = len(d), spacing[axis]
+        if city:
+            for order in (range(1, n), range(n - 2, -1, -1)):
+                for i in order:
+                    d[i] = np.minimum(d[i], d[i - 1 if order.step > 0 else i + 1] + h)
+        else:
+            was = d.copy()
+            for k in range(1, n):
+                gain = (k * h) ** 2
+                if not (d[np.isfinite(d)] > gain).any() and np.isfinite(d).all():
+                    break
+                d[k:] = np.minimum(d[k:], was[:-k] + gain)
+                d[:-k] = np.minimum(d[:-k], was[k:] + gain)
+        d = np.moveaxis(d, 0, axis)
     return d if city else np.sqrt(d)
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions import coords
+from gridloom.operators.stencils import bound
 
 
 def corners(x: Column, y: Column, z: Column | None = None) -> Column:
@@ -145,3 +146,92 @@ def forward_projected(coeff: DataFrame, volume: DataFrame, keep: Sequence[str] =
     met = coeff.join(volume, VOXEL)
     s = met.groupBy("stack_id", *PIXEL, *keep).agg(F.sum(F.col("c") * F.col("vol")).alias("s"), F.sum("c").alias("simweight"))
     return s.select("stack_id", *PIXEL, *keep, (F.col("s") / F.col("simweight")).alias("sim"), "simweight")
+
+
+#: Interpolation by name: weights by distance, as numpy. Linear and nearest run as joins or on blocks above.
+KERNELS = {
+    "linear": lambda t: np.maximum(0.0, 1 - t),
+    "cubic": lambda t: np.where(t < 1, t**3 - 2 * t**2 + 1, np.where(t < 2, -(t**3) + 5 * t**2 - 8 * t + 4, 0.0)),
+    "bspline": lambda t: np.where(t < 1, (4 - 6 * t**2 + 3 * t**3) / 6, np.where(t < 2, (2 - t) ** 3 / 6, 0.0)),
+    "sinc": lambda t: np.where(t < 6, np.sinc(t) * 0.5 * (1 + np.cos(np.pi * t / 6)), 0.0),
+    "gaussian": lambda t: np.exp(-0.5 * t * t),
+}
+
+
+def interpolated(images: DataFrame, nx: int, ny: int, places: Sequence[tuple[float, float]], kernel, reach: int, normalise: bool = False, width: int = 1) -> DataFrame:
+    """slice_id, ox, oy, v: each image's value at fixed places, by a kernel over 2 * reach pixels an axis, edge pixels repeated.
+
+    Weights are the same for all images, so a batch of images is one product of matrices.
+    """
+    weight = np.zeros((len(places), ny * nx))
+    for k, (x, y) in enumerate(places):
+        at = [np.floor(c) + np.arange(1 - reach, reach + 1) for c in (x, y)]
+        w = np.outer(kernel(np.abs(y - at[1])), kernel(np.abs(x - at[0])))
+        rows, cols = (np.clip(a, 0, n - 1).astype(int) for a, n in ((at[1], ny), (at[0], nx)))
+        np.add.at(weight[k].reshape(ny, nx), (rows[:, None], cols[None]), w / w.sum() if normalise else w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                pixels = batch.column("pixels").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, ny * nx)
+                n = len(places)
+                k = np.tile(np.arange(n), len(pixels))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("slice_id").take(pa.array(np.repeat(np.arange(len(pixels)), n))), pa.array((k % width).astype(np.int32)), pa.array((k // width).astype(np.int32)), pa.array((pixels @ weight.T).ravel())],
+                    ["slice_id", "ox", "oy", "v"],
+                )
+
+    return images.select("slice_id", "pixels").mapInArrow(run, "slice_id long, ox int, oy int, v double")
+
+
+def transformed(images: DataFrame, nx: int, ny: int, scale: float = 1.0, offset: float = 0.0, padding: float = 0.0) -> DataFrame:
+    """slice_id and pixels: images (with t: four entries of the inverse in-plane map and the shift) resampled on their own lattice about its centre.
+
+    An output place goes back through shift and inverse; its linear value is
+    scaled and shifted, and padding where it falls out of the field of view.
+    """
+    cx, cy = (nx - 1) / 2, (ny - 1) / 2
+
+    def value(s, own, i):
+        x, y = i % nx - cx - s["t"][4], F.floor(i / nx) - cy - s["t"][5]
+        return F.struct((s["t"][0] * x + s["t"][1] * y + cx).alias("x"), (s["t"][2] * x + s["t"][3] * y + cy).alias("y"))
+
+    def read(p, own):
+        x0, y0 = F.floor(p["x"]), F.floor(p["y"])
+        total = F.lit(0.0)
+        for a in (0, 1):
+            for b in (0, 1):
+                x, y = x0 + a, y0 + b
+                ok = (x >= 0) & (x < nx) & (y >= 0) & (y < ny)
+                total = total + F.when(ok, F.coalesce(F.get(own, (y * nx + x).cast("int")).cast("double"), F.lit(0.0)) * (1 - F.abs(p["x"] - x)) * (1 - F.abs(p["y"] - y))).otherwise(0.0)
+        return F.when(coords.inside(p["x"], nx) & coords.inside(p["y"], ny), total * scale + offset).otherwise(F.lit(float(padding)))
+
+    both = F.struct("pixels", "t")
+    made = bound(both, lambda s: F.transform(s["pixels"], lambda _, i: bound(value(s, None, i), lambda p: read(p, s["pixels"]))))
+    return images.select("slice_id", made.alias("pixels"))
+
+
+def halved(images: DataFrame, nx: int, ny: int) -> DataFrame:
+    """Images at twice the spacing: a place is the mean of the four around it (sizes are even)."""
+    w = nx // 2
+
+    def at(own, i):
+        first = (F.floor(i / w) * 2 * nx + i % w * 2).cast("int")
+        return (F.get(own, first).cast("double") + F.get(own, first + 1) + F.get(own, first + nx) + F.get(own, first + nx + 1)) / 4
+
+    made = bound("pixels", lambda own: F.transform(F.sequence(F.lit(0), F.lit(w * (ny // 2) - 1)), lambda i: at(own, i)))
+    return images.withColumn("pixels", made)
+
+
+def with_noise(pixels: str, key: str, seed: int, low: float, high: float, padding: float | None = None) -> Column:
+    """pixels with uniform noise from seed, key and place, so a task that runs again draws the same."""
+    unit = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col(key), i), F.lit(1 << 30)) / float(1 << 30)
+    noisy = lambda v, i: v + low + (high - low) * unit(i)
+    return bound(pixels, lambda own: F.transform(own, lambda v, i: noisy(v, i) if padding is None else F.when(v > padding, noisy(v, i)).otherwise(v.cast("double"))))
+
+
+def template(n: Sequence[Column], spacing: Sequence[float], d: float = 0.0) -> dict[str, Column]:
+    """Spacing and sizes of the volume to build over a stack: two slices more, spacing d or the least of the stack's."""
+    d = d or min(spacing)
+    more = [n[0], n[1], n[2] + 2]
+    return {"d": F.lit(float(d)), **{f"n{a}": F.floor(k * s / d).cast("int") for a, k, s in zip("xyz", more, spacing)}}

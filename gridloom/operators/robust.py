@@ -6,9 +6,12 @@ on slice_id. Global numbers are aggregates of one row, which the driver reads.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.scalars import STEP, gaussian_density, uniform_density
+from gridloom.operators import stencils
 
 SURE = 0.99
 
@@ -114,7 +117,7 @@ def super_resolved(coeff: DataFrame, pixels: DataFrame, volume: DataFrame, alpha
     k = F.col("c") * F.col("w") * F.col("w_slice")
     near = coeff.join(pixels.select("slice_id", "x", "y", "w", "w_slice", e.alias("e")), ["slice_id", "x", "y"])
     add = near.groupBy("stack_id", "vx", "vy", "vz").agg(F.sum(k * F.col("e")).alias("addon"), F.sum(k).alias("cmap"))
-    both = volume.join(add, ["stack_id", "vx", "vy", "vz"], "left")
+    both = volume.select("stack_id", "vx", "vy", "vz", "vol").join(add, ["stack_id", "vx", "vy", "vz"], "left")
     step = F.when(F.coalesce("cmap", F.lit(0.0)) > 0, F.col("addon") / F.col("cmap")).otherwise(0.0)
     return both.select("stack_id", "vx", "vy", "vz", F.greatest(F.lit(0.9 * low), F.least(F.lit(1.1 * high), F.col("vol") + alpha * step)).alias("vol"), F.coalesce("cmap", F.lit(0.0)).alias("cmap"))
 
@@ -123,3 +126,85 @@ def report(slices: DataFrame) -> DataFrame:
     """Counts of included, excluded and outside slices by stack; slices: w_slice, inside."""
     kind = F.when(~F.col("inside"), "outside").when(F.col("w_slice") >= 0.5, "included").otherwise("excluded")
     return slices.groupBy("stack_id").agg(*[F.count_if(kind == k).alias(k) for k in ("included", "excluded", "outside")])
+
+
+VOXEL = ["stack_id", "vx", "vy", "vz"]
+
+
+def reset(rows: DataFrame, padding: float = -1) -> DataFrame:
+    """rows with w (0 at padding), b, scale, w_slice before the first step, and lo and hi, the range of positive values."""
+    v = F.when(F.col("v") > 0, F.col("v"))
+    low, high = rows.agg(F.min(v), F.max(v)).first()
+    w = F.when(F.col("v") == padding, 0.0).otherwise(1.0)
+    return rows.select("*", w.alias("w"), F.lit(0.0).alias("b"), F.lit(1.0).alias("scale"), F.lit(1.0).alias("w_slice"), F.lit(low).alias("lo"), F.lit(high).alias("hi"))
+
+
+def restored(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """Positive values over the factor of their stack; factors: stack_id and factor."""
+    v = F.col("v").cast("double")
+    return rows.join(factors, "stack_id").withColumn("v", F.when(v > 0, v / F.col("factor")).otherwise(v)).drop("factor")
+
+
+def bias(pixels: DataFrame, kernel: Sequence[tuple[int, float]], nx: int, ny: int, floor: float = 1.0) -> DataFrame:
+    """slice_id, x, y, b: weighted log residuals of each slice over their weights, both smoothed, less their mean.
+
+    pixels: slice_id, x, y, v, sim, simweight, w, and b and scale where known.
+    A slice's pixels become one row, and smoothing runs on its array.
+    """
+    old = F.col("b") if "b" in pixels.columns else F.lit(0.0)
+    scale = F.col("scale") if "scale" in pixels.columns else F.lit(1.0)
+    v = F.when(known(), F.col("v") * F.exp(-old) * scale)
+    wb = F.when(known(), F.col("w") * v).otherwise(0.0)
+    wr = F.when(known() & (F.col("sim") > floor) & (v > floor), F.log(v / F.col("sim")) * F.col("w") * v).otherwise(0.0)
+    at = (F.col("y") * nx + F.col("x")).alias("at")
+    rows = pixels.select("slice_id", at, wb.alias("wb"), wr.alias("wr"), old.alias("b"), (F.col("v") != -1).alias("use"))
+    maps = rows.groupBy("slice_id").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("wb", "wr", "b")))).alias("m"))
+    place = F.sequence(F.lit(0), F.lit(nx * ny - 1))
+    get = lambda k: F.transform(place, lambda i: F.coalesce(F.try_element_at("m", i)[k], F.lit(0.0))).alias(k)
+    blocks = maps.select("slice_id", get("wb"), get("wr"), get("b"))
+    for name in ("wb", "wr"):
+        blocks = stencils.block_separable(blocks, kernel, nx, ny, name, normalise=False)
+    made = F.zip_with(F.arrays_zip("wb", "wr"), "b", lambda s, b: b + F.when(s["wb"] > 0, s["wr"] / s["wb"]).otherwise(0.0))
+    blocks = blocks.select("slice_id", made.alias("b"))
+    mean = F.aggregate("b", F.lit(0.0), lambda s, x: s + x) / F.size("b")
+    zero = stencils.bound(F.struct("b", mean.alias("mean")), lambda s: F.transform(s["b"], lambda x: x - s["mean"]))
+    long = blocks.select("slice_id", F.posexplode(zero).alias("at", "b"))
+    return long.select("slice_id", (F.col("at") % nx).alias("x"), F.floor(F.col("at") / nx).cast("int").alias("y"), "b")
+
+
+def smoothed_ratio(volume: DataFrame, kernel: Sequence[tuple[int, float]], above: str, below: str, nx: int = 8, ny: int = 8) -> DataFrame:
+    """VOXEL and ratio: above over below, both smoothed along three axes over the voxels that exist."""
+    rows = volume.select(*VOXEL, F.col(above).alias("n"), F.col(below).alias("d"))
+    for axis, size in (("vx", nx), ("vy", ny), ("vz", None)):
+        at = F.explode(F.array(*[F.struct((F.col(axis) - k).alias("a"), F.lit(float(w)).alias("w")) for k, w in kernel])).alias("e")
+        others = [v for v in VOXEL if v != axis]
+        sent = rows.select(*others, "n", "d", at).select(*others, F.col("e.a").alias(axis), (F.col("n") * F.col("e.w")).alias("n"), (F.col("d") * F.col("e.w")).alias("d"))
+        sent = sent.filter(F.col(axis) >= 0) if size is None else sent.filter((F.col(axis) >= 0) & (F.col(axis) < size))
+        rows = sent.groupBy(*VOXEL).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return rows.select(*VOXEL, (F.col("n") / F.col("d")).alias("ratio"))
+
+
+def normalised_bias(coeff: DataFrame, bias_: DataFrame, scales: DataFrame, volume: DataFrame, kernel: Sequence[tuple[int, float]]) -> DataFrame:
+    """VOXEL and vol: the volume less the bias (with the slices' scales) that it took from them, smoothed."""
+    own = bias_.join(scales.select("slice_id", "scale"), "slice_id").select("slice_id", "x", "y", (F.col("b") - F.when(F.col("scale") > 0, F.log("scale")).otherwise(0.0)).alias("b"))
+    met = coeff.join(own, ["slice_id", "x", "y"]).groupBy(*VOXEL).agg((F.sum(F.col("c") * F.col("b")) / F.sum("c")).alias("nb")).withColumn("one", F.lit(1.0))
+    ratio = smoothed_ratio(met, kernel, "nb", "one")
+    return volume.join(ratio, VOXEL).select(*VOXEL, (F.col("vol") / F.exp(-F.col("ratio"))).alias("vol"))
+
+
+def bias_corrected(volume: DataFrame, before: DataFrame, kernel: Sequence[tuple[int, float]], cut: float, low: float, high: float) -> DataFrame:
+    """VOXEL and vol: the volume over the smoothed ratio to the one before, where both exceed cut times high, held to [0.9 low, 1.1 high]."""
+    both = volume.select(*VOXEL, "vol").join(before.select(*VOXEL, F.col("vol").alias("old")), VOXEL)
+    ok = (F.col("old") > cut * high) & (F.col("vol") > cut * high)
+    marked = both.select(*VOXEL, "vol", F.when(ok, F.log(F.col("vol") / F.col("old"))).otherwise(0.0).alias("r"), F.when(ok, 1.0).otherwise(0.0).alias("m"))
+    ratio = smoothed_ratio(marked, kernel, "r", "m")
+    return both.join(ratio, VOXEL).select(*VOXEL, F.greatest(F.lit(0.9 * low), F.least(F.lit(1.1 * high), F.col("vol") / F.exp("ratio"))).alias("vol"))
+
+
+def regularised_step(after: DataFrame, before: DataFrame, delta: float, alpha: float, lam: float) -> DataFrame:
+    """VOXEL, vol and cmap after the regulariser; its weights come from the volume before the step, values and confidence (cmap) from after."""
+    both = after.join(before.select(*VOXEL, F.col("vol").alias("old")), VOXEL)
+    places = {"vx": "x", "vy": "y", "vz": "z"}
+    rows = both.select("stack_id", *[F.col(k).alias(v) for k, v in places.items()], "old", "vol", "cmap")
+    made = stencils.regularised(rows, ["stack_id"], delta, alpha, lam, value="vol", confidence="cmap", weights="old")
+    return made.join(rows.select("stack_id", "x", "y", "z", "cmap"), ["stack_id", "x", "y", "z"]).select("stack_id", *[F.col(v).alias(k) for k, v in places.items()], "vol", "cmap")

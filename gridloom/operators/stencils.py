@@ -121,28 +121,37 @@ def local_ssim(pairs: DataFrame, by: Sequence[str], sizes: dict[str, int], x: st
 DIRECTIONS = [(x, y, z) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1) if (z, y, x) > (0, 0, 0)]
 
 
-def regularised(volume: DataFrame, by: Sequence[str], delta: float, alpha: float, lam: float, value: str = "v", confidence: str = "c") -> DataFrame:
+def regularised(volume: DataFrame, by: Sequence[str], delta: float, alpha: float, lam: float, value: str = "v", confidence: str = "c", weights: str | None = None) -> DataFrame:
     """One edge-preserving step over 13 directions and their opposites; volume: by, x, y, z, value, confidence.
 
     A direction counts between voxels of positive confidence, less the further
-    they differ. A voxel without confidence and neighbours becomes 0.
+    they differ (in the column weights, where it is named). A voxel without
+    confidence and neighbours becomes 0.
     """
     keys = [*by, "x", "y", "z"]
-    base = volume.select(*keys, F.col(value).cast("double").alias("v"), F.col(confidence).cast("double").alias("c"))
+    base = volume.select(*keys, F.col(value).cast("double").alias("v"), F.col(confidence).cast("double").alias("c"), F.col(weights or value).cast("double").alias("o"))
     at = F.explode(F.array(*[F.struct((F.col("x") - s * d[0]).alias("x"), (F.col("y") - s * d[1]).alias("y"), (F.col("z") - s * d[2]).alias("z"), F.lit(1.0 / sum(map(abs, d))).alias("f")) for d in DIRECTIONS for s in (1, -1)])).alias("e")
-    sent = base.filter("c > 0").select(*by, F.col("v").alias("vn"), F.col("c").alias("cn"), at).select(*by, "e.x", "e.y", "e.z", "e.f", "vn", "cn")
+    sent = base.filter("c > 0").select(*by, F.col("v").alias("vn"), F.col("c").alias("cn"), F.col("o").alias("on"), at).select(*by, "e.x", "e.y", "e.z", "e.f", "vn", "cn", "on")
     near = sent.join(base, keys)
-    diff = (F.col("vn") - F.col("v")) * F.sqrt(F.col("f")) / delta
+    diff = (F.col("on") - F.col("o")) * F.sqrt(F.col("f")) / delta
     b = F.when(F.col("c") > 0, F.col("f") / F.sqrt(1 + diff * diff)).otherwise(0.0)
-    sums = near.select(*keys, b.alias("b"), "vn", "cn", "v", "c").groupBy(*keys).agg(F.sum(F.col("b") * F.col("vn") * F.col("cn")).alias("s"), F.sum(F.col("b") * F.col("cn")).alias("w"), F.sum("b").alias("o"))
+    sums = near.select(*keys, b.alias("b"), "vn", "cn", "v", "c").groupBy(*keys).agg(F.sum(F.col("b") * F.col("vn") * F.col("cn")).alias("s"), F.sum(F.col("b") * F.col("cn")).alias("w"), F.sum("b").alias("total"))
     both = base.join(sums, keys, "left")
     k = alpha * lam / (delta * delta)
-    s, w, o = (F.coalesce(c, F.lit(0.0)) for c in ("s", "w", "o"))
+    s, w, o = (F.coalesce(c, F.lit(0.0)) for c in ("s", "w", "total"))
     v, c = F.col("v"), F.col("c")
     below = c + k * (w - o * c)
     return both.select(*keys, F.when(below > 0, (v * c + k * (s - o * v * c)) / F.when(below > 0, below)).otherwise(0.0).alias(value))
 
 
+def across(rows: DataFrame, by: Sequence[str], axis: str, kernel: Sequence[tuple[int, float]], value: str = "v") -> DataFrame:
+    """A one-dimensional kernel along an axis of unknown length, by the weights of the places that exist; one shuffle."""
+    at = F.explode(F.array(*[F.struct((F.col(axis) - k).alias("a"), F.lit(float(w)).alias("w"), F.lit(k == 0).alias("own")) for k, w in kernel])).alias("e")
+    sent = rows.select(*by, F.col(value).alias("_v"), at).select(*by, F.col("e.a").alias(axis), "_v", "e.w", "e.own")
+    sums = sent.groupBy(*by, axis).agg((F.sum(F.col("_v") * F.col("w")) / F.sum("w")).alias(value), F.bool_or("own").alias("_own"))
+    return sums.filter("_own").drop("_own")
+
+
 # Images in block form: neighbours are read from the array of the own row, so nothing is shuffled.
 
 
