@@ -264,3 +264,27 @@ def eigenvalues(rows: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"slice_id": f["slice_id"], "values": list(np.linalg.eigvalsh(m)[:, ::-1])})
 
     return rows.mapInPandas(run, "slice_id long, values array<double>")
+
+
+def candidate_shifts(images: DataFrame, nx: int) -> DataFrame:
+    """slice_id, gx, gy, best: correlations of an image (pixels), shifted by one either way on both axes, with mean; their differences as a unit vector, and the highest."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if not len(f):
+                continue
+            source, target = (np.stack([np.asarray(v, float) for v in f[c]]).reshape(len(f), -1, nx) for c in ("pixels", "mean"))
+
+            def score(dx: int, dy: int) -> np.ndarray:
+                ny = source.shape[1]
+                a = target[:, max(0, -dy) : ny - max(0, dy), max(0, -dx) : nx - max(0, dx)].reshape(len(f), -1)
+                b = source[:, max(0, dy) : ny + min(0, dy), max(0, dx) : nx + min(0, dx)].reshape(len(f), -1)
+                a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+                return (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
+
+            found = {k: score(*k) for k in ((1, 0), (-1, 0), (0, 1), (0, -1))}
+            gx, gy = found[(1, 0)] - found[(-1, 0)], found[(0, 1)] - found[(0, -1)]
+            n = np.hypot(gx, gy)
+            yield pd.DataFrame({"slice_id": f["slice_id"], "gx": gx / n, "gy": gy / n, "best": np.max(list(found.values()), 0)})
+
+    return images.select("slice_id", "pixels", "mean").mapInPandas(run, "slice_id long, gx double, gy double, best double")

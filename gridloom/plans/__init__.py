@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom import queries as _queries  # noqa: F401  registers
-from gridloom.plans import files as _files, filters as _filters, geometry as _geometry, reconstruction as _reconstruction  # noqa: F401
+from gridloom.plans import files as _files, filters as _filters, geometry as _geometry, reconstruction as _reconstruction, registration as _registration  # noqa: F401
 from gridloom.registry import ORACLES, QUERIES
 
 

@@ -208,7 +208,7 @@ def _iteration(i: int) -> str:
     e = "(v * scale - sim)"
     return f"""sc{i} AS (SELECT slice_id, CASE WHEN sum(w * v * v) FILTER ({ok}) > 0 THEN sum(w * v * sim) FILTER ({ok}) / sum(w * v * v) FILTER ({ok}) ELSE 1 END AS scale FROM pix{i} GROUP BY 1),
 ad{i} AS (SELECT co.stack_id, vx, vy, vz, sum(c * w * w_slice * (CASE WHEN sim > 0 THEN v * scale - sim ELSE 0 END)) AS addon, sum(c * w * w_slice) AS cmap FROM co JOIN pix{i} USING (slice_id, x, y) JOIN sw{i} USING (slice_id) JOIN sc{i} USING (slice_id) GROUP BY 1, 2, 3, 4),
-su{i} AS MATERIALIZED (SELECT stack_id, vx, vy, vz, vol AS old, least(1100, greatest(0, vol + 0.8{D} * CASE WHEN coalesce(cmap, 0) > 0 THEN addon / cmap ELSE 0 END)) AS vol, coalesce(cmap, 0) AS cmap FROM vol{i} LEFT JOIN ad{i} USING (stack_id, vx, vy, vz)),
+su{i} AS MATERIALIZED (SELECT stack_id, vx, vy, vz, vol AS old, least(1100, greatest(0, vol + 0.8{D} * CASE WHEN coalesce(ad{i}.cmap, 0) > 0 THEN addon / ad{i}.cmap ELSE 0 END)) AS vol, coalesce(ad{i}.cmap, 0) AS cmap FROM vol{i} LEFT JOIN ad{i} USING (stack_id, vx, vy, vz)),
 {_regular(f'su{i}', f'vol{j}').replace('rn AS', f'rn{i} AS').replace('FROM rn ', f'FROM rn{i} ').replace('rs AS', f'rs{i} AS').replace('JOIN rs ', f'JOIN rs{i} ').replace(f'vol{j} AS (', f'vol{j} AS MATERIALIZED (')},
 si{j} AS MATERIALIZED (SELECT stack_id, slice_id, x, y, sum(c * vol) / sum(c) AS sim, sum(c) AS simweight FROM co JOIN vol{j} USING (stack_id, vx, vy, vz) GROUP BY 1, 2, 3, 4),
 pr{j} AS (SELECT si{j}.*, v, w, scale FROM si{j} JOIN (SELECT slice_id, x, y, v, w FROM pix{i}) USING (slice_id, x, y) JOIN sc{i} USING (slice_id)),

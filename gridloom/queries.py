@@ -583,12 +583,12 @@ def bias_residual(spark, sf_dir):
 # Patches, evaluation, kernels
 
 
-@query(f"WITH {PX} SELECT slice_id, stack_id, x, y, v, CAST(a * 2 AS INT) AS px0, CAST(b * 2 AS INT) AS py0 FROM px, range(3) i(a), range(3) j(b) WHERE x >= a * 2 AND x < a * 2 + 4 AND y >= b * 2 AND y < b * 2 + 4")
+@query(f"WITH {PX} SELECT slice_id, stack_id, x, y, v, CAST(a * 2 AS INT) AS px0, CAST(b * 2 AS INT) AS py0 FROM px, range(2) i(a), range(2) j(b) WHERE x >= a * 2 AND x < a * 2 + 4 AND y >= b * 2 AND y < b * 2 + 4")
 def patch_extract(spark, sf_dir):
     return patches.extracted(sg.px(spark, sf_dir), 8, 8, 4, 2)
 
 
-@query(f"WITH {PX}, q AS (SELECT slice_id, v, CAST(a * 2 AS INT) AS px0, CAST(b * 2 AS INT) AS py0 FROM px, range(3) i(a), range(3) j(b) WHERE x >= a * 2 AND x < a * 2 + 4 AND y >= b * 2 AND y < b * 2 + 4) SELECT slice_id, px0, py0, count(*) FILTER (v > 510) AS n_set, count(*) AS n FROM q GROUP BY 1, 2, 3 HAVING count(*) FILTER (v > 510) > 16 / 3.0")
+@query(f"WITH {PX}, q AS (SELECT slice_id, v, CAST(a * 2 AS INT) AS px0, CAST(b * 2 AS INT) AS py0 FROM px, range(2) i(a), range(2) j(b) WHERE x >= a * 2 AND x < a * 2 + 4 AND y >= b * 2 AND y < b * 2 + 4) SELECT slice_id, px0, py0, count(*) FILTER (v > 510) AS n_set, count(*) AS n FROM q GROUP BY 1, 2, 3 HAVING count(*) FILTER (v > 510) > 16 / 3.0")
 def patch_occupancy(spark, sf_dir):
     return patches.occupied(patches.extracted(sg.px(spark, sf_dir), 8, 8, 4, 2), 4, F.col("v") > 510)
 
@@ -596,7 +596,7 @@ def patch_occupancy(spark, sf_dir):
 GRID = patches.seeds(8, 8, 4)
 GRID_SQL = "(VALUES " + ", ".join(f"({k}, {x}, {y})" for k, x, y in GRID) + ") g(label, gx, gy)"
 SLIC = f"""{PX}, c AS (SELECT slice_id, label, x::DOUBLE AS cx, y::DOUBLE AS cy, v::DOUBLE AS cv FROM px JOIN {GRID_SQL} ON x = gx AND y = gy),
-d AS (SELECT px.slice_id, px.x, px.y, v, label, (v - cv) ** 2 + ((x - cx) ** 2 + (y - cy) ** 2) * 100.0::DOUBLE AS d FROM px JOIN c ON c.slice_id = px.slice_id AND abs(x - cx) <= 4 AND abs(y - cy) <= 4),
+d AS (SELECT px.slice_id, px.x, px.y, v, label, (v - cv) ** 2 + ((x - cx) ** 2 + (y - cy) ** 2) * 100.0::DOUBLE AS d FROM px JOIN c ON c.slice_id = px.slice_id AND x >= cx - 4 AND x < cx + 4 AND y >= cy - 4 AND y < cy + 4),
 a AS (SELECT slice_id, x, y, v, label FROM (SELECT *, row_number() OVER (PARTITION BY slice_id, x, y ORDER BY d, label) AS k FROM d) WHERE k = 1)"""
 
 
