@@ -172,13 +172,13 @@ def global_bias_correct(spark, sf_dir):
     return rounded(robust.bias_corrected(after, chain.volume, KERNEL, 0.01, 0.0, 1000.0), 5)
 
 
-def _regular(src: str, out: str) -> str:
+def _regular(src: str, out: str, k: float = 0.5) -> str:
     """SQL of the regulariser over su-like rows: old, vol, cmap."""
     from gridloom.queries import DIRS_SQL
 
     return f"""rn AS (SELECT p.stack_id, p.vx, p.vy, p.vz, q.vol AS vn, q.cmap AS cn, CASE WHEN p.cmap > 0 AND q.cmap > 0 THEN f / sqrt(1 + ((q.old - p.old) * sqrt(f) / 100.0{D}) ** 2) ELSE 0 END AS b FROM (SELECT * FROM {src}, {DIRS_SQL}) p JOIN {src} q ON q.stack_id = p.stack_id AND q.vx = p.vx + ox AND q.vy = p.vy + oy AND q.vz = p.vz + oz),
 rs AS (SELECT stack_id, vx, vy, vz, sum(b * vn * cn) AS s, sum(b * cn) AS w, sum(b) AS o FROM rn GROUP BY 1, 2, 3, 4),
-{out} AS (SELECT stack_id, vx, vy, vz, CASE WHEN cmap + 0.5{D} * (coalesce(w, 0) - coalesce(o, 0) * cmap) > 0 THEN (vol * cmap + 0.5{D} * (coalesce(s, 0) - coalesce(o, 0) * vol * cmap)) / (cmap + 0.5{D} * (coalesce(w, 0) - coalesce(o, 0) * cmap)) ELSE 0 END AS vol, cmap FROM {src} LEFT JOIN rs USING (stack_id, vx, vy, vz))"""
+{out} AS (SELECT stack_id, vx, vy, vz, CASE WHEN cmap + {k}{D} * (coalesce(w, 0) - coalesce(o, 0) * cmap) > 0 THEN (vol * cmap + {k}{D} * (coalesce(s, 0) - coalesce(o, 0) * vol * cmap)) / (cmap + {k}{D} * (coalesce(w, 0) - coalesce(o, 0) * cmap)) ELSE 0 END AS vol, cmap FROM {src} LEFT JOIN rs USING (stack_id, vx, vy, vz))"""
 
 
 @query(f"WITH {SUPER}, {_regular('su', 'rg')} SELECT stack_id, vx, vy, vz, round(vol, 4) + 0.0 AS vol, {R('cmap', 'cmap')} FROM rg")
@@ -209,7 +209,7 @@ def _iteration(i: int) -> str:
     return f"""sc{i} AS (SELECT slice_id, CASE WHEN sum(w * v * v) FILTER ({ok}) > 0 THEN sum(w * v * sim) FILTER ({ok}) / sum(w * v * v) FILTER ({ok}) ELSE 1 END AS scale FROM pix{i} GROUP BY 1),
 ad{i} AS (SELECT co.stack_id, vx, vy, vz, sum(c * w * w_slice * (CASE WHEN sim > 0 THEN v * scale - sim ELSE 0 END)) AS addon, sum(c * w * w_slice) AS cmap FROM co JOIN pix{i} USING (slice_id, x, y) JOIN sw{i} USING (slice_id) JOIN sc{i} USING (slice_id) GROUP BY 1, 2, 3, 4),
 su{i} AS MATERIALIZED (SELECT stack_id, vx, vy, vz, vol AS old, least(1100, greatest(0, vol + 0.8{D} * CASE WHEN coalesce(ad{i}.cmap, 0) > 0 THEN addon / ad{i}.cmap ELSE 0 END)) AS vol, coalesce(ad{i}.cmap, 0) AS cmap FROM vol{i} LEFT JOIN ad{i} USING (stack_id, vx, vy, vz)),
-{_regular(f'su{i}', f'vol{j}').replace('rn AS', f'rn{i} AS').replace('FROM rn ', f'FROM rn{i} ').replace('rs AS', f'rs{i} AS').replace('JOIN rs ', f'JOIN rs{i} ').replace(f'vol{j} AS (', f'vol{j} AS MATERIALIZED (')},
+{_regular(f'su{i}', f'vol{j}', 0.05).replace('rn AS', f'rn{i} AS').replace('FROM rn ', f'FROM rn{i} ').replace('rs AS', f'rs{i} AS').replace('JOIN rs ', f'JOIN rs{i} ').replace(f'vol{j} AS (', f'vol{j} AS MATERIALIZED (')},
 si{j} AS MATERIALIZED (SELECT stack_id, slice_id, x, y, sum(c * vol) / sum(c) AS sim, sum(c) AS simweight FROM co JOIN vol{j} USING (stack_id, vx, vy, vz) GROUP BY 1, 2, 3, 4),
 pr{j} AS (SELECT si{j}.*, v, w, scale FROM si{j} JOIN (SELECT slice_id, x, y, v, w FROM pix{i}) USING (slice_id, x, y) JOIN sc{i} USING (slice_id)),
 st{j} AS MATERIALIZED (SELECT greatest(sum({e} * {e} * w) / sum(w), 1e-8{D} / 6.28{D}) AS sigma, {'(SELECT mix FROM st0)' if i == 0 else 'sum(w) / count(*)'} AS mix, 1 / (max({e}) - min({e})) AS m FROM pr{j} WHERE {ok}),
@@ -247,7 +247,7 @@ class Loop(Chain):
         scales = self.scratch.put(robust.slice_scales(self.pixels).select("slice_id", "scale"), f"scales{i}")
         of = self.slices.select("slice_id", "w_slice").join(scales, "slice_id")
         after = self.scratch.put(robust.super_resolved(self.coeff.drop("v"), self.pixels.join(of, "slice_id"), self.volume, 0.8, 0.0, 1000.0), f"super{i}")
-        self.volume = self.scratch.put(robust.regularised_step(after, self.volume, 100.0, 0.05, 100000.0), f"volume{i + 1}")
+        self.volume = self.scratch.put(robust.regularised_step(after, self.volume, 100.0, 0.05, 10000.0), f"volume{i + 1}")
         simulated = pj.forward_projected(self.coeff.drop("v"), self.volume.select(*VOXEL, "vol"))
         known = self.pixels.select("slice_id", "x", "y", "v", "w").join(scales, "slice_id")
         pixels = self.scratch.put(simulated.join(known, ["slice_id", "x", "y"]), f"simulated{i + 1}")
