@@ -162,14 +162,19 @@ def codes(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         yield code, inside[p[-1]], w
 
 
+def on_grid(x: np.ndarray) -> np.ndarray:
+    """The nearest multiples of 2^-30: their sums are exact in any order, so equal texts have equal scores wherever they stand."""
+    return np.round(x * (1 << 30)) / (1 << 30)
+
+
 def word_scores(c: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Of each word, the sum of its subsequences' weights over its norm."""
     sums = np.zeros(len(c) + 1)
     total = np.zeros(len(c))
     for code, inside, w in codes(c):
         total += np.where(inside, table[code], 0) * w
-    np.cumsum(total, out=sums[1:])
-    return (sums[end] - sums[start]) / norm(end - start)
+    np.cumsum(on_grid(total), out=sums[1:])
+    return on_grid((sums[end] - sums[start]) / norm(end - start))
 
 
 class Landmarks:
@@ -287,7 +292,7 @@ def fit(x: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 def document_scores(texts: list[str], table: np.ndarray) -> np.ndarray:
     """Of each text: its highest sentence, its highest word as a sentence, and the logs of one plus the sum of its positive words and plus their number."""
-    offset = table[TABLE]
+    offset = on_grid(table[TABLE])
     groups, owner = units(texts)
     top, word, total, many = np.full(len(texts), -np.inf), np.full(len(texts), -np.inf), np.zeros(len(texts)), np.zeros(len(texts))
     sentence = np.full(len(owner), offset)
