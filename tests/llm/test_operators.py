@@ -255,6 +255,32 @@ def test_line_dedup_of_long_runs(spark):
     assert [d for d, t in docs if got[d] != t] == [1, 2, 5]
 
 
+def test_maximal_runs_against_brute_force(spark):
+    """Long runs, runs that hold others, copies inside a document, and runs that end where documents end."""
+    rng = random.Random(5)
+    pool = ["a", "b c", "d e f", "g", "h i j k", ""]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 30)))) for i in range(12)]
+    docs += [(20, "\n".join(["z", "z", "z", "z", "z", "z", "z"])), (21, docs[3][1]), (22, "own line\n" + docs[4][1] + "\nlast line"), (23, None), (24, "")]
+    for least in (1, 5):
+        filled = {d: [(i, x) for i, x in enumerate((t or "").split("\n")) if x] for d, t in docs}
+        starts = [(d, k) for d, x in filled.items() for k in range(len(x))]
+
+        def shared(p, q):
+            n, x, y = 0, filled[p[0]], filled[q[0]]
+            while p[1] + n < len(x) and q[1] + n < len(y) and x[p[1] + n][1] == y[q[1] + n][1]:
+                n += 1
+            return n
+
+        best = {p: max((shared(p, q) for q in starts if q != p), default=0) for p in starts}
+        want = set()
+        for (d, k), n in best.items():
+            if n and best.get((d, k - 1)) != n + 1 and sum(len(x.split(" ")) for _, x in filled[d][k : k + n]) >= least:
+                want.add((d, filled[d][k][0], n))
+        got = {tuple(r) for r in line_dedup.maximal_runs(spark.createDataFrame([(*x, "en") for x in docs], DOCS), min_words=least).collect()}
+        assert got == want
+    assert line_dedup.maximal_runs(empty(spark)).count() == 0
+
+
 def test_line_dedup_of_repeated_rows(spark):
     rows = [(1, "one two three four five six\nx", "en"), (1, "one two three four five six\nx", "en"), (None, "one two three four five six", "en"), (2, "short\nshort", "en")]
     got = sorted((r["doc_id"] or -1, r["text"], r["n_removed"]) for r in line_dedup.deduplicated(spark.createDataFrame(rows, DOCS)).collect())
