@@ -107,7 +107,8 @@ def suffix_array(first: DataFrame, scratch: Scratch) -> DataFrame:
         every = live.withColumn("live", F.lit(True))
         for table in left:
             every = every.unionByName(table.withColumn("live", F.lit(False)))
-        both = live.alias("x").join(every.alias("y"), same_place("x", "y", size), "left")
+        # No place is met size lines on before the line of that number.
+        both = live.alias("x").join(every.filter(F.col("at") >= size).alias("y"), same_place("x", "y", size), "left")
         pairs = scratch.put(both.select("x.*", F.element_at("x.ranks", -1).alias("r"), F.col("y.ranks").alias("s"), "y.live"), f"pairs{size}")
         ended = pairs.filter("s IS NULL").select(*PLACE, F.concat("ranks", F.array(F.lit(-1).cast("long"))).alias("ranks"), F.lit(False).alias("live"))
         pairs = pairs.filter("s IS NOT NULL")
@@ -135,10 +136,12 @@ def common_prefixes(array: DataFrame, scratch: Scratch) -> DataFrame:
     before = F.coalesce(F.lag(here).over(W.partitionBy("part").orderBy("rank")), "end")
     near = array.join(F.broadcast(ends), "part").withColumn("y", before).withColumn("c", shared_ranks(F.col("ranks"), F.col("y.ranks")))
     near = scratch.put(near.select("rank", "part", *PLACE, F.struct(*[F.col(f"y.{c}") for c in PLACE]).alias("before"), "c"), "near")
+    # Two ranks stand for two lines, so no place before the third is asked for.
+    behind = array.filter("at > 1")
     step, found, k = near.filter("c > 1").select("rank", *PLACE, "before", sure("c").alias("height")), [], 0
     while not step.isEmpty():
         on = lambda at, side: F.col(f"{at}doc_id").eqNullSafe(F.col(f"{side}.doc_id")) & (F.col(f"{at}print") == F.col(f"{side}.print")) & (F.col(f"{at}at") + F.col("w.height") == F.col(f"{side}.at"))
-        both = step.alias("w").join(array.alias("x"), on("w.", "x"), "left").join(array.alias("y"), on("w.before.", "y"), "left")
+        both = step.alias("w").join(behind.alias("x"), on("w.", "x"), "left").join(behind.alias("y"), on("w.before.", "y"), "left")
         both = both.select("w.*", shared_ranks(F.col("x.ranks"), F.col("y.ranks")).alias("c"))
         both = scratch.put(both.withColumn("height", F.col("height") + sure("c")), f"step{k}")
         found.append(both.filter("c < 2").select("rank", "height"))
