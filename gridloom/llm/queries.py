@@ -1,4 +1,4 @@
-"""The queries of the ten text operators and of the pipeline, with SQL where SQL can express them."""
+"""The queries of the text operators and of the pipeline, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, jaccard, line_dedup, pii, quality, shards, token_files, toxicity, warc
+from . import bpe, decontam, fim, jaccard, langid, line_dedup, pii, quality, resample, shards, token_files, toxicity, warc
 from .common import new_path
 
 
@@ -63,6 +63,19 @@ def op6_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(documents(spark, sf_dir).select("doc_id", "text"), words=4, percent=85)
 
 
+def op11_checkpoint_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transformed(documents(spark, sf_dir), keep=["doc_id"]))
+
+
+def op12_ngram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.judged(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resampled(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS p
            FROM (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS t FROM documents)),
@@ -117,6 +130,36 @@ FROM r
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+     u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, len(l) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS b,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+     c AS (SELECT *, array_to_string(l[1:least(a, b)], '') AS p, array_to_string(l[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(l[greatest(a, b) + 1:], '') AS s FROM u)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c
+"""
+
+# The checksum of a word by its bytes: a table of 256 entries, each eight steps of the polynomial, then a step a byte.
+OP13_SQL = r"""
+WITH k AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS tab FROM range(256) t(i)),
+     w AS (SELECT 'd' AS side, doc_id AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM documents
+           UNION ALL SELECT 'b', item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+     x AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM w)),
+     c AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 1 + len(h), 2), lambda j: ('0x' || substr(h, j, 2))::BIGINT)),
+             lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)])), 4294967295) % 10000 AS bucket FROM x, k),
+     n AS (SELECT side, id, bucket, count(*) AS n FROM w JOIN c USING (f) GROUP BY ALL),
+     g AS (SELECT r.b AS bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t FROM range(10000) r(b) LEFT JOIN n ON n.bucket = r.b GROUP BY 1),
+     y AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM g),
+     z AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM n JOIN y USING (bucket) WHERE side = 'd' GROUP BY 1),
+     v AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM documents LEFT JOIN z ON z.id = doc_id),
+     o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS total FROM v)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * total // 100 THEN r END AS rank FROM o
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_string_kernel_toxicity": op1_string_kernel_toxicity,
@@ -129,8 +172,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_two_pass_shuffle": op8_two_pass_shuffle,
         "op9_token_files": op9_token_files,
         "op10_bpe_word_table": op10_bpe_word_table,
+        "op11_checkpoint_fim": op11_checkpoint_fim,
+        "op12_ngram_language": op12_ngram_language,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_content_addressed_warc": OP2_SQL, "op4_spaced_seeds": OP4_SQL, "op5_line_suffix_array": OP5_SQL}
+    return {"op2_content_addressed_warc": OP2_SQL, "op4_spaced_seeds": OP4_SQL, "op5_line_suffix_array": OP5_SQL, "op11_checkpoint_fim": OP11_SQL, "op13_importance_resampling": OP13_SQL}
