@@ -13,7 +13,7 @@ highest takes the record (rendezvous hashing), so one more shard takes records
 only into itself. Null doc_ids hash as a value of their own. Repeated doc_ids
 meet in one shard, and in different buckets where their texts differ; where a
 doc_id stands oftener than half a bucket's rows, its equal rows are numbered
-and dealt over buckets by number. Null texts weigh 1 byte and have the checksum
+and those beyond a bucket's rows dealt over further buckets, which moves no other row. Null texts weigh 1 byte and have the checksum
 of an empty text. An empty table gives an empty result. Further columns, of
 types that can be ordered, are written along; the names shard, slot, size,
 text_crc32, grown_shard and law are replaced.
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: Bytes of text and rows in a bucket, about, and bytes to a task.
-BUCKET_BYTES, BUCKET_ROWS, TASK_BYTES = 4 << 20, 2048, 16 << 20
+BUCKET_BYTES, BUCKET_ROWS, TASK_BYTES = 4 << 20, 512, 16 << 20
 OWN = ("shard", "slot", "size", "text_crc32", "grown_shard", "law")
 
 
@@ -54,9 +54,9 @@ def shuffled(docs: DataFrame, shards: int = 8, seed: int = 17, text: str = "text
     total, n, most = sizes["b"] or 0, sizes["n"] or 0, sizes["most"] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)), -(-n // (shards * bucket_rows)))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    copy = F.lit(0)
+    copy = F.lit(0).cast("long")
     if 2 * most > bucket_rows:
-        copy = F.floor(F.row_number().over(W.partitionBy("doc_id", F.xxhash64(body)).orderBy("doc_id")) / bucket_rows)
+        copy = F.floor((F.row_number().over(W.partitionBy("doc_id", F.xxhash64(body)).orderBy("doc_id")) - 1) / bucket_rows).cast("long")
     rows = docs.select(
         F.col("doc_id").alias("id"),
         F.struct(*[F.col(c) for c in keep]).alias("record"),
@@ -69,9 +69,9 @@ def shuffled(docs: DataFrame, shards: int = 8, seed: int = 17, text: str = "text
     # Tasks follow the bytes; each holds buckets of few shards, so files are few.
     tasks = max(1, -(-total // TASK_BYTES))
     parts = max(1, -(-tasks // shards))
-    dealt = rows.withColumn("part", F.pmod(F.col("bucket"), F.lit(parts))).repartition(shards * parts, "shard", "part")
+    dealt = rows.repartitionById(shards * parts, F.col("shard") * parts + F.pmod(F.col("bucket"), F.lit(parts)))
     ordered = F.array_sort(F.collect_list(F.struct("id", "text_crc32", "size", "grown_shard", "record"))).alias("rows")
-    packed = dealt.groupBy("shard", "part", "bucket").agg(ordered)
+    packed = dealt.groupBy("shard", "bucket").agg(ordered)
     order = fisher_yates(F.size("rows"), seed, "shard", "bucket")
     mixed = packed.select("shard", "bucket", F.posexplode(F.transform(order, lambda k: F.get("rows", k))).alias("at", "r"))
     return mixed.select("shard", F.struct("bucket", "at").alias("place"), "r.size", "r.text_crc32", "r.grown_shard", "r.record")
