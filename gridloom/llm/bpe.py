@@ -14,9 +14,10 @@ space between are the decoded text.
 
 Shuffled are words and ids, packed by chunk and part; a word goes once for a
 chunk that holds it, however often it stands there, and positions never do. A
-word that every text holds comes once from a chunk, with the chunk's thousands. A chunk that comes in another
-order when it is read again is noticed by the checksums of its words, and such
-words are encoded where they stand.
+word that every text holds comes once from a chunk, with the chunk's thousands. A digest of a
+chunk's words in their order goes with them: a chunk that comes in another order
+when it is read again has another digest, and its words are encoded where they
+stand.
 
 Null texts count as empty: no ids, empty decoded text. Rows stay as they are,
 repeated ones too; columns besides the text pass through, and columns of the
@@ -25,10 +26,12 @@ names ids and decoded are replaced. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +101,11 @@ def unpacked(kind: str, b: bytes | memoryview) -> list[bytes]:
     return out
 
 
+def order_digest(words: Iterable[bytes]) -> bytes:
+    """16 bytes that tell lists of words apart, their order included."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def vocabularies(docs: DataFrame, text: str, parts: int) -> DataFrame:
     """part, chunk, words: of the distinct words of each chunk, numbered in the order in which they come, those whose hash falls into a part."""
 
@@ -108,13 +116,14 @@ def vocabularies(docs: DataFrame, text: str, parts: int) -> DataFrame:
             if not known:
                 return
             words = list(known)
+            digest = order_digest(words)
             part = np.array([zlib.crc32(w) for w in words], np.uint32) % np.uint32(parts)
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
             rows = []
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
                 own = order[a:b]
-                rows.append(packed("zstd", own.astype("<u4").tobytes(), b" ".join([words[i] for i in own.tolist()])))
+                rows.append(packed("zstd", digest, own.astype("<u4").tobytes(), b" ".join([words[i] for i in own.tolist()])))
             yield pa.RecordBatch.from_arrays([pa.array(part[order][cuts].astype(np.int32)), pa.array(np.full(len(cuts), at)), pa.array(rows, pa.binary())], ["part", "chunk", "words"])
 
         for chunk, _, texts in chunked(batches):
@@ -130,7 +139,7 @@ def vocabularies(docs: DataFrame, text: str, parts: int) -> DataFrame:
 
 
 def coded(words: DataFrame, path: str, parts: int) -> DataFrame:
-    """chunk and ids: numbers, checksums, lengths and ids of a chunk's words of a part. Equal words of all chunks meet in one task, which encodes each distinct word once."""
+    """chunk and ids: digest of the chunk's words, and numbers, lengths and ids of those of a part. Equal words of all chunks meet in one task, which encodes each distinct word once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_batch
@@ -138,10 +147,9 @@ def coded(words: DataFrame, path: str, parts: int) -> DataFrame:
         lists = []
         for batch in batches:
             for chunk, b in zip(batch.column("chunk").to_pylist(), buffers(batch.column("words"))):
-                numbers, joined = unpacked("zstd", b)
-                lists.append((chunk, numbers, np.array([distinct.setdefault(w, len(distinct)) for w in joined.split(b" ")], np.int64)))
+                digest, numbers, joined = unpacked("zstd", b)
+                lists.append((chunk, digest, numbers, np.array([distinct.setdefault(w, len(distinct)) for w in joined.split(b" ")], np.int64)))
         table = list(distinct)
-        crc = np.array([zlib.crc32(w) for w in table], np.uint32).astype("<u2")
         size, flat = np.zeros(len(table), np.int64), []
         for at in range(0, len(table), 10_000):
             for k, e in enumerate(encode([w.decode("utf-8", "replace") for w in table[at : at + 10_000]], add_special_tokens=False), at):
@@ -151,8 +159,8 @@ def coded(words: DataFrame, path: str, parts: int) -> DataFrame:
         first = np.cumsum(size) - size
         for at in range(0, len(lists), 64):
             some = lists[at : at + 64]
-            made = [packed("zstd", numbers, crc[k].tobytes(), size[k].astype("<u4").tobytes(), ids[stretches(first[k], size[k])].tobytes()) for _, numbers, k in some]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in some], pa.int64()), pa.array(made, pa.binary())], ["chunk", "ids"])
+            made = [packed("zstd", digest, numbers, size[k].astype("<u4").tobytes(), ids[stretches(first[k], size[k])].tobytes()) for _, digest, numbers, k in some]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, *_ in some], pa.int64()), pa.array(made, pa.binary())], ["chunk", "ids"])
 
     return words.repartition(parts, "part").mapInArrow(run, "chunk long, ids binary")
 
@@ -163,7 +171,7 @@ def stretches(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def store(rows: DataFrame, uri: str) -> None:
-    """A file for each chunk: the checksums and lengths of its words' ids in the order of the words, and the ids."""
+    """A file for each chunk: the digest of its words, the lengths of their ids in the order of the words, and the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(uri)
@@ -173,12 +181,12 @@ def store(rows: DataFrame, uri: str) -> None:
 
         def flush() -> None:
             if parts:
-                number, crc, size, ids = (np.concatenate([np.frombuffer(p[k], t) for p in parts]) for k, t in enumerate(("<u4", "<u2", "<u4", "<u4")))
+                number, size, ids = (np.concatenate([np.frombuffer(p[k], "<u4") for p in parts]) for k in (1, 2, 3))
                 order = np.argsort(number)
                 many = size.astype(np.int64)
                 first = np.cumsum(many) - many
                 with fs.open_output_stream(f"{root}/{at}.{attempt}") as f:
-                    f.write(packed("zstd", crc[order].tobytes(), size[order].tobytes(), ids[stretches(first[order], many[order])].tobytes()))
+                    f.write(packed("zstd", parts[0][0], size[order].tobytes(), ids[stretches(first[order], many[order])].tobytes()))
                 fs.move(f"{root}/{at}.{attempt}", f"{root}/{at}")
 
         for batch in batches:
@@ -194,23 +202,14 @@ def store(rows: DataFrame, uri: str) -> None:
     dealt.mapInArrow(run, "done int").count()
 
 
-class Known(dict):
-    """Ids by word: the k-th word that is new takes the k-th ids of the chunk's file; others are encoded here."""
-
-    def __init__(self, t, held: bytes):
-        crc, size, self.raw = unpacked("zstd", held) if held else (b"", b"", b"")
-        self.t, self.crc = t, np.frombuffer(crc, "<u2").tolist()
-        self.ends = (4 * np.concatenate([[0], np.cumsum(np.frombuffer(size, "<u4"), dtype=np.int64)])).tolist()
-
-    def __missing__(self, word: bytes) -> bytes:
-        k = len(self)
-        if k < len(self.crc) and self.crc[k] == zlib.crc32(word) & 0xFFFF:
-            ids = self.raw[self.ends[k] : self.ends[k + 1]]
-        else:
-            found = self.t.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(found)}I", *found)
-        self[word] = ids
-        return ids
+def known_ids(t, words: dict[bytes, None], held: bytes) -> dict[bytes, bytes]:
+    """Ids by word of a chunk: those of its file where the file was made of the same words in the same order, else encoded here."""
+    digest, size, raw = unpacked("zstd", held) if held else (b"", b"", b"")
+    if digest == order_digest(words):
+        ends = (4 * np.concatenate([[0], np.cumsum(np.frombuffer(size, "<u4"), dtype=np.int64)])).tolist()
+        return {w: raw[a:b] for w, a, b in zip(words, ends, ends[1:])}
+    made = t.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+    return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, made)}
 
 
 class Decoded(dict):
@@ -242,23 +241,26 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep_text: bool = Tru
         fs, root = open_fs(uri)
         t = tokenizer(path)
         table = [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))] if decoded else []
-        at, known, shown = None, Known(t, b""), Decoded(table)
-        for chunk, batch, texts in chunked(batches):
-            if chunk != at:
-                held = b""
-                if fs.get_file_info(f"{root}/{chunk}").is_file:
-                    with fs.open_input_stream(f"{root}/{chunk}") as f:
-                        held = f.read()
-                at, known, shown = chunk, Known(t, held), Decoded(table)
-            ids, out = [], []
-            for b in texts:
-                own = [known[w] for words in words_of(b) for w in words]
-                ids.append(b"".join(own))
-                if decoded:
-                    out.append(" ".join([shown[x] for x in own if x]))
-            row = batch.column("row")
-            columns = [row.field("kept").field(c) for c in keep] + [pa.array(ids, pa.binary())] + ([pa.array(out, pa.string())] if decoded else [])
-            yield pa.RecordBatch.from_arrays(columns, names)
+        for chunk, runs in itertools.groupby(chunked(batches), lambda x: x[0]):
+            runs, words, held = [(batch, texts) for _, batch, texts in runs], {}, b""
+            for _, texts in runs:
+                for b in texts:
+                    for some in words_of(b):
+                        words.update(dict.fromkeys(some))
+            if fs.get_file_info(f"{root}/{chunk}").is_file:
+                with fs.open_input_stream(f"{root}/{chunk}") as f:
+                    held = f.read()
+            known, shown = known_ids(t, words, held), Decoded(table)
+            for batch, texts in runs:
+                ids, out = [], []
+                for b in texts:
+                    own = [known[w] for some in words_of(b) for w in some]
+                    ids.append(b"".join(own))
+                    if decoded:
+                        out.append(" ".join([shown[x] for x in own if x]))
+                row = batch.column("row")
+                columns = [row.field("kept").field(c) for c in keep] + [pa.array(ids, pa.binary())] + ([pa.array(out, pa.string())] if decoded else [])
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.struct(F.lit(0).alias("none"), *kept).alias("row"), F.col(text).alias("text"))
     return rows.mapInArrow(run, schema)

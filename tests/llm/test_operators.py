@@ -213,6 +213,28 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     assert decontam.clean(odd(spark), bench.limit(0)).count() == len(ODD) and decontam.judged(empty(spark), bench).count() == 0
 
 
+def test_decontamination_of_long_texts(spark, monkeypatch):
+    """Memory follows the tokens of a text, however often it repeats itself; 6,000 tokens of two words ended the session before."""
+    sentence = "The quick brown fox of the north wind jumps over seven lazy dogs at dawn."
+    items = [(1, " ".join(["x", "y"] * 7)), (2, sentence), (3, "a b c d e f g h i j k l m n o p q r s t")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    many = " ".join(f"u{i % 4093}" for i in range(400_000)).split(" ")
+    many[200_000:200_020] = items[2][1].split(" ")
+    docs = [(1, " ".join(["x", "y"] * 3_000), "en"), (2, (sentence + " ") * 3_900, "en"), (3, " ".join(["x", "y"] * 50_000), "en"), (4, " ".join(many), "en"), (5, " ".join(["x"] * 100_000), "en"), (6, "y" + " x y" * 6, "en")]
+    want = [(1, [1]), (2, [2]), (3, [1]), (4, [3]), (5, []), (6, [1])]
+    table = spark.createDataFrame(docs, DOCS).repartition(3)
+    assert sorted((r["doc_id"], r["item_ids"]) for r in decontam.judged(table, bench).collect()) == want
+    assert [r["doc_id"] for r in decontam.clean(table, bench).collect()] == [5]
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    assert sorted((r["doc_id"], r["item_ids"]) for r in decontam.judged(table, bench).collect()) == want
+
+
+def test_decontamination_takes_other_ids(spark):
+    bench = spark.createDataFrame([("a7", "one two three four five")], "item_id string, text string")
+    docs = spark.createDataFrame([("x", "one two three four five six"), (None, None)], "doc_id string, text string")
+    assert {(r["doc_id"], tuple(r["item_ids"])) for r in decontam.judged(docs, bench).collect()} == {("x", ("a7",)), (None, ())}
+
+
 # 5 line dedup
 
 
@@ -473,6 +495,17 @@ def test_order_hangs_on_seed_and_records_alone(spark):
     assert tuple(sorted((r["doc_id"], r["shard"], r["slot"]) for r in other)) not in seen
 
 
+def test_one_copy_more_moves_no_other_row(spark):
+    docs = [(i, "t", "de") for i in range(300)]
+    slots = []
+    for n in (9, 10, 11, 12, 20):
+        table = spark.createDataFrame([(1000, "same", "en")] * n + docs, DOCS)
+        path = new_path(spark, "shards")
+        shards.write(table, path, shards=2, bucket_rows=20, bucket_bytes=1 << 30)
+        slots.append({(r["doc_id"], r["shard"], r["bucket"]) for r in spark.read.parquet(f"{path}/records").select("record.doc_id", "shard", "place.bucket").filter("doc_id < 1000").collect()})
+    assert all(x == slots[0] for x in slots)
+
+
 def test_fisher_yates_is_fair(spark):
     rows = spark.range(6000).select(F.col("id").alias("b"), shards.fisher_yates(F.lit(3), 5, "id").alias("p")).collect()
     n = Counter(tuple(r["p"]) for r in rows)
@@ -573,24 +606,25 @@ def test_distinct_words_are_encoded_once(spark, monkeypatch):
     rows = bpe.vocabularies(docs, "text", 3).collect()
     words = {}
     for r in rows:
-        numbers, joined = bpe.unpacked("zstd", bytes(r["words"]))
+        _, numbers, joined = bpe.unpacked("zstd", bytes(r["words"]))
         words |= {(r["chunk"], n): w for n, w in zip(np.frombuffer(numbers, "<u4").tolist(), joined.split(b" "))}
         assert {zlib.crc32(w) % 3 for w in joined.split(b" ")} == {r["part"]}
     assert len(words) > 64 == len(set(words.values()))
     seen = {}
     for r in bpe.coded(spark.createDataFrame(rows, "part int, chunk long, words binary"), WORD_BPE, 3).collect():
-        number, _, size, ids = (np.frombuffer(x, t) for x, t in zip(bpe.unpacked("zstd", bytes(r["ids"])), ("<u4", "<u2", "<u4", "<u4")))
+        number, size, ids = (np.frombuffer(x, "<u4") for x in bpe.unpacked("zstd", bytes(r["ids"]))[1:])
         for n, a, b in zip(number.tolist(), (np.cumsum(size) - size).tolist(), np.cumsum(size).tolist()):
             seen[(r["chunk"], n)] = ids[a:b].tolist()
     assert seen == {k: bpe.tokenizer(WORD_BPE).encode(w.decode(), add_special_tokens=False).ids for k, w in words.items()}
 
 
-def test_chunks_in_another_order_still_encode(spark):
+def test_chunks_in_another_order_still_encode():
     t = bpe.tokenizer(WORD_BPE)
-    ids = lambda w: struct.pack(f"<{len(t.encode(w, add_special_tokens=False).ids)}I", *t.encode(w, add_special_tokens=False).ids)
-    words = ["alpha", "beta", "gamma"]
-    made = [ids(w) for w in words]
-    held = bpe.packed("zstd", np.array([zlib.crc32(w.encode()) for w in words], np.uint32).astype("<u2").tobytes(), np.array([len(m) // 4 for m in made], "<u4").tobytes(), b"".join(made))
-    for order in (words, ["beta", "alpha", "gamma", "delta"]):
-        known = bpe.Known(t, held)
-        assert [known[w.encode()] for w in order] == [ids(w) for w in order]
+    rng = random.Random(11)
+    words = list(dict.fromkeys("".join(rng.choice("abcdefghij") for _ in range(6)).encode() for _ in range(60_000)))
+    ids = dict(zip(words, (np.array(e.ids, "<u4").tobytes() for e in t.encode_batch([w.decode() for w in words], add_special_tokens=False))))
+    held = bpe.packed("zstd", bpe.order_digest(words), np.array([len(ids[w]) // 4 for w in words], "<u4").tobytes(), b"".join(ids[w] for w in words))
+    other = words[:]
+    rng.shuffle(other)
+    for order in (words, other, words[::-1], words[:-1]):
+        assert bpe.known_ids(t, dict.fromkeys(order), held) == {w: ids[w] for w in order}
