@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: Bytes of text and rows in a bucket, about, and bytes to a task.
-BUCKET_BYTES, BUCKET_ROWS, TASK_BYTES = 4 << 20, 512, 16 << 20
+BUCKET_BYTES, BUCKET_ROWS, TASK_BYTES = 4 << 20, 512, 64 << 20
 OWN = ("shard", "slot", "size", "text_crc32", "grown_shard", "law")
 
 
@@ -66,10 +66,8 @@ def shuffled(docs: DataFrame, shards: int = 8, seed: int = 17, text: str = "text
         shard_of(key, shards + 1, seed).alias("grown_shard"),
         F.pmod(F.xxhash64(F.lit(seed + 1), key, body, copy), F.lit(buckets)).cast("int").alias("bucket"),
     )
-    # Tasks follow the bytes; each holds buckets of few shards, so files are few.
-    tasks = max(1, -(-total // TASK_BYTES))
-    parts = max(1, -(-tasks // shards))
-    dealt = rows.repartitionById(shards * parts, F.col("shard") * parts + F.pmod(F.col("bucket"), F.lit(parts)))
+    # Tasks follow the bytes; each holds many buckets, so tasks are even.
+    dealt = rows.repartition(max(1, -(-total // TASK_BYTES)), "shard", "bucket")
     ordered = F.array_sort(F.collect_list(F.struct("id", "text_crc32", "size", "grown_shard", "record"))).alias("rows")
     packed = dealt.groupBy("shard", "bucket").agg(ordered)
     order = fisher_yates(F.size("rows"), seed, "shard", "bucket")
