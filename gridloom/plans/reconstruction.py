@@ -236,6 +236,10 @@ class Loop(Chain):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark, sf_dir)
+        self.begin()
+
+    def begin(self) -> None:
+        """Pixels, weights and slices before the first step."""
         pixels = self.scratch.put(self.simulated(), "pixels")
         self.state = robust.initial(pixels)
         self.pixels = self.scratch.put(robust.weighted(pixels, self.state), "state0")
