@@ -175,14 +175,12 @@ def slice_table(spark, sf_dir):
     return spark.read.option("sep", "\t").option("header", True).schema(rows.schema).csv(path)
 
 
-@query(f"WITH {PX} SELECT p.stack_id, p.slice_id AS a, q.slice_id AS b, {R('corr(p.v, q.v)', 'ncc')} FROM px p JOIN px q ON p.stack_id = q.stack_id AND p.x = q.x AND p.y = q.y WHERE p.stack_id < 2 GROUP BY 1, 2, 3")
+@query(f"WITH {PX} SELECT p.stack_id, p.slice_id AS a, q.slice_id AS b, {R('corr(p.v, q.v)', 'ncc')} FROM px p JOIN px q ON p.stack_id = q.stack_id AND p.x = q.x AND p.y = q.y GROUP BY 1, 2, 3")
 def similarity_matrix_file(spark, sf_dir):
-    """The square matrix of two stacks' correlations as comma-separated lines, appended a stack at a time."""
+    """The square matrix of every stack's correlations as comma-separated lines."""
     path = new_path(spark, "similarities")
     blocks = sg.blocks(spark, sf_dir)
-    for k in (0, 1):
-        some = blocks.filter(F.col("stack_id") == k)
-        hist.pairs_of_blocks(some, some, ["stack_id"]).select("stack_id", "a", "b", "ncc").write.mode("append").csv(path)
+    hist.pairs_of_blocks(blocks, blocks, ["stack_id"]).select("stack_id", "a", "b", "ncc").write.csv(path)
     return rounded(spark.read.schema("stack_id int, a long, b long, ncc double").csv(path))
 
 

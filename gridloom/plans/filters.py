@@ -159,10 +159,10 @@ _inv = _spline_inverse()
 ORACLES["bspline_coefficients"] = f"WITH {PX}, a AS (SELECT slice_id, i AS x, y, sum(v * w) AS v FROM px JOIN {_inv} m(i, j, w) ON j = x GROUP BY 1, 2, 3) SELECT slice_id, CAST(x AS INT) AS x, CAST(i AS INT) AS y, {R('sum(v * w)', 'v')} FROM a JOIN {_inv} m(i, j, w) ON j = y GROUP BY 1, 2, 3"
 
 
-@query(f"""WITH {PX3}, s AS (SELECT stack_id, x, y, z FROM px3 WHERE v > 540) SELECT p.stack_id, p.x, p.y, p.z, {R('sqrt(min((p.x - s.x) ** 2 + (p.y - s.y) ** 2 + 4 * (p.z - s.z) ** 2))', 'euclid')}, min(abs(p.x - s.x) + abs(p.y - s.y) + 2 * abs(p.z - s.z)){D} AS city FROM px3 p JOIN s USING (stack_id) WHERE p.stack_id < 3 GROUP BY 1, 2, 3, 4""")
+@query(f"""WITH {PX3}, s AS (SELECT stack_id, x, y, z FROM px3 WHERE v > 540) SELECT p.stack_id, p.x, p.y, p.z, {R('sqrt(min((p.x - s.x) ** 2 + (p.y - s.y) ** 2 + 4 * (p.z - s.z) ** 2))', 'euclid')}, min(abs(p.x - s.x) + abs(p.y - s.y) + 2 * abs(p.z - s.z)){D} AS city FROM px3 p JOIN s USING (stack_id) GROUP BY 1, 2, 3, 4""")
 def distances_3d(spark, sf_dir):
     """Distances in volumes with planes two apart, by envelopes along one axis after the other."""
-    vol = _volumes(spark, sf_dir).filter("stack_id < 3")
+    vol = _volumes(spark, sf_dir)
     made = kernels.per_volume(vol, lambda a: np.stack([kernels.distances(a > 540, (2.0, 1.0, 1.0)), kernels.distances(a > 540, (2.0, 1.0, 1.0), city=True)]), 8, 8)
     n = (F.size("pixels") / 2).cast("int")
     both = F.arrays_zip(F.slice("pixels", F.lit(1), n).alias("e"), F.slice("pixels", n + 1, n).alias("c"))
@@ -171,12 +171,12 @@ def distances_3d(spark, sf_dir):
     return rounded(rows.select("stack_id", (at % 8).alias("x"), (F.floor(at / 8) % 8).cast("int").alias("y"), F.floor(at / 64).cast("int").alias("z"), F.col("d.e").alias("euclid"), F.col("d.c").alias("city")))
 
 
-@query(f"""WITH RECURSIVE {PX3}, m AS (SELECT stack_id, (z * 8 + y) * 8 + x AS k, x, y, z FROM px3 WHERE v > 545 AND stack_id < 2), e AS (SELECT p.stack_id, p.k AS a, q.k AS b FROM m p JOIN m q ON p.stack_id = q.stack_id AND abs(p.x - q.x) + abs(p.y - q.y) + abs(p.z - q.z) = 1),
+@query(f"""WITH RECURSIVE {PX3}, m AS (SELECT stack_id, (z * 8 + y) * 8 + x AS k, x, y, z FROM px3 WHERE v > 545), e AS (SELECT p.stack_id, p.k AS a, q.k AS b FROM m p JOIN m q ON p.stack_id = q.stack_id AND abs(p.x - q.x) + abs(p.y - q.y) + abs(p.z - q.z) = 1),
 r AS (SELECT stack_id, k, k AS least FROM m UNION SELECT r.stack_id, e.b, r.least FROM r JOIN e ON e.stack_id = r.stack_id AND e.a = r.k WHERE r.least < e.b), l AS (SELECT stack_id, k, min(least) AS label FROM r GROUP BY 1, 2)
 SELECT stack_id, label, count(*) AS n FROM l GROUP BY 1, 2""")
 def components_3d(spark, sf_dir):
     """All connected parts of volumes, with their sizes."""
-    vol = _volumes(spark, sf_dir).filter("stack_id < 2")
+    vol = _volumes(spark, sf_dir)
     made = kernels.per_volume(vol, lambda a: kernels.components(a > 545), 8, 8)
     labels = made.select("stack_id", F.explode("pixels").alias("label")).filter("label >= 0")
     return labels.groupBy("stack_id", F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"))

@@ -284,10 +284,10 @@ def padding_guess_volume(spark, sf_dir):
     return rows.groupBy("stack_id").agg(F.when(F.min("v") == F.max("v"), F.min("v")).alias("padding"), F.count("*").alias("corners"))
 
 
-@query(f"WITH {PX3}, o AS (SELECT stack_id, max(z) + 1 AS n FROM px3 GROUP BY 1) SELECT DISTINCT slice_id, stack_id, z, 5.0{D} AS dz, {R('(z - (n - 1) / 2.0) * 2.5', 'tz')}, row_number() OVER (ORDER BY stack_id, z) - 1 AS slice FROM (SELECT DISTINCT slice_id, stack_id, z FROM px3) JOIN o USING (stack_id) WHERE stack_id < 5")
+@query(f"WITH {PX3}, o AS (SELECT stack_id, max(z) + 1 AS n FROM px3 GROUP BY 1) SELECT DISTINCT slice_id, stack_id, z, 5.0{D} AS dz, {R('(z - (n - 1) / 2.0) * 2.5', 'tz')}, row_number() OVER (ORDER BY stack_id, z) - 1 AS slice FROM (SELECT DISTINCT slice_id, stack_id, z FROM px3) JOIN o USING (stack_id)")
 def slice_extraction(spark, sf_dir):
-    """A row for each plane of the first five stacks: thickness in place of the spacing, its place, and a number over all stacks."""
-    images = sg.with_depth(sg.ranked(sg.blocks(spark, sf_dir))).filter("stack_id < 5")
+    """A row for each plane of all stacks: thickness in place of the spacing, its place, and a number over all stacks."""
+    images = sg.with_depth(sg.ranked(sg.blocks(spark, sf_dir)))
     # Numbers come from the stacks' depths, a row a stack, so planes need no order over all.
     depths = images.select("stack_id", "nz").distinct()
     before = depths.alias("a").join(depths.alias("b"), F.col("b.stack_id") < F.col("a.stack_id"), "left").groupBy("a.stack_id").agg(F.coalesce(F.sum("b.nz"), F.lit(0)).alias("first"))
