@@ -89,3 +89,73 @@ def aligned_3d(pairs: DataFrame, by: str) -> DataFrame:
             yield f[[by]].assign(rotation=[m.ravel() for m, _ in rows], shift=[t for _, t in rows])
 
     return sums.mapInPandas(run, f"{by} {pairs.schema[by].dataType.simpleString()}, rotation array<double>, shift array<double>")
+
+
+IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]
+
+
+def moved(points: DataFrame, maps: DataFrame, by: str) -> DataFrame:
+    """points with x, y, z under their group's map m (three rows of four)."""
+    m = [F.get("m", F.lit(i)) for i in range(12)]
+    to = [m[4 * r] * F.col("x") + m[4 * r + 1] * F.col("y") + m[4 * r + 2] * F.col("z") + m[4 * r + 3] for r in range(3)]
+    kept = [c for c in points.columns if c not in AXES]
+    return points.join(maps.select(by, "m"), by).select(*kept, *[t.alias(a) for t, a in zip(to, AXES)])
+
+
+def aligned_affine(pairs: DataFrame, by: str) -> DataFrame:
+    """by and m, the affine map that lays (px, py, pz) on (qx, qy, qz): normal equations by sums of a group, then a solution of 4 x 4.
+
+    Sums are taken about the group's mean point, for large coordinates. Where the
+    points lie in a plane the solution of least norm is taken.
+    """
+    p, q = [f"p{a}" for a in AXES], [f"q{a}" for a in AXES]
+    pair = [(a, b) for i, a in enumerate(p) for b in p[i:]] + [(a, b) for a in p for b in q]
+    sums = pairs.groupBy(by).agg(*[F.avg(c).alias(c) for c in p + q], *[F.covar_pop(a, b).alias(f"{a}_{b}") for a, b in pair])
+
+    def run(frames):
+        for f in frames:
+            maps = []
+            for d in f.to_dict("records"):
+                square = np.array([[d.get(f"{a}_{b}", d.get(f"{b}_{a}")) for b in p] for a in p])
+                cross = np.array([[d[f"{a}_{b}"] for b in q] for a in p])
+                linear = (np.linalg.pinv(square, hermitian=True) @ cross).T
+                shift = np.array([d[c] for c in q]) - linear @ np.array([d[c] for c in p])
+                maps.append(np.hstack([linear, shift[:, None]]).ravel())
+            yield f[[by]].assign(m=maps)
+
+    return sums.mapInPandas(run, f"{by} {pairs.schema[by].dataType.simpleString()}, m array<double>")
+
+
+def iterated(points: DataFrame, onto: DataFrame, by: str, cell: float, scratch, rounds: int = 30, close: float = 1e-9, affine: bool = True) -> DataFrame:
+    """by, m, distance (mean) and rounds: maps of each group's points (id, x, y, z) onto its points `onto`, by nearest points and alignment in turn.
+
+    A group ends when its mean distance falls by less than close; the groups that
+    still move alone are matched again. Each round's maps are a written table.
+    """
+    state = points.select(by).distinct().select(by, F.array(*[F.lit(v) for v in IDENTITY]).alias("m"), F.lit(float("inf")).alias("distance"), F.lit(0).alias("rounds"))
+    state, ended = scratch.put(state, "maps"), []
+    target = onto.select(by, "id", *[F.col(a).alias(f"q{a}") for a in AXES])
+    for k in range(rounds):
+        at = moved(points, state, by)
+        near = scratch.put(closest(at.select(by, F.col("id").alias("qid"), *AXES), onto.select(by, "id", *AXES), [by], cell), f"near{k}")
+        source = points.select(by, F.col("id").alias("qid"), *[F.col(a).alias(f"p{a}") for a in AXES])
+        pairs = near.join(source, [by, "qid"]).join(target, [by, "id"])
+        new = aligned_affine(pairs, by) if affine else aligned_3d(pairs, by).select(by, rigid_map(F.col("rotation"), F.col("shift")).alias("m"))
+        mean = near.groupBy(by).agg(F.avg("distance").alias("now"))
+        met = state.withColumnRenamed("m", "old").join(new, by).join(mean, by)
+        stops = F.col("distance") - F.col("now") < close
+        made = scratch.put(met.select(by, F.when(stops, F.col("old")).otherwise(F.col("m")).alias("m"), F.least("now", "distance").alias("distance"), (F.col("rounds") + 1).alias("rounds"), stops.alias("stops")), f"maps{k}")
+        ended.append(made.filter("stops").drop("stops"))
+        state = made.filter("NOT stops").drop("stops")
+        if state.isEmpty():
+            break
+    ended.append(state)
+    out = ended[0]
+    for e in ended[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+def rigid_map(rotation, shift):
+    """A map's twelve entries from a rotation's nine and a shift."""
+    return F.flatten(F.array(*[F.array(*[F.get(rotation, F.lit(3 * r + c)) for c in range(3)], F.get(shift, F.lit(r))) for r in range(3)]))

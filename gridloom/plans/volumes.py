@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.functions import coords
-from gridloom.operators import patches, projection as pj, robust, scattered, tiles as tl, volume_registration as vr
+from gridloom.operators import patches, points as pt, projection as pj, robust, scattered, tiles as tl, volume_registration as vr
+from gridloom.plans.geometry import POINTS, points
 from gridloom.plans.reconstruction import Loop
 from gridloom.queries import KERNEL, KERNEL_SQL
 from gridloom.registry import PX3, R, query, rounded
@@ -266,3 +267,27 @@ def scattered_bspline(spark, sf_dir):
     values = scattered.evaluated(scattered.dealt(lattice, 16.0), coefficients, spacing, 16.0)
     long = values.select("key", F.explode(F.arrays_zip("x", "y", "z", "s")).alias("e"))
     return rounded(long.select(F.col("key").alias("stack_id"), *[F.round(f"e.{a}").cast("int").alias(a) for a in "xyz"], F.col("e.s").alias("v")))
+
+
+# Point sets
+
+
+def label_map(label: Column) -> Column:
+    """A fixed affine map near the identity for a label."""
+    n = lambda k, by, less=0: ((label % k).cast("double") - less) * by
+    zero = F.lit(0.0)
+    rows = [[1 + n(3, 0.02), n(2, 0.01), zero, n(3, 0.05, 1)], [-n(4, 0.01), 1 - n(5, 0.01), zero, n(5, 0.04, 2)], [zero, n(3, 0.015), 1 + n(2, 0.02), n(2, 0.03)]]
+    return F.array(*[c for r in rows for c in r])
+
+
+_l = lambda k, by, less=0: f"((stack_id % {k}){D} - {less}) * {by}"
+LABEL_MAP = [f"1 + {_l(3, 0.02)}", _l(2, 0.01), "0.0", _l(3, 0.05, 1), f"-{_l(4, 0.01)}", f"1 - {_l(5, 0.01)}", "0.0", _l(5, 0.04, 2), "0.0", _l(3, 0.015), f"1 + {_l(2, 0.02)}", _l(2, 0.03)]
+
+
+@query(f"WITH {POINTS} SELECT DISTINCT stack_id, {', '.join(R(c, f'm{i}') for i, c in enumerate(LABEL_MAP))} FROM pts")
+def align_points_iteratively(spark, sf_dir):
+    """Each label's points onto a copy under a planted affine map, by nearest points and alignment in turn: the map is found to six places."""
+    own = points(spark, sf_dir)
+    copy = pt.moved(own, own.select("stack_id").distinct().withColumn("m", label_map(F.col("stack_id"))), "stack_id")
+    found = pt.iterated(own, copy.select("stack_id", (F.col("id") + 1_000_000).alias("id"), "x", "y", "z"), "stack_id", 0.5, Scratch(spark))
+    return rounded(found.select("stack_id", *[F.get("m", F.lit(i)).alias(f"m{i}") for i in range(12)]))
