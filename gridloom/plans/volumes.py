@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.functions import coords
-from gridloom.operators import patches, points as pt, projection as pj, robust, scattered, tiles as tl, volume_registration as vr
+from gridloom.operators import evaluation as ev, patches, points as pt, projection as pj, robust, scattered, tiles as tl, volume_registration as vr
 from gridloom.plans.geometry import POINTS, points
 from gridloom.plans.reconstruction import Loop
 from gridloom.queries import KERNEL, KERNEL_SQL
@@ -291,3 +291,18 @@ def align_points_iteratively(spark, sf_dir):
     copy = pt.moved(own, own.select("stack_id").distinct().withColumn("m", label_map(F.col("stack_id"))), "stack_id")
     found = pt.iterated(own, copy.select("stack_id", (F.col("id") + 1_000_000).alias("id"), "x", "y", "z"), "stack_id", 0.5, Scratch(spark))
     return rounded(found.select("stack_id", *[F.get("m", F.lit(i)).alias(f"m{i}") for i in range(12)]))
+
+
+# Evaluation
+
+
+@query(f"""WITH {SMOOTH}, ab AS (SELECT px3.stack_id, x, y, z, v{D} AS a, vol AS b FROM px3 JOIN sv ON sv.stack_id = px3.stack_id AND vx = x AND vy = y AND vz = z),
+w AS (SELECT p.stack_id, p.x, p.y, p.z, avg(q.a) AS ma, avg(q.b) AS mb, var_pop(q.a) AS va, var_pop(q.b) AS vb, covar_pop(q.a, q.b) AS cov FROM ab p JOIN ab q ON p.stack_id = q.stack_id AND abs(p.x - q.x) <= 2 AND abs(p.y - q.y) <= 2 AND q.z BETWEEN p.z - 2 AND p.z + 2 GROUP BY 1, 2, 3, 4),
+s AS (SELECT stack_id, avg((2 * ma * mb + {ev.C1}{D}) * (2 * cov + {ev.C2}{D}) / ((ma * ma + mb * mb + {ev.C1}{D}) * (va + vb + {ev.C2}{D}))) AS ssim FROM w GROUP BY 1),
+g AS (SELECT stack_id, count(*) AS n, avg((a - b) ** 2) AS mse, max(a) AS top, corr(a, b) AS cc, avg(a) AS mean_a, avg(b) AS mean_b, var_pop(a) AS variance_a, var_pop(b) AS variance_b FROM ab GROUP BY 1)
+SELECT stack_id, n, {R('mse', 'mse')}, {R('20 * log10(top) - 10 * log10(mse)', 'psnr')}, {R('cc', 'cc')}, {R('mean_a', 'mean_a')}, {R('mean_b', 'mean_b')}, {R('variance_a', 'variance_a')}, {R('variance_b', 'variance_b')}, {R('ssim', 'ssim')}, {R('(1 - ssim) / 2', 'dssim')} FROM g JOIN s USING (stack_id)""")
+def evaluate_volumes(spark, sf_dir):
+    """Every stack as a volume against its smoothed form, in three dimensions: error, correlation and local similarity."""
+    true = sg.px3(spark, sf_dir).select(F.col("stack_id").alias("key"), *[F.col(a).alias(f"v{a}") for a in "xyz"], F.col("v").alias("vol"))
+    made = ev.compared(true, smooth_volume(spark, sf_dir), "key", ["vx", "vy", "vz"])
+    return rounded(made.withColumnRenamed("key", "stack_id"))
