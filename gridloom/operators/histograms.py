@@ -174,8 +174,8 @@ def gradient_correlation(rows: DataFrame, by: Sequence[str], a: Sequence[str], b
 BLOCK = 64
 
 
-def pairs_of_blocks(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """by, a, b, ncc, ssd of all pairs of images (slice_id, pixels) of two sets in each group, from sums over zipped arrays.
+def block_sums(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, a, b, n, sa, sb, aa, bb, ab: sums, squares and products of all pairs of images (slice_id, pixels) of two sets in each group, over zipped arrays.
 
     The sets are cut into blocks by id, and block meets block, so a large group
     is spread over many tasks; no pixel is shuffled more than once a block of
@@ -193,7 +193,12 @@ def pairs_of_blocks(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Dat
     q = r.join(of_l, list(by)).select(*by, every("n_l").alias("k_l"), "k_r", F.col("slice_id").alias("b"), F.col("pixels").alias("q"))
     met = p.join(q, [*by, "k_l", "k_r"])
     total = lambda f: F.aggregate(F.zip_with("p", "q", f), F.lit(0).cast("long"), lambda s, v: s + v).cast("double")
-    sums = met.select(*by, "a", "b", F.size("p").alias("n"), *[total(f).alias(k) for k, f in (("sa", lambda a, b: a), ("sb", lambda a, b: b), ("aa", lambda a, b: a * a), ("bb", lambda a, b: b * b), ("ab", lambda a, b: a * b))])
+    return met.select(*by, "a", "b", F.size("p").alias("n"), *[total(f).alias(k) for k, f in (("sa", lambda a, b: a), ("sb", lambda a, b: b), ("aa", lambda a, b: a * a), ("bb", lambda a, b: b * b), ("ab", lambda a, b: a * b))])
+
+
+def pairs_of_blocks(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, a, b, ncc, ssd of all pairs of images of two sets in each group."""
+    sums = block_sums(left, right, by)
     n, sa, sb, aa, bb, ab = (F.col(c) for c in ("n", "sa", "sb", "aa", "bb", "ab"))
     below = F.sqrt((n * aa - sa * sa) * (n * bb - sb * sb))
     return sums.select(*by, "a", "b", ((n * ab - sa * sb) / F.nullif(below, F.lit(0.0))).alias("ncc"), (-(aa + bb - 2 * ab) / n).alias("ssd"))

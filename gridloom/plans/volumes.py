@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.functions import coords
-from gridloom.operators import evaluation as ev, patches, points as pt, projection as pj, robust, scattered, tiles as tl, volume_registration as vr
+from gridloom.operators import evaluation as ev, patches, points as pt, projection as pj, robust, scattered, template, tiles as tl, volume_registration as vr
 from gridloom.plans.geometry import POINTS, points
 from gridloom.plans.reconstruction import Loop
 from gridloom.queries import KERNEL, KERNEL_SQL
@@ -306,3 +306,18 @@ def evaluate_volumes(spark, sf_dir):
     true = sg.px3(spark, sf_dir).select(F.col("stack_id").alias("key"), *[F.col(a).alias(f"v{a}") for a in "xyz"], F.col("v").alias("vol"))
     made = ev.compared(true, smooth_volume(spark, sf_dir), "key", ["vx", "vy", "vz"])
     return rounded(made.withColumnRenamed("key", "stack_id"))
+
+
+# The template
+
+
+@query(f"WITH {PX3}, r AS (SELECT stack_id, min(v){D} AS lo, max(v){D} AS hi, max(z) + 1 AS nz FROM px3 GROUP BY 1), t AS (SELECT stack_id, x, y, z, (v - lo) / (hi - lo) AS v FROM px3 JOIN r USING (stack_id) WHERE z < nz // 3) SELECT p.stack_id, p.z AS a, q.z AS b, {R('sum(p.v * q.v)', 'g')} FROM t p JOIN t q ON q.stack_id = p.stack_id AND q.x = p.x AND q.y = p.y GROUP BY 1, 2, 3")
+def motion_grams(spark, sf_dir):
+    """Products of all pairs of slices of each stack's first third."""
+    return rounded(template.grams(sg.with_depth(sg.ranked(sg.blocks(spark, sf_dir)))))
+
+
+@query()
+def template_choice(spark, sf_dir):
+    """Every stack's motion score, and the one that serves as template."""
+    return rounded(template.chosen(template.scores(sg.with_depth(sg.ranked(sg.blocks(spark, sf_dir))))))
