@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import coords
 from gridloom.operators import histograms as hist, robust
-from gridloom.queries import POSE, SCALES, Chain, histogram1d, matrix
+from gridloom.queries import POSE, SCALES, WEIGHTS, Chain, histogram1d, matrix
 from gridloom.registry import PX, R, query, rounded
 from gridloom.scratch import new_path
-from gridloom.sources import codecs, surrogate as sg
+from gridloom.sources import codecs, image_folder, surrogate as sg
+
+D = "::DOUBLE"
 
 
 def images(spark, sf_dir, ending: str, kind: str = "i2"):
@@ -199,3 +201,38 @@ def parameter_files(spark, sf_dir):
     line = F.concat(F.lit("No. of bins    = "), F.col("p_size"), F.lit("  # of the joint histogram"))
     key, value = parameter_line(line)
     return sg.table(spark, sf_dir, "part").select("p_partkey", key.alias("key"), value.alias("value"))
+
+
+# Folders of slices
+
+
+def _folder(spark, rows, name: str):
+    """rows (slice_id, pixels) as files of a folder, and the folder read again: slice_id, x, y, v."""
+    image_folder.register(spark)
+    axes = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 0, 1, 0, 0, 0, 1)])
+    path = new_path(spark, name)
+    files = rows.select(
+        F.concat(F.lit(name), F.col("slice_id"), F.lit(".nii.gz")).alias("path"), *[F.lit(n).alias(c) for c, n in (("nx", 8), ("ny", 8), ("nz", 1), ("nt", 1))],
+        *[F.lit(d).alias(c) for c, d in (("dx", 1.0), ("dy", 1.0), ("dz", 4.0), ("dt", 1.0))], F.array(*[F.lit(0.0)] * 3).alias("origin"), axes.alias("axes"), F.lit("f8").alias("voxel_type"), F.col("pixels").cast("array<double>").alias("pixels"),
+    )
+    files.write.format("image_folder").mode("append").save(path)
+    back = spark.read.format("image_folder").load(path)
+    return back.select(F.regexp_extract("path", r"(\d+)\.nii", 1).cast("long").alias("slice_id"), "dz", "pixels")
+
+
+@query(f"WITH {PX} SELECT slice_id, x, y, v{D} AS v, 0 AS stack_id, 4.0{D} AS thickness, 0.0{D} AS tx, 0.0{D} AS rz FROM px")
+def replace_slices(spark, sf_dir):
+    """Slices saved to a folder, and a folder's files taken as slices: stack 0, thickness as written, no transformation yet."""
+    back = _folder(spark, sg.blocks(spark, sf_dir), "slice").withColumnsRenamed({"dz": "thickness"})
+    rows = sg.explode_pixels(back.withColumn("stack_id", F.lit(0)).withColumn("tx", F.lit(0.0)).withColumn("rz", F.lit(0.0)))
+    return rows.select("slice_id", "x", "y", "v", "stack_id", "thickness", "tx", "rz")
+
+
+@query(f"WITH {WEIGHTS} SELECT slice_id, x, y, {R('w', 'w')} FROM ws")
+def saved_weights(spark, sf_dir):
+    """Pixels' posterior weights, a file a slice, read again; a place without a pixel is -1 in its file."""
+    w = Chain(spark, sf_dir).weighted()
+    at = (F.col("y") * sg.SIDE + F.col("x")).alias("at")
+    maps = w.groupBy("slice_id").agg(F.map_from_entries(F.collect_list(F.struct(at, "w"))).alias("m"))
+    rows = maps.select("slice_id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(-1.0))).alias("pixels"))
+    return rounded(sg.explode_pixels(_folder(spark, rows, "weights"), value="w").filter("w <> -1").select("slice_id", "x", "y", "w"))
