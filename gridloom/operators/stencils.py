@@ -7,9 +7,11 @@ small scatter an axis. A self-join of an image with itself would shuffle twice.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 #: Neighbours of a voxel by connectivity, the voxel itself left out.
 CONNECTIVITY = {
@@ -191,10 +193,46 @@ def block_convolved(values: str, offsets: Sequence[tuple[int, int, float]], nx:
     return bound(values, lambda own: F.transform(own, lambda v, i: at(own, v, i)))
 
 
+def batched(images: DataFrame, values: str, fn: Callable[[pa.Array, int], np.ndarray]) -> DataFrame:
+    """images with values (arrays) replaced by fn(their elements, number of images), an array of numbers an image, for a batch of images at once."""
+    keep = [c for c in images.columns if c != values]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = np.ascontiguousarray(fn(batch.column(values).flatten(), batch.num_rows), float).reshape(batch.num_rows, -1)
+                ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * made.shape[1])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.ListArray.from_arrays(ends, pa.array(made.ravel()))], [*keep, values])
+
+    return images.select(*keep, values).mapInArrow(run, T.StructType([*[images.schema[c] for c in keep], T.StructField(values, T.ArrayType(T.DoubleType()))]))
+
+
+def shifted(x: np.ndarray, k: int, fill: float) -> np.ndarray:
+    """The values k further along the last axis; fill where there are none."""
+    out = np.full(x.shape, fill)
+    n = x.shape[-1]
+    if abs(k) < n:
+        out[..., max(0, -k) : n - max(0, k)] = x[..., max(0, k) : n - max(0, -k)]
+    return out
+
+
 def block_separable(images: DataFrame, kernel: Sequence[tuple[int, float]], nx: int, ny: int, values: str = "pixels", normalise: bool = True, padding: float | None = None) -> DataFrame:
-    """A one-dimensional kernel along x, then along y."""
-    along_x = images.withColumn(values, block_convolved(values, [(k, 0, w) for k, w in kernel], nx, ny, normalise, padding))
-    return along_x.withColumn(values, block_convolved(values, [(0, k, w) for k, w in kernel], nx, ny, normalise, padding))
+    """A one-dimensional kernel along x, then along y, for a batch of images at once; with padding, padding neither counts nor changes."""
+
+    def along(x: np.ndarray) -> np.ndarray:
+        counts = np.ones(x.shape) if padding is None else (x > padding).astype(float)
+        held = x * counts
+        total = sum(w * shifted(held, k, 0.0) for k, w in kernel)
+        if normalise:
+            weight = sum(w * shifted(counts, k, 0.0) for k, w in kernel)
+            total = np.where(weight != 0, total / np.where(weight != 0, weight, 1), 0.0)
+        return total if padding is None else np.where(x > padding, total, x)
+
+    def fn(flat: pa.Array, n: int) -> np.ndarray:
+        x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(n, ny, nx)
+        return along(along(x).swapaxes(1, 2)).swapaxes(1, 2)
+
+    return batched(images, values, fn)
 
 
 def block_neighbours(values: Column, i: Column, offsets: Sequence[tuple[int, int]], nx: int, ny: int) -> Column:
@@ -248,23 +286,24 @@ def block_gradients(values: str, nx: int, ny: int, one_sided: bool = False, spac
     return bound(values, lambda own: F.transform(own, lambda v, i: at(own, v, i)))
 
 
-def block_ssim(pairs: str, nx: int, ny: int, c1: float = 6.5025, c2: float = 58.5225) -> Column:
-    """ssim at each place of an array of structs (a, b), over the window from -2 to +3 on both axes."""
-
-    def at(own: Column, i: Column) -> Column:
-        found = block_neighbours(own, i, square(-2, 3), nx, ny)
-        zero = F.struct(*[F.lit(0.0).alias(k) for k in ("a", "b", "aa", "bb", "ab")], F.lit(0).alias("n"))
+def windowed(x: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Sums of the places from low to high around each place on the last two axes; places outside count as 0."""
+    for axis in (-1, -2):
+        n = x.shape[axis]
+        total = np.concatenate([np.zeros_like(x.take([0], axis)), np.cumsum(x, axis)], axis)
+        at = np.arange(n)
+        x = total.take(np.minimum(at + high + 1, n), axis) - total.take(np.maximum(at + low, 0), axis)
+    return x
 
-        def add(s: Column, v: Column) -> Column:
-            a, b = v["a"].cast("double"), v["b"].cast("double")
-            return F.struct((s["a"] + a).alias("a"), (s["b"] + b).alias("b"), (s["aa"] + a * a).alias("aa"), (s["bb"] + b * b).alias("bb"), (s["ab"] + a * b).alias("ab"), (s["n"] + 1).alias("n"))
 
-        def score(s: Column) -> Column:
-            n = s["n"]
-            ma, mb = s["a"] / n, s["b"] / n
-            va, vb, cov = s["aa"] / n - ma * ma, s["bb"] / n - mb * mb, s["ab"] / n - ma * mb
-            return (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
+def block_ssim(images: DataFrame, values: str, nx: int, ny: int, c1: float = 6.5025, c2: float = 58.5225) -> DataFrame:
+    """ssim at each place of arrays of structs (a, b), over the window from -2 to +3 on both axes, for a batch of images at once."""
 
-        return F.aggregate(found, zero, add, score)
+    def fn(flat: pa.Array, n: int) -> np.ndarray:
+        a, b = (flat.field(k).to_numpy(zero_copy_only=False).astype(float).reshape(n, ny, nx) for k in ("a", "b"))
+        count = windowed(np.ones((1, ny, nx)), -2, 3)
+        ma, mb, aa, bb, ab = (windowed(v, -2, 3) / count for v in (a, b, a * a, b * b, a * b))
+        va, vb, cov = aa - ma * ma, bb - mb * mb, ab - ma * mb
+        return (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
 
-    return bound(pairs, lambda own: F.transform(own, lambda _, i: at(own, i)))
+    return batched(images, values, fn)

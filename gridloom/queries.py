@@ -366,7 +366,7 @@ def mode3(spark, sf_dir):
  FROM pairs p JOIN pairs q ON p.slice_id = q.slice_id AND q.x - p.x BETWEEN -2 AND 3 AND q.y - p.y BETWEEN -2 AND 3 GROUP BY 1, 2, 3)
 SELECT slice_id, x, y, {R('(2 * ma * mb + 6.5025::DOUBLE) * (2 * (ab - ma * mb) + 58.5225::DOUBLE) / ((ma * ma + mb * mb + 6.5025::DOUBLE) * (aa - ma * ma + bb - mb * mb + 58.5225::DOUBLE))', 'ssim')} FROM s""")
 def ssim_local(spark, sf_dir):
-    made = pair_blocks(spark, sf_dir).select("slice_id", stencils.block_ssim("pixels", 8, 8).alias("pixels"))
+    made = stencils.block_ssim(pair_blocks(spark, sf_dir).select("slice_id", "pixels"), "pixels", 8, 8)
     return rounded(sg.explode_pixels(made, value="ssim"))
 
 
