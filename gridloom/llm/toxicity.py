@@ -2,20 +2,20 @@
 
 A sentence ends at a newline, or at `.`, `!` or `?` before white space. It is
 the list of its words; marks other than letters and digits are dropped, runs of
-three or more single letters with white space between make one word more, and
-a word of over LONG letters is read as overlapping parts of LONG letters, each
-a word. A word's features are its subsequences of three or four letters over
-at most SPAN places, each weighted DECAY for a place skipped: inserted
-characters and gaps lower the kernel of two words and leave it above zero. A
-word begins with a boundary sign. Word kernels are normalised by the weight of
-the subsequences one by one; the kernel of two sentences is the sum of the
-kernels of their words.
+three or more single letters with white space between make one word more. A
+word's features are its subsequences of three or four letters over at most
+SPAN places, each weighted DECAY for a place skipped: inserted characters and
+gaps lower the kernel of two words and leave it above zero. A word begins with
+a boundary sign. Word kernels are normalised by the weight of the subsequences
+one by one, whatever the word's length; the kernel of two sentences is the sum
+of the kernels of their words.
 
 The machine is a linear one with squared hinge loss over the Nystroem features
 of labelled sentences: kernels with LANDMARKS landmarks, one-word sentences,
 times the inverse square root of the landmarks' own kernel. Landmarks are words
 that stand in far more toxic documents than chance explains, unlike each other,
-and clean words most like them. Sentences of clean documents are negative. As a
+clean words most like them, and clean words drawn by hash, likelier the more
+documents hold them; every word of the sample can become one. Sentences of clean documents are negative. As a
 toxic document doesn't say which of its sentences is toxic, all of them start
 as positive; then, ROUNDS times, the highest sentence of each by the machine
 itself is positive and its others have no say. A document scores by its highest
@@ -46,13 +46,14 @@ from .common import buffers, ship, small_batches
 from .wordhash import as_array, mix, shingles
 
 SAMPLE, CLEAN, SENTENCES, LANDMARKS, DECAY, SPAN, ROUNDS = 2_000, 2, 100_000, 128, 0.6, 5, 5
-#: Standard deviations over chance, and share of a word's documents, from which a word may be a toxic landmark; words read to choose landmarks.
-SURE, PURE, CANDIDATES = 5.5, 0.75, 20_000
+#: Standard deviations over chance, and share of a word's documents, from which a word may be a toxic landmark; the kernel from which two of them are alike.
+SURE, PURE, ALIKE = 5.5, 0.75, 0.75
 BOUNDARY, OTHER, DIGIT = 31, 27, 30
 #: Offsets of the places of a subsequence after its first.
 PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)] + [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
 TABLE = 1 << 20
-LONG, STEP = 16, 8
+#: Letters whose kernels are worked out at a time.
+STRETCH = 1 << 14
 #: Tasks that work out the features of the sample's sentences.
 FIT_TASKS = 8
 
@@ -108,19 +109,8 @@ def words_of(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
-def gathered(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The stretches from a to b of c, a boundary before each and after the last."""
-    size = b - a + 1
-    at = np.cumsum(size) - size
-    out = np.full(int(size.sum()) + 1, BOUNDARY, np.uint8)
-    inside = np.ones(len(out), bool)
-    inside[at] = inside[-1] = False
-    out[inside] = c[np.repeat(a - at + np.cumsum(np.ones(len(a), int)) - 1, b - a) + np.arange(int((b - a).sum()))] if len(a) else out[inside]
-    return out
-
-
 def units(texts: list[str]) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
-    """Words as (classes, starts, ends, sentence), those that stand as such and then parts and spread ones; and the text of each sentence."""
+    """Words as (classes, starts, ends, sentence), those that stand as such and then spread ones; and the text of each sentence."""
     c, sentence, text = letters(texts)
     start, end = words_of(c)
     if not len(start):
@@ -128,15 +118,7 @@ def units(texts: list[str]) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
     numbers, of = np.unique(sentence[start + 1], return_inverse=True)
     owner = np.zeros(len(numbers), int)
     owner[of] = text[start + 1]
-    long = end - start > LONG + 1
-    out = [(c, start[~long], end[~long], of[~long])]
-    if long.any():
-        parts = -(-(end - start - 1 - LONG)[long] // STEP) + 1
-        step = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-        a = np.repeat(start[long] + 1, parts) + STEP * step
-        b = np.minimum(a + LONG, np.repeat(end[long], parts))
-        joined = gathered(c, a, b)
-        out.append((joined, *words_of(joined), np.repeat(of[long], parts)))
+    out = [(c, start, end, of)]
     one = np.concatenate([[False], (end - start == 2), [False]])
     turn = np.flatnonzero(one[1:] != one[:-1])
     runs = [(a, b) for a, b in zip(turn[::2], turn[1::2]) if b - a >= 3]
@@ -197,21 +179,21 @@ class Landmarks:
         self.found = np.array(list(found))
 
     def kernels(self, words: list[bytes]) -> np.ndarray:
-        """Normalised kernels of words with the landmarks."""
-        out = np.empty((len(words), len(self.words)), np.float32)
-        for at in range(0, len(words), 2048):
-            part = words[at : at + 2048]
-            c = np.frombuffer(b"".join(part), np.uint8)
-            ends = np.cumsum([len(w) for w in part])
-            total = np.zeros((len(c) + 1, len(self.words)), np.float32)
-            for code, inside, w in codes(c):
-                row = self.row[code]
-                hit = np.flatnonzero(inside & (row >= 0))
-                total[hit + 1] += np.float32(w) * self.weight[row[hit]]
-            sums = np.cumsum(total, 0, dtype=np.float64)
-            size = np.diff(ends, prepend=0)
-            out[at : at + 2048] = (sums[ends] - sums[ends - size]) / norm(size)[:, None]
-        return out
+        """Normalised kernels of words with the landmarks, STRETCH letters at a time, within words too."""
+        c = np.frombuffer(b"".join(words), np.uint8)
+        size = np.array([len(w) for w in words], np.int64)
+        word = np.repeat(np.arange(len(words)), size)
+        out = np.zeros((len(words), len(self.words)))
+        for at in range(0, len(c), STRETCH):
+            of, first = np.unique(word[at : at + STRETCH], return_index=True)
+            n = min(STRETCH, len(c) - at)
+            total = np.zeros((n, len(self.words)), np.float32)
+            for code, inside, w in codes(c[at : at + STRETCH + SPAN]):
+                row = self.row[code[:n]]
+                hit = np.flatnonzero(inside[:n] & (row >= 0))
+                total[hit] += np.float32(w) * self.weight[row[hit]]
+            out[of] += np.add.reduceat(total, first, axis=0, dtype=np.float64)
+        return (out / norm(size)[:, None]).astype(np.float32)
 
     def table(self, beta: np.ndarray, offset: float) -> np.ndarray:
         """The weight of each subsequence in a machine with weights beta of the kernels; its offset comes last."""
@@ -227,29 +209,36 @@ def sequence(word: str) -> bytes:
     return c[:-1].tobytes()
 
 
-def chosen(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> Landmarks:
-    """Landmarks by the counts of words' toxic and clean documents."""
-    many = toxic + clean
-    rate = toxic.sum() / many.sum()
-    pure = toxic / many
-    over = (toxic - many * rate) / np.sqrt(many * rate * (1 - rate))
-    sure = (over > SURE) & (pure >= PURE)
-    if not sure.any():
-        sure = over >= over.max()
-    seqs = [sequence(w) for w in words]
-    bad = [int(i) for i in np.argsort(-over * sure, kind="stable")[: int(sure.sum())]]
-    marks: list[int] = []
-    k = np.empty((len(bad), 0), np.float32)
-    for i, b in enumerate(bad):
-        if len(marks) < LANDMARKS // 2 and (not marks or k[i].max() < 0.75):
-            marks.append(b)
-            k = np.hstack([k, Landmarks([seqs[b]]).kernels([seqs[x] for x in bad])])
-    rest = np.flatnonzero(pure < 0.5)
-    if len(rest):
-        like = Landmarks([seqs[i] for i in marks]).kernels([seqs[i] for i in rest]).max(1)
-        near = rest[np.argsort(-like * np.log1p(many[rest]), kind="stable")]
-        marks += dict.fromkeys(int(i) for i in [*near[: LANDMARKS // 3], *rest[np.linspace(0, len(rest) - 1, LANDMARKS // 6).astype(int)]])
-    return Landmarks([seqs[i] for i in marks])
+def chosen(counted: DataFrame) -> Landmarks | None:
+    """Landmarks among all words of counted (word, t toxic documents of n); None where there is no word."""
+    whole = counted.agg(F.sum("t").alias("t"), F.sum("n").alias("n")).first()
+    if not whole["n"]:
+        return None
+    rate = whole["t"] / whole["n"]
+    over = counted.withColumn("over", (F.col("t") - F.col("n") * rate) / F.sqrt("n"))
+    least = SURE * (rate * (1 - rate)) ** 0.5
+    sure = (F.col("over") > least) & (F.col("t") >= PURE * F.col("n"))
+    found = over.agg(F.count_if(sure).alias("sure"), F.max("over").alias("top")).first()
+    marks: list[bytes] = []
+    for r in over.filter(sure if found["sure"] else F.col("over") >= found["top"]).orderBy(F.desc("over"), "word").select("word").toLocalIterator():
+        word = sequence(r["word"])
+        if not marks or Landmarks(marks).kernels([word]).max() < ALIKE:
+            marks.append(word)
+        if len(marks) == LANDMARKS // 2:
+            break
+
+    def likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic = Landmarks(marks)
+        for batch in batches:
+            like = toxic.kernels([sequence(w) for w in batch.column("word").to_pylist()]).max(1)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(like.astype(float))], ["word", "n", "like"])
+
+    clean = counted.filter(F.col("t") < 0.5 * F.col("n")).select("word", "n")
+    near = clean.mapInArrow(likeness, "word string, n long, like double").orderBy(F.desc(F.round(F.col("like") * F.log1p("n"), 6)), "word").limit(LANDMARKS // 3)
+    drawn = -F.log((F.pmod(F.xxhash64("word"), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / F.col("n")
+    spread = clean.orderBy(drawn, "word").limit(LANDMARKS // 6)
+    words = [r["word"] for part in (near, spread) for r in part.collect()]
+    return Landmarks(marks + [sequence(w) for w in dict.fromkeys(words)])
 
 
 def whitening(landmarks: Landmarks) -> np.ndarray:
@@ -409,22 +398,23 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[np.
     """The table of weights of subsequences and the curve; None where a class has no labelled row."""
     ship(docs.sparkSession)
     sample = training_rows(docs, labels, text).cache()
+    try:
+        return fitted(sample)
+    finally:
+        sample.unpersist()
+
+
+def fitted(sample: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """The machine of a bounded sample (doc, toxic, text)."""
     ends = F.size(F.split(F.coalesce("text", F.lit("")), r"\n|[.!?](?=\s)"))
-    sizes = {r["toxic"]: r for r in sample.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(ends.cast("long")).alias("s")).collect()}
+    sizes = {r["toxic"]: r for r in sample.groupBy("toxic").agg(F.sum(ends.cast("long")).alias("s")).collect()}
     if 0 not in sizes or 1 not in sizes:
         return None
-    toxic, n = F.sum("toxic"), F.count("*")
-    counted = document_words(sample).distinct().groupBy("word").agg(toxic.alias("t"), n.alias("n")).cache()
-    whole = counted.agg(F.sum("t").alias("t"), F.sum("n").alias("n")).first()
-    if not whole["n"]:
-        return None
-    rate = whole["t"] / whole["n"]
-    lift = (F.col("t") - F.col("n") * rate) / F.sqrt("n")
-    part = lambda *o: counted.orderBy(*o, "word").limit(CANDIDATES // 2).collect()
-    words = {r["word"]: (r["t"], r["n"]) for r in [*part(F.desc(lift)), *part(F.desc("n"))]}
-    t, n = np.array(list(words.values()), float).T
-    landmarks = chosen(list(words), t, n - t)
+    counted = document_words(sample).distinct().groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).cache()
+    landmarks = chosen(counted)
     counted.unpersist()
+    if landmarks is None:
+        return None
     half = whitening(landmarks)
     share = {k: min(1.0, SENTENCES / max(1, sizes[k]["s"])) for k in (0, 1)}
     found = sentence_features(sample.repartition(FIT_TASKS, "doc"), landmarks, half, share).toArrow()
@@ -434,7 +424,6 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[np.
     w = fit(x, *(found.column(c).to_numpy() for c in ("doc", "toxic")))
     table = landmarks.table(half @ w[:-1], w[-1])
     scores = raw_scores(sample, table, "text").select("raw", "row.toxic").collect()
-    sample.unpersist()
     return table, logistic(*(np.array([r[k] for r in scores], float) for k in ("raw", "toxic")))
 
 
