@@ -14,6 +14,8 @@ from gridloom.functions.scalars import STEP, gaussian_density, uniform_density
 from gridloom.operators import stencils
 
 SURE = 0.99
+#: The least variance of residuals: at its peak the Gaussian is as dense as a uniform part of width STEP.
+FLOOR = STEP * STEP / 6.28
 
 
 def known(padding: float = -1) -> Column:
@@ -28,19 +30,21 @@ State = dict[str, float]
 
 
 def initial(pixels: DataFrame) -> State:
-    """sigma (mean squared residual), mix 0.9, and m of the uniform part."""
+    """sigma (mean squared residual; its floor where that is 0 or no pixel is known), mix 0.9, and m of the uniform part, STEP wide at least."""
     e = residual()
     v = F.when(F.col("v") > 0, F.col("v").cast("double"))
     s = pixels.agg(F.avg(F.when(known(), e * e)).alias("sigma"), F.max(v).alias("hi"), F.min(v).alias("lo")).first()
-    return {"sigma": s["sigma"], "mix": 0.9, "m": 1.0 / (2.1 * s["hi"] - 1.9 * s["lo"])}
+    wide = 0.0 if s["hi"] is None else 2.1 * s["hi"] - 1.9 * s["lo"]
+    return {"sigma": s["sigma"] or FLOOR, "mix": 0.9, "m": 1.0 / max(wide, STEP)}
 
 
 def weighted(pixels: DataFrame, state: State, e: Column | None = None) -> DataFrame:
-    """pixels with w, the posterior of the Gaussian part; 0 at padding."""
+    """pixels with w, the posterior of the Gaussian part; 0 at padding and where both parts vanish."""
     g = gaussian_density(residual() if e is None else e, F.lit(state["sigma"]))
     u = uniform_density(F.lit(state["m"]))
     mix = state["mix"]
-    w = F.when(known(), g * mix / (g * mix + u * (1 - mix))).otherwise(0.0)
+    total = g * mix + u * (1 - mix)
+    w = F.when(known() & (total > 0), g * mix / total).otherwise(0.0)
     return pixels.withColumn("w", w)
 
 
@@ -68,12 +72,11 @@ def slice_weights(potential: DataFrame, mix: float = 0.9, prior: str | None = No
     s = potential.agg(*sums, F.min(F.when(use, p)).alias("lo"), F.max(F.when(use, p)).alias("hi")).first()
     if s["lo"] is None:  # no slice tells
         return potential.select("stack_id", "slice_id", "potential", F.lit(0.0).alias("w_slice")), 0.9
-    floor = STEP * STEP / 6.28
     mean = s["a1"] / s["a0"] if s["a0"] > 0 else s["lo"]
     mean2 = s["b1"] / s["b0"] if s["b0"] > 0 else (s["hi"] + mean) / 2
     around = lambda n, m: s[f"{n}2"] - 2 * m * s[f"{n}1"] + m * m * s[f"{n}0"]
-    v1 = max(floor, around("a", mean) / s["a0"] if s["a0"] > 0 and around("a", mean) > 0 else 0.025)
-    v2 = max(floor, around("b", mean2) / s["b0"] if s["b0"] > 0 and around("b", mean2) > 0 else (mean2 - mean) ** 2 / 4)
+    v1 = max(FLOOR, around("a", mean) / s["a0"] if s["a0"] > 0 and around("a", mean) > 0 else 0.025)
+    v2 = max(FLOOR, around("b", mean2) / s["b0"] if s["b0"] > 0 and around("b", mean2) > 0 else (mean2 - mean) ** 2 / 4)
     g1 = F.when(p < mean2, gaussian_density(p - mean, F.lit(v1))).otherwise(0.0)
     g2 = F.when(p > mean, gaussian_density(p - mean2, F.lit(v2))).otherwise(0.0)
     total = g1 * mix + g2 * (1 - mix)
@@ -85,10 +88,17 @@ def slice_weights(potential: DataFrame, mix: float = 0.9, prior: str | None = No
 
 
 def maximised(pixels: DataFrame, e: Column | None = None, mix: float | None = None) -> State:
-    """sigma, mix and m from weighted residuals; a mix that is given stays, as in a first iteration."""
+    """sigma, mix and m from weighted residuals; a mix that is given stays, as in a first iteration.
+
+    Residuals that are all equal count as STEP apart; where no pixel has a
+    weight, sigma is of all alike; without a known pixel, sigma is at its floor
+    and mix that of a start.
+    """
     e, w = residual() if e is None else e, F.col("w")
-    s = pixels.agg(F.sum(F.when(known(), e * e * w)).alias("s"), F.sum(F.when(known(), w)).alias("w"), F.count_if(known()).alias("n"), F.min(F.when(known(), e)).alias("lo"), F.max(F.when(known(), e)).alias("hi")).first()
-    return {"sigma": max(s["s"] / s["w"], STEP * STEP / 6.28), "mix": s["w"] / s["n"] if mix is None else mix, "m": 1.0 / (s["hi"] - s["lo"])}
+    s = pixels.agg(F.sum(F.when(known(), e * e * w)).alias("s"), F.sum(F.when(known(), w)).alias("w"), F.avg(F.when(known(), e * e)).alias("plain"), F.count_if(known()).alias("n"), F.min(F.when(known(), e)).alias("lo"), F.max(F.when(known(), e)).alias("hi")).first()
+    if not s["n"]:
+        return {"sigma": FLOOR, "mix": 0.9 if mix is None else mix, "m": 1.0 / STEP}
+    return {"sigma": max(s["s"] / s["w"] if s["w"] else s["plain"], FLOOR), "mix": (s["w"] or 0.0) / s["n"] if mix is None else mix, "m": 1.0 / max(s["hi"] - s["lo"], STEP)}
 
 
 def slice_scales(pixels: DataFrame, bias: Column | None = None) -> DataFrame:
@@ -99,10 +109,10 @@ def slice_scales(pixels: DataFrame, bias: Column | None = None) -> DataFrame:
 
 
 def volume_scale(pixels: DataFrame) -> DataFrame:
-    """One row: the factor that fits the simulated values to the slices, by pixel and slice weights."""
+    """One row: the factor that fits the simulated values to the slices, by pixel and slice weights; 1 where nothing tells."""
     k = F.col("w") * F.col("w_slice")
     s = pixels.agg(F.sum(F.when(known(), k * F.col("v") * F.col("sim"))).alias("a"), F.sum(F.when(known(), k * F.col("sim") * F.col("sim"))).alias("b"))
-    return s.select((F.col("a") / F.col("b")).alias("scale"))
+    return s.select(F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(1.0).alias("scale"))
 
 
 def bias_residual(floor: float = 1.0) -> Column:
