@@ -227,3 +227,14 @@ def test_resampling_edges(spark):
     same = spark.createDataFrame([(i % 40, 20, 20, 0, i // 80) for i in range(400)], "doc_id long, n_words long, n_features long, weight long, score long").repartition(11)
     ranks = resample.ranked(same, Scratch(spark), percent=25).filter("rank IS NOT NULL").orderBy("rank").collect()
     assert [r["rank"] for r in ranks] == list(range(1, 101)) and [(r["score"], r["doc_id"]) for r in ranks] == sorted(((r["score"], r["doc_id"]) for r in ranks), key=lambda x: (-x[0], x[1]))
+
+
+def test_resampling_query_draws_of_the_long_enough(spark, tmp_path):
+    """Of N documents with 20 words, floor(N / 10) are drawn, whatever shorter ones stand beside them."""
+    rows = [(i, f"word{i} " * (25 if i % 3 else 5)) for i in range(100)] + [(100, None), (101, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "word1 word2 word4")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in queries.op13_importance_resampling(spark, str(tmp_path)).collect()}
+    n = sum(1 for i in range(100) if i % 3)
+    best = sorted((r for r in got.values() if r["n_features"] >= 20), key=lambda r: (-r["score"], r["doc_id"]))[: 10 * n // 100]
+    assert len(got) == 102 and n == 66 and {i: r["rank"] for i, r in got.items() if r["rank"]} == {r["doc_id"]: k for k, r in enumerate(best, 1)}
