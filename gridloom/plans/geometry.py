@@ -358,7 +358,7 @@ def similarity_by_region(spark, sf_dir):
     quarter = [[y * 8 + x for y in range(8) for x in range(8) if x // 4 * 2 + y // 4 == k] for k in range(4)]
     parts = F.explode(F.array(*[F.struct(F.lit(k).alias("region"), F.array(*[F.get("pixels", F.lit(i)) for i in at]).alias("pixels")) for k, at in enumerate(quarter)])).alias("p")
     cut = images.select("slice_id", "stack_id", parts).select("slice_id", "stack_id", "p.region", "p.pixels")
-    return rounded(hist.pairs_of_blocks(cut.filter("slice_id % 10 = 0"), cut.filter("slice_id % 10 <> 0"), ["stack_id", "region"]).filter("a < b").select("stack_id", "a", "b", "region", "ncc"))
+    return rounded(hist.pairs_of_blocks(cut.filter("slice_id % 10 = 0"), cut.filter("slice_id % 10 <> 0"), ["stack_id", "region"], lambda a, b: a < b).select("stack_id", "a", "b", "region", "ncc"))
 
 
 # Scalars
