@@ -23,6 +23,8 @@ from gridloom.operators import tiles as tl
 
 #: Voxels along an edge of the cube, and the least share against the peak.
 SUPPORT, LEAST = 12, 1e-4
+#: Coefficients that are handed on at once.
+HELD = 1 << 17
 
 
 def gaussian(d: np.ndarray, spacing: tuple[float, float, float], in_plane: float = 1.2) -> np.ndarray:
@@ -70,29 +72,40 @@ def coefficients(patches: DataFrame, size: tuple[int, int], spread: Callable, su
     reach = np.arange(support) - (support - 1) // 2
     cube = np.stack(np.meshgrid(reach, reach, reach, indexing="ij"), -1).reshape(-1, 3)
 
+    def handed(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
+        take, px, py, value, voxel, c = (np.concatenate(a) for a in zip(*parts))
+        i32 = lambda a: pa.array(a.astype(np.int32))
+        own = pa.array(take)
+        return pa.RecordBatch.from_arrays([batch.column("key").take(own), batch.column("unit").take(own), i32(px), i32(py), pa.array(value), *[i32(voxel[:, a]) for a in range(3)], pa.array(c)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [tl.lists(batch.column(c)) for c in ("x", "y", "z", "v", "p", "centre")]
             widths, depths = (batch.column(c).to_numpy() for c in ("width", "depth"))
-            parts = []
+            parts, held = [], 0
             for i, (x, y, z, v, p, centre) in enumerate(zip(*cols)):
                 m = tl.matrices(p.reshape(-1, 6))[0]
                 points = np.stack([x, y, z], 1)
-                known = np.flatnonzero(~np.isnan(v))
-                w = points[known] @ m[:, :3].T + m[:, 3] + centre
-                voxel = np.floor(w + 0.5).astype(int)[:, None, :] + cube
-                d = (voxel - centre - m[:, 3]) @ m[:, :3] - points[known][:, None, :]
-                c = spread(d)
-                c[(c < LEAST) | (voxel < 0).any(-1) | (voxel >= (*size, depths[i])).any(-1)] = 0
-                total = c.sum(1)
-                pixel, at = np.nonzero(c)
-                parts.append((np.full(len(pixel), i), known[pixel] % widths[i], known[pixel] // widths[i], v[known[pixel]], voxel[pixel, at], c[pixel, at] / total[pixel]))
-            take, px, py, value, voxel, c = (np.concatenate(a) for a in zip(*parts))
-            i32 = lambda a: pa.array(a.astype(np.int32))
-            own = pa.array(take)
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(own), batch.column("unit").take(own), i32(px), i32(py), pa.array(value), *[i32(voxel[:, a]) for a in range(3)], pa.array(c)], names)
+                every = np.flatnonzero(~np.isnan(v))
+                # A patch of many pixels goes in parts too, as each has a whole cube.
+                for k in range(0, len(every), max(1, HELD // len(cube))):
+                    known = every[k : k + max(1, HELD // len(cube))]
+                    w = points[known] @ m[:, :3].T + m[:, 3] + centre
+                    voxel = np.floor(w + 0.5).astype(int)[:, None, :] + cube
+                    d = (voxel - centre - m[:, 3]) @ m[:, :3] - points[known][:, None, :]
+                    c = spread(d)
+                    c[(c < LEAST) | (voxel < 0).any(-1) | (voxel >= (*size, depths[i])).any(-1)] = 0
+                    total = c.sum(1)
+                    pixel, at = np.nonzero(c)
+                    parts.append((np.full(len(pixel), i), known[pixel] % widths[i], known[pixel] // widths[i], v[known[pixel]], voxel[pixel, at], c[pixel, at] / total[pixel]))
+                    held += len(pixel)
+                    if held >= HELD:
+                        yield handed(batch, parts)
+                        parts, held = [], 0
+            if parts:
+                yield handed(batch, parts)
 
     rows = patches.select("unit", "key", "width", "depth", "x", "y", "z", "v", "p", "centre")
     return rows.mapInArrow(run, f"stack_id {kinds['key']}, slice_id {kinds['unit']}, x int, y int, v double, vx int, vy int, vz int, c double")
