@@ -62,9 +62,9 @@ def grams(images: DataFrame) -> DataFrame:
 
     images: slice_id, stack_id, z, nz, pixels. A stack without a range gives 0.
     """
-    ends = ranges(images)
-    third = first_third(images).select("stack_id", F.col("z").alias("slice_id"), "pixels")
-    sums = hist.block_sums(third, third, ["stack_id"]).join(ends, "stack_id")
+    # The range goes with the blocks, so that no pair is shuffled to meet it.
+    third = first_third(images).join(ranges(images), "stack_id").select("stack_id", "lo", "hi", F.col("z").alias("slice_id"), "pixels")
+    sums = hist.block_sums(third, third, ["stack_id", "lo", "hi"])
     lo, width = F.col("lo"), F.col("hi") - F.col("lo")
     g = (F.col("ab") - lo * (F.col("sa") + F.col("sb")) + F.col("n") * lo * lo) / (width * width)
     return sums.select("stack_id", "a", "b", F.when(width > 0, g).otherwise(0.0).alias("g"))
