@@ -72,7 +72,7 @@ def resample_padded(images: DataFrame, pixels: DataFrame, n: int, old: float, ne
 
 
 #: Samples split over voxels at once, times eight corners.
-SAMPLES = 400_000
+SAMPLES = 100_000
 
 
 def coefficients(images: DataFrame, matrix: Sequence[Column], psf: Sequence[tuple], centre: Sequence[float], size: tuple[int, int]) -> DataFrame:
@@ -101,33 +101,37 @@ def coefficients(images: DataFrame, matrix: Sequence[Column], psf: Sequence[tupl
                 point[..., 2] = z[:, None, None] + spread[None, None, :, 2] - centre[2]
                 world = np.einsum("nrc,npsc->npsr", m[:, :, :3], point) + m[:, None, None, :, 3] + np.array(centre)
                 low = np.floor(world)
-                keys, weights = [], []
-                depth = int(nz.max())
-                pixel = (np.arange(n)[:, None] * len(x) + np.arange(len(x))[None])[:, :, None]
+                # A pixel's voxels lie in a small box around its samples; places are numbered in it.
+                base = low.min(2, keepdims=True)
+                edge = int((low - base).max(initial=0)) + 2
+                pixel = np.arange(n * len(x)).reshape(n, len(x), 1)
+                c = np.zeros(n * len(x) * edge**3)
                 for k in range(8):
                     corner = low + [k & 1, k >> 1 & 1, k >> 2 & 1]
                     w = np.prod(1 - np.abs(world - corner), -1) * spread[None, None, :, 3]
-                    v = corner.astype(np.int64)
-                    good = (w > 0) & (v >= 0).all(-1) & (v[..., 0] < nx) & (v[..., 1] < ny) & (v[..., 2] < nz[:, None, None])
-                    key = ((pixel * depth + v[..., 2]) * ny + v[..., 1]) * nx + v[..., 0]
-                    keys.append(key[good])
-                    weights.append(w[good])
-                key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+                    good = (w > 0) & (corner >= 0).all(-1) & (corner[..., 0] < nx) & (corner[..., 1] < ny) & (corner[..., 2] < nz[:, None, None])
+                    v = (corner - base).astype(np.int64)
+                    place = ((pixel * edge + v[..., 2]) * edge + v[..., 1]) * edge + v[..., 0]
+                    c += np.bincount(place[good], w[good], len(c))
+                key = np.flatnonzero(c > 0)
                 if not len(key):
                     continue
-                c = np.bincount(inverse, np.concatenate(weights))
-                own, voxel = np.divmod(key, depth * ny * nx)
+                c = c[key]
+                own, voxel = np.divmod(key, edge**3)
                 image, place = np.divmod(own, len(x))
+                first = base.reshape(-1, 3)[own].astype(np.int64)
                 values = part.column("pixels").combine_chunks() if isinstance(part.column("pixels"), pa.ChunkedArray) else part.column("pixels")
                 flat = values.flatten().to_numpy(zero_copy_only=False)
                 i32 = lambda a: pa.array(a.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("stack_id").take(pa.array(image)), part.column("slice_id").take(pa.array(image)), i32(x[place]), i32(y[place]), pa.array(flat[own].astype(np.float64)),
-                     i32(voxel % nx), i32(voxel // nx % ny), i32(voxel // (nx * ny)), pa.array(c)], names
+                     *[i32(first[:, a] + voxel // edge**a % edge) for a in range(3)], pa.array(c)], names
                 )
 
     kind = lambda c: images.schema[c].dataType.simpleString()
-    rows = images.select("stack_id", "slice_id", "z", "nz", "pixels", F.array(*matrix).alias("m"))
+    # An image gives thousands of rows: a small table is still work for all tasks.
+    tasks = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = images.select("stack_id", "slice_id", "z", "nz", "pixels", F.array(*matrix).alias("m")).repartition(tasks, "slice_id")
     return rows.mapInArrow(run, f"stack_id {kind('stack_id')}, slice_id {kind('slice_id')}, x int, y int, v double, vx int, vy int, vz int, c double")
 
 
