@@ -35,7 +35,7 @@ def dealt(posed: DataFrame, size: float) -> DataFrame:
     kinds = {c: posed.schema[c].dataType.simpleString() for c in ("key", "image")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tl.parts(batches):
             take, rows = [], []
             cols = [tl.lists(batch.column(c)) for c in ("x", "y", "z", "v", "p", "centre")] if batch.num_rows else []
             for i, (x, y, z, v, p, centre) in enumerate(zip(*cols)):
@@ -70,7 +70,7 @@ def estimated(samples: DataFrame, spacing: float, size: float) -> DataFrame:
     edge = width + 2 * HALO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tl.parts(batches):
             if not batch.num_rows:
                 continue
             tile = np.stack([batch.column(c).to_numpy() for c in tl.TILE], 1)
@@ -106,7 +106,7 @@ def evaluated(samples: DataFrame, coefficients: DataFrame, spacing: float, size:
     names = samples.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tl.parts(batches):
             if not batch.num_rows:
                 continue
             tile = np.stack([batch.column(c).to_numpy() for c in tl.TILE], 1)
