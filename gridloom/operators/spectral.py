@@ -1,13 +1,19 @@
-"""Spectral embedding of a sparse affinity table: no dense matrix, no vector at the driver.
+"""Spectral embedding of a sparse affinity table: no dense matrix, no vectors of all nodes at the driver.
 
 Links are rows (a, b, w), both ways; the embedding holds the eigenvectors of the
 symmetric normalised Laplacian with the smallest eigenvalues after the trivial
 one, the root of the degrees. They are found by block conjugate gradients: a
 round multiplies the residuals of WIDTH more vectors than asked for by the
-affinity (a join and a sum), and of the span of the vectors, their last steps
-and the residuals takes the best vectors. The driver holds products of this
-span's vectors with each other alone, some dozen squared. Each round is a
+affinity, and of the span of the vectors, their last steps and the residuals
+takes the best vectors. The driver holds products of this span's vectors with
+each other, some dozen squared, and the residuals of hubs. Each round is a
 written table, so a lost executor costs one round.
+
+Hubs, HUBS at most, are the nodes with the most links, taken in four parts, each
+by the links that the parts before leave. A node's row carries its links to
+hubs, so a round sends hubs' residuals to all tasks and takes sums by hub back;
+such links are shuffled once, not in each round. Links between nodes that are no
+hubs are joined and summed in each round.
 """
 
 from __future__ import annotations
@@ -22,6 +28,12 @@ from gridloom.scratch import Scratch
 
 #: Vectors more than those asked for; they speed up the last of these.
 WIDTH = 3
+#: Nodes whose links stay with the nodes they lead to.
+HUBS = 4096
+
+#: Columns that stay with a node.
+LAID = ("id", "u", "hub", "near", "share")
+Batches = Iterator[pa.RecordBatch]
 
 
 def normalised(links: DataFrame) -> DataFrame:
@@ -39,6 +51,24 @@ def multiplied(edges: DataFrame, rows: DataFrame, value: str, width: int, name:
     return met.select(F.col("a").alias("id"), F.array(*[f"_{i}" for i in range(width)]).alias(name))
 
 
+def laid(edges: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes with their degree d, their number among hubs (or null) and their links to hubs, near and share; links between others; and the number of hubs."""
+    kind, most, rest = edges.schema["a"].dataType.simpleString(), [], edges.select("a", "b", "w")
+    table = lambda: F.broadcast(edges.sparkSession.createDataFrame(most, f"b {kind}, hub int"))
+    while len(most) < hubs:
+        more = rest.groupBy("a").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a").limit(min(-(-hubs // 4), hubs - len(most))).collect()
+        if not more:
+            break
+        most += [(r["a"], len(most) + i) for i, r in enumerate(more)]
+        rest = edges.select("a", "b", "w").join(table(), "b", "left_anti").join(table().withColumnRenamed("b", "a"), "a", "left_anti")
+    named = table()
+    own = named.select(F.col("b").alias("a"), F.col("hub").alias("own"))
+    met = edges.join(named, "b", "left")
+    links = F.sort_array(F.collect_list(F.when(F.col("hub").isNotNull(), F.struct("hub", "w"))))
+    nodes = met.groupBy("a").agg(F.first("d").alias("d"), links.alias("_l")).join(own, "a", "left")
+    return nodes.select(F.col("a").alias("id"), "d", F.col("own").alias("hub"), F.col("_l.hub").alias("near"), F.col("_l.w").alias("share")), rest, len(most)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
@@ -78,13 +108,13 @@ def best(ss: np.ndarray, sn: np.ndarray, us: np.ndarray, m: int) -> tuple[np.nda
     return theta[::-1][:m], (w @ q)[:, ::-1][:, :m]
 
 
-def _stepped(theta: np.ndarray, c: np.ndarray, us: np.ndarray, held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _stepped(theta: np.ndarray, c: np.ndarray, us: np.ndarray, held: int) -> Callable[[Batches], Batches]:
     """New vectors, their steps (what they take from beyond the first `held` vectors) and residuals."""
     step = c.copy()
     step[:held] = 0
     both = np.hstack([c, step]) if held < len(c) else c
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -92,28 +122,87 @@ def _stepped(theta: np.ndarray, c: np.ndarray, us: np.ndarray, held: int) -> Cal
             s, ns = (_matrix(batch.column(k)) - shift for k in ("s", "ns"))
             s, ns = s @ both, ns @ both
             r = ns[:, : len(theta)] - s[:, : len(theta)] * theta
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("u"), _arrays(s), _arrays(ns), _arrays(r)], ["id", "u", "s", "ns", "r"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in LAID], _arrays(s), _arrays(ns), _arrays(r)], [*LAID, "s", "ns", "r"])
+
+    return run
+
+
+def _links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all links to hubs: the place of the node in the batch, the hub's number, the weight."""
+    at = np.repeat(np.arange(batch.num_rows), batch.column("near").value_lengths().to_numpy())
+    return at, *[batch.column(k).flatten().to_numpy() for k in ("near", "share")]
+
+
+def _reaching(values: np.ndarray) -> Callable[[Batches], Batches]:
+    """Rows with nr, the sums over links to hubs of weight times the hub's residuals."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            if batch.num_rows:
+                at, near, share = _links(batch)
+                nr = np.stack([np.bincount(at, share * v[near], batch.num_rows) for v in values.T], axis=1).astype(float)  # without links bincount counts in integers
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in (*LAID, "s", "ns", "r")], _arrays(nr)], [*LAID, "s", "ns", "r", "nr"])
+
+    return run
+
+
+def _reached(hubs: int, width: int) -> Callable[[Batches], Batches]:
+    """Of a task's nodes: by hub, the sums over links of weight times the node's residuals."""
+
+    def run(batches: Batches) -> Batches:
+        total, seen = np.zeros((hubs, width)), np.zeros(hubs, bool)
+        for batch in batches:
+            if batch.num_rows:
+                at, near, share = _links(batch)
+                seen[near] = True
+                for j, v in enumerate(_matrix(batch.column("r")).T):
+                    total[:, j] += np.bincount(near, share * v[at], hubs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32)), _arrays(total[seen])], ["hub", "part"])
 
     return run
 
 
-def embedded(links: DataFrame, k: int, scratch: Scratch, bound: float = 1e-6, rounds: int = 200) -> tuple[DataFrame, list[float], float]:
+def grown(rows: DataFrame, step: Callable[[Batches], Batches], rest: DataFrame | None, hubs: int, width: int) -> DataFrame:
+    """Rows after a step, their span grown by the residuals, and its multiples by the residuals' multiples."""
+    kind = rows.schema["id"].dataType.simpleString()
+    kept = f"id {kind}, u double, hub int, near array<int>, share array<double>, s array<double>, ns array<double>, r array<double>"
+    values = np.zeros((hubs, width))
+    for r in rows.filter("hub IS NOT NULL").mapInArrow(step, kept).select("hub", "r").collect():  # HUBS rows at most
+        values[r["hub"]] = r["r"]
+    reaching, reached = _reaching(values), _reached(hubs, width)
+    met = rows.mapInArrow(lambda batches: reaching(step(batches)), f"{kept}, nr array<double>")
+    parts = rows.filter("hub IS NULL").mapInArrow(lambda batches: reached(step(batches)), "hub int, part array<double>")
+    sums = parts.groupBy("hub").agg(F.array(*[F.sum(F.get("part", F.lit(j))) for j in range(width)]).alias("part"))
+    found, added = met.join(F.broadcast(sums), "hub", "left"), ["part"]
+    if rest is not None:
+        found = found.join(multiplied(rest, rows.mapInArrow(step, kept), "r", width, "others"), "id", "left")
+        added.append("others")
+    nr = F.col("nr")
+    for name in added:
+        nr = F.when(F.col(name).isNull(), nr).otherwise(F.zip_with(nr, name, lambda x, y: x + y))
+    return found.select(*LAID, F.concat("s", "r").alias("s"), F.concat("ns", nr).alias("ns"))
+
+
+def embedded(links: DataFrame, k: int, scratch: Scratch, bound: float = 1e-6, rounds: int = 200, hubs: int = HUBS) -> tuple[DataFrame, list[float], float]:
     """id and vector (k numbers; fewer in a graph of k nodes or fewer) of every node with a link, the Laplacian's eigenvalues, and the largest residual.
 
     Vectors have length 1, and their largest entry in size is positive. The
     rounds end when all residuals are within the bound; else after so many, and
     the residual tells. An empty table of links has an empty embedding.
     """
-    kind = links.schema["a"].dataType.simpleString()
     edges = scratch.put(normalised(links), "edges")
-    nodes = edges.groupBy(F.col("a").alias("id")).agg(F.first("d").alias("d"))
+    nodes, rest, hubs = laid(edges, hubs)
+    nodes, rest = scratch.put(nodes, "nodes"), scratch.put(rest, "rest")
+    scratch.drop("edges")
+    rest = None if rest.isEmpty() else rest
     whole = nodes.agg(F.count("*").alias("n"), F.sum("d").alias("d")).first()
     m = min(k + WIDTH, whole["n"] - 1)
     if m < 1:
         return nodes.select("id", F.array().cast("array<double>").alias("vector")), [], 0.0
     draw = lambda j: F.pmod(F.xxhash64("id", F.lit(j)), F.lit(1 << 30)) / float(1 << 30) - 0.5
-    first = nodes.select("id", F.sqrt(F.col("d") / whole["d"]).alias("u"), F.array(*[draw(j) for j in range(m)]).alias("s"))
-    rows = scratch.put(first.join(multiplied(edges, first, "s", m, "ns"), "id"), "span0")
+    none = F.array().cast("array<double>")
+    first = nodes.select("id", F.sqrt(F.col("d") / whole["d"]).alias("u"), "hub", "near", "share", none.alias("s"), none.alias("ns"), F.array(*[draw(j) for j in range(m)]).alias("r"))
+    rows = scratch.put(grown(first, lambda batches: batches, rest, hubs, m), "span0")
     name, width, held, residual = "span0", m, m, np.inf
     for i in range(1, rounds + 1):
         ss, sn, us = products(rows, width)
@@ -122,10 +211,9 @@ def embedded(links: DataFrame, k: int, scratch: Scratch, bound: float = 1e-6, ro
             if residual <= bound:
                 break
         theta, c = best(ss, sn, us, m)
-        stepped = rows.mapInArrow(_stepped(theta, c, us, held), f"id {kind}, u double, s array<double>, ns array<double>, r array<double>")
+        step = _stepped(theta, c, us, held)
         held, width = len(theta), len(theta) * (2 if held < width else 1)
-        met = stepped.join(multiplied(edges, stepped, "r", held, "nr"), "id")
-        rows = scratch.put(met.select("id", "u", F.concat("s", "r").alias("s"), F.concat("ns", "nr").alias("ns")), f"span{i}")
+        rows = scratch.put(grown(rows, step, rest, hubs, held), f"span{i}")
         width += held
         scratch.drop(name)
         name = f"span{i}"

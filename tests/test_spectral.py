@@ -1,5 +1,7 @@
 """Spectral embedding against dense eigenvectors, on small graphs and on the query's own."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -65,3 +67,34 @@ def test_query_against_dense_vectors(spark):
     assert len(x) == len(want) == 500 and got[0]["residual"] <= 1e-4
     for j in range(3):
         assert np.allclose(x[:, j], want[:, j] * np.sign(want[:, j] @ x[:, j]), atol=2e-3)
+
+
+@pytest.mark.parametrize("hubs", [0, 1, 5, 20])
+def test_hubs_change_nothing(spark, hubs):
+    rng = np.random.default_rng(5)
+    rows = both_ways([(i, j, float(rng.uniform(0.2, 2))) for i in range(12) for j in range(i + 1) if j in (0, 3) or (i + j) % 3 == 0])
+    got, values, residual = spectral.embedded(spark.createDataFrame(rows, "a long, b long, w double"), 3, Scratch(spark), hubs=hubs)
+    at, value, vector = dense(rows)
+    x = np.zeros((12, 3))
+    for r in got.collect():
+        x[at[r["id"]]] = r["vector"]
+    assert residual <= 1e-6 and np.allclose(values, value[1:4], atol=1e-9)
+    assert np.allclose(np.abs(x.T @ vector[:, 1:4]), np.eye(3), atol=1e-4)
+
+
+def test_rounds_shuffle_no_links(spark):
+    seen = []
+
+    class Watched(Scratch):
+        def put(self, df, name):
+            if name.startswith("span"):
+                seen.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().put(df, name)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as on tables too large to broadcast
+    try:
+        spectral.embedded(embedding.affinity(spark, SF), 3, Watched(spark), rounds=2)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(seen) == 3
+    assert all(set(re.findall(r"hashpartitioning\((\w+)#", plan)) == {"hub"} for plan in seen)
