@@ -2,20 +2,21 @@
 
 A sample is spread to the lattice places around it with weights; equal targets
 are summed before any other join. The coefficient relation (slice, pixel,
-voxel, c) is the one large table: all rows of a pixel come from its own image,
-so they are summed there, without a shuffle, and every pass over the table is
-an equi-join and a partial aggregate.
+voxel, c) is far larger than images and volume and follows from the images, so
+what sums over it works it out anew, image by image: images meet tiles of the
+volume by an equi-join, and sums by voxel or pixel are all that is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions import coords
+from gridloom.operators import tiles as tl
 from gridloom.operators.stencils import bound
 
 
@@ -75,57 +76,72 @@ def resample_padded(images: DataFrame, pixels: DataFrame, n: int, old: float, ne
 SAMPLES = 100_000
 
 
-def coefficients(images: DataFrame, matrix: Sequence[Column], psf: Sequence[tuple], centre: Sequence[float], size: tuple[int, int]) -> DataFrame:
-    """stack_id, slice_id, x, y, v, vx, vy, vz, c: each pixel's samples under the point spread, moved by the slice's matrix, split over eight voxels and summed by voxel.
+def split_slices(psf: Sequence[tuple], centre: Sequence[float], size: tuple[int, int]) -> Callable:
+    """A function of batches (z, nz, m) that gives image, pixel, voxel (n, 3) and c, the pixel's samples under the point spread, moved by the slice's matrix about centre, split over eight voxels and summed by voxel; in parts, images ascending.
 
-    images: stack_id, slice_id, z, nz (depth of the volume), pixels, and the
-    matrix's columns; the matrix turns about centre. Voxels outside the volume
-    (size by nz) are left out.
+    Voxels outside the volume (size by nz) are left out.
     """
     nx, ny = size
     spread = np.array(psf, float)
     y, x = (a.ravel() for a in np.mgrid[:ny, :nx])
     places = np.stack([x, y], 1)[:, None, :] + spread[None, :, :2]  # pixel, sample
-    names = ["stack_id", "slice_id", "x", "y", "v", "vx", "vy", "vz", "c"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            step = max(1, SAMPLES // (len(x) * len(spread)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                m = np.stack(part.column("m").to_pylist()).reshape(-1, 3, 4)
-                z, nz = (part.column(c).to_numpy() for c in ("z", "nz"))
-                n = len(z)
-                point = np.empty((n, *places.shape[:2], 3))
-                point[..., :2] = places - np.array(centre[:2])
-                point[..., 2] = z[:, None, None] + spread[None, None, :, 2] - centre[2]
-                world = np.einsum("nrc,npsc->npsr", m[:, :, :3], point) + m[:, None, None, :, 3] + np.array(centre)
-                low = np.floor(world)
-                # A pixel's voxels lie in a small box around its samples; places are numbered in it.
-                base = low.min(2, keepdims=True)
-                edge = int((low - base).max(initial=0)) + 2
-                pixel = np.arange(n * len(x)).reshape(n, len(x), 1)
-                c = np.zeros(n * len(x) * edge**3)
-                for k in range(8):
-                    corner = low + [k & 1, k >> 1 & 1, k >> 2 & 1]
-                    w = np.prod(1 - np.abs(world - corner), -1) * spread[None, None, :, 3]
-                    good = (w > 0) & (corner >= 0).all(-1) & (corner[..., 0] < nx) & (corner[..., 1] < ny) & (corner[..., 2] < nz[:, None, None])
-                    v = (corner - base).astype(np.int64)
-                    place = ((pixel * edge + v[..., 2]) * edge + v[..., 1]) * edge + v[..., 0]
-                    c += np.bincount(place[good], w[good], len(c))
-                key = np.flatnonzero(c > 0)
-                if not len(key):
-                    continue
-                c = c[key]
+    def split(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        step = max(1, SAMPLES // (len(x) * len(spread)))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            m = np.stack(tl.lists(part.column("m"))).reshape(-1, 3, 4)
+            z, nz = (part.column(c).to_numpy() for c in ("z", "nz"))
+            n = len(z)
+            point = [np.broadcast_to(places[..., 0] - centre[0], (n, *places.shape[:2])), np.broadcast_to(places[..., 1] - centre[1], (n, *places.shape[:2])), z[:, None, None] + spread[None, None, :, 2] - centre[2]]
+            ends = (nx, ny, nz[:, None, None])
+            low, share = [], []
+            for r in range(3):
+                w = sum(m[:, r, k, None, None] * point[k] for k in range(3)) + m[:, r, 3, None, None] + centre[r]
+                low.append(np.floor(w))
+                f = w - low[r]
+                # Places outside have no share.
+                share.append([np.where((low[r] + e >= 0) & (low[r] + e < ends[r]), t, 0.0) for e, t in ((0, 1 - f), (1, f))])
+            # A pixel's voxels lie in a small box around its samples; places are numbered in it.
+            base = [a.min(2, keepdims=True) for a in low]
+            edge = max(int((a - b).max(initial=0)) for a, b in zip(low, base)) + 2
+            x0, y0, z0 = ((a - b).astype(np.int64) for a, b in zip(low, base))
+            here = ((np.arange(n * len(x)).reshape(n, len(x), 1) * edge + z0) * edge + y0) * edge + x0
+            share[0] = [t * spread[None, None, :, 3] for t in share[0]]
+            c = np.zeros(n * len(x) * edge**3)
+            for i in (0, 1):
+                for j in (0, 1):
+                    xy = share[0][i] * share[1][j]
+                    for k in (0, 1):
+                        c += np.bincount((here + ((k * edge + j) * edge + i)).ravel(), (xy * share[2][k]).ravel(), len(c))
+            base = np.concatenate(base, 2)
+            key = np.flatnonzero(c > 0)
+            if len(key):
                 own, voxel = np.divmod(key, edge**3)
                 image, place = np.divmod(own, len(x))
                 first = base.reshape(-1, 3)[own].astype(np.int64)
-                values = part.column("pixels").combine_chunks() if isinstance(part.column("pixels"), pa.ChunkedArray) else part.column("pixels")
-                flat = values.flatten().to_numpy(zero_copy_only=False)
-                i32 = lambda a: pa.array(a.astype(np.int32))
+                yield at + image, place, first + np.stack([voxel // edge**a % edge for a in range(3)], 1), c[key]
+
+    return split
+
+
+def coefficients(images: DataFrame, matrix: Sequence[Column], psf: Sequence[tuple], centre: Sequence[float], size: tuple[int, int]) -> DataFrame:
+    """stack_id, slice_id, x, y, v, vx, vy, vz, c of all slices as a table; what only sums over it takes seen_slices.
+
+    images: stack_id, slice_id, z, nz (depth of the volume), pixels, and the
+    matrix's columns; the matrix turns about centre.
+    """
+    names = ["stack_id", "slice_id", "x", "y", "v", "vx", "vy", "vz", "c"]
+    split = split_slices(psf, centre, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("pixels").flatten().to_numpy(zero_copy_only=False) if batch.num_rows else None
+            for image, place, voxel, c in split(batch):
+                own, i32 = pa.array(image), lambda a: pa.array(a.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("stack_id").take(pa.array(image)), part.column("slice_id").take(pa.array(image)), i32(x[place]), i32(y[place]), pa.array(flat[own].astype(np.float64)),
-                     *[i32(first[:, a] + voxel // edge**a % edge) for a in range(3)], pa.array(c)], names
+                    [batch.column("stack_id").take(own), batch.column("slice_id").take(own), i32(place % size[0]), i32(place // size[0]), pa.array(flat[image * size[0] * size[1] + place].astype(np.float64)),
+                     *[i32(voxel[:, a]) for a in range(3)], pa.array(c)], names
                 )
 
     kind = lambda c: images.schema[c].dataType.simpleString()
@@ -137,19 +153,166 @@ def coefficients(images: DataFrame, matrix: Sequence[Column], psf: Sequence[tupl
 
 VOXEL = ["stack_id", "vx", "vy", "vz"]
 PIXEL = ["slice_id", "x", "y"]
+#: Planes of images that are dealt to a task together, voxels along a tile, and sums by voxel that are held before they are handed on.
+SLAB, EDGE, SUMS = 32, 32, 1 << 16
+
+
+def of_known(split: Callable, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """As split, without pixels whose value isn't known; with each row's place in the flat values."""
+    flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+    n = batch.column("v").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    start = np.cumsum(n) - n
+    none = np.isnan(flat.astype(float))
+    for image, pixel, voxel, c in split(batch):
+        place = start[image] + pixel
+        if none.any():
+            keep = ~none[place]
+            image, pixel, voxel, c, place = image[keep], pixel[keep], voxel[keep], c[keep], place[keep]
+        if len(c):
+            yield image, pixel, voxel, c, place
+
+
+class Relation:
+    """Which voxels see the pixels of images, and how much: worked out of each image where it is summed, so that no table of coefficients is written or shuffled.
+
+    images: stack_id, slice_id, the plane, by which neighbours are dealt together,
+    nz (the volume's depth), width (pixels along x), v (an array, null where a
+    pixel isn't known and takes no part) and what the functions ask for.
+    split gives image, pixel, voxel and c of a batch in parts; reach the lowest
+    and highest voxel that each image may see. Voxels summed to meet a pixel go
+    as tiles of the volume to the images that reach them; what pixels give to
+    voxels is summed over neighbouring images before it is shuffled.
+    """
+
+    def __init__(self, images: DataFrame, size: tuple[int, int], split: Callable, reach: Callable, plane: str = "z"):
+        self.images, self.size, self.split, self.reach, self.plane = images, size, split, reach, plane
+        self.tasks = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def kind(self, c: str) -> str:
+        return self.images.schema[c].dataType.simpleString()
+
+    def valued(self, v: Column) -> Relation:
+        """The same relation for other values of the pixels."""
+        return Relation(self.images.withColumn("v", v), self.size, self.split, self.reach, self.plane)
+
+    def spread(self, names: Sequence[str] = ("v",), values: DataFrame | None = None) -> DataFrame:
+        """VOXEL, for each name the sum of c times the array of that name by pixel (null counts as 0), and the sum of c; values: slice_id and arrays, for images that have them."""
+        rows = self.images if values is None else self.images.join(values, "slice_id")
+        rows = rows.withColumn("_slab", F.floor(F.col(self.plane) / SLAB)).repartition(self.tasks, "stack_id", "_slab").sortWithinPartitions("stack_id", "_slab", self.plane)
+        columns = [*VOXEL, *[f"s{i}" for i in range(len(names))], "c"]
+        split = self.split
+
+        def reduced(parts: list[tuple]) -> tuple:
+            stack, voxel, sums = (np.concatenate(a, -1) for a in zip(*parts))
+            low = voxel.min(1, keepdims=True)
+            wide = voxel.max(1) - low[:, 0] + 1
+            own, stack = np.unique(stack, return_inverse=True)
+            x, y, z = voxel - low
+            code = ((stack * wide[2] + z) * wide[1] + y) * wide[0] + x
+            many = len(own) * int(wide.prod())
+            if many > 4 * len(code) + 1024:
+                place, code = np.unique(code, return_inverse=True)
+                many = len(place)
+            else:
+                place = np.arange(many)
+            sums = np.stack([np.bincount(code, s, many) for s in sums])
+            met = np.flatnonzero(np.bincount(code, minlength=many))
+            at, place = place[met], place[met]
+            voxel = np.stack([at % wide[0], at // wide[0] % wide[1], at // (wide[0] * wide[1]) % wide[2]]) + low
+            return own[place // wide.prod()], voxel, sums[:, met]
+
+        def handed(stacks: pa.Array, parts: list[tuple]) -> pa.RecordBatch:
+            stack, voxel, sums = reduced(parts)
+            return pa.RecordBatch.from_arrays([stacks.take(pa.array(stack)), *[pa.array(a.astype(np.int32)) for a in voxel], *[pa.array(a) for a in sums]], columns)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                stacks = batch.column("stack_id").dictionary_encode()
+                code = stacks.indices.to_numpy()
+                flat = [np.nan_to_num(batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float)) for c in names]
+                parts, held = [], 0
+                for image, _, voxel, c, place in of_known(split, batch):
+                    parts.append(reduced([(code[image], voxel.T, np.stack([*[c * a[place] for a in flat], c]))]))
+                    held += parts[-1][2].shape[1]
+                    if held >= SUMS:
+                        yield handed(stacks.dictionary, parts)
+                        parts, held = [], 0
+                if parts:
+                    yield handed(stacks.dictionary, parts)
+
+        part = rows.mapInArrow(run, f"stack_id {self.kind('stack_id')}, vx int, vy int, vz int, {', '.join(f'{c} double' for c in columns[4:])}")
+        return part.groupBy(*VOXEL).agg(*[F.sum(f"s{i}").alias(name) for i, name in enumerate(names)], F.sum("c").alias("c"))
+
+    def gathered(self, volume: DataFrame, value: str = "vol") -> DataFrame:
+        """stack_id, slice_id, x, y, v, s and c: of each pixel that meets the volume, the sums of c times its value and of c over the voxels that it has."""
+        size, split, reach = self.size, self.split, self.reach
+        kinds = ", ".join(f"{'key' if f.name == 'stack_id' else f.name} {f.dataType.simpleString()}" for f in self.images.schema)
+        names = [*["key" if c == "stack_id" else c for c in self.images.columns], *tl.TILE]
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                low, high = reach(batch)
+                top = np.stack([np.full(batch.num_rows, size[0]), np.full(batch.num_rows, size[1]), batch.column("nz").to_numpy()], 1) - 1
+                take, tile = tl.boxes(np.maximum(low, 0) // EDGE, np.minimum(high, top) // EDGE)
+                for at in range(0, len(take), tl.ROWS):
+                    rows = batch.take(pa.array(take[at : at + tl.ROWS]))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(tile[at : at + tl.ROWS, a].astype(np.int32)) for a in range(3)]], names)
+
+        def work(batch: pa.RecordBatch, tile: np.ndarray, at: np.ndarray, cell: np.ndarray) -> Iterator[pa.RecordBatch]:
+            whole = tl.cube(at, cell, EDGE).ravel()
+            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            width = batch.column("width").to_numpy()
+            for image, pixel, voxel, c, place in of_known(split, batch):
+                local = voxel - tile * EDGE
+                own = ((local >= 0) & (local < EDGE)).all(1)
+                value = np.where(own, whole[np.where(own, (local[:, 2] * EDGE + local[:, 1]) * EDGE + local[:, 0], 0)], np.nan)
+                good = ~np.isnan(value)
+                if not good.any():
+                    continue
+                # Rows of a pixel needn't stand together.
+                place, first, back = np.unique(place[good], return_index=True, return_inverse=True)
+                s, w = np.bincount(back, c[good] * value[good]), np.bincount(back, c[good])
+                image, pixel = image[good][first], pixel[good][first]
+                take = pa.array(image)
+                x, y = (pa.array(a.astype(np.int32)) for a in (pixel % width[image], pixel // width[image]))
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(take), batch.column("slice_id").take(take), x, y, pa.array(flat[place].astype(float)), pa.array(s), pa.array(w)], ["stack_id", "slice_id", "x", "y", "v", "s", "c"])
+
+        images = self.images.mapInArrow(near, kinds + ", tx int, ty int, tz int")
+        tiles = tl.cut(volume.select(F.col("stack_id").alias("key"), *VOXEL[1:], value), ["key"], VOXEL[1:], value, EDGE, 0)
+        part = tl.met(images, tiles, work, f"stack_id {self.kind('stack_id')}, slice_id {self.kind('slice_id')}, x int, y int, v double, s double, c double")
+        return part.groupBy("stack_id", *PIXEL, "v").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+
+
+def seen_slices(images: DataFrame, matrix: Sequence[Column], psf: Sequence[tuple], centre: Sequence[float], size: tuple[int, int]) -> Relation:
+    """The relation of slices and their stacks' volumes; images as for coefficients, pixels null where they aren't known."""
+    nx, ny = size
+    spread = np.array(psf, float)
+    low, high = spread[:, :3].min(0) - np.array(centre), spread[:, :3].max(0) + [nx - 1, ny - 1, 0] - np.array(centre)
+    box = np.array([[(low, high)[k >> a & 1][a] for a in range(3)] for k in range(8)])
+
+    def reach(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        m = np.stack(tl.lists(batch.column("m"))).reshape(-1, 3, 4)
+        corner = np.repeat(box[None], batch.num_rows, 0)
+        corner[..., 2] += batch.column("z").to_numpy()[:, None]
+        w = np.einsum("nrc,nkc->nkr", m[..., :3], corner) + m[:, None, :, 3] + np.array(centre)
+        return np.floor(w.min(1) - 1e-6).astype(np.int64), np.floor(w.max(1) + 1e-6).astype(np.int64) + 1
+
+    rows = images.select("stack_id", "slice_id", "z", "nz", F.lit(nx).alias("width"), F.col("pixels").cast("array<double>").alias("v"), F.array(*matrix).alias("m"))
+    return Relation(rows, size, split_slices(psf, centre, size), reach)
 
 
-def back_projected(coeff: DataFrame, value: Column) -> DataFrame:
+def back_projected(seen: Relation) -> DataFrame:
     """The weighted mean of values at each voxel, with the weight."""
-    s = coeff.groupBy(*VOXEL).agg(F.sum(F.col("c") * value).alias("s"), F.sum("c").alias("volw"))
-    return s.select(*VOXEL, (F.col("s") / F.col("volw")).alias("vol"), "volw")
+    return seen.spread().select(*VOXEL, (F.col("v") / F.col("c")).alias("vol"), F.col("c").alias("volw"))
 
 
-def forward_projected(coeff: DataFrame, volume: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def forward_projected(seen: Relation, volume: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Each pixel's mean of the volume under its coefficients (sim), and their sum (simweight)."""
-    met = coeff.join(volume, VOXEL)
-    s = met.groupBy("stack_id", *PIXEL, *keep).agg(F.sum(F.col("c") * F.col("vol")).alias("s"), F.sum("c").alias("simweight"))
-    return s.select("stack_id", *PIXEL, *keep, (F.col("s") / F.col("simweight")).alias("sim"), "simweight")
+    return seen.gathered(volume).select("stack_id", *PIXEL, *keep, (F.col("s") / F.col("c")).alias("sim"), F.col("c").alias("simweight"))
 
 
 #: Interpolation by name: weights by distance, as numpy. Linear and nearest run as joins or on blocks above.

@@ -66,9 +66,9 @@ class PatchChain(Chain):
         self.scratch = Scratch(spark)
         inside = self.scratch.put(mask(spark, sf_dir), "mask")
         self.patches = self.scratch.put(pv.initial(patch_rows(spark, sf_dir), inside), "patches")
-        coeff = pv.coefficients(self.patches, (sg.SIDE, sg.SIDE), partial(pv.gaussian, spacing=SPACING))
-        self.coeff = self.scratch.put(pv.in_mask(coeff, inside), "coefficients")
-        self.volume = self.scratch.put(pj.back_projected(self.coeff, F.col("v")), "volume")
+        self.seen = pv.seen_patches(self.patches, (sg.SIDE, sg.SIDE), partial(pv.gaussian, spacing=SPACING), most=pv.extents(pv.gaussian, SPACING))
+        # Shares sum to 1 before the mask; its voxels are all that the volume has, so nothing else is met again.
+        self.volume = self.scratch.put(pv.in_mask(pj.back_projected(self.seen), inside), "volume")
 
 
 @query(f"WITH {INIT} SELECT slice_id AS patch_id, x, y, v FROM px")
@@ -104,6 +104,6 @@ def patch_super_resolution(spark, sf_dir):
     chain = PatchChain(spark, sf_dir)
     pixels = chain.weighted()
     of = robust.slice_weights(robust.potentials(pixels))[0].select("slice_id", "w_slice").join(robust.slice_scales(pixels).select("slice_id", "scale"), "slice_id")
-    after = chain.scratch.put(robust.super_resolved(chain.coeff.drop("v"), pixels.join(of, "slice_id"), chain.volume, 0.8, 0.0, 1000.0), "super")
+    after = chain.scratch.put(robust.super_resolved(chain.seen, pixels.join(of, "slice_id"), chain.volume, 0.8, 0.0, 1000.0, (EDGE, EDGE * EDGE)), "super")
     out = robust.regularised_step(after, chain.volume, delta=100.0, alpha=0.05, lam=100000.0)
     return rounded(out.select(*VOXEL, F.round("vol", 4).alias("vol"), "cmap"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.functions import coords
 from gridloom.operators import projection as pj, robust, stencils
-from gridloom.queries import COEFF, DENS, KERNEL, KERNEL_SQL, POSE, SCALES, SIMULATED, SLICEW, VOLUME, WEIGHTS, Chain, coefficient_rows, matrix
+from gridloom.queries import COEFF, DENS, KERNEL, KERNEL_SQL, POSE, SCALES, SIMULATED, SLICEW, VOLUME, WEIGHTS, Chain, matrix, seen_slices
 from gridloom.registry import PX, PX3, R, query, rounded
 from gridloom.sources import surrogate as sg
 
@@ -112,7 +112,7 @@ def slice_average(spark, sf_dir):
 @query(f"""WITH {COEFF} SELECT stack_id, vx, vy, vz, {R('sum(c * CAST(v > 500 AS INT)) / sum(c)', 'm')} FROM co JOIN px USING (slice_id, stack_id, x, y) GROUP BY 1, 2, 3, 4""")
 def manual_mask_projection(spark, sf_dir):
     """A mask drawn on slices, spread into the volume."""
-    return rounded(pj.back_projected(coefficient_rows(spark, sf_dir), (F.col("v") > 500).cast("double")).select(*VOXEL, F.col("vol").alias("m")))
+    return rounded(pj.back_projected(seen_slices(spark, sf_dir).valued(F.transform("v", lambda v: (v > 500).cast("double")))).select(*VOXEL, F.col("vol").alias("m")))
 
 
 @query(f"""WITH {SIMULATED} SELECT stack_id, z, pix.x, pix.y, {R('CASE WHEN simweight > 0.5 THEN sim ELSE 0 END', 'v')} FROM pix JOIN rk USING (slice_id)""")
@@ -149,7 +149,7 @@ def normalise_bias(spark, sf_dir):
     """The slices' bias and scales, spread into the volume and smoothed, taken out of it."""
     chain = Chain(spark, sf_dir)
     pixels = chain.weighted()
-    made = robust.normalised_bias(chain.coeff.drop("v"), robust.bias(pixels, KERNEL, 8, 8), robust.slice_scales(pixels), chain.volume, KERNEL)
+    made = robust.normalised_bias(chain.seen, robust.bias(pixels, KERNEL, 8, 8), robust.slice_scales(pixels), chain.volume, KERNEL)
     return rounded(made, 5)
 
 
@@ -161,7 +161,7 @@ def super_resolved(spark, sf_dir):
     chain = Chain(spark, sf_dir)
     pixels = chain.weighted()
     slices = robust.slice_weights(robust.potentials(pixels))[0].select("slice_id", "w_slice").join(robust.slice_scales(pixels).select("slice_id", "scale"), "slice_id")
-    return chain, chain.scratch.put(robust.super_resolved(chain.coeff.drop("v"), pixels.join(slices, "slice_id"), chain.volume, 0.8, 0.0, 1000.0), "super")
+    return chain, chain.scratch.put(robust.super_resolved(chain.seen, pixels.join(slices, "slice_id"), chain.volume, 0.8, 0.0, 1000.0), "super")
 
 
 @query(f"""WITH {SUPER}, lr AS (SELECT *, old > 10 AND vol > 10 AS m FROM su), l2 AS (SELECT stack_id, vx, vy, vz, CASE WHEN m THEN ln(vol / old) ELSE 0 END AS r, CASE WHEN m THEN 1 ELSE 0 END AS m FROM lr), {_vol_blur('l2', 'r', 'm')}
@@ -250,9 +250,9 @@ class Loop(Chain):
         """Iteration i, from 0."""
         scales = self.scratch.put(robust.slice_scales(self.pixels).select("slice_id", "scale"), f"scales{i}")
         of = self.slices.select("slice_id", "w_slice").join(scales, "slice_id")
-        after = self.scratch.put(robust.super_resolved(self.coeff.drop("v"), self.pixels.join(of, "slice_id"), self.volume, 0.8, 0.0, 1000.0), f"super{i}")
+        after = self.scratch.put(robust.super_resolved(self.seen, self.pixels.join(of, "slice_id"), self.volume, 0.8, 0.0, 1000.0), f"super{i}")
         self.volume = self.scratch.put(robust.regularised_step(after, self.volume, 100.0, 0.05, 10000.0), f"volume{i + 1}")
-        simulated = pj.forward_projected(self.coeff.drop("v"), self.volume.select(*VOXEL, "vol"))
+        simulated = pj.forward_projected(self.seen, self.volume.select(*VOXEL, "vol"))
         known = self.pixels.select("slice_id", "x", "y", "v", "w").join(scales, "slice_id")
         pixels = self.scratch.put(simulated.join(known, ["slice_id", "x", "y"]), f"simulated{i + 1}")
         e = robust.residual(F.col("scale"))

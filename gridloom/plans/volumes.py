@@ -179,7 +179,7 @@ class Registering(Loop):
 
     def __init__(self, spark: SparkSession, images: DataFrame, first: Column):
         self.spark, self.images = spark, images
-        own = images.select(F.col("key").alias("stack_id"), F.col("unit").alias("slice_id"), F.get("centre", F.lit(2)).alias("z"), F.transform("v", lambda x: F.coalesce(x, F.lit(-1.0))).alias("pixels"), first.alias("first"))
+        own = images.select(F.col("key").alias("stack_id"), F.col("unit").alias("slice_id"), F.get("centre", F.lit(2)).alias("z"), F.col("v").alias("pixels"), first.alias("first"))
         depth = own.groupBy("stack_id").agg((F.max("z") + 1).cast("int").alias("nz"))
         self.blocks = Scratch(spark).put(own.join(depth, "stack_id"), "slices")
         self.poses = Scratch(spark).put(images.select("unit", F.array(*[F.lit(0.0)] * 6).alias("p"), "centre"), "poses")
@@ -193,9 +193,9 @@ class Registering(Loop):
         z = F.col("z")
         m[3], m[7], m[11] = m[3] - m[2] * z, m[7] - m[6] * z, m[11] + z - m[10] * z
         rows = self.blocks.filter(used).join(self.poses.select(F.col("unit").alias("slice_id"), "p"), "slice_id")
-        made = pj.coefficients(rows, m, sg.PSF, (3.5, 3.5, 0.0), (sg.SIDE, sg.SIDE))
-        self.coeff = self.scratch.put(made.filter("v <> -1"), "coefficients")
-        self.volume = self.scratch.put(pj.back_projected(self.coeff, F.col("v")), "volume")
+        self.seen = pj.seen_slices(rows, m, sg.PSF, (3.5, 3.5, 0.0), (sg.SIDE, sg.SIDE))
+        self.seen.images = self.scratch.put(self.seen.images, "images")
+        self.volume = self.scratch.put(pj.back_projected(self.seen), "volume")
         self.begin()
 
     def iterate(self, i: int) -> None:

@@ -485,16 +485,23 @@ def coefficient_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pj.coefficients(images, matrix(), sg.PSF, (3.5, 3.5, 0.0), (sg.SIDE, sg.SIDE))
 
 
+def seen_slices(spark: SparkSession, sf_dir: str) -> pj.Relation:
+    """The relation whose table is coefficient_rows."""
+    images = sg.with_depth(sg.ranked(sg.blocks(spark, sf_dir)))
+    return pj.seen_slices(images, matrix(), sg.PSF, (3.5, 3.5, 0.0), (sg.SIDE, sg.SIDE))
+
+
 class Chain:
     """What the steps of a reconstruction read again and again, each written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.scratch = Scratch(spark)
-        self.coeff = self.scratch.put(coefficient_rows(spark, sf_dir), "coefficients")
-        self.volume = self.scratch.put(pj.back_projected(self.coeff, F.col("v")), "volume")
+        self.seen = seen_slices(spark, sf_dir)
+        self.seen.images = self.scratch.put(self.seen.images, "images")
+        self.volume = self.scratch.put(pj.back_projected(self.seen), "volume")
 
     def simulated(self) -> DataFrame:
-        return pj.forward_projected(self.coeff, self.volume, keep=("v",))
+        return pj.forward_projected(self.seen, self.volume, keep=("v",))
 
     def weighted(self) -> DataFrame:
         """Pixels with their posterior weights under the initial statistics."""
@@ -510,7 +517,7 @@ def psf_coeff(spark, sf_dir):
 
 @query(f"WITH {VOLUME} SELECT stack_id, vx, vy, vz, {R('vol', 'vol')}, {R('volw', 'volw')} FROM vol")
 def back_project(spark, sf_dir):
-    return rounded(pj.back_projected(coefficient_rows(spark, sf_dir), F.col("v")))
+    return rounded(pj.back_projected(seen_slices(spark, sf_dir)))
 
 
 @query(f"WITH {SIMULATED} SELECT stack_id, slice_id, x, y, v, {R('sim', 'sim')}, {R('simweight', 'simweight')} FROM pix")
@@ -558,7 +565,7 @@ def superres_step(spark, sf_dir):
     chain = Chain(spark, sf_dir)
     pixels = chain.weighted()
     slices = robust.slice_weights(robust.potentials(pixels))[0].select("slice_id", "w_slice").join(robust.slice_scales(pixels).select("slice_id", "scale"), "slice_id")
-    return rounded(robust.super_resolved(chain.coeff.drop("v"), pixels.join(slices, "slice_id"), chain.volume, 0.8, 0.0, 1000.0))
+    return rounded(robust.super_resolved(chain.seen, pixels.join(slices, "slice_id"), chain.volume, 0.8, 0.0, 1000.0))
 
 
 @query(f"WITH {SLICEW}, ins AS (SELECT slice_id, max(simweight) > 0.99::DOUBLE AS inside FROM pix GROUP BY 1) SELECT stack_id, count(*) FILTER (inside AND w_slice >= 0.5) AS included, count(*) FILTER (inside AND w_slice < 0.5) AS excluded, count(*) FILTER (NOT inside) AS outside FROM sw JOIN ins USING (slice_id) GROUP BY 1")
