@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from gridloom.operators import tiles as tl
+
 #: Neighbours of a voxel by connectivity, the voxel itself left out.
 CONNECTIVITY = {
     n: [(x, y, z) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1) if (x, y, z) != (0, 0, 0) and ok(abs(x) + abs(y) + abs(z), z)]
@@ -119,6 +121,8 @@ def local_ssim(pairs: DataFrame, by: Sequence[str], sizes: dict[str, int], x: st
     return s.select(*by, *axes, ssim.alias("ssim"), ((1 - ssim) / 2).alias("dssim"))
 
 
+#: Voxels along a tile of the regulariser.
+TILE = 32
 #: The 13 directions of half of a cube's neighbours.
 DIRECTIONS = [(x, y, z) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1) if (z, y, x) > (0, 0, 0)]
 
@@ -128,22 +132,51 @@ def regularised(volume: DataFrame, by: Sequence[str], delta: float, alpha: float
 
     A direction counts between voxels of positive confidence, less the further
     they differ (in the column weights, where it is named). A voxel without
-    confidence and neighbours becomes 0.
+    confidence and neighbours becomes 0. Voxels go as tiles with a halo, not to
+    each neighbour.
     """
-    keys = [*by, "x", "y", "z"]
-    base = volume.select(*keys, F.col(value).cast("double").alias("v"), F.col(confidence).cast("double").alias("c"), F.col(weights or value).cast("double").alias("o"))
-    at = F.explode(F.array(*[F.struct((F.col("x") - s * d[0]).alias("x"), (F.col("y") - s * d[1]).alias("y"), (F.col("z") - s * d[2]).alias("z"), F.lit(1.0 / sum(map(abs, d))).alias("f")) for d in DIRECTIONS for s in (1, -1)])).alias("e")
-    sent = base.filter("c > 0").select(*by, F.col("v").alias("vn"), F.col("c").alias("cn"), F.col("o").alias("on"), at).select(*by, "e.x", "e.y", "e.z", "e.f", "vn", "cn", "on")
-    near = sent.join(base, keys)
-    diff = (F.col("on") - F.col("o")) * F.sqrt(F.col("f")) / delta
-    b = F.when(F.col("c") > 0, F.col("f") / F.sqrt(1 + diff * diff)).otherwise(0.0)
-    sums = near.select(*keys, b.alias("b"), "vn", "cn", "v", "c").groupBy(*keys).agg(F.sum(F.col("b") * F.col("vn") * F.col("cn")).alias("s"), F.sum(F.col("b") * F.col("cn")).alias("w"), F.sum("b").alias("total"))
-    both = base.join(sums, keys, "left")
-    k = alpha * lam / (delta * delta)
-    s, w, o = (F.coalesce(c, F.lit(0.0)) for c in ("s", "w", "total"))
-    v, c = F.col("v"), F.col("c")
-    below = c + k * (w - o * c)
-    return both.select(*keys, F.when(below > 0, (v * c + k * (s - o * v * c)) / F.when(below > 0, below)).otherwise(0.0).alias(value))
+    kind = lambda c: volume.schema[c].dataType.simpleString()
+    names = [*by, "x", "y", "z", value]
+    base = volume.select(*by, "x", "y", "z", F.col(value).cast("double").alias("_a"), F.col(confidence).cast("double").alias("_c"), F.col(weights or value).cast("double").alias("_o"))
+    edge, k = TILE + 2, alpha * lam / (delta * delta)
+
+    def stepped(v: np.ndarray, c: np.ndarray, o: np.ndarray) -> np.ndarray:
+        """The step for the inner voxels of a box; c is 0 where there is no voxel."""
+        inner = lambda a, d=(0, 0, 0): a[tuple(slice(1 + t, n - 1 + t) for t, n in zip(d, a.shape))]
+        s, w, total = (np.zeros(inner(c).shape) for _ in range(3))
+        own = inner(c) > 0
+        for x, y, z in DIRECTIONS:
+            f = 1.0 / (abs(x) + abs(y) + abs(z))
+            for d in ((z, y, x), (-z, -y, -x)):
+                there = inner(c, d)
+                diff = (inner(o, d) - inner(o)) * np.sqrt(f) / delta
+                b = np.where(own & (there > 0), f / np.sqrt(1 + diff * diff), 0.0)
+                s += b * inner(v, d) * there
+                w += b * there
+                total += b
+        below = inner(c) + k * (w - total * inner(c))
+        return np.where(below > 0, (inner(v) * inner(c) + k * (s - total * inner(v) * inner(c))) / np.where(below > 0, below, 1), 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, *values = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("at", "cell", "_c", "_o"))
+                place = np.stack([at // edge**2, at // edge % edge, at % edge], 1).astype(np.int64)
+                low = place.min(0) - 1
+                shape = tuple(place.max(0) - low + 2)
+                boxes = [np.zeros(shape) for _ in values]
+                for box, x in zip(boxes, values):
+                    box[tuple((place - low).T)] = x
+                made = np.zeros(shape)
+                made[1:-1, 1:-1, 1:-1] = stepped(*boxes)
+                own = ((place >= 1) & (place <= TILE)).all(1)
+                if own.any():
+                    tile = [batch.column(c)[i].as_py() for c in tl.TILE]
+                    x, y, z = (pa.array((place[own, 2 - a] - 1 + tile[a] * TILE).astype(np.int32)) for a in range(3))
+                    yield pa.RecordBatch.from_arrays([*[pa.repeat(batch.column(c)[i], int(own.sum())) for c in by], x, y, z, pa.array(made[tuple((place - low)[own].T)])], names)
+
+    tiles = tl.cut(base, by, ["x", "y", "z"], "_a", TILE, 1, ["_c", "_o"])
+    return tiles.mapInArrow(run, ", ".join([*[f"`{c}` {kind(c)}" for c in by], "x int, y int, z int", f"`{value}` double"]))
 
 
 def across(rows: DataFrame, by: Sequence[str], axis: str, kernel: Sequence[tuple[int, float]], value: str = "v") -> DataFrame:

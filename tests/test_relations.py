@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import plans, scratch
-from gridloom.operators import patch_volume as pv, projection as pj, registration
+from gridloom.operators import patch_volume as pv, projection as pj, registration, stencils
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +66,25 @@ def test_no_table_of_coefficients(spark, monkeypatch):
     monkeypatch.setattr(scratch.Scratch, "put", counted)
     assert plans.queries()["patch_robust_statistics"](spark, SF).count() == 2000
     assert "volume" in written and max(written.values()) <= 500 * 64
+
+
+def test_regulariser_over_tiles(spark, monkeypatch):
+    """Against a plain sum over 26 neighbours, on tiles of two voxels; a voxel isn't sent to each neighbour."""
+    monkeypatch.setattr(stencils, "TILE", 2)
+    rng = np.random.default_rng(1)
+    rows = [("a", x, y, z, *map(float, rng.uniform(0, 50, 2)), float(rng.uniform(0, 3) * (rng.random() > 0.2))) for x in range(4) for y in range(3) for z in range(-1, 4) if rng.random() > 0.15]
+    df = spark.createDataFrame(rows, "k string, x int, y int, z int, v double, o double, c double")
+    made = stencils.regularised(df, ["k"], 10.0, 0.05, 1000.0, weights="o")
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    at, want, k = {r[1:4]: r[4:] for r in rows}, {}, 0.05 * 1000.0 / 100.0
+    for p, (v, o, c) in at.items():
+        s = w = total = 0.0
+        for d in [(i, j, l) for i in (-1, 0, 1) for j in (-1, 0, 1) for l in (-1, 0, 1) if (i, j, l) != (0, 0, 0)]:
+            q = at.get(tuple(np.add(p, d)))
+            if q and q[2] > 0 and c > 0:
+                f = 1 / np.abs(d).sum()
+                b = f / np.sqrt(1 + ((q[1] - o) * np.sqrt(f) / 10) ** 2)
+                s, w, total = s + b * q[0] * q[2], w + b * q[2], total + b
+        below = c + k * (w - total * c)
+        want["a", *p] = ((v * c + k * (s - total * v * c)) / below if below > 0 else 0.0,)
+    same(rows_of(made, "k", "x", "y", "z"), want)
