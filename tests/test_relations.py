@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import plans, scratch
-from gridloom.operators import patch_volume as pv, projection as pj, registration, stencils
+from gridloom.operators import patch_volume as pv, projection as pj, registration, stencils, tiles as tl
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +88,34 @@ def test_regulariser_over_tiles(spark, monkeypatch):
         below = c + k * (w - total * c)
         want["a", *p] = ((v * c + k * (s - total * v * c)) / below if below > 0 else 0.0,)
     same(rows_of(made, "k", "x", "y", "z"), want)
+
+
+@pytest.mark.parametrize("units", ["slice_units", "stack_units"])
+def test_lattices_are_not_broadcast(spark, monkeypatch, units):
+    """Images of equal lattices are small in files; neither they nor what they see of a volume is sent to the driver."""
+    from gridloom.plans import volumes
+    from gridloom.scratch import Scratch
+
+    put, plan = Scratch.put, {}
+
+    def kept(self, df, name):
+        plan[name] = df._jdf.queryExecution().executedPlan().toString()
+        return put(self, df, name)
+
+    monkeypatch.setattr(Scratch, "put", kept)
+    made = volumes.laid(getattr(volumes, units)(spark, SF), volumes.smooth_volume(spark, SF), volumes.planted(F.col("unit")), 16, Scratch(spark))
+    assert made.count() == 500 and "SortMergeJoin" in plan["laid"] and "BroadcastExchange" not in plan["laid"]
+
+
+def test_only_tiles_with_voxels_are_asked_for(spark):
+    """A place beyond the voxels has no value, so an image goes to no tile there, and its values are the same."""
+    rng = np.random.default_rng(7)
+    voxels = spark.createDataFrame([(0, x, y, z, float(rng.random())) for x in range(6) for y in range(5) for z in range(9)], "key int, vx int, vy int, vz int, vol double")
+    rows = [(i, i, 0, *rng.uniform(-4, 4, (3, 12)).tolist(), [0.0] * 12, rng.uniform(-2, 2, 6).tolist(), [2.0, 2.0, 4.0]) for i in range(20)]
+    images = spark.createDataFrame(rows, tl.IMAGE.format(unit="long", key="int") + ", p array<double>, centre array<double>")
+    tiles, bounds = tl.cut(voxels, ["key"], ["vx", "vy", "vz"], "vol", 4, 1), tl.extent(voxels, ["vx", "vy", "vz"], 4)
+    assert bounds == ([0, 0, 0], [1, 1, 2]) and tl.extent(voxels.limit(0), ["vx"] * 3, 4) == ([0] * 3, [-1] * 3)
+    least = tl.seen(images, 4, bounds)
+    assert least.filter("tx < 0 OR ty < 0 OR tz < 0 OR tx > 1 OR ty > 1 OR tz > 2").isEmpty() and least.count() < tl.seen(images, 4).count()
+    every, some = ({r["unit"]: r["v"] for r in tl.sampled(images, tiles, 4, bounds=b).collect()} for b in (None, bounds))
+    assert every == some and any(v is not None for a in some.values() for v in a)
