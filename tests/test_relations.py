@@ -54,8 +54,9 @@ def test_sums_are_those_of_the_table(spark, monkeypatch, make):
     same(rows_of(seen.gathered(volume), *pj.PIXEL), rows_of(met, *pj.PIXEL))
 
 
-def test_no_table_of_coefficients(spark, monkeypatch):
-    """What patches write is no more than their pixels and voxels."""
+@pytest.mark.parametrize("name, count, pixels", [("patch_robust_statistics", 2000, 2000 * 16), ("reconstruct_registering", 1000, 1000 * 64)])
+def test_no_table_of_coefficients(spark, monkeypatch, name, count, pixels):
+    """No table that is written has more rows than there are pixels."""
     put, written = scratch.Scratch.put, {}
 
     def counted(self, df, name):
@@ -64,8 +65,8 @@ def test_no_table_of_coefficients(spark, monkeypatch):
         return made
 
     monkeypatch.setattr(scratch.Scratch, "put", counted)
-    assert plans.queries()["patch_robust_statistics"](spark, SF).count() == 2000
-    assert "volume" in written and max(written.values()) <= 500 * 64
+    assert plans.queries()[name](spark, SF).count() == count
+    assert "volume" in written and max(written.values()) <= pixels
 
 
 def test_regulariser_over_tiles(spark, monkeypatch):
