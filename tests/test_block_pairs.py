@@ -69,3 +69,17 @@ def test_template_is_the_same_from_pixels_and_slices(spark):
         share = np.sqrt(np.concatenate([[0], np.cumsum(value)[:-1]]) / max(value.sum(), 1e-300))
         rank = int(np.flatnonzero(share < template.ENERGY)[-1])
         assert got[s] == (rank, round(float(share[rank]), 6))
+
+
+def test_two_blocks_meet_once(spark, monkeypatch):
+    """Each pair of different images once, smaller id first; of two blocks one meeting is sent, not both ways round."""
+    monkeypatch.setattr(hist, "BLOCK", 12)
+    rows, df = images(spark)
+    got = [(r["stack_id"], r["a"], r["b"], None if r["ncc"] is None else round(r["ncc"], 9), r["ssd"]) for r in hist.pairs_once(df, ["stack_id"]).collect()]
+    want = []
+    for (i, s, p), (j, t, q) in itertools.product(rows, rows):
+        if s == t and i < j:
+            flat = np.ptp(p) == 0 or np.ptp(q) == 0
+            want.append((s, i, j, None if flat else round(float(np.corrcoef(p, q)[0, 1]), 9), -float(np.mean(np.subtract(p, q) ** 2))))
+    assert sorted(g[:4] for g in got) == sorted(w[:4] for w in want)
+    assert [g[4] for g in sorted(got)] == pytest.approx([w[4] for w in sorted(want)])
