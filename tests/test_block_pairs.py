@@ -83,3 +83,17 @@ def test_two_blocks_meet_once(spark, monkeypatch):
             want.append((s, i, j, None if flat else round(float(np.corrcoef(p, q)[0, 1]), 9), -float(np.mean(np.subtract(p, q) ** 2))))
     assert sorted(g[:4] for g in got) == sorted(w[:4] for w in want)
     assert [g[4] for g in sorted(got)] == pytest.approx([w[4] for w in sorted(want)])
+
+
+def test_lines_of_the_matrix_are_not_shuffled(spark):
+    """They are joined with their columns as they are read, at any bound of Spark's own broadcasts."""
+    from gridloom import plans
+
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = plans.queries()["similarity_matrix_file"](spark, "/root/testdata/sf0.001")
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
